@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from .decontamination import op1_decontamination
 from .language_id import op6_language_id
 from .secret_scan import op7_secret_scan
 from .token_counts import op5_token_counts
 
-QUERIES = {f.__name__: f for f in (op5_token_counts, op6_language_id, op7_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op5_token_counts, op6_language_id, op7_secret_scan)}
 
 ORACLE_SQL: dict[str, str] = {}
