@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from .decontamination import op1_decontamination
 from .language_id import op6_language_id
+from .license_scan import OP10_SQL, op10_license_scan
+from .mixing import op3_mixing
+from .quality_rules import OP4_SQL, op4_quality_rules
 from .secret_scan import op7_secret_scan
 from .token_counts import op5_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op5_token_counts, op6_language_id, op7_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op3_mixing, op4_quality_rules, op5_token_counts, op6_language_id, op7_secret_scan, op10_license_scan)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_quality_rules": OP4_SQL, "op10_license_scan": OP10_SQL}
