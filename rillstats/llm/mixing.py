@@ -26,7 +26,9 @@ MOST_SOURCES = 20_000
 MOST_PATTERNS = 200_000
 SEED = "mix"
 #: Documents a pattern that fill the gap which whole documents leave.
-TOP_UPS = 4
+TOP_UPS = 8
+#: Gaps up to this share of the target stay.
+SMALL_GAP = 0.001
 #: Parts of the seeded order that are summed up before documents are looked at: 16^3.
 _PART_DIGITS = 3
 
@@ -194,7 +196,10 @@ def _topped_up(picked: DataFrame) -> list[tuple[list, list[str]]]:
     """For each pattern, keys of up to TOP_UPS further documents that fill what the
     seeded order left open: each time the longest that fits, of equals the first."""
     spark = picked.sparkSession
-    gaps = {tuple(r["pattern"]): r["gap"] for r in picked.groupBy("pattern").agg((F.max("rest") - F.sum(F.when(F.col("once"), F.col("size")).otherwise(0))).alias("gap")).collect() if r["gap"] > 0}
+    left = (F.max("rest") - F.sum(F.when(F.col("once"), F.col("size")).otherwise(0))).alias("gap")
+    rows = picked.groupBy("pattern").agg(left, F.max("target").alias("target")).collect()
+    gaps = {tuple(r["pattern"]): r["gap"] for r in rows if r["gap"] > SMALL_GAP * r["target"]}
+    small = {tuple(r["pattern"]): SMALL_GAP * r["target"] for r in rows}
     more: dict[tuple, list[str]] = {}
     for _ in range(TOP_UPS):
         if not gaps:
@@ -205,7 +210,7 @@ def _topped_up(picked: DataFrame) -> list[tuple[list, list[str]]]:
         found = {tuple(r["pattern"]): r["b"] for r in best}
         for p, b in found.items():
             more.setdefault(p, []).append(b["order_key"])
-        gaps = {p: gaps[p] - b["size"] for p, b in found.items() if gaps[p] > b["size"]}
+        gaps = {p: gaps[p] - b["size"] for p, b in found.items() if gaps[p] - b["size"] > small[p]}
     return [(list(p), keys) for p, keys in more.items()]
 
 
