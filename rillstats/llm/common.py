@@ -69,6 +69,16 @@ def _clean() -> None:
             _delete(spark, path)
 
 
+#: Rows of a few numbers that are broadcast at most (some 40 MB); more are shuffled.
+BROADCAST_ROWS = 1_000_000
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """A stored table of a few narrow columns, marked for broadcast if it is counted to be
+    small; otherwise left to a shuffled join."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def lower_ascii(column):
     """Lower-case A-Z and nothing else."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

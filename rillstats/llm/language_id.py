@@ -176,6 +176,25 @@ def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
     return out.select(F.col("id").alias(id_col), "lang_pred", "score", "bits_per_byte", bad.alias("rejected"))
 
 
+def rejects(lang: str, score: float, bits: float) -> bool:
+    return lang == UNKNOWN or score < LEAST_SCORE or bits > MOST_BITS
+
+
+def accepted(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that identify() doesn't reject; no shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
+                yield some.filter(pa.array([not rejects(*x) for x in zip(*predicted(shared.value, text_bytes(some, text_col)))], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 

@@ -121,6 +121,10 @@ def routed(patterns: list[tuple[list[int], int]], quotas: list[int], most: int =
     return [flow.room[e ^ 1] for e in opened]
 
 
+def words_in(text):
+    return F.coalesce(F.regexp_count(text, F.lit(WORD_CLASS)), F.lit(0)).cast("long")
+
+
 def measured(docs: DataFrame, sources, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, size (words), pattern (sorted different sources, null last), order_key. `sources`
     is a column of one source or of an array of them."""
@@ -128,8 +132,7 @@ def measured(docs: DataFrame, sources, id_col: str = "doc_id", text_col: str = "
     if not isinstance(docs.select(one.alias("s")).schema["s"].dataType, T.ArrayType):
         one = F.array(one.cast("string"))
     pattern = F.array_sort(F.array_distinct(F.coalesce(one, F.array(F.lit(None).cast("string")))))
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD_CLASS)), F.lit(0)).cast("long")
-    return docs.select(F.col(id_col).alias("id"), size.alias("size"), pattern.alias("pattern"), F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(SEED))).alias("order_key"))
+    return docs.select(F.col(id_col).alias("id"), words_in(F.col(text_col)).alias("size"), pattern.alias("pattern"), F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(SEED))).alias("order_key"))
 
 
 def _by_weight(names: list[str | None]) -> list[str | None]:

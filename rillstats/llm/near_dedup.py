@@ -19,8 +19,9 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import WordHashes, discard, mixed, read_table, stored, text_bytes, windows
+from .common import WordHashes, discard, mixed, read_table, small_side, stored, text_bytes, windows
 
 PERMUTATIONS = 95
 ROWS = 5
@@ -28,8 +29,6 @@ BANDS = 2 * PERMUTATIONS // ROWS
 STAR_ROUNDS = 2
 #: Members that one task compares with a centre at a time.
 CELL = 256
-#: Rows of (document, cell) that are broadcast at most (some 40 MB); more are shuffled.
-BROADCAST_ROWS = 1_000_000
 #: Shingles hashed at a time.
 _BLOCK = 4096
 
@@ -103,8 +102,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, given: DataFrame, width: int
     members = pairs.join(per, "centre").select("centre", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int").alias("cell"), "node", F.lit(1).alias("part"))
     centres = per.select("centre", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), F.col("centre").alias("node"), F.lit(0).alias("part"))
     dealt = stored(members.unionByName(centres).join(classes.select("node", F.col("head").alias("id")), "node"), "dealt")
-    side = F.broadcast(dealt) if dealt.count() <= BROADCAST_ROWS else dealt
-    cells = given.join(side, "id").select("centre", "cell", "part", "node", "text").repartition("centre", "cell").sortWithinPartitions("centre", "cell", "part")
+    cells = given.join(small_side(dealt), "id").select("centre", "cell", "part", "node", "text").repartition("centre", "cell").sortWithinPartitions("centre", "cell", "part")
 
     def run(batches):
         import pyarrow as pa
@@ -228,6 +226,25 @@ def _result(signed: DataFrame, heads: DataFrame, component: DataFrame | None, id
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def deduplicated(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that stay: of each component the document
+    with the smallest id. Of rows with the same id and text one stays; an id whose texts
+    differ stays if one of its texts does. Rows with a null id stay."""
+    found = linked(docs, width, id_col=id_col, text_col=text_col).where(F.col(id_col).isNotNull())
+    ids = stored(found.groupBy(F.col(id_col).alias("_id")).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows")), "kept-ids")
+    gone = ids.where("not kept").select("_id")
+    stay = docs.join(small_side(gone), F.col(id_col) == F.col("_id"), "left_anti")
+    again = ids.where("kept and rows > 1").select("_id")
+    if again.isEmpty():
+        return stay
+    again = small_side(again)
+    repeated = stay.join(again, F.col(id_col) == F.col("_id"), "left_semi")
+    others = [c for c in docs.columns if c not in (id_col, text_col)]
+    place = F.row_number().over(Window.partitionBy(id_col, text_col).orderBy(*others or [id_col]))
+    one = repeated.withColumn("_place", place).where("_place = 1").drop("_place")
+    return stay.join(again, F.col(id_col) == F.col("_id"), "left_anti").unionByName(one)
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked(read_table(spark, sf_dir, "documents"), width=4)
 

@@ -11,13 +11,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, small_side
 from .quality_rules import let, ratio, statistics, words_of
 
 #: Labelled rows that are learnt from, about.
 SAMPLE_ROWS = 12_000
-#: Rows of ids that are broadcast at most.
-BROADCAST_ROWS = 1_000_000
 TREES, DEPTH, BINS, LEAST_LEAF = 24, 3, 24, 12
 PENALTY, STEPS = 0.002, 400
 FEATURES = (
@@ -137,8 +135,7 @@ def learnt(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     n = known.count()
     part = F.pmod(F.xxhash64(F.col("_id").cast("string"), F.lit("quality sample")), F.lit(1_000_000))
     few = known.where(part < int(min(1, sample_rows / max(n, 1)) * 1_000_000))
-    few = F.broadcast(few) if min(n, sample_rows) <= BROADCAST_ROWS else few
-    own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(few, "_id")
+    own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(small_side(few), "_id")
     rows = features(own, "_id", "text", ("y",)).toPandas().sort_values(["_id", *FEATURES])
     return fitted(rows[list(FEATURES)].to_numpy(float), rows["y"].to_numpy(float))
 

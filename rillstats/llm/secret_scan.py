@@ -185,5 +185,33 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_t
     return out.withColumnRenamed("id", id_col)
 
 
+def redacted_rows(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
+    """The rows of docs, with all their columns, secrets in the text replaced; where a text
+    changes, length_col (if any) gets its new length. No shuffle."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            names, cols = batch.schema.names, list(batch.columns)
+            raws = batch.column(text_col).cast(pa.binary()).to_pylist()
+            texts, changed = [], {}
+            for k, raw in enumerate(raws):
+                text = None if raw is None else raw.decode("utf-8", "replace")
+                if spans := spans_of(raw or b""):
+                    text = redacted(text, spans)
+                    changed[k] = len(text)
+                texts.append(text)
+            if changed:
+                at = names.index(text_col)
+                cols[at] = pa.array(texts, cols[at].type)
+                if length_col:
+                    at = names.index(length_col)
+                    cols[at] = pa.array([changed.get(k, n) for k, n in enumerate(cols[at].to_pylist())], cols[at].type)
+            yield pa.RecordBatch.from_arrays(cols, schema=batch.schema)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(read_table(spark, sf_dir, "documents"), with_text=False).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random")
