@@ -153,7 +153,7 @@ class BloomFilter(Keyed):
 
     def parts(self, events, by):
         df, r = self.live(events)
-        at = self.positions(df.select(*by, r.value.alias("_v")), F.col("_v")).select(*by, F.explode("_at").alias("_p"))
+        at = self.positions(df.select(*by, r.value.alias("_v")), F.col("_v")).select(*by, F.explode_outer("_at").alias("_p"))
         return at.select(*by, F.shiftright("_p", 6).alias("word"), F.expr("shiftleft(1L, int(_p & 63))").alias("bits"))
 
     def joined(self, c):
@@ -163,7 +163,7 @@ class BloomFilter(Keyed):
         """probes with `contained`. cells: of one filter, without by columns. There are
         bits / 64 words at most, which are joined by position."""
         keyed = self.positions(probes.withColumn("_row", F.monotonically_increasing_id()), F.col(value))
-        each = keyed.select("_row", F.explode("_at").alias("_p")).withColumn("word", F.shiftright("_p", 6))
+        each = keyed.select("_row", F.explode_outer("_at").alias("_p")).withColumn("word", F.shiftright("_p", 6))
         hit = F.coalesce(F.expr("bits & shiftleft(1L, int(_p & 63))") != 0, F.lit(False))
         return self._judged(keyed, each.join(cells, "word", "left").groupBy("_row").agg(F.min(hit).alias("contained")), probes)
 
@@ -198,12 +198,12 @@ class CountMinSketch(Keyed):
         whole = F.rint(r.w).cast("long")
         df, r = self.live(events, whole > 0)
         at = self.columns(df.select(*by, r.value.alias("_v"), whole.alias("count")), F.col("_v"))
-        return at.select(*by, F.explode("_at").alias("_p"), "count").select(*by, "_p.row", "_p.col", "count")
+        return at.select(*by, F.explode_outer("_at").alias("_p"), "count").select(*by, "_p.row", "_p.col", "count")
 
     def estimate(self, cells: DataFrame, probes: DataFrame, value: str) -> DataFrame:
         """probes with `estimate`. cells: of one sketch, without by columns."""
         keyed = self.columns(probes.withColumn("_row", F.monotonically_increasing_id()), F.col(value))
-        each = keyed.select("_row", F.explode("_at").alias("_p")).select("_row", "_p.row", "_p.col")
+        each = keyed.select("_row", F.explode_outer("_at").alias("_p")).select("_row", "_p.row", "_p.col")
         found = each.join(cells, ["row", "col"], "left").groupBy("_row").agg(F.min(F.coalesce("count", F.lit(0))).alias("estimate"))
         return keyed.join(found, "_row").select(*probes.columns, "estimate")
 

@@ -35,7 +35,7 @@ class Ordered(Stat):
 
 
 def _whole(by: list[str]):
-    return list(by) if by else [F.lit(1)]
+    return list(by) if by else [F.lit("")]
 
 
 class CounterRate(Ordered):

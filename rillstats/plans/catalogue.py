@@ -175,7 +175,7 @@ query(
 query("ridge", f"SELECT l_returnflag, round(sxy / (sxx + 2.5 * n), 5) AS slope, round(my - sxy / (sxx + 2.5 * n) * mx, 3) AS intercept {_REGR}")(
     lambda s, d: rounded(run.aggregate(_pairs(s, d), op.Ridge(2.5), _FLAG).select("l_returnflag", "slope", "intercept"), 5, intercept=3)
 )
-query("lasso", f"SELECT l_returnflag, round(sign(sxy) * greatest(abs(sxy) - 50000.0 * n, 0) / sxx, 5) AS slope {_REGR}")(
+query("lasso", f"SELECT l_returnflag, round(sign(sxy) * greatest(abs(sxy) - 50000.0 * n, 0) / sxx, 5) + 0.0 AS slope {_REGR}")(
     lambda s, d: rounded(run.aggregate(_pairs(s, d), op.Lasso(50000.0), _FLAG).select("l_returnflag", "slope"), 5)
 )
 
