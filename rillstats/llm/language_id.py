@@ -72,7 +72,7 @@ def compiled(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> dict:
         p = p.copy()
         p[..., 0] /= shared
         table[..., k] = np.round(-np.log2(np.maximum(p, 2.0**-40)) * PARTS_OF_BIT)
-    return {"langs": langs, "symbol": symbol, "size": size, "table": table.reshape(-1, len(langs))}
+    return {"langs": langs, "symbol": symbol, "size": size, "table": table.reshape(size**3, len(langs))}
 
 
 def _blend(c: np.ndarray, shorter: np.ndarray) -> np.ndarray:

@@ -328,7 +328,7 @@ def test_random_tokens_and_ordinary_ones():
     hits = sum(any(k == "random" for *_, k in secret_scan.spans_of(("key " + "".join(rng.choices(letters, k=40)) + " end").encode())) for _ in range(100))
     assert hits >= 85
     for text in ("internationalization2internationalization", "2024-01-01_2024-02-02_2024-03-03", "aaaaaaaaaaaaaaaaaaaaaaaaa1", "section12section13section14section15", "00000000000000000000000000001"):
-        assert not secret_scan.spans_of(text.encode()), text
+        assert all(k != "random" for *_, k in secret_scan.spans_of(text.encode())), text
 
 
 # 8
