@@ -11,8 +11,10 @@ A pair of similarity 0.8 shares none of the bands with probability (1 - 0.8^5)^3
 Equal sets are first folded into one class, so copies make no pairs. In each bucket
 documents are then compared with one centre, and links are joined to components. Only
 documents of a bucket that are in different components are compared further: with
-other centres for STAR_ROUNDS rounds, then pair by pair, so that no pair that shares a
-bucket is left out."""
+another centre, and then exactly: their shingles are put in one order, rare ones first,
+and two sets that are alike enough must share one among the first of each (prefix
+filter), with enough left behind it (positional filter). Only such pairs are confirmed,
+so a group of documents that are somewhat alike makes few pairs and loses none."""
 
 from __future__ import annotations
 
@@ -27,6 +29,9 @@ PERMUTATIONS = 95
 ROWS = 5
 BANDS = 2 * PERMUTATIONS // ROWS
 STAR_ROUNDS = 2
+#: Documents whose shingles are counted for the order, about, and the counters. Any order
+#: gives the same links; rare ones first gives few pairs.
+ORDER_DOCS, ORDER_BITS = 100_000, 18
 #: Members that one task compares with a centre at a time.
 CELL = 256
 #: Shingles hashed at a time.
@@ -169,7 +174,7 @@ def linked(docs: DataFrame, width: int = 5, numerator: int = 80, denominator: in
     links = tested = component = None
     for turn in range(STAR_ROUNDS + 1):
         open_ = _open(members, component)
-        pairs = _star(open_, turn, numerator, denominator) if turn < STAR_ROUNDS else _all_pairs(open_, numerator, denominator)
+        pairs = _star(open_, turn, numerator, denominator) if turn < STAR_ROUNDS else _left_over(open_, heads, texts, width, numerator, denominator)
         if tested is not None:
             pairs = pairs.join(tested, ["centre", "node"], "left_anti")
         pairs = stored(pairs, "pairs")
@@ -208,13 +213,61 @@ def _star(open_: DataFrame, turn: int, numerator: int, denominator: int) -> Data
     return votes.groupBy("node").agg(F.max_by("centre", F.struct("votes", "centre")).alias("centre")).select("centre", "node")
 
 
-def _all_pairs(open_: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """All pairs of a bucket whose components still differ."""
-    other = open_.select("band", F.col("node").alias("centre"), F.col("n").alias("cn"), F.col("component").alias("cc"))
-    pairs = open_.join(other, "band").where((F.col("node") > F.col("centre")) & (F.col("component") != F.col("cc")) & _may(numerator, denominator))
+def _left_over(open_: DataFrame, heads: DataFrame, given: DataFrame, width: int, numerator: int, denominator: int) -> DataFrame:
+    """All pairs of open documents in different components that can be alike enough."""
+    nodes = open_.groupBy("node").agg(F.first("n").alias("n"), F.first("component").alias("component"))
+    nodes = stored(nodes.join(heads.withColumnRenamed("head", "id"), "node"), "open")
+    texts = given.join(small_side(nodes), "id")
+    order = texts.sparkSession.sparkContext.broadcast(_order(texts, max(1, nodes.count()), width))
+
+    def prefixes(batches):
+        import pyarrow as pa
+
+        words = WordHashes()
+        for batch in batches:
+            keep, tokens = [], []
+            for k, (node, raw) in enumerate(zip(batch.column("node").to_pylist(), text_bytes(batch))):
+                own = shingles(raw, words, width)
+                if len(own) and node_of(own) == node:  # else another row with the same id
+                    first = len(own) + (-numerator * len(own)) // denominator + 1
+                    seen = order.value[(own >> np.uint64(64 - ORDER_BITS)).astype(np.int64)]
+                    keep.append(k)
+                    tokens.append(own[np.lexsort((own, seen))[:first]].view(np.int64))
+            kept = batch.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([kept.column("node"), kept.column("n"), kept.column("component"), pa.array(tokens, pa.list_(pa.int64()))], ["node", "n", "component", "tokens"])
+
+    made = texts.select("node", "n", "component", "text").mapInArrow(prefixes, "node long, n long, component long, tokens array<long>").dropDuplicates(["node"])
+    rows = stored(made.select("node", "n", "component", F.posexplode("tokens").alias("place", "token")), "prefixes")
+    several = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
+    rows = stored(rows.join(several, "token"), "shared-prefixes")
+    other = rows.select("token", F.col("node").alias("centre"), F.col("n").alias("cn"), F.col("component").alias("cc"), F.col("place").alias("cplace"))
+    behind = F.least(F.col("n") - F.col("place"), F.col("cn") - F.col("cplace"))  # shared shingles at most, from this one on
+    enough = (numerator + denominator) * behind >= numerator * (F.col("n") + F.col("cn"))
+    pairs = rows.join(other, "token").where((F.col("node") > F.col("centre")) & (F.col("component") != F.col("cc")) & _may(numerator, denominator) & enough)
     return pairs.select("centre", "node").distinct()
 
 
+def _order(texts: DataFrame, n: int, width: int) -> np.ndarray:
+    """How often shingles occur, in 2^ORDER_BITS counters by their first bits, in about ORDER_DOCS documents."""
+    part = F.pmod(F.xxhash64("node", F.lit("order")), F.lit(1_000_000))
+
+    def count(batches):
+        import pyarrow as pa
+
+        words, sums = WordHashes(), np.zeros(1 << ORDER_BITS, np.int64)
+        for batch in batches:
+            for raw in text_bytes(batch):
+                np.add.at(sums, (shingles(raw, words, width) >> np.uint64(64 - ORDER_BITS)).astype(np.int64), 1)
+        at = np.nonzero(sums)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(sums[at], pa.int64())], ["place", "n"])
+
+    few = texts.where(part < int(min(1, ORDER_DOCS / n) * 1_000_000)).select("node", "text")
+    rows = few.mapInArrow(count, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(1 << ORDER_BITS, np.int64)
+    out[rows["place"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+    return out
+
+
 def _result(signed: DataFrame, heads: DataFrame, component: DataFrame | None, id_col: str) -> DataFrame:
     named = heads.withColumn("component", F.col("node"))
     if component is not None:
