@@ -29,6 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir. Where it is unset (tests, one
     machine) a temporary folder is made and set for the session's life."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not found:
         found = tempfile.mkdtemp(prefix="rillstats-")
         spark.conf.set("spark.checkpoint.dir", found)
