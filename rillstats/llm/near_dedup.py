@@ -171,7 +171,7 @@ def linked(docs: DataFrame, width: int = 5, numerator: int = 80, denominator: in
     several = buckets.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("band")
     members = stored(buckets.join(several, "band"), "members")
     heads, texts = classes.select("node", "head"), given.where("id is not null")
-    links = tested = component = None
+    tested = component = None
     for turn in range(STAR_ROUNDS + 1):
         open_ = _open(members, component)
         pairs = _star(open_, turn, numerator, denominator) if turn < STAR_ROUNDS else _left_over(open_, heads, texts, width, numerator, denominator)
@@ -180,9 +180,8 @@ def linked(docs: DataFrame, width: int = 5, numerator: int = 80, denominator: in
         pairs = stored(pairs, "pairs")
         if not pairs.isEmpty():
             near = confirmed(pairs, heads, texts, width, numerator, denominator)
-            links = near if links is None else links.unionByName(near)
             tested = pairs if tested is None else tested.unionByName(pairs)
-            component = components(links.select(F.col("centre").alias("a"), F.col("node").alias("b")))
+            component = _merged(component, near)
     return _result(signed, heads, component, id_col)
 
 
@@ -195,6 +194,19 @@ def _open(members: DataFrame, component: DataFrame | None) -> DataFrame:
     return now.join(more, "band")
 
 
+def _merged(component: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components after further links. Only links between components are gone through."""
+    edges = links.select(F.col("centre").alias("a"), F.col("node").alias("b"))
+    if component is None:
+        return components(edges)
+    for side in ("a", "b"):
+        roots = component.select(F.col("a").alias(side), F.col("b").alias("root"))
+        edges = edges.join(roots, side, "left").withColumn(side, F.coalesce("root", side)).select("a", "b")
+    more = components(edges)
+    moved = component.join(more.select(F.col("a").alias("b"), F.col("b").alias("root")), "b", "left").select("a", F.coalesce("root", "b").alias("b"))
+    return stored(moved.unionByName(more), "components")
+
+
 def _may(numerator: int, denominator: int):
     return denominator * F.least("n", "cn") >= numerator * F.greatest("n", "cn")
 
