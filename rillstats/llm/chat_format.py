@@ -51,8 +51,9 @@ def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     while len(jumps) < limit and not reach.where("up is not null").isEmpty():
         jumps.append(reach.select("tree", "id", "up").where("up is not null"))
         beyond = reach.select("tree", F.col("id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("sum").alias("sum2"))
-        joined = reach.join(beyond, ["tree", "up"], "left")
-        reach = stored(joined.select("tree", "id", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), (F.col("sum") + F.coalesce("sum2", F.lit(0.0))).alias("sum")), "reach")
+        joined = reach.where("up is not null").join(beyond, ["tree", "up"], "left")  # what has its root is done
+        joined = reach.where("up is null").unionByName(joined.select("tree", "id", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), (F.col("sum") + F.coalesce("sum2", F.lit(0.0))).alias("sum")))
+        reach = stored(joined, "reach")
     rooted = reach.where("up is null")
     parents = linked.where("has").select("tree", F.col("parent").alias("id")).distinct()
     leaves = rooted.join(parents, ["tree", "id"], "left_anti")
