@@ -59,6 +59,10 @@ class Keyed(Stat):
                 df = df.where(test)
         return df, r
 
+    def seen(self, events: Events, by: list[str] = ()) -> DataFrame:
+        """by and the number of events that the sketch has taken in."""
+        return self.live(events)[0].groupBy(*by).agg(F.count(F.lit(1)).alias("total_seen"))
+
     def _hashed(self, events: Events, by: list[str]) -> DataFrame:
         df, r = self.live(events)
         return with_splitmix64(df.select(*by, r.value.cast("long").alias("_v")), F.col("_v"), "_h")
