@@ -252,7 +252,7 @@ query(
     f"SELECT round(-65536::DOUBLE * ln((65536 - count(DISTINCT (h & 65535::UHUGEINT))) / 65536::DOUBLE), 5) AS estimate, 65536::INT AS bits, 65536 - count(DISTINCT (h & 65535::UHUGEINT)) AS unset_bits FROM {_HASHED}",
 )(lambda s, d: rounded((lambda q: q.read(q.cells(_parts(s, d))))(op.LinearCounting(65536)), 5))
 _BLOOM = f"(SELECT DISTINCT ((h + i::UHUGEINT * g) & 65535::UHUGEINT)::BIGINT AS p FROM {_mix_sql(_HASHED, 'h', 'g')}, (SELECT unnest(range(7)) AS i))"
-query("bloom_words", f"SELECT p >> 6 AS word, {_signed_sql('sum(1::UHUGEINT << (p & 63)::INT)::UHUGEINT')} AS bits FROM {_BLOOM} GROUP BY 1")(lambda s, d: op.BloomFilter().cells(_parts(s, d)))
+query("bloom_words", f"SELECT p >> 6 AS word, {_signed_sql('bit_or(1::UHUGEINT << (p & 63)::UHUGEINT)')} AS bits FROM {_BLOOM} GROUP BY 1")(lambda s, d: op.BloomFilter().cells(_parts(s, d)))
 _PROBES = "(SELECT c_custkey AS k FROM customer)"
 query(
     "bloom_contains",
