@@ -32,6 +32,8 @@ STAR_ROUNDS = 2
 #: Documents whose shingles are counted for the order, about, and the counters. Any order
 #: gives the same links; rare ones first gives few pairs.
 ORDER_DOCS, ORDER_BITS = 100_000, 18
+#: Shingles before a shared one in which a pair looks for one that it shared before.
+LOOK_BACK = 16
 #: Members that one task compares with a centre at a time.
 CELL = 256
 #: Shingles hashed at a time.
@@ -248,14 +250,18 @@ def _left_over(open_: DataFrame, heads: DataFrame, given: DataFrame, width: int,
             kept = batch.take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([kept.column("node"), kept.column("n"), kept.column("component"), pa.array(tokens, pa.list_(pa.int64()))], ["node", "n", "component", "tokens"])
 
-    made = texts.select("node", "n", "component", "text").mapInArrow(prefixes, "node long, n long, component long, tokens array<long>").dropDuplicates(["node"])
-    rows = stored(made.select("node", "n", "component", F.posexplode("tokens").alias("place", "token")), "prefixes")
-    several = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-    rows = stored(rows.join(several, "token"), "shared-prefixes")
-    other = rows.select("token", F.col("node").alias("centre"), F.col("n").alias("cn"), F.col("component").alias("cc"), F.col("place").alias("cplace"))
+    made = stored(texts.select("node", "n", "component", "text").mapInArrow(prefixes, "node long, n long, component long, tokens array<long>").dropDuplicates(["node"]), "prefixes")
+    tokens = made.select("component", F.explode("tokens").alias("token"))
+    several = tokens.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
+    before = lambda i: F.slice("tokens", F.greatest(i - (LOOK_BACK - 1), F.lit(1)), F.least(i, F.lit(LOOK_BACK)))
+    placed = F.transform("tokens", lambda t, i: F.struct(i.alias("place"), t.alias("token"), before(i).alias("earlier")))
+    rows = stored(made.select("node", "n", "component", F.inline(placed)).join(several, "token"), "shared-prefixes")
+    other = rows.select("token", F.col("node").alias("centre"), F.col("n").alias("cn"), F.col("component").alias("cc"), F.col("place").alias("cplace"), F.col("earlier").alias("cearlier"))
     behind = F.least(F.col("n") - F.col("place"), F.col("cn") - F.col("cplace"))  # shared shingles at most, from this one on
     enough = (numerator + denominator) * behind >= numerator * (F.col("n") + F.col("cn"))
-    pairs = rows.join(other, "token").where((F.col("node") > F.col("centre")) & (F.col("component") != F.col("cc")) & _may(numerator, denominator) & enough)
+    # Both have the same order, so at its first shared shingle a pair has shared none before: there it is always made, and at few others.
+    first = ~F.arrays_overlap("earlier", "cearlier")
+    pairs = rows.join(other, "token").where((F.col("node") > F.col("centre")) & (F.col("component") != F.col("cc")) & _may(numerator, denominator) & enough & first)
     return pairs.select("centre", "node").distinct()
 
 
