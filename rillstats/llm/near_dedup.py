@@ -13,8 +13,9 @@ documents are then compared with one centre, and links are joined to components.
 documents of a bucket that are in different components are compared further: with
 another centre, and then exactly: their shingles are put in one order, rare ones first,
 and two sets that are alike enough must share one among the first of each (prefix
-filter), with enough left behind it (positional filter). Only such pairs are confirmed,
-so a group of documents that are somewhat alike makes few pairs and loses none."""
+filter), with enough left behind it (positional filter), and the parities of their hashes
+by cells must not differ in more bits than the sets may differ in hashes (parity filter).
+Only such pairs are confirmed, so a group of documents that are somewhat alike makes few pairs and loses none."""
 
 from __future__ import annotations
 
@@ -34,6 +35,8 @@ STAR_ROUNDS = 2
 ORDER_DOCS, ORDER_BITS = 100_000, 18
 #: Shingles before a shared one in which a pair looks for one that it shared before.
 LOOK_BACK = 16
+#: 64-bit words of a set's parity bits.
+PARITY_WORDS = 8
 #: Members that one task compares with a centre at a time.
 CELL = 256
 #: Shingles hashed at a time.
@@ -73,6 +76,13 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return out
 
 
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """For each of 64 * PARITY_WORDS cells whether an odd number of hashes fall in it. Two
+    sets differ in at least as many hashes as their parities differ in bits."""
+    bits = np.bincount((hashes & np.uint64(64 * PARITY_WORDS - 1)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def node_of(hashes: np.ndarray) -> int:
     """A 64-bit name for a set of shingles."""
     import xxhash
@@ -239,29 +249,33 @@ def _left_over(open_: DataFrame, heads: DataFrame, given: DataFrame, width: int,
 
         words = WordHashes()
         for batch in batches:
-            keep, tokens = [], []
+            keep, tokens, odd = [], [], []
             for k, (node, raw) in enumerate(zip(batch.column("node").to_pylist(), text_bytes(batch))):
                 own = shingles(raw, words, width)
                 if len(own) and node_of(own) == node:  # else another row with the same id
                     first = len(own) + (-numerator * len(own)) // denominator + 1
                     seen = order.value[(own >> np.uint64(64 - ORDER_BITS)).astype(np.int64)]
                     keep.append(k)
+                    odd.append(parity(own))
                     tokens.append(own[np.lexsort((own, seen))[:first]].view(np.int64))
             kept = batch.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([kept.column("node"), kept.column("n"), kept.column("component"), pa.array(tokens, pa.list_(pa.int64()))], ["node", "n", "component", "tokens"])
+            yield pa.RecordBatch.from_arrays([kept.column("node"), kept.column("n"), kept.column("component"), pa.array(tokens, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))], ["node", "n", "component", "tokens", "parity"])
 
-    made = stored(texts.select("node", "n", "component", "text").mapInArrow(prefixes, "node long, n long, component long, tokens array<long>").dropDuplicates(["node"]), "prefixes")
+    made = stored(texts.select("node", "n", "component", "text").mapInArrow(prefixes, "node long, n long, component long, tokens array<long>, parity array<long>").dropDuplicates(["node"]), "prefixes")
     tokens = made.select("component", F.explode("tokens").alias("token"))
     several = tokens.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
     before = lambda i: F.slice("tokens", F.greatest(i - (LOOK_BACK - 1), F.lit(1)), F.least(i, F.lit(LOOK_BACK)))
     placed = F.transform("tokens", lambda t, i: F.struct(i.alias("place"), t.alias("token"), before(i).alias("earlier")))
-    rows = stored(made.select("node", "n", "component", F.inline(placed)).join(several, "token"), "shared-prefixes")
-    other = rows.select("token", F.col("node").alias("centre"), F.col("n").alias("cn"), F.col("component").alias("cc"), F.col("place").alias("cplace"), F.col("earlier").alias("cearlier"))
+    odd = [F.col("parity")[k].alias(f"p{k}") for k in range(PARITY_WORDS)]
+    rows = stored(made.select("node", "n", "component", *odd, F.inline(placed)).join(several, "token"), "shared-prefixes")
+    other = rows.select("token", F.col("node").alias("centre"), F.col("n").alias("cn"), F.col("component").alias("cc"), F.col("place").alias("cplace"), F.col("earlier").alias("cearlier"), *(F.col(f"p{k}").alias(f"cp{k}") for k in range(PARITY_WORDS)))
+    differ = sum((F.bit_count(F.col(f"p{k}").bitwiseXOR(F.col(f"cp{k}"))) for k in range(PARITY_WORDS)), F.lit(0))
+    close = (numerator + denominator) * differ <= (denominator - numerator) * (F.col("n") + F.col("cn"))
     behind = F.least(F.col("n") - F.col("place"), F.col("cn") - F.col("cplace"))  # shared shingles at most, from this one on
     enough = (numerator + denominator) * behind >= numerator * (F.col("n") + F.col("cn"))
     # Both have the same order, so at its first shared shingle a pair has shared none before: there it is always made, and at few others.
     first = ~F.arrays_overlap("earlier", "cearlier")
-    pairs = rows.join(other, "token").where((F.col("node") > F.col("centre")) & (F.col("component") != F.col("cc")) & _may(numerator, denominator) & enough & first)
+    pairs = rows.join(other, "token").where((F.col("node") > F.col("centre")) & (F.col("component") != F.col("cc")) & _may(numerator, denominator) & enough & close & first)
     return pairs.select("centre", "node").distinct()
 
 
