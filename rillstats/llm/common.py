@@ -7,6 +7,7 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -86,17 +87,20 @@ def lower_ascii(column):
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def text_bytes(batch, name: str = "text") -> list[bytes]:
-    """The batch's texts as UTF-8 bytes; null is empty."""
+def text_bytes(batch, name: str = "text") -> Iterator[bytes]:
+    """The batch's texts as UTF-8 bytes, a few at a time; null is empty."""
     import pyarrow as pa
 
-    return [t or b"" for t in batch.column(name).cast(pa.binary()).to_pylist()]
+    column = batch.column(name).cast(pa.binary())
+    for at in range(0, len(column), 256):
+        for text in column.slice(at, 256).to_pylist():
+            yield text or b""
 
 
 class WordHashes(dict):
     """64-bit hashes of words, remembered for up to `most` words at a time."""
 
-    def __init__(self, most: int = 1_000_000):
+    def __init__(self, most: int = 200_000):
         self.most = most
 
     def __missing__(self, word: bytes) -> int:

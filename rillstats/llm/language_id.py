@@ -168,7 +168,7 @@ def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
-                lang, score, bits = predicted(shared.value, text_bytes(some))
+                lang, score, bits = predicted(shared.value, list(text_bytes(some)))
                 yield pa.RecordBatch.from_arrays([some.column("id"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64())], ["id", "lang_pred", "score", "bits_per_byte"])
 
     out = kept.mapInArrow(run, f"id {kept.schema['id'].dataType.simpleString()}, lang_pred string, score double, bits_per_byte double")
@@ -190,7 +190,7 @@ def accepted(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
-                yield some.filter(pa.array([not rejects(*x) for x in zip(*predicted(shared.value, text_bytes(some, text_col)))], pa.bool_()))
+                yield some.filter(pa.array([not rejects(*x) for x in zip(*predicted(shared.value, list(text_bytes(some, text_col))))], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -91,7 +91,7 @@ def count_tokens(docs: DataFrame, model: str, limit: int = 4096, id_col: str = "
 
         c = counter(model)
         for batch in batches:
-            raw = text_bytes(batch)
+            raw = list(text_bytes(batch))
             n = pa.array(c.count([x.decode("utf-8", "replace") for x in raw]), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(map(len, raw), pa.int64()), n], ["id", "n_bytes", "n_tokens"])
 
