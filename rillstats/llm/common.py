@@ -97,6 +97,23 @@ def text_bytes(batch, name: str = "text") -> Iterator[bytes]:
             yield text or b""
 
 
+def lean(run):
+    """run, a function of Arrow batches, after which the worker gives free memory back to the
+    system: workers outlive their tasks and wait beside the executor's heap."""
+
+    def task(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return task
+
+
 class WordHashes(dict):
     """64-bit hashes of words, remembered for up to `most` words at a time."""
 

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mixed, read_table, stored, text_bytes, windows
+from .common import WordHashes, lean, mixed, read_table, stored, text_bytes, windows
 
 WIDTH = 8
 #: Tokens of an item; shorter items are not searched for.
@@ -146,7 +146,7 @@ def benchmark_windows(items: DataFrame, id_col: str = "item_id", text_col: str =
             yield from _listed(_hashed(*forms, width), forms, lambda h: np.ones(len(h), bool), width)
 
     kind = kept.schema["id"].dataType.simpleString()
-    return kept.mapInArrow(_rows(kind, find), f"id {kind}, {_ROW}").withColumnRenamed("id", "item_id")
+    return kept.mapInArrow(lean(_rows(kind, find)), f"id {kind}, {_ROW}").withColumnRenamed("id", "item_id")
 
 
 def _bits(h: np.ndarray, mask: int) -> tuple[np.ndarray, np.ndarray]:
@@ -199,7 +199,7 @@ def matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col:
 
     kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = kept.schema["id"].dataType.simpleString()
-    mine = kept.mapInArrow(_rows(kind, find), f"id {kind}, {_ROW}").select("id", F.col("pos").alias("at"), "h", "width", F.col("slots").alias("own"))
+    mine = kept.mapInArrow(lean(_rows(kind, find)), f"id {kind}, {_ROW}").select("id", F.col("pos").alias("at"), "h", "width", F.col("slots").alias("own"))
     joined = mine.join(bench, ["h", "width"]).where(F.size("own") == F.size("slots"))
     pairs = F.arrays_zip(F.col("slots").alias("a"), F.col("own").alias("b"))
     grouped = joined.groupBy("id", "item_id", (F.col("at") - F.col("pos")).alias("shift")).agg(F.max("n_tokens").alias("n_tokens"), F.max("width").alias("width"), F.sort_array(F.collect_set("pos")).alias("pos"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))

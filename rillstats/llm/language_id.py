@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, text_bytes
+from .common import lean, read_table, text_bytes
 
 #: Labelled texts per language, about, that the statistics are learnt from.
 SAMPLE_DOCS = 4_000
@@ -114,7 +114,7 @@ def learnt(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_c
         for lang, s in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(s)), pa.array(s.keys(), pa.int64()), pa.array(s.values(), pa.int64())], ["lang", "code", "n"])
 
-    rows = known.where(pick).mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
+    rows = known.where(pick).mapInArrow(lean(count), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
     got = {lang: (g["code"].to_numpy(np.int64), g["n"].to_numpy(np.float64)) for lang, g in rows.groupby("lang")}
     empty = (np.empty(0, np.int64), np.empty(0))
     return compiled({lang: got.get(lang, empty) for lang in sizes})
@@ -171,7 +171,7 @@ def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
                 lang, score, bits = predicted(shared.value, list(text_bytes(some)))
                 yield pa.RecordBatch.from_arrays([some.column("id"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64())], ["id", "lang_pred", "score", "bits_per_byte"])
 
-    out = kept.mapInArrow(run, f"id {kept.schema['id'].dataType.simpleString()}, lang_pred string, score double, bits_per_byte double")
+    out = kept.mapInArrow(lean(run), f"id {kept.schema['id'].dataType.simpleString()}, lang_pred string, score double, bits_per_byte double")
     bad = (F.col("lang_pred") == UNKNOWN) | (F.col("score") < LEAST_SCORE) | (F.col("bits_per_byte") > MOST_BITS)
     return out.select(F.col("id").alias(id_col), "lang_pred", "score", "bits_per_byte", bad.alias("rejected"))
 
@@ -192,7 +192,7 @@ def accepted(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
                 some = batch.slice(at, 256)
                 yield some.filter(pa.array([not rejects(*x) for x in zip(*predicted(shared.value, list(text_bytes(some, text_col))))], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def held_out(id_col: str = "doc_id"):

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WordHashes, discard, mixed, read_table, small_side, stored, text_bytes, windows
+from .common import WordHashes, discard, lean, mixed, read_table, small_side, stored, text_bytes, windows
 
 PERMUTATIONS = 95
 ROWS = 5
@@ -108,7 +108,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                 bands.append(band_keys(min_max(own)).view(np.int64) if len(own) else [])
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["id", "n", "node", "bands"])
 
-    return docs.mapInArrow(run, f"id {kind}, n long, node long, bands array<long>")
+    return docs.mapInArrow(lean(run), f"id {kind}, n long, node long, bands array<long>")
 
 
 def confirmed(pairs: DataFrame, classes: DataFrame, given: DataFrame, width: int, numerator: int, denominator: int) -> DataFrame:
@@ -139,7 +139,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, given: DataFrame, width: int
                         a.append(c), b.append(node)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["centre", "node"])
 
-    out = stored(cells.mapInArrow(run, "centre long, node long").distinct(), "links")
+    out = stored(cells.mapInArrow(lean(run), "centre long, node long").distinct(), "links")
     discard(dealt)
     return out
 
@@ -261,7 +261,7 @@ def _left_over(open_: DataFrame, heads: DataFrame, given: DataFrame, width: int,
             kept = batch.take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([kept.column("node"), kept.column("n"), kept.column("component"), pa.array(tokens, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))], ["node", "n", "component", "tokens", "parity"])
 
-    made = stored(texts.select("node", "n", "component", "text").mapInArrow(prefixes, "node long, n long, component long, tokens array<long>, parity array<long>").dropDuplicates(["node"]), "prefixes")
+    made = stored(texts.select("node", "n", "component", "text").mapInArrow(lean(prefixes), "node long, n long, component long, tokens array<long>, parity array<long>").dropDuplicates(["node"]), "prefixes")
     tokens = made.select("component", F.explode("tokens").alias("token"))
     several = tokens.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
     before = lambda i: F.slice("tokens", F.greatest(i - (LOOK_BACK - 1), F.lit(1)), F.least(i, F.lit(LOOK_BACK)))
@@ -294,7 +294,7 @@ def _order(texts: DataFrame, n: int, width: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(sums[at], pa.int64())], ["place", "n"])
 
     few = texts.where(part < int(min(1, ORDER_DOCS / n) * 1_000_000)).select("node", "text")
-    rows = few.mapInArrow(count, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
+    rows = few.mapInArrow(lean(count), "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(1 << ORDER_BITS, np.int64)
     out[rows["place"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
     return out

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, text_bytes
+from .common import lean, read_table, text_bytes
 
 RANDOM_LEVEL = 0.005
 DISCOVERY_RATE = 0.001
@@ -181,7 +181,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_t
             kinds = [pa.int64()] * 4 + [pa.string()] * 3
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c, k) for c, k in zip(cols, kinds))], names)
 
-    out = kept.mapInArrow(run, f"id {kept.schema['id'].dataType.simpleString()}, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string" + ", redacted string" * with_text)
+    out = kept.mapInArrow(lean(run), f"id {kept.schema['id'].dataType.simpleString()}, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string" + ", redacted string" * with_text)
     return out.withColumnRenamed("id", id_col)
 
 
@@ -210,7 +210,7 @@ def redacted_rows(docs: DataFrame, text_col: str = "text", length_col: str | Non
                     cols[at] = pa.array([changed.get(k, n) for k, n in enumerate(cols[at].to_pylist())], cols[at].type)
             yield pa.RecordBatch.from_arrays(cols, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
