@@ -5,7 +5,8 @@ once at cost 0, again at cost 1 and a third time at cost 2 (convex repetition co
 arcs lead to its sources, whose arcs to the sink hold their targets. The cheapest
 largest flow says how many words of each pattern to take. Within a pattern all
 documents are taken a whole number of times, and a seeded order picks those taken
-once more; a few that fit fill the rest."""
+once more: a document that is too long for what is left is skipped, and the order goes
+on behind it."""
 
 from __future__ import annotations
 
@@ -25,8 +26,6 @@ WEIGHTS = (5, 2, 1)
 MOST_SOURCES = 20_000
 MOST_PATTERNS = 200_000
 SEED = "mix"
-#: Documents a pattern that fill the gap which whole documents leave.
-TOP_UPS = 8
 #: Gaps up to this share of the target stay.
 SMALL_GAP = 0.001
 #: Parts of the seeded order that are summed up before documents are looked at: 16^3.
@@ -125,31 +124,36 @@ def words_in(text):
     return F.coalesce(F.regexp_count(text, F.lit(WORD_CLASS)), F.lit(0)).cast("long")
 
 
-def measured(docs: DataFrame, sources, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, size (words), pattern (sorted different sources, null last), order_key. `sources`
-    is a column of one source or of an array of them."""
+def measured(docs: DataFrame, sources, id_col: str = "doc_id", text_col: str = "text", own: bool = False) -> DataFrame:
+    """id, size (words), pattern (sorted different sources, null last), order_key, row (a
+    number that tells rows apart) and, with `own`, the row itself. `sources` is a column of
+    one source or of an array of them. Rows with a null id are put in order by their text."""
     one = F.col(sources) if isinstance(sources, str) else sources
     if not isinstance(docs.select(one.alias("s")).schema["s"].dataType, T.ArrayType):
         one = F.array(one.cast("string"))
     pattern = F.array_sort(F.array_distinct(F.coalesce(one, F.array(F.lit(None).cast("string")))))
-    return docs.select(F.col(id_col).alias("id"), words_in(F.col(text_col)).alias("size"), pattern.alias("pattern"), F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(SEED))).alias("order_key"))
+    seeded = F.coalesce(F.col(id_col).cast("string"), F.md5(F.col(text_col).cast("binary")), F.lit(""))
+    carried = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own")] if own else []
+    return docs.select(F.col(id_col).alias("id"), words_in(F.col(text_col)).alias("size"), pattern.alias("pattern"), F.md5(F.concat(seeded, F.lit(SEED))).alias("order_key"), F.monotonically_increasing_id().alias("row"), *carried)
 
 
 def _by_weight(names: list[str | None]) -> list[str | None]:
     return sorted(names, key=lambda s: (s is None, s or ""))
 
 
-def mixed(docs: DataFrame, sources="source", weights=WEIGHTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mixed(docs: DataFrame, sources="source", weights=WEIGHTS, id_col: str = "doc_id", text_col: str = "text", own: bool = False) -> DataFrame:
     """One row per input row: id, size, pattern, source_size, target (of the first source of
-    the pattern), copies (0 to 3), taken (copies times size).
+    the pattern), copies (0 to 3), taken (copies times size) and, with `own`, a struct of
+    the input row's columns.
 
     `weights` go to the sources by code point, null last, again and again. Null is a
     source of its own. Null and empty texts have size 0 and are never taken. Repeated
     rows are rows like others; rows with one id and size are next to each other in the
-    seeded order. Other columns aren't read. An empty table gives an empty result.
-    A source of size 0 has target 0. Reruns agree: the order is a hash of the id."""
+    seeded order. Without `own` other columns aren't read. An empty table gives an empty
+    result. A source of size 0 has target 0. Reruns agree: the order is a hash of the id,
+    or of the text where the id is null."""
     spark = docs.sparkSession
-    rows = stored(measured(docs, sources, id_col, text_col), "mix-sizes")
+    rows = stored(measured(docs, sources, id_col, text_col, own), "mix-sizes")
     found = rows.groupBy("pattern").agg(F.sum("size").alias("size")).limit(MOST_PATTERNS + 1).collect()
     names = _by_weight(list({s for r in found for s in r["pattern"]}))
     if len(found) > MOST_PATTERNS or len(names) > MOST_SOURCES:
@@ -158,63 +162,69 @@ def mixed(docs: DataFrame, sources="source", weights=WEIGHTS, id_col: str = "doc
     found = sorted(((sorted(place[s] for s in r["pattern"]), r["size"], r["pattern"]) for r in found), key=lambda x: x[0])
     total = sum(size for _, size, _ in found)
     sizes = [0] * len(names)
-    for own, size, _ in found:
-        for k in own:
+    for own_sources, size, _ in found:
+        for k in own_sources:
             sizes[k] += size
     scaled = targets(sizes, [weights[k % len(weights)] for k in range(len(names))])
     if sum(sizes) > total:  # shared documents count once in what there is to share
         scaled = [t * total / sum(sizes) for t in scaled]
-    words = routed([(own, size) for own, size, _ in found], [round(t) for t in scaled])
+    words = routed([(among, size) for among, size, _ in found], [round(t) for t in scaled])
     plan = []
-    for (own, size, pattern), n in zip(found, words):
+    for (among, size, pattern), n in zip(found, words):
         every = n // size if size else 0
-        plan.append((pattern, sizes[own[0]], round(scaled[own[0]], 6), int(every), int(n - every * size)))
-    kind = "pattern array<string>, source_size long, target double, every int, rest long"
-    part = F.substring("order_key", 1, _PART_DIGITS).alias("part")
-    rest = F.broadcast(spark.createDataFrame(plan, kind).select("pattern", "rest"))  # at most MOST_PATTERNS rows, here and below
-    sums = rows.groupBy("pattern", part).agg(F.sum("size").alias("size")).join(rest, "pattern")
-    upto = F.sum("size").over(Window.partitionBy("pattern").orderBy("part").rowsBetween(Window.unboundedPreceding, 0))
-    ends = sums.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("size"))
-    crossed = (F.col("before") < F.col("rest")) & (F.col("upto") > F.col("rest"))
-    edges = ends.groupBy("pattern").agg(F.max(F.when(F.col("upto") <= F.col("rest"), F.col("part"))).alias("last"), F.max(F.when(crossed, F.col("part"))).alias("edge"), F.max(F.when(crossed, F.col("before"))).alias("before"))
-    found_edges = {tuple(r["pattern"]): (r["last"], r["edge"], r["before"]) for r in edges.collect()}
-    full = [(*p, *found_edges.get(tuple(p[0]), (None, None, None))) for p in plan]
-    planned = F.broadcast(spark.createDataFrame(full, kind + ", last string, edge string, before long"))
-    wanted = rows.join(planned, "pattern").withColumn("part", part)
-    on_edge = F.coalesce(F.col("part") == F.col("edge"), F.lit(False))
-    once = F.coalesce(F.col("part") <= F.col("last"), F.lit(False))
-    cut = Window.partitionBy("pattern").orderBy("order_key", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    near = wanted.where(on_edge).withColumn("end", F.sum("size").over(cut) + F.col("before"))
-    near = near.withColumn("once", F.col("end") <= F.col("rest"))
-    both = wanted.where(~on_edge).withColumn("once", once).unionByName(near.drop("end"))
-    picked = stored(both.drop("last", "edge", "before", "part"), "mix-picked")
-    more = _topped_up(picked)
-    once = F.col("once") | F.coalesce(F.array_contains("more", F.col("order_key")), F.lit(False))
-    copies = F.when(F.col("size") == 0, 0).otherwise(F.least(F.lit(MOST_COPIES), F.col("every") + once.cast("int")))
-    out = picked.join(F.broadcast(spark.createDataFrame(more, "pattern array<string>, more array<string>")), "pattern", "left")
-    return out.select(F.col("id").alias(id_col), "size", "pattern", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
-
-
-def _topped_up(picked: DataFrame) -> list[tuple[list, list[str]]]:
-    """For each pattern, keys of up to TOP_UPS further documents that fill what the
-    seeded order left open: each time the longest that fits, of equals the first."""
-    spark = picked.sparkSession
-    left = (F.max("rest") - F.sum(F.when(F.col("once"), F.col("size")).otherwise(0))).alias("gap")
-    rows = picked.groupBy("pattern").agg(left, F.max("target").alias("target")).collect()
-    gaps = {tuple(r["pattern"]): r["gap"] for r in rows if r["gap"] > SMALL_GAP * r["target"]}
-    small = {tuple(r["pattern"]): SMALL_GAP * r["target"] for r in rows}
-    more: dict[tuple, list[str]] = {}
-    for _ in range(TOP_UPS):
-        if not gaps:
-            break
-        table = F.broadcast(spark.createDataFrame([(list(p), g, more.get(p, [])) for p, g in gaps.items()], "pattern array<string>, gap long, more array<string>"))
-        fits = picked.where("not once and size > 0").join(table, "pattern").where((F.col("size") <= F.col("gap")) & ~F.array_contains("more", F.col("order_key")))
-        best = fits.groupBy("pattern").agg(F.max(F.struct("size", "order_key")).alias("b")).collect()
-        found = {tuple(r["pattern"]): r["b"] for r in best}
-        for p, b in found.items():
-            more.setdefault(p, []).append(b["order_key"])
-        gaps = {p: gaps[p] - b["size"] for p, b in found.items() if gaps[p] - b["size"] > small[p]}
-    return [(list(p), keys) for p, keys in more.items()]
+        plan.append((pattern, sizes[among[0]], round(scaled[among[0]], 6), int(every), int(n - every * size)))
+    stretches = _stretches(rows, {tuple(p[0]): (p[4], p[2]) for p in plan})
+    full = [(*p[:4], stretches.get(tuple(p[0]), [])) for p in plan]
+    kind = f"pattern array<string>, source_size long, target double, every int, stretches array<struct<start: {_PLACE}, end: {_PLACE}, gap: long>>"
+    planned = F.broadcast(spark.createDataFrame(full, kind))  # at most MOST_PATTERNS rows
+    here = F.struct("order_key", "size", "row")
+    inside = F.exists("stretches", lambda s: (F.col("size") <= s["gap"]) & (s["start"].isNull() | (here >= s["start"])) & (s["end"].isNull() | (here < s["end"])))
+    copies = F.when(F.col("size") == 0, 0).otherwise(F.least(F.lit(MOST_COPIES), F.col("every") + inside.cast("int")))
+    out = rows.join(planned, "pattern").withColumn("copies", copies)
+    return out.select(F.col("id").alias(id_col), "size", "pattern", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"), *(["own"] if own else []))
+
+
+#: A place in the seeded order.
+_PLACE = "struct<order_key: string, size: long, row: long>"
+
+
+def _stretches(rows: DataFrame, rests: dict[tuple, tuple[int, float]]) -> dict[tuple, list[tuple]]:
+    """For each pattern the stretches (start, end, gap) of the seeded order; in a stretch
+    the documents of up to `gap` words are taken. A stretch ends before the first document
+    that is too long for what is then left; the next one starts there with what is left as
+    its gap. All documents of up to that gap before it have been taken, so this is the order
+    gone through once, and each round takes a document. It ends when none fits or the gap is
+    within SMALL_GAP of the target. A round is two aggregates over all open patterns."""
+    spark = rows.sparkSession
+    narrow = rows.select("pattern", "size", "order_key", "row", F.struct("order_key", "size", "row").alias("here"), F.substring("order_key", 1, _PART_DIGITS).alias("part")).where("size > 0")
+    open_ = {p: (None, rest) for p, (rest, _) in rests.items() if rest > 0}
+    out: dict[tuple, list[tuple]] = {}
+    while open_:
+        table = F.broadcast(spark.createDataFrame([(list(p), start, gap) for p, (start, gap) in open_.items()], f"pattern array<string>, start {_PLACE}, gap long"))
+        fits = narrow.join(table, "pattern").where((F.col("size") <= F.col("gap")) & (F.col("start").isNull() | (F.col("here") >= F.col("start"))))
+        sums = fits.groupBy("pattern", "part").agg(F.sum("size").alias("sum"), F.max("gap").alias("gap"))
+        upto = F.sum("sum").over(Window.partitionBy("pattern").orderBy("part").rowsBetween(Window.unboundedPreceding, 0))
+        ends = sums.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("sum"))
+        crossed = (F.col("before") <= F.col("gap")) & (F.col("upto") > F.col("gap"))
+        edges = ends.groupBy("pattern").agg(F.max("upto").alias("whole"), F.max(F.when(crossed, F.col("part"))).alias("edge"), F.max(F.when(crossed, F.col("before"))).alias("before")).collect()
+        cut = [(r["pattern"], r["edge"], r["before"]) for r in edges if r["edge"] is not None]
+        stops = {}
+        if cut:
+            near = fits.join(F.broadcast(spark.createDataFrame(cut, "pattern array<string>, edge string, before long")), "pattern").where(F.col("part") == F.col("edge"))
+            own = Window.partitionBy("pattern").orderBy("order_key", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
+            over = near.withColumn("end", F.sum("size").over(own) + F.col("before")).where(F.col("end") > F.col("gap"))
+            first = over.groupBy("pattern").agg(F.min("here").alias("here"), F.min(F.col("end") - F.col("size")).alias("taken")).collect()
+            stops = {tuple(r["pattern"]): (tuple(r["here"]), r["taken"]) for r in first}
+        still = {}
+        for r in edges:
+            p = tuple(r["pattern"])
+            start, gap = open_[p]
+            stop, taken = stops.get(p, (None, r["whole"]))
+            out.setdefault(p, []).append((start, stop, gap))
+            if stop is not None and gap - taken > SMALL_GAP * rests[p][1]:
+                still[p] = (stop, gap - taken)
+        open_ = still
+    return out
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

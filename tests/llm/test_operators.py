@@ -238,6 +238,27 @@ def test_mix_keeps_its_promises(spark, data):
     assert abs(sum(taken.values()) - sum(target.values())) < 0.1 * sum(target.values())
 
 
+def test_a_long_document_does_not_end_the_order(spark):
+    """The take is the seeded order gone through once, documents that don't fit left out."""
+    for salt in range(4):
+        sizes = {1000 * salt + k: 5 for k in range(300)} | {1000 * salt + 900: 2000, 1000 * salt + 901: 700, 1000 * salt + 902: 40}
+        small = {10**6 + k: 10 for k in range(100)}
+        docs = spark.createDataFrame([(i, "w " * n, "a") for i, n in sizes.items()] + [(i, "w " * n, "b") for i, n in small.items()], "doc_id long, text string, source string").repartition(3)
+        got = {r.doc_id: r for r in mixing.mixed(docs, weights=(1, 1)).collect()}
+        for source in (sizes, small):
+            n, target = sum(source.values()), got[min(source)].target
+            rest = left = round(target) % n
+            want = set()
+            for i in sorted(source, key=lambda i: hashlib.md5(f"{i}mix".encode()).hexdigest()):
+                if source[i] <= left:
+                    want.add(i)
+                    left -= source[i]
+            have = {i for i in source if got[i].copies > round(target) // n}
+            gap = rest - sum(source[i] for i in have)
+            assert have <= want and 0 <= gap and (have == want or gap <= mixing.SMALL_GAP * target)
+    assert gap < 10
+
+
 # 4
 
 
