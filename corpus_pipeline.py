@@ -38,14 +38,11 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each time that the mix takes a document, numbered by `copy` from 1. Rows
-    with the same id and size are taken as often as the one taken most often."""
+    """A row for each time that the mix takes a document, numbered by `copy` from 1. Each row
+    is taken as planned for it, also with a null or a repeated id."""
     ship(spark)
-    taken = mixing.mixed(docs).where("copies > 0 and doc_id is not null")
-    taken = stored(taken.groupBy(F.col("doc_id").alias("_id"), "size").agg(F.max("copies").alias("copies")), "taken")
-    own = docs.withColumn("_size", mixing.words_in(F.col("text")))
-    joined = own.join(small_side(taken), (F.col("doc_id") == F.col("_id")) & (F.col("_size") == F.col("size")))
-    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    taken = mixing.mixed(docs, own=True).where("copies > 0")
+    return taken.select(*(F.col("own").getField(c).alias(c) for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
 
 
 STAGES = [

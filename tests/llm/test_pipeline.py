@@ -38,3 +38,16 @@ def test_run_gives_the_last_stage(spark, data):
     out = corpus_pipeline.run(spark, data)
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "copy"]
     assert {r.copy for r in out.select("copy").distinct().collect()} <= {1, 2, 3}
+
+
+def test_rows_with_a_null_id_are_mixed_as_planned(spark):
+    texts = [f"t{k % 50} " + "w " * (k % 7) for k in range(90)]
+    docs = spark.createDataFrame([(k if k % 3 else None, t, None, "a" if k % 2 else "b", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    planned = mixing.mixed(docs).collect()
+    out = corpus_pipeline.mix_sources(spark, docs, "")
+    assert out.columns == [*docs.columns, "copy"]
+    got = collections.Counter((r.doc_id, len(r.text.split())) for r in out.collect())
+    want = collections.Counter()
+    for r in planned:
+        want[r.doc_id, r.size] += r.copies
+    assert got == +want and any(i is None for i, _ in got)
