@@ -1,7 +1,9 @@
 """Secret scans: fixed patterns, and a battery of randomness tests for the rest.
 
-A candidate is a run of 20 or more characters of `[A-Za-z0-9+/_=-]` with a digit. Its
-encoding is the smallest alphabet that holds it. Three tests ask whether it could
+A candidate is a run of 20 or more characters of `[A-Za-z0-9+/_=-]`. Its encoding is the
+smallest alphabet that holds it. A run that no alphabet holds is split behind `=`, and
+what still has separators of both base64 alphabets is split at those of either; the parts
+of 20 or more characters are candidates. Three tests ask whether it could
 be random in that encoding: chi-squared uniformity over the alphabet, runs about the
 alphabet's middle, and lag-one serial correlation; Fisher's method joins their
 p-values, and a candidate must not be rejected at level RANDOM_LEVEL. Against the
@@ -30,8 +32,11 @@ _ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\
 _HINTS = (b"passw", b"secret", b"token", b"api")
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 _HEX = re.compile(rb"[0-9a-f]{24,}")
-_CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{20,}")
-_DIGIT = re.compile(rb"[0-9]")
+LEAST_CHARS = 20
+_CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{%d,}" % LEAST_CHARS)
+#: Parts between inner `=` signs, with the padding at their end; and parts of one base64 alphabet.
+_PADDED = re.compile(rb"[^=]+=*")
+_PARTS = (re.compile(rb"[A-Za-z0-9+/]+=*"), re.compile(rb"[A-Za-z0-9_-]+=*"))
 
 _LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 #: Alphabets from the smallest on; `=` at the end is padding and left out.
@@ -55,6 +60,8 @@ def randomness(token: str, letters: str) -> float:
     size, body = len(letters), token.rstrip("=")
     x = np.array([letters.index(c) for c in body], float)
     n = len(x)
+    if n < 2:
+        return 0.0
     chi = ((np.bincount(x.astype(int), minlength=size) - n / size) ** 2).sum() * size / n
     ps = [_normal_tail((chi - (size - 1)) / math.sqrt(2 * (size - 1) * (1 - 1 / n)))]
     high = x >= size / 2
@@ -110,6 +117,34 @@ def discovered(tokens: list[str]) -> list[bool]:
     return [bool(p and x <= bound) for p, x in zip(passes, q)]
 
 
+def candidates(raw: bytes) -> list[tuple[int, int]]:
+    """(start, end) of what is tested; parts of a run may overlap."""
+    out: list[tuple[int, int]] = []
+    for m in _CANDIDATE.finditer(raw):
+        if encoding_of(m[0].decode()):
+            out.append(m.span())
+            continue
+        for part in _PADDED.finditer(raw, *m.span()):
+            if len(part[0]) < LEAST_CHARS:
+                continue
+            if encoding_of(part[0].decode()):
+                out.append(part.span())
+            else:
+                out += [x.span() for form in _PARTS for x in form.finditer(raw, *part.span()) if len(x[0]) >= LEAST_CHARS]
+    return out
+
+
+def _united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Overlapping spans become one."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
 def spans_of(raw: bytes) -> list[tuple[int, int, str]]:
     """(start, end, kind) in code points by start, then kind."""
     out: list[tuple[int, int, str]] = []
@@ -119,10 +154,10 @@ def spans_of(raw: bytes) -> list[tuple[int, int, str]]:
     if b"AKIA" in raw:
         out += [(m.start(), m.end(), "access") for m in _ACCESS.finditer(raw) if m.end() - m.start() >= 20]
     out += [(m.start(), m.end(), "hex") for m in _HEX.finditer(raw)]
-    if _DIGIT.search(raw):
-        found = [m for m in _CANDIDATE.finditer(raw) if _DIGIT.search(m[0]) and not any(s < m.end() and m.start() < e for s, e, _ in _near(out, m))]
-        if found:
-            out += [(m.start(), m.end(), "random") for m, yes in zip(found, discovered([m[0].decode() for m in found])) if yes]
+    found = [(s, e) for s, e in candidates(raw) if not any(x < e and s < y for x, y, _ in out)]
+    if found:
+        random = _united([x for x, yes in zip(found, discovered([raw[s:e].decode() for s, e in found])) if yes])
+        out += [(s, e, "random") for s, e in random]
     if not out:
         return out
     if not raw.isascii():
@@ -132,10 +167,6 @@ def spans_of(raw: bytes) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
-def _near(spans, m):
-    return spans if len(spans) < 64 else [x for x in spans if x[0] < m.end() and m.start() < x[1]]
-
-
 def joined(spans) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, e, k in spans)
 

@@ -352,6 +352,28 @@ def test_random_tokens_and_ordinary_ones():
         assert all(k != "random" for *_, k in secret_scan.spans_of(text.encode())), text
 
 
+def test_random_parts_of_longer_runs():
+    rng = random.Random(6)
+    base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+
+    def hits(make, letters=base64, n=40):
+        found = 0
+        for _ in range(100):
+            key = "".join(rng.choices(letters, k=n))
+            text = make(key)
+            at = text.index(key)
+            found += any(k == "random" and s <= at and e >= at + n for s, e, k in secret_scan.spans_of(text.encode()))
+        return found
+
+    assert hits(lambda k: f"AWS_SECRET_ACCESS_KEY={k} end") >= 85
+    assert hits(lambda k: f"sig={k}&x") >= 85
+    assert hits(lambda k: f"KEY_ID={k}==") >= 85
+    assert hits(lambda k: f"/srv/my_data/{k}", base64[:62]) >= 85
+    assert hits(lambda k: f"key {k} end", base64[:52]) >= 85
+    for text in ("internationalizationinternationalization", "MAX_NUMBER_OF_CONNECTIONS=DEFAULT_NUMBER_OF_CONNECTIONS", "/usr/share/my_long_folder_name/of_documents", "a===================", "1=====================", "=" * 40):
+        assert all(k != "random" for *_, k in secret_scan.spans_of(text.encode())), text
+
+
 # 8
 
 
