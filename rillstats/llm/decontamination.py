@@ -3,7 +3,8 @@
 Texts become tokens without the punctuation around them. In the template form numbers,
 names (capitalised words inside a sentence) and units (after a number) are typed
 placeholders; in the plain form tokens are only lower-cased. Windows of WIDTH tokens
-of both forms are hashed (an item of fewer tokens is one window). A bitmap of the
+of both forms are hashed (an item of fewer tokens is one window). A second template form
+takes capitalised words that open a sentence for names too. A bitmap of the
 benchmark's windows, of a size with a fixed bound, is all that is broadcast: windows
 of documents that pass it are joined to the benchmark's by hash, so false passes
 fall out. Matches of one document and item with the same shift make one alignment.
@@ -65,6 +66,22 @@ class Tokens(dict):
 
     def forms(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hashes of the plain and the template form, and where placeholders are."""
+        plain, kind, starts = self.read(text)
+        return plain, *_template(plain, kind, ~starts)
+
+    def all_forms(self, text: bytes) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+        """Hashes of the plain form; of each template form the hashes, where placeholders are,
+        and which of them windows must have: in the second form those that open sentences."""
+        plain, kind, starts = self.read(text)
+        template, slot = _template(plain, kind, ~starts)
+        out = [(template, slot, slot)]
+        if ((kind & _NAME > 0) & starts).any():
+            more, open_slot = _template(plain, kind, np.ones(len(plain), bool))
+            out.append((more, open_slot, open_slot & ~slot))
+        return plain, out
+
+    def read(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Plain hashes and kinds of the tokens, and which of them open a sentence."""
         raw = text.split()
         if len(self) + len(raw) > self.most:
             self.clear()
@@ -76,33 +93,42 @@ class Tokens(dict):
             keep = np.nonzero((kind & _EMPTY) == 0)[0]
             ends = np.maximum.reduceat(kind & _ENDS, keep) if len(keep) else kind[:0]  # an empty token's full stop goes to the one before
             plain, kind = plain[keep], (kind[keep] & ~np.uint8(_ENDS)) | ends
-        if not len(plain):
-            return plain, plain, np.empty(0, bool)
-        starts = np.concatenate([[True], (kind[:-1] & _ENDS) > 0])
-        after_number = np.concatenate([[False], (kind[:-1] & _NUM) > 0])
-        template, slot = plain.copy(), np.zeros(len(plain), bool)
-        for bit, where in ((_NAME, ~starts), (_UNIT, after_number), (_NUM, True)):
-            mine = ((kind & bit) > 0) & where
-            template[mine] = _PLACEHOLDER[bit]
-            slot |= mine
-        return plain, template, slot
-
-
-def _hashed(plain, template, slot, width: int):
-    """(positions, hashes) of the plain windows, then of the template windows with slots and enough other tokens."""
+        starts = np.concatenate([[True], (kind[:-1] & _ENDS) > 0])[: len(plain)]
+        return plain, kind, starts
+
+
+def _template(plain, kind, names) -> tuple[np.ndarray, np.ndarray]:
+    """The template form with capitalised words as names where `names` says so, and its slots."""
+    after_number = np.concatenate([[False], (kind[:-1] & _NUM) > 0])[: len(plain)]
+    template, slot = plain.copy(), np.zeros(len(plain), bool)
+    for bit, where in ((_NAME, names), (_UNIT, after_number), (_NUM, True)):
+        mine = ((kind & bit) > 0) & where
+        template[mine] = _PLACEHOLDER[bit]
+        slot |= mine
+    return template, slot
+
+
+def _before(x) -> np.ndarray:
+    """How many of x are true before each place, and in all."""
+    return np.concatenate([[0], np.cumsum(x)])
+
+
+def _hashed(plain, forms, width: int):
+    """(positions, lengths, hashes, slots) of the plain windows, then for each template form of the windows with slots and enough other tokens."""
     n = len(plain) - width + 1
     if n <= 0:
         return
     salt = np.uint64(width)
-    yield np.arange(n), mixed(windows(plain, width) + salt)
-    if slot.any():
-        slots = np.concatenate([[0], np.cumsum(slot)])
-        slots = slots[width:] - slots[:n]
-        at = np.nonzero((slots > 0) & (width - slots >= min(LEAST_PLAIN, width - 1)))[0]
-        yield at, mixed(mixed(windows(template, width)[at] + salt))
+    yield np.arange(n), np.full(n, width), mixed(windows(plain, width) + salt), None
+    for template, slot, must in forms:
+        if must.any():
+            slots, musts = _before(slot), _before(must)
+            at = np.nonzero((musts[width:] > musts[:n]) & (width - slots[width:] + slots[:n] >= min(LEAST_PLAIN, width - 1)))[0]
+            yield at, np.full(len(at), width), mixed(mixed(windows(template, width)[at] + salt)), slot
 
 
-_ROW = "pos int, h long, width int, n_tokens int, slots array<long>"
+#: form is 0 for plain windows, 1 for those of the first template form and 2 for those of the second.
+_ROW = "pos int, h long, width int, n_tokens int, form int, slots array<long>"
 
 
 def _rows(id_type: str, find):
@@ -112,24 +138,23 @@ def _rows(id_type: str, find):
         import pyarrow as pa
 
         for batch in batches:
-            ids, pos, hs, widths, lengths, slots = [], [], [], [], [], []
+            ids, pos, hs, widths, lengths, forms, slots = [], [], [], [], [], [], []
             for k, text in enumerate(text_bytes(batch)):
-                for p, h, width, n, s in find(text):
-                    ids.append(k), pos.append(p), hs.append(h), widths.append(width), lengths.append(n), slots.append(s)
+                for p, h, width, n, form, s in find(text):
+                    ids.append(k), pos.append(p), hs.append(h), widths.append(width), lengths.append(n), forms.append(form), slots.append(s)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(pa.array(ids, pa.int64())), pa.array(pos, pa.int32()), pa.array(hs, pa.int64()), pa.array(widths, pa.int32()), pa.array(lengths, pa.int32()), pa.array(slots, pa.list_(pa.int64()))],
-                ["id", "pos", "h", "width", "n_tokens", "slots"],
+                [batch.column("id").take(pa.array(ids, pa.int64())), pa.array(pos, pa.int32()), pa.array(hs, pa.int64()), pa.array(widths, pa.int32()), pa.array(lengths, pa.int32()), pa.array(forms, pa.int32()), pa.array(slots, pa.list_(pa.int64()))],
+                ["id", "pos", "h", "width", "n_tokens", "form", "slots"],
             )
 
     return run
 
 
-def _listed(parts, forms, keep, width):
-    plain, _, slot = forms
-    for k, (at, h) in enumerate(parts):
+def _listed(parts, plain, keep):
+    for form, (at, lengths, h, slot) in enumerate(parts):
         good = keep(h)
-        for p, x in zip(at[good].tolist(), h[good].view(np.int64).tolist()):
-            yield p, x, width, len(plain), plain[p : p + width][slot[p : p + width]].view(np.int64).tolist() if k else []
+        for p, width, x in zip(at[good].tolist(), lengths[good].tolist(), h[good].view(np.int64).tolist()):
+            yield p, x, width, len(plain), form, plain[p : p + width][slot[p : p + width]].view(np.int64).tolist() if form else []
 
 
 def benchmark_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -140,10 +165,10 @@ def benchmark_windows(items: DataFrame, id_col: str = "item_id", text_col: str =
     def find(text):
         if not tokens:
             tokens.append(Tokens())
-        forms = tokens[0].forms(text)
-        width = min(WIDTH, len(forms[0]))
+        plain, forms = tokens[0].all_forms(text)
+        width = min(WIDTH, len(plain))
         if width >= LEAST_TOKENS:
-            yield from _listed(_hashed(*forms, width), forms, lambda h: np.ones(len(h), bool), width)
+            yield from _listed(_hashed(plain, forms, width), plain, lambda h: np.ones(len(h), bool))
 
     kind = kept.schema["id"].dataType.simpleString()
     return kept.mapInArrow(lean(_rows(kind, find)), f"id {kind}, {_ROW}").withColumnRenamed("id", "item_id")
@@ -193,23 +218,43 @@ def matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col:
     def find(text):
         if not tokens:
             tokens.append(Tokens())
-        forms = tokens[0].forms(text)
+        plain, forms = tokens[0].all_forms(text)
         for width in widths:
-            yield from _listed(_hashed(*forms, width), forms, passes, width)
+            yield from _listed(_hashed(plain, forms, width), plain, passes)
 
     kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = kept.schema["id"].dataType.simpleString()
-    mine = kept.mapInArrow(lean(_rows(kind, find)), f"id {kind}, {_ROW}").select("id", F.col("pos").alias("at"), "h", "width", F.col("slots").alias("own"))
+    mine = kept.mapInArrow(lean(_rows(kind, find)), f"id {kind}, {_ROW}").select("id", F.col("pos").alias("at"), "h", "width", F.col("form").alias("own_form"), F.col("slots").alias("own"))
     joined = mine.join(bench, ["h", "width"]).where(F.size("own") == F.size("slots"))
     pairs = F.arrays_zip(F.col("slots").alias("a"), F.col("own").alias("b"))
-    grouped = joined.groupBy("id", "item_id", (F.col("at") - F.col("pos")).alias("shift")).agg(F.max("n_tokens").alias("n_tokens"), F.max("width").alias("width"), F.sort_array(F.collect_set("pos")).alias("pos"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
-    gaps = F.transform("pos", lambda p, k: F.least(F.col("width"), F.coalesce(F.get("pos", k + 1) - p, F.col("width"))))
+    form = F.greatest("form", "own_form")
+
+    def pairs_of(most: int) -> Column:
+        return F.array_distinct(F.flatten(F.collect_set(F.when(form <= most, pairs))))
+
+    grouped = joined.groupBy("id", "item_id", (F.col("at") - F.col("pos")).alias("shift")).agg(F.max("n_tokens").alias("n_tokens"), F.sort_array(F.collect_set(F.struct("pos", "width", form.alias("form")))).alias("spans"), pairs_of(1).alias("inner"), pairs_of(2).alias("pairs"))
+    opened, inner = _consistent("pairs"), _consistent("inner")
     return grouped.select(
-        F.col("id").alias(id_col), "item_id", "shift", F.aggregate(gaps, F.lit(0), lambda a, x: a + x).alias("covered"), "n_tokens", F.size("pairs").alias("n_slots"),
-        (F.size(F.array_distinct(F.col("pairs.a"))) == F.size("pairs")).alias("consistent"),
+        F.col("id").alias(id_col), "item_id", "shift", F.when(opened, _covered(2)).otherwise(_covered(1)).alias("covered"), "n_tokens",
+        F.when(opened, F.size("pairs")).otherwise(F.size("inner")).alias("n_slots"), inner.alias("consistent"),
     )
 
 
+def _consistent(pairs: str) -> Column:
+    return F.size(F.array_distinct(F.col(f"{pairs}.a"))) == F.size(pairs)
+
+
+def _covered(most: int) -> Column:
+    """Tokens of the item that windows of forms up to `most` cover."""
+    none = F.struct(F.lit(0).alias("covered"), F.lit(0).alias("reach"))
+
+    def add(so_far, x):
+        end = x["pos"] + x["width"]
+        return F.struct((so_far["covered"] + F.greatest(F.lit(0), end - F.greatest(x["pos"], so_far["reach"]))).alias("covered"), F.greatest(end, so_far["reach"]).alias("reach"))
+
+    return F.aggregate(F.filter("spans", lambda x: x["form"] <= most), none, add, lambda x: x["covered"])
+
+
 def leaked() -> Column:
     enough = F.least(F.lit(ENOUGH_TOKENS), F.ceil(F.lit(ENOUGH_SHARE) * F.col("n_tokens")))
     return F.col("consistent") & (F.col("covered") >= enough)

@@ -126,6 +126,21 @@ def test_other_parameters_are_found_and_inconsistent_ones_are_not(spark):
     assert [(r.doc_id, r.item_id) for r in got] == [(1, 9)]
 
 
+def leaks(spark, item, texts):
+    items = spark.createDataFrame([(9, item)], "item_id long, text string")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id for r in decontamination.contaminated(docs, items).collect()}
+
+
+def test_names_that_open_sentences(spark):
+    item = "Alice bought 3 red pens. Bob sold 4 blue cups. Carol lost 5 green hats."
+    texts = [item, "Before that. Dora bought 3 red pens. Emil sold 4 blue cups. Fritz lost 5 green hats.", "Dora took 3 red pens. Emil had 4 blue cups. Fritz ate 5 green hats."]
+    assert leaks(spark, item, texts) == {0, 1}
+    twice = "Alice bought 3 red pens. Bob sold 4 blue cups. Alice lost 5 green hats."
+    new = "Dora bought 3 red pens. Emil sold 4 blue cups. {} lost 5 green hats."
+    assert leaks(spark, twice, [new.format("Dora"), new.format("Fritz")]) == {0}
+
+
 # 2
 
 
