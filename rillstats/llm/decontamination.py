@@ -4,7 +4,9 @@ Texts become tokens without the punctuation around them. In the template form nu
 names (capitalised words inside a sentence) and units (after a number) are typed
 placeholders; in the plain form tokens are only lower-cased. Windows of WIDTH tokens
 of both forms are hashed (an item of fewer tokens is one window). A second template form
-takes capitalised words that open a sentence for names too. A bitmap of the
+takes capitalised words that open a sentence for names too. Where a template window has
+few other tokens it is widened, forwards and backwards, until it has LEAST_PLAIN; an item
+that has fewer is one window as a whole. A bitmap of the
 benchmark's windows, of a size with a fixed bound, is all that is broadcast: windows
 of documents that pass it are joined to the benchmark's by hash, so false passes
 fall out. Matches of one document and item with the same shift make one alignment.
@@ -24,7 +26,7 @@ from .common import WordHashes, lean, mixed, read_table, stored, text_bytes, win
 WIDTH = 8
 #: Tokens of an item; shorter items are not searched for.
 LEAST_TOKENS = 3
-#: Other tokens that a full template window needs.
+#: Other tokens that a template window needs; less only if the item has less.
 LEAST_PLAIN = 5
 #: Covered tokens that always count as a leak, and the share of an item that does.
 ENOUGH_TOKENS, ENOUGH_SHARE = 13, 0.6
@@ -113,18 +115,76 @@ def _before(x) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(x)])
 
 
-def _hashed(plain, forms, width: int):
-    """(positions, lengths, hashes, slots) of the plain windows, then for each template form of the windows with slots and enough other tokens."""
-    n = len(plain) - width + 1
-    if n <= 0:
-        return
-    salt = np.uint64(width)
-    yield np.arange(n), np.full(n, width), mixed(windows(plain, width) + salt), None
+_powers = np.ones((2, 1), np.uint64)
+
+
+def _power(n: int) -> np.ndarray:
+    """Powers 0 to n of an odd number and of its inverse, modulo 2^64."""
+    global _powers
+    if _powers.shape[1] <= n:
+        base = 0x9E3779B97F4A7C15
+        steps = np.full((2, 2 * n + 1), [[base], [pow(base, -1, 1 << 64)]], np.uint64)
+        steps[:, 0] = 1
+        _powers = np.cumprod(steps, axis=1, dtype=np.uint64)
+    return _powers
+
+
+def _widened(slots, at, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the windows at `at` widened to LEAST_PLAIN other tokens: to the
+    right from their start, and to the left from their end. slots: how many before each place."""
+    others = np.arange(len(slots)) - slots
+    place = np.nonzero(np.diff(others))[0]
+    right = at[others[at] + LEAST_PLAIN <= len(place)]
+    left = at[others[at + width] >= LEAST_PLAIN] + width
+    begin = np.concatenate([right, place[others[left] - LEAST_PLAIN]])
+    end = np.concatenate([place[others[right] + LEAST_PLAIN - 1] + 1, left])
+    both = np.unique(begin * len(slots) + end)
+    return both // len(slots), both % len(slots) - both // len(slots)
+
+
+def _template_windows(template, slot, must, widths: list[int], whole: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(positions, lengths, hashes) of windows of `widths` with LEAST_PLAIN tokens that are no
+    slots, of the widened ones, and of windows of the sizes `whole` with any."""
+    slots, musts, n = _before(slot), _before(must), len(template)
+    begins, lengths = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for width in sorted({*widths, *whole}):
+        if width > n:
+            continue
+        others = width - slots[width:] + slots[: n - width + 1]
+        good = (others >= LEAST_PLAIN) & (width == WIDTH)
+        if width in whole:
+            good |= (others > 0) & ((others < LEAST_PLAIN) | (width < WIDTH))
+        at = np.nonzero(good & (musts[width:] > musts[: n - width + 1]))[0]
+        begins.append(at), lengths.append(np.full(len(at), width))
+        if width == WIDTH:
+            weak = np.nonzero(others < LEAST_PLAIN)[0]
+            if len(weak):
+                at, own = _widened(slots, weak, width)
+                ok = musts[at + own] > musts[at]
+                begins.append(at[ok]), lengths.append(own[ok])
+    at, own = np.concatenate(begins), np.concatenate(lengths)
+    up, down = _power(n)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(template * up[:n], dtype=np.uint64)])
+    return at, own, mixed(mixed((sums[at + own] - sums[at]) * down[at]) + own.astype(np.uint64))
+
+
+def _hashed(plain, forms, widths: list[int], whole: list[int] | None = None):
+    """(positions, lengths, hashes, slots) of the plain windows, then of each template form's.
+    `whole` has the lengths of items that are one window; None if this is an item."""
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64))]
+    for width in widths:
+        n = len(plain) - width + 1
+        if n > 0:
+            found.append((np.arange(n), np.full(n, width), mixed(windows(plain, width) + np.uint64(width))))
+    yield *(np.concatenate(x) for x in zip(*found)), None
     for template, slot, must in forms:
         if must.any():
-            slots, musts = _before(slot), _before(must)
-            at = np.nonzero((musts[width:] > musts[:n]) & (width - slots[width:] + slots[:n] >= min(LEAST_PLAIN, width - 1)))[0]
-            yield at, np.full(len(at), width), mixed(mixed(windows(template, width)[at] + salt)), slot
+            own = whole
+            if whole is None:
+                own = [len(plain)] if len(plain) < WIDTH or (~slot).sum() < LEAST_PLAIN else []
+            yield *_template_windows(template, slot, must, widths, own), slot
+        else:
+            yield *found[0], slot
 
 
 #: form is 0 for plain windows, 1 for those of the first template form and 2 for those of the second.
@@ -168,7 +228,7 @@ def benchmark_windows(items: DataFrame, id_col: str = "item_id", text_col: str =
         plain, forms = tokens[0].all_forms(text)
         width = min(WIDTH, len(plain))
         if width >= LEAST_TOKENS:
-            yield from _listed(_hashed(plain, forms, width), plain, lambda h: np.ones(len(h), bool))
+            yield from _listed(_hashed(plain, forms, [width]), plain, lambda h: np.ones(len(h), bool))
 
     kind = kept.schema["id"].dataType.simpleString()
     return kept.mapInArrow(lean(_rows(kind, find)), f"id {kind}, {_ROW}").withColumnRenamed("id", "item_id")
@@ -178,11 +238,12 @@ def _bits(h: np.ndarray, mask: int) -> tuple[np.ndarray, np.ndarray]:
     return h & np.uint64(mask), (h >> np.uint64(32)) & np.uint64(mask)
 
 
-def bitmap(bench: DataFrame) -> tuple[np.ndarray, list[int]]:
-    """The bitmap of the benchmark's windows, at most MOST_BITS / 8 bytes whatever their number, and the widths they have."""
-    widths = {r["width"]: r["n"] for r in bench.groupBy("width").agg(F.count(F.lit(1)).alias("n")).collect()}
+def bitmap(bench: DataFrame) -> tuple[np.ndarray, list[int], list[int]]:
+    """The bitmap of the benchmark's windows, at most MOST_BITS / 8 bytes whatever their number, the widths of its plain
+    windows, and those of template windows that are a whole item."""
+    found = bench.groupBy("width", (F.col("form") == 0).alias("plain"), (F.col("width") == F.col("n_tokens")).alias("whole")).agg(F.count(F.lit(1)).alias("n")).collect()
     size = 1 << 18
-    while size < min(MOST_BITS, 16 * sum(widths.values())):
+    while size < min(MOST_BITS, 16 * sum(r["n"] for r in found)):
         size *= 2
     both = F.array(F.col("h").bitwiseAND(F.lit(size - 1)), F.shiftrightunsigned("h", 32).bitwiseAND(F.lit(size - 1)))
     parts = bench.select(F.explode(both).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map")).collect()
@@ -194,12 +255,12 @@ def bitmap(bench: DataFrame) -> tuple[np.ndarray, list[int]]:
         if r["bucket"] == 0:
             zero = bool(own.any())
             out[-1] |= zero
-    return out, sorted(widths)
+    return out, sorted({r["width"] for r in found if r["plain"]}), sorted({r["width"] for r in found if r["whole"] and not r["plain"]})
 
 
 def matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Alignments: id, item_id, shift, covered, n_tokens, n_slots, consistent."""
-    found, widths = bitmap(bench)
+    found, widths, whole = bitmap(bench)
     mask = 8 * (len(found) - 4096) - 1
     shared = docs.sparkSession.sparkContext.broadcast(found)
     tokens: list = []
@@ -219,8 +280,7 @@ def matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col:
         if not tokens:
             tokens.append(Tokens())
         plain, forms = tokens[0].all_forms(text)
-        for width in widths:
-            yield from _listed(_hashed(plain, forms, width), plain, passes)
+        yield from _listed(_hashed(plain, forms, widths, whole), plain, passes)
 
     kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = kept.schema["id"].dataType.simpleString()

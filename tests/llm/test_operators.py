@@ -141,6 +141,14 @@ def test_names_that_open_sentences(spark):
     assert leaks(spark, twice, [new.format("Dora"), new.format("Fritz")]) == {0}
 
 
+def test_items_of_few_words_and_many_numbers(spark):
+    assert leaks(spark, "What is 12 plus 30?", ["He asked: What is 7 plus 45? Then he left.", "What was 7 plus 45?", "12 30"]) == {0}
+    assert leaks(spark, "A train travels 60 miles in 3 hours", ["Note that. A train travels 85 km in 7 minutes and stops", "A bus travels 85 km in 7 minutes"]) == {0}
+    dense = "Add up 1 2 3 4 5 6 7 8 and take away the 9 10 11 12 13 14 15 16 from it"
+    other = re.sub(r"[0-9]+", lambda m: str(int(m[0]) + 40), dense)
+    assert leaks(spark, dense, [f"So we say: {other} again", other.replace("take", "put").replace("up", "in")]) == {0}
+
+
 # 2
 
 
