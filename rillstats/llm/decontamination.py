@@ -10,8 +10,9 @@ that has fewer is one window as a whole. A bitmap of the
 benchmark's windows, of a size with a fixed bound, is all that is broadcast: windows
 of documents that pass it are joined to the benchmark's by hash, so false passes
 fall out. Matches of one document and item with the same shift make one alignment.
-It counts as a leak if the windows cover enough of the item and each of the item's
-slot values is always replaced by the same value in the document."""
+It counts as a leak if plain windows cover enough of the item, or plain and template
+windows do and each of the item's slot values is always replaced by the same value in
+the document."""
 
 from __future__ import annotations
 
@@ -259,7 +260,8 @@ def bitmap(bench: DataFrame) -> tuple[np.ndarray, list[int], list[int]]:
 
 
 def matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Alignments: id, item_id, shift, covered, n_tokens, n_slots, consistent."""
+    """Alignments: id, item_id, shift, covered (by the plain windows and, as far as slots are
+    replaced consistently, by template windows), n_tokens, n_slots (of those), consistent."""
     found, widths, whole = bitmap(bench)
     mask = 8 * (len(found) - 4096) - 1
     shared = docs.sparkSession.sparkContext.broadcast(found)
@@ -295,8 +297,8 @@ def matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col:
     grouped = joined.groupBy("id", "item_id", (F.col("at") - F.col("pos")).alias("shift")).agg(F.max("n_tokens").alias("n_tokens"), F.sort_array(F.collect_set(F.struct("pos", "width", form.alias("form")))).alias("spans"), pairs_of(1).alias("inner"), pairs_of(2).alias("pairs"))
     opened, inner = _consistent("pairs"), _consistent("inner")
     return grouped.select(
-        F.col("id").alias(id_col), "item_id", "shift", F.when(opened, _covered(2)).otherwise(_covered(1)).alias("covered"), "n_tokens",
-        F.when(opened, F.size("pairs")).otherwise(F.size("inner")).alias("n_slots"), inner.alias("consistent"),
+        F.col("id").alias(id_col), "item_id", "shift", F.when(opened, _covered(2)).when(inner, _covered(1)).otherwise(_covered(0)).alias("covered"), "n_tokens",
+        F.when(opened, F.size("pairs")).when(inner, F.size("inner")).otherwise(F.lit(0)).alias("n_slots"), inner.alias("consistent"),
     )
 
 
@@ -317,7 +319,7 @@ def _covered(most: int) -> Column:
 
 def leaked() -> Column:
     enough = F.least(F.lit(ENOUGH_TOKENS), F.ceil(F.lit(ENOUGH_SHARE) * F.col("n_tokens")))
-    return F.col("consistent") & (F.col("covered") >= enough)
+    return F.col("covered") >= enough
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:

@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import textwrap
 
 import numpy as np
 import pytest
@@ -149,6 +150,12 @@ def test_items_of_few_words_and_many_numbers(spark):
     assert leaks(spark, dense, [f"So we say: {other} again", other.replace("take", "put").replace("up", "in")]) == {0}
 
 
+def test_near_copies_with_one_number_changed(spark):
+    item = "He had 5 coins in the old wooden box under the bed of the small room by the garden door and then he lost 5 coins"
+    far = "We had 6 coins in the old iron box under the bed of a small room by the garden gate and then he lost 7 coins"
+    assert leaks(spark, item, [item, item[:-7] + "7 coins", far]) == {0, 1}
+
+
 # 2
 
 
@@ -456,3 +463,12 @@ def test_blocks_by_brute_force():
     for label, words in license_scan.template_words():
         need = license_scan.needed(len(words))
         assert need / len(words) >= license_scan.CONTAINMENT - 1e-9 > (need - 1) / len(words)
+
+
+def test_notices_over_many_lines(spark):
+    gpl = license_scan.TEMPLATES[3][1]
+    texts = ["x y z\n" + sep.join(textwrap.wrap(gpl, n)) + "\nend" for n, sep in ((40, "\n"), (60, "\n\n"), (12, "\n # \n"))]
+    texts += ["\n".join(gpl.replace("general", "").split()[:18]), "\n".join(w + " other words here" for w in gpl.replace("general", "").split())]
+    docs = spark.createDataFrame(list(enumerate(t.replace("general public license", "general p license") for t in texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score > 0) for r in license_scan.labelled(docs).collect()}
+    assert got == {0: ("gpl", True), 1: ("gpl", True), 2: ("gpl", True), 3: ("", False), 4: ("", False)}
