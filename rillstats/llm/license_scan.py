@@ -1,6 +1,7 @@
 """License scans: phrases, and an exact set-similarity join with license templates.
 
-Blocks are BLOCK_LINES consecutive lines. A block matches a template if it holds
+Blocks are BLOCK_LINES consecutive lines and, so that a notice may be spread over any
+number of lines, stretches of SPREAD times as many words as the template. A block matches a template if it holds
 CONTAINMENT of the template's different words. The templates' words are put in order
 of their frequency in all documents, rarest first. A block that matches has one of
 the template's first (size - needed + 1) words (prefix filter) and at least `needed`
@@ -19,6 +20,8 @@ from .quality_rules import let
 
 CONTAINMENT = 0.8
 BLOCK_LINES = 3
+#: Words of a stretch for each word of the template.
+SPREAD = 2
 #: A character that is in no word, of lower-cased text; and of any text.
 BREAK_CLASS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 _WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -96,6 +99,16 @@ def _best(blocks: Column, ordered: list[str], need: int) -> Column:
     return F.coalesce(most, F.lit(0)) / F.lit(float(len(ordered)))
 
 
+def _best_stretch(words: Column, common: Column, ordered: list[str], need: int, length: int) -> Column:
+    """The largest containment of the template in `length` consecutive words, 0 below the
+    threshold. `common` has the text's template words: too few of them and nothing is searched.
+    The best stretch can be taken to start at one of the template's words."""
+    whole = F.array(*map(F.lit, ordered))
+    shared = F.transform(words, lambda w, k: F.when(F.array_contains(whole, w), F.size(F.array_intersect(F.slice(words, k + 1, length), whole))).otherwise(F.lit(0)))
+    most = F.when(F.size(F.array_intersect(common, whole)) >= need, F.array_max(shared)).otherwise(F.lit(0))
+    return F.when(most >= need, most).otherwise(F.lit(0)) / F.lit(float(len(ordered)))
+
+
 def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
     """One row per input row: id, n_words, n_base, first_word, last_word, base_labels,
     labels, score (1 with a base phrase, else the largest containment found, else 0).
@@ -117,7 +130,14 @@ def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", te
 
     def contained(lines: Column) -> Column:
         blocks = F.transform(lines, lambda _, k: F.array_distinct(F.flatten(F.slice(lines, k + 1, BLOCK_LINES))))
-        return let(blocks, lambda b: F.array(*(_best(b, ws, needed(len(ws), containment)) for _, ws in ordered)))
+        lengths = [SPREAD * len(t.split()) for _, t in templates]
+        every = F.array(*map(F.lit, sorted({w for _, ws in ordered for w in ws})))
+
+        def stretches(words: Column) -> Column:
+            return let(F.array_intersect(words, every), lambda c: F.array(*(_best_stretch(words, c, ws, needed(len(ws), containment), n) for (_, ws), n in zip(ordered, lengths))))
+
+        by_lines = let(blocks, lambda b: F.array(*(_best(b, ws, needed(len(ws), containment)) for _, ws in ordered)))
+        return F.zip_with(by_lines, let(F.flatten(lines), stretches), lambda a, b: F.greatest(a, b))
 
     lines = F.transform(F.split(lowered, "\n"), split_words)
     near = F.when(F.col("_near"), let(lines, contained)).otherwise(F.array(*[F.lit(0.0)] * len(ordered)))
