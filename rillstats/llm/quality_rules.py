@@ -130,8 +130,8 @@ OP4_SQL = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, list_filter(string_split_regex(t, '{SPACE_CLASS}+'), lambda x: x <> '') AS ws,
              list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
-p AS (SELECT doc_id, unnest(range(1, len(ws) - 1)) AS k, ws FROM w WHERE len(ws) >= 3),
-g AS (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, ws[k], ws[k + 1], ws[k + 2]) AS c FROM p),
+p AS (SELECT doc_id, unnest(list_zip(ws, ws[2:], ws[3:], range(1, len(ws) + 1))) AS x FROM w WHERE len(ws) >= 3),
+g AS (SELECT doc_id, x[4] AS k, count(*) OVER (PARTITION BY doc_id, x[1], x[2], x[3]) AS c FROM p WHERE x[3] IS NOT NULL),
 r AS (SELECT doc_id, count(DISTINCT k + j) AS n FROM g, (SELECT unnest(range(0, 3)) AS j) WHERE c >= 2 GROUP BY doc_id),
 s AS (SELECT w.doc_id, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS word_chars,
              length(t) - length(regexp_replace(t, '{SYMBOL_CLASS}', '', 'g')) AS n_symbols, length(t) - length(replace(t, '!', '')) AS n_excl,
