@@ -82,6 +82,13 @@ def small_side(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def hash_share(share: float) -> int:
+    """The largest 64-bit hash of those that make up a share of all: a share of any size
+    has its own bound, however small."""
+    low = -(1 << 63)
+    return max(low, low + int(min(share, 1.0) * (1 << 64)) - 1)
+
+
 def lower_ascii(column):
     """Lower-case A-Z and nothing else."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -1,12 +1,16 @@
 """Language identification by prediction by partial matching.
 
-For each language a tree of byte contexts of up to two bytes is counted on a
-bounded sample of labelled texts. In a context seen n times with d different next
-bytes, a byte seen c times has probability c / (n + d) and the escape to the next
-shorter context d / (n + d); the shorter context leaves out the bytes that the
-longer one had. The statistics are then frozen, so the code length of each
-(context, byte) is a constant: the trees are compiled into one table, and a text's
-exact code length in each language is a sum of table entries."""
+For each language a tree of byte contexts of up to DEPTH bytes is counted on a bounded
+sample of labelled texts and frozen. A context node of a tree, seen n times with d different
+next bytes, gives a byte seen c times c / (n + d) and the escape to the next shorter
+context d / (n + d) (method C); the shorter context leaves out the bytes that the longer one
+had, and below the empty context all bytes left are alike. The order is variable: coding
+starts at the longest context that the tree holds. Trees are sparse: of each language the
+EDGES most frequent (context, byte) edges stay, and since an edge's shorter forms are at
+least as frequent, what stays is a tree again, whose code lengths are exact.
+
+Trees are sorted arrays. A text's code length is a sum over its (context, byte) windows;
+the different windows of some texts are looked up together, once for each language."""
 
 from __future__ import annotations
 
@@ -16,22 +20,24 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean, read_table, text_bytes
+from .common import discard, hash_share, lean, read_table, stored, text_bytes
 
 #: Labelled texts per language, about, that the statistics are learnt from.
 SAMPLE_DOCS = 4_000
-#: Most symbols: rarer bytes share symbol 0.
-MOST_SYMBOLS = 112
-#: Most languages; more raise an error.
-MOST_LANGUAGES = 64
+#: Bytes of the longest context.
+DEPTH = 5
+#: Size of the trees: edges of a language, and of all languages, which share them alike.
+EDGES, ALL_EDGES = 100_000, 4_000_000
 #: Code lengths are kept as whole numbers of this part of a bit, so sums don't depend on their order.
 PARTS_OF_BIT = 4096
 #: A text counts as rejected below this score or above these bits a byte.
-LEAST_SCORE, MOST_BITS = 0.5, 7.0
+LEAST_SCORE, MOST_BITS = 0.5, 8.0
 UNKNOWN = "und"
+#: Bytes coded at a time.
+CHUNK = 1 << 20
 _LETTER = re.compile(r"[^\W\d_]")
 #: Bytes before a text's first.
-_LEAD = b"\n\n"
+_LEAD = b"\n" * DEPTH
 
 
 def prepared(raw: bytes) -> bytes:
@@ -42,93 +48,175 @@ def has_letter(raw: bytes) -> bool:
     return bool(_LETTER.search(raw.decode("utf-8", "replace")))
 
 
-def trigram_codes(raw: bytes) -> np.ndarray:
-    a = np.frombuffer(_LEAD + raw, np.uint8).astype(np.int64)
-    return (a[:-2] << 16) | (a[1:-1] << 8) | a[2:]
+def window_codes(raw: bytes) -> np.ndarray:
+    """For each byte behind the first DEPTH its window: the context, its latest byte first, then the byte."""
+    a = np.frombuffer(raw, np.uint8).astype(np.int64)
+    n = max(len(a) - DEPTH, 0)
+    out = a[DEPTH:].copy()
+    for k in range(DEPTH):
+        out |= a[k : k + n] << (8 * (k + 1))
+    return out
 
 
-def compiled(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> dict:
-    """Frozen code lengths from each language's (trigram codes, counts)."""
+def _at_order(codes: np.ndarray, k: int) -> np.ndarray:
+    """The edges (context of k bytes, byte) of windows."""
+    return ((codes >> (8 * (DEPTH - k + 1))) << 8) | (codes & 255)
+
+
+def counted(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Different windows of whole texts, and how often each stands there."""
+    return np.unique(np.concatenate([np.empty(0, np.int64), *(window_codes(_LEAD + t) for t in texts)]), return_counts=True)
+
+
+class Tree:
+    """One language's frozen statistics. edges: for each order from 0 on the sorted edges and their counts."""
+
+    def __init__(self, edges: list[tuple[np.ndarray, np.ndarray]]):
+        self.orders = []
+        before = None
+        for keys, n in edges:
+            n = n.astype(float)
+            nodes, first = np.unique(keys >> 8, return_index=True)
+            total = np.add.reduceat(n, first) if len(first) else n
+            kinds = np.diff(np.append(first, len(keys))).astype(float)
+            level = {"edges": keys, "log_n": np.log2(n), "n": n, "nodes": nodes, "total": total, "kinds": kinds}
+            escapes = np.where(kinds < 256, kinds, 0.0)
+            level["whole"] = np.log2(total + escapes)  # coding starts here
+            level["escape"] = level["whole"] - _log2(escapes)
+            if before is not None:
+                # what is left of the next shorter context without the bytes of this one
+                up = np.searchsorted(before["nodes"], nodes >> 8)
+                had = before["n"][np.searchsorted(before["edges"], ((keys >> 16) << 8) | (keys & 255))]
+                rest = before["total"][up] - (np.add.reduceat(had, first) if len(first) else had)
+                more = np.where(before["kinds"][up] < 256, before["kinds"][up] - kinds, 0.0)
+                level["left"] = _log2(rest + more)
+                level["left_escape"] = np.where(more > 0, level["left"] - _log2(more), 0.0)
+            self.orders.append(level)
+            before = level
+        known = self.orders[0]["kinds"][0] if len(self.orders[0]["nodes"]) else 0.0
+        self.other = float(np.log2(max(256 - known, 1)))
+
+    def costs(self, codes: np.ndarray) -> np.ndarray:
+        """Bits of the last byte of each window."""
+        out = np.zeros(len(codes))
+        open_, came = np.arange(len(codes)), np.full(len(codes), -1)
+        for k in range(len(self.orders) - 1, -1, -1):
+            level = self.orders[k]
+            if not len(open_) or not len(level["nodes"]):
+                continue
+            edge = _at_order(codes[open_], k)
+            node = np.minimum(np.searchsorted(level["nodes"], edge >> 8), len(level["nodes"]) - 1)
+            here = level["nodes"][node] == edge >> 8
+            at, own, edge = open_[here], node[here], edge[here]
+            place = np.minimum(np.searchsorted(level["edges"], edge), len(level["edges"]) - 1)
+            found = level["edges"][place] == edge
+            whole, escape = level["whole"][own], level["escape"][own]
+            if k + 1 < len(self.orders) and len(self.orders[k + 1]["nodes"]):
+                longer = self.orders[k + 1]
+                from_ = came[at]
+                whole = np.where(from_ >= 0, longer["left"][from_], whole)
+                escape = np.where(from_ >= 0, longer["left_escape"][from_], escape)
+            out[at] += np.where(found, whole - level["log_n"][place], escape)
+            came[at] = own
+            done = np.zeros(len(open_), bool)
+            done[np.nonzero(here)[0][found]] = True
+            open_ = open_[~done]
+        out[open_] += self.other
+        return out
+
+
+def _log2(x: np.ndarray) -> np.ndarray:
+    return np.log2(np.where(x > 0, x, 1.0))
+
+
+def trees(counts: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]) -> dict:
+    """A model from each language's (order, edge, count)."""
     langs = sorted(counts)
-    total = np.zeros(256)
-    for codes, n in counts.values():
-        np.add.at(total, codes & 255, n)
-    order = [b for b in np.argsort(-total, kind="stable") if total[b] > 0][: MOST_SYMBOLS - 1]
-    symbol = np.zeros(256, np.int64)
-    for k, b in enumerate(sorted(order), 1):
-        symbol[b] = k
-    size = len(order) + 1
-    shared = 257 - size  # bytes that symbol 0 stands for
-    table = np.zeros((size, size, size, len(langs)), np.int32)
-    for k, lang in enumerate(langs):
-        codes, n = counts[lang]
-        c3 = np.zeros((size, size, size))
-        np.add.at(c3, (symbol[codes >> 16], symbol[(codes >> 8) & 255], symbol[codes & 255]), n)
-        p = np.full(size, 1.0)
-        p[0] = shared
-        p /= p.sum()
-        for c in (c3.sum((0, 1)), c3.sum(0), c3):
-            p = _blend(c, np.broadcast_to(p, c.shape))
-        p = p.copy()
-        p[..., 0] /= shared
-        table[..., k] = np.round(-np.log2(np.maximum(p, 2.0**-40)) * PARTS_OF_BIT)
-    return {"langs": langs, "symbol": symbol, "size": size, "table": table.reshape(size**3, len(langs))}
-
-
-def _blend(c: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-    """Probabilities in contexts with counts c[..., byte] where the shorter contexts' are given."""
-    n, d = c.sum(-1, keepdims=True), (c > 0).sum(-1, keepdims=True)
-    rest = np.where(c > 0, 0, shorter)
-    left = rest.sum(-1, keepdims=True)
-    full = left <= 0  # nothing to escape to
-    escape = np.where(full, 0, d / np.maximum(n + d, 1))
-    seen = np.where(c > 0, c / np.maximum(np.where(full, n, n + d), 1), 0)
-    return np.where(n > 0, seen + escape * rest / np.where(full, 1, left), shorter)
-
-
-def learnt(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> dict:
-    """Statistics from rows with a language. Of a language with more than
-    sample_docs rows, about that many are taken, by a hash of the id."""
+    made = []
+    for lang in langs:
+        order, edge, n = counts[lang]
+        by = [(edge[order == k], n[order == k]) for k in range(DEPTH + 1)]
+        made.append(Tree([(e[i], c[i]) for e, c in by for i in [np.argsort(e, kind="stable")]]))
+    return {"langs": langs, "trees": made}
+
+
+def edges_of(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, edge, count) of windows."""
+    parts = []
+    for k in range(DEPTH + 1):
+        edge, at = np.unique(_at_order(codes, k), return_inverse=True)
+        parts.append((np.full(len(edge), k), edge, np.bincount(at, weights=n, minlength=len(edge)).astype(np.int64)))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def learnt(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", sample_docs: int = SAMPLE_DOCS, edges: int = EDGES) -> dict:
+    """Statistics from rows with a language. Of a language with more than sample_docs rows
+    about that many are taken, by a hash of the id; their texts are read whole. Edges are
+    counted in Spark; the driver gets those that stay: the most frequent, ties all or none,
+    and those of the empty context."""
+    spark = docs.sparkSession
     known = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null")
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").limit(MOST_LANGUAGES + 1).collect()}
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
-        return compiled({})
-    part = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("language sample")), F.lit(1_000_000))
-    pick = None
-    for lang, n in sizes.items():
-        mine = (F.col("lang") == lang) & (part < int(min(1, sample_docs / n) * 1_000_000))
-        pick = mine if pick is None else pick | mine
+        return trees({})
+    langs = sorted(sizes)
+    shares = spark.createDataFrame([(lang, k, hash_share(sample_docs / sizes[lang])) for k, lang in enumerate(langs)], "lang string, k int, bound long")
+    few = known.join(F.broadcast(shares), "lang").where(F.xxhash64(F.col("id").cast("string"), F.lit("language sample")) <= F.col("bound")).select("k", "text")
 
     def count(batches):
         import pyarrow as pa
 
-        sums: dict = {}
         for batch in batches:
-            for lang, raw in zip(batch.column("lang").to_pylist(), text_bytes(batch)):
-                codes, n = np.unique(trigram_codes(prepared(raw)), return_counts=True)
-                s = sums.setdefault(lang, {})
-                for a, b in zip(codes.tolist(), n.tolist()):
-                    s[a] = s.get(a, 0) + b
-        for lang, s in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(s)), pa.array(s.keys(), pa.int64()), pa.array(s.values(), pa.int64())], ["lang", "code", "n"])
-
-    rows = known.where(pick).mapInArrow(lean(count), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
-    got = {lang: (g["code"].to_numpy(np.int64), g["n"].to_numpy(np.float64)) for lang, g in rows.groupby("lang")}
-    empty = (np.empty(0, np.int64), np.empty(0))
-    return compiled({lang: got.get(lang, empty) for lang in sizes})
+            own: dict[int, list[bytes]] = {}
+            for k, raw in zip(batch.column("k").to_pylist(), text_bytes(batch)):
+                own.setdefault(k, []).append(prepared(raw))
+            for k, texts in own.items():
+                order, edge, n = edges_of(*counted(texts))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(edge), k), pa.int32()), pa.array(order, pa.int32()), pa.array(edge, pa.int64()), pa.array(n, pa.int64())], ["k", "order", "edge", "n"])
+
+    sums = stored(few.mapInArrow(lean(count), "k int, order int, edge long, n long").groupBy("k", "order", "edge").agg(F.sum("n").alias("n")), "language-edges")
+    most = max(256, min(edges, ALL_EDGES // len(langs)))
+    left, least = dict.fromkeys(range(len(langs)), most), dict.fromkeys(range(len(langs)), 1)
+    for r in sums.where("order > 0").groupBy("k", "n").agg(F.count(F.lit(1)).alias("c")).orderBy("k", F.desc("n")).collect():
+        left[r["k"]] -= r["c"]
+        if left[r["k"]] < 0:
+            least[r["k"]] = max(least[r["k"]], r["n"] + 1)
+    bounds = F.broadcast(spark.createDataFrame(list(least.items()), "k int, least long"))
+    rows = sums.join(bounds, "k").where("order = 0 or n >= least").select("k", "order", "edge", "n").toPandas()
+    discard(sums)
+    columns = {k: tuple(g[c].to_numpy(np.int64) for c in ("order", "edge", "n")) for k, g in rows.groupby("k")}
+    empty = (np.empty(0, np.int64),) * 3
+    return trees({lang: columns.get(k, empty) for k, lang in enumerate(langs)})
 
 
 def code_lengths(model: dict, texts: list[bytes]) -> np.ndarray:
     """Parts of a bit for each (text, language)."""
     out = np.zeros((len(texts), len(model["langs"])), np.int64)
-    size, table, symbol = model["size"], model["table"], model["symbol"]
+    parts, owner, size = [], [], 0
+
+    def code():
+        sizes = np.array([len(p) - DEPTH for p in parts])
+        inside = np.ones(int(sizes.sum()) + DEPTH * (len(parts) - 1), bool)
+        for end in (np.cumsum(sizes + DEPTH) - DEPTH)[:-1]:
+            inside[end : end + DEPTH] = False  # windows that reach into the next part
+        codes, at = np.unique(window_codes(b"".join(parts))[inside], return_inverse=True)
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        for k, tree in enumerate(model["trees"]):
+            costs = np.round(tree.costs(codes) * PARTS_OF_BIT).astype(np.int64)
+            np.add.at(out[:, k], owner, np.add.reduceat(costs[at], starts))
+
     for k, raw in enumerate(texts):
-        for at in range(0, len(raw), 1 << 20):
-            lead = _LEAD if at == 0 else raw[at - 2 : at]
-            s = symbol[np.frombuffer(lead + raw[at : at + (1 << 20)], np.uint8)]
-            out[k] += table[(s[:-2] * size + s[1:-1]) * size + s[2:]].sum(0, dtype=np.int64)
+        for start in range(0, len(raw), CHUNK):
+            lead = _LEAD if start == 0 else raw[start - DEPTH : start]
+            parts.append(lead + raw[start : start + CHUNK])
+            owner.append(k)
+            size += len(parts[-1])
+            if size >= CHUNK:
+                code()
+                parts.clear(), owner.clear()
+                size = 0
+    if parts:
+        code()
     return out
 
 
@@ -160,7 +248,7 @@ def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
     an empty table gives an empty result; very long texts are coded a megabyte at a
     time, whole."""
     kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 112^3 entries a language
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # ALL_EDGES edges at most, 256 a language at least
 
     def run(batches):
         import pyarrow as pa

@@ -325,13 +325,76 @@ def test_memory_of_parts_is_bounded(monkeypatch):
 # 6
 
 
-def test_code_lengths_are_of_probabilities():
-    texts = {"en": b"the cat and the hat", "de": "der hütte und das".encode()}
-    counts = {k: np.unique(language_id.trigram_codes(v), return_counts=True) for k, v in texts.items()}
-    m = language_id.compiled({k: (a, n.astype(float)) for k, (a, n) in counts.items()})
-    p = 2.0 ** (-m["table"].reshape(m["size"], m["size"], m["size"], 2) / language_id.PARTS_OF_BIT)
-    whole = p[..., 1:, :].sum(2) + p[..., 0, :] * (257 - m["size"])
-    assert np.allclose(whole, 1, atol=2e-3)
+def brute_bits(learnt, least, text):
+    """Code length by walking the contexts of one byte after the other. learnt: texts; least: of the count of edges that stay."""
+    depth = language_id.DEPTH
+    edges = collections.Counter()
+    for t in learnt:
+        t = b"\n" * depth + t
+        edges.update((t[i - k : i], t[i]) for i in range(depth, len(t)) for k in range(depth + 1))
+    nodes = collections.defaultdict(dict)
+    for (context, byte), n in edges.items():
+        if not context or n >= least:
+            nodes[context][byte] = n
+
+    def p(context, byte):
+        excluded, out = set(), 1.0
+        for k in range(depth + 1):
+            own = {b: n for b, n in nodes.get(context[k:], {}).items() if b not in excluded}
+            if context[k:] not in nodes:
+                continue
+            escape = len(own) if len(nodes[context[k:]]) < 256 else 0
+            if byte in own:
+                return out * own[byte] / (sum(own.values()) + escape)
+            if own:
+                out *= escape / (sum(own.values()) + escape)
+            excluded |= set(own)
+        return out / (256 - len(excluded))
+
+    data = b"\n" * depth + text
+    return p, -sum(np.log2(p(data[i - depth : i], data[i])) for i in range(depth, len(data)))
+
+
+@pytest.mark.parametrize("least", [1, 2, 4])
+def test_code_lengths_by_brute_force(least):
+    learnt = {"en": [b"the cat and the hat and the rat sat on the mat", b"that that is is that that is not is not"], "de": ["der hütte und das mütter und der vätter".encode()] * 3}
+    counts = {}
+    for lang, texts in learnt.items():
+        order, edge, n = language_id.edges_of(*language_id.counted(texts))
+        stays = (order == 0) | (n >= least)
+        counts[lang] = (order[stays], edge[stays], n[stays])
+    model = language_id.trees(counts)
+    texts = [b"the hat that the cat sat on", "und der hütte \x00 ÿ".encode(), b"", b"\n\n", bytes(range(256)), b"is not " * 40]
+    got = language_id.code_lengths(model, texts) / language_id.PARTS_OF_BIT
+    for k, lang in enumerate(model["langs"]):
+        for t, bits in zip(texts, got[:, k]):
+            p, want = brute_bits(learnt[lang], least, t)
+            assert bits == pytest.approx(want, abs=0.01 + len(t) / language_id.PARTS_OF_BIT), (lang, t)
+        for context in (b"\n" * 5, b"d the", "hütt".encode(), b"zzzzz"):
+            assert sum(p(context, b) for b in range(256)) == pytest.approx(1)
+
+
+def test_long_texts_are_coded_whole(monkeypatch):
+    model = language_id.trees({"en": language_id.edges_of(*language_id.counted([b"some words of a text, and then some more words"] * 4))})
+    texts = [b"a text of words " * 50, b"x", b"", b"more " * 99]
+    whole = language_id.code_lengths(model, texts)
+    monkeypatch.setattr(language_id, "CHUNK", 37)
+    assert (language_id.code_lengths(model, texts) == whole).all()
+
+
+def test_trees_stay_within_their_size(spark):
+    docs = spark.createDataFrame([(k, prose(k, 200), f"l{k % 3}") for k in range(30)], "doc_id long, text string, lang string")
+    model = language_id.learnt(docs, edges=300)
+    assert model["langs"] == ["l0", "l1", "l2"]
+    assert all(0 < sum(len(o["edges"]) for o in t.orders[1:]) <= 300 and len(t.orders[3]["edges"]) for t in model["trees"])
+    assert len(language_id.learnt(docs.selectExpr("doc_id", "text", "concat('x', doc_id) lang"))["langs"]) == 30
+
+
+def test_a_share_of_any_size_has_a_bound():
+    from rillstats.llm.common import hash_share
+
+    assert hash_share(1) == hash_share(7) == 2**63 - 1 and hash_share(0.5) == -1 and hash_share(0) == -(2**63)
+    assert hash_share(4000 / 10**12) > -(2**63) + 10**9
 
 
 def test_languages_held_out(spark, data):
