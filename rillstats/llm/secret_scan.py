@@ -4,16 +4,20 @@ A candidate is a run of 20 or more characters of `[A-Za-z0-9+/_=-]`. Its encodin
 smallest alphabet that holds it. A run that no alphabet holds is split behind `=`, and
 what still has separators of both base64 alphabets is split at those of either; the parts
 of 20 or more characters are candidates. Three tests ask whether it could
-be random in that encoding: chi-squared uniformity over the alphabet, runs about the
-alphabet's middle, and lag-one serial correlation; Fisher's method joins their
-p-values, and a candidate must not be rejected at level RANDOM_LEVEL. Against the
+be random in that encoding: chi-squared uniformity over the alphabet (exact up to
+EXACT_CHARS characters), runs about the alphabet's middle (exact as well), and serial
+correlation at lags 1 to LAGS; Fisher's method joins their p-values, and a candidate must
+not be rejected at level RANDOM_LEVEL. Against the
 null that it is ordinary text, the ratio of its probability under a frozen model of
 text to that under uniform characters is a p-value (by Markov's inequality) that
 shrinks with length. The Benjamini-Hochberg rule with weights in proportion to
-length holds a document's false discoveries at DISCOVERY_RATE."""
+length holds a document's false discoveries at DISCOVERY_RATE. Candidates of one encoding
+and length are tested together, so a text of many tokens takes linear time."""
 
 from __future__ import annotations
 
+import bisect
+import functools
 import hashlib
 import math
 import re
@@ -38,96 +42,179 @@ _CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{%d,}" % LEAST_CHARS)
 _PADDED = re.compile(rb"[^=]+=*")
 _PARTS = (re.compile(rb"[A-Za-z0-9+/]+=*"), re.compile(rb"[A-Za-z0-9_-]+=*"))
 
-_LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+#: Characters up to which chi-squared and runs are exact; beyond, there are more than one for each letter.
+EXACT_CHARS = 64
+LAGS = 4
+
+_LOWER, _UPPER, _DIGITS = b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789"
 #: Alphabets from the smallest on; `=` at the end is padding and left out.
 ENCODINGS = (
-    ("decimal", _DIGITS), ("hex", _DIGITS + "abcdef"), ("HEX", _DIGITS + "ABCDEF"), ("base32", _UPPER + "234567"), ("upper36", _DIGITS + _UPPER),
-    ("lower36", _DIGITS + _LOWER), ("alnum62", _DIGITS + _UPPER + _LOWER), ("base64", _UPPER + _LOWER + _DIGITS + "+/"), ("base64url", _UPPER + _LOWER + _DIGITS + "-_"),
+    ("decimal", _DIGITS), ("hex", _DIGITS + b"abcdef"), ("HEX", _DIGITS + b"ABCDEF"), ("base32", _UPPER + b"234567"), ("upper36", _DIGITS + _UPPER),
+    ("lower36", _DIGITS + _LOWER), ("alnum62", _DIGITS + _UPPER + _LOWER), ("base64", _UPPER + _LOWER + _DIGITS + b"+/"), ("base64url", _UPPER + _LOWER + _DIGITS + b"-_"),
 )
 
 
-def _normal_tail(z: float) -> float:
-    return 0.5 * math.erfc(z / math.sqrt(2))
-
-
-def encoding_of(token: str) -> tuple[str, str] | None:
-    body = set(token.rstrip("="))
-    return next(((name, letters) for name, letters in ENCODINGS if body and body <= set(letters)), None)
+def encoding_of(token: bytes) -> tuple[str, bytes] | None:
+    body = token.rstrip(b"=")
+    return next(((name, letters) for name, letters in ENCODINGS if body and not body.translate(None, letters)), None)
+
+
+def _normal_tail(z: np.ndarray) -> np.ndarray:
+    return np.array([0.5 * math.erfc(x / math.sqrt(2)) for x in np.ravel(z)])
+
+
+@functools.cache
+def sum_squares(wanted: tuple[int, ...] = (16, 32, 36, 62, 64), most: int = EXACT_CHARS, cap: int = 720) -> dict[int, np.ndarray]:
+    """For each number of cells P(n, s): the chance that n characters dealt out evenly to the
+    cells have the sum of squared counts s; sums of `cap` and more are at `cap`. A cell is added at a time:
+    of n characters in j + 1 cells the last one has c with a binomial chance."""
+    n = np.arange(most + 1)
+    p = np.zeros((most + 1, cap + 1))
+    p[n, np.minimum(n * n, cap)] = 1.0  # one cell
+    out = {}
+    for j in range(1, max(wanted) + 1):
+        if j in wanted:
+            out[j] = p
+        new = np.zeros_like(p)
+        for c in range(most + 1):
+            chance = np.array([math.comb(k, c) * (1 / (j + 1)) ** c * (j / (j + 1)) ** (k - c) for k in range(c, most + 1)])
+            if chance.max() < 1e-18:
+                break
+            own, step = p[: most + 1 - c] * chance[:, None], min(c * c, cap)
+            new[c:, step:] += own[:, : cap + 1 - step]
+            new[c:, cap] += own[:, cap + 1 - step :].sum(1)
+        p = new
+    return out
 
 
-def randomness(token: str, letters: str) -> float:
-    """Fisher's p-value of the three tests under uniform, independent characters."""
-    size, body = len(letters), token.rstrip("=")
-    x = np.array([letters.index(c) for c in body], float)
-    n = len(x)
-    if n < 2:
-        return 0.0
-    chi = ((np.bincount(x.astype(int), minlength=size) - n / size) ** 2).sum() * size / n
-    ps = [_normal_tail((chi - (size - 1)) / math.sqrt(2 * (size - 1) * (1 - 1 / n)))]
-    high = x >= size / 2
-    a, b = int(high.sum()), n - int(high.sum())
-    if a and b:
-        runs = 1 + int((high[1:] != high[:-1]).sum())
-        mean, var = 2 * a * b / n + 1, 2 * a * b * (2 * a * b - n) / (n * n * (n - 1))
-        ps.append(2 * _normal_tail(abs(runs - mean) / math.sqrt(var)) if var > 0 else 1.0)
+@functools.cache
+def _chi_tails(cells: int, n: int) -> np.ndarray:
+    p = sum_squares()[cells][n]
+    up, down = np.cumsum(p[::-1])[::-1], np.cumsum(p)
+    return np.clip(2 * np.minimum(up, down), 0, 1)
+
+
+def _chi_p(x: np.ndarray, cells: int) -> np.ndarray:
+    """Two-sided p-values of the sum of squared counts of each row."""
+    m, n = x.shape
+    counts = np.bincount((np.arange(m)[:, None] * cells + x).ravel(), minlength=m * cells).reshape(m, cells)
+    squares = (counts.astype(np.int64) ** 2).sum(1)
+    if n <= EXACT_CHARS:
+        tails = _chi_tails(cells, n)
+        return tails[np.minimum(squares, len(tails) - 1)]
+    shape = (cells - 1) / (2 * (1 - 1 / n))  # a gamma value with the same mean and variance, by its cube root
+    chi = squares * cells / n - n
+    z = (np.cbrt(chi / (cells - 1)) - 1 + 1 / (9 * shape)) * math.sqrt(9 * shape)
+    return np.minimum(1, 2 * _normal_tail(np.abs(z)))
+
+
+@functools.cache
+def _runs_tails(a: int, b: int) -> list[float]:
+    """Two-sided p-values by the number of runs of a high and b low characters."""
+    whole, p = math.comb(a + b, a), [0.0] * (a + b + 2)
+    for r in range(2, a + b + 1):
+        h = r // 2
+        ways = 2 * math.comb(a - 1, h - 1) * math.comb(b - 1, h - 1) if r % 2 == 0 else math.comb(a - 1, h) * math.comb(b - 1, h - 1) + math.comb(a - 1, h - 1) * math.comb(b - 1, h)
+        p[r] = ways / whole
+    return [min(1.0, 2 * min(sum(p[r:]), sum(p[: r + 1]))) for r in range(len(p))]
+
+
+def _runs_p(x: np.ndarray, cells: int) -> np.ndarray:
+    n, high = x.shape[1], x >= cells / 2
+    a, runs = high.sum(1), 1 + (high[:, 1:] != high[:, :-1]).sum(1)
+    out = np.full(len(x), 2.0 ** (1 - n))
+    both = np.nonzero((a > 0) & (a < n))[0]
+    if n <= EXACT_CHARS:
+        out[both] = [_runs_tails(int(a[k]), n - int(a[k]))[runs[k]] for k in both]
     else:
-        ps.append(2.0 ** (1 - n))
-    y = x - x.mean()
-    ps.append(2 * _normal_tail(abs((y[1:] * y[:-1]).sum() / (y * y).sum()) * math.sqrt(n)) if (y * y).sum() > 0 else 0.0)
-    t = -sum(math.log(max(p, 1e-300)) for p in ps)  # half of a chi-squared value with 6 degrees of freedom
-    return math.exp(-t) * (1 + t + t * t / 2)
-
-
-#: A frozen model of ordinary tokens: kinds of character and how they follow each other.
-_STAY, _VOWELS = 0.85, "aeiouAEIOU"
-
-
-def _kind(c: str) -> int:
-    return 0 if c in _LOWER else 1 if c in _UPPER else 2 if c in _DIGITS else 3
+        u, v = a[both].astype(float), n - a[both].astype(float)
+        mean, var = 2 * u * v / n + 1, 2 * u * v * (2 * u * v - n) / (n * n * (n - 1.0))
+        z = np.where(var > 0, np.abs(runs[both] - mean) / np.sqrt(np.maximum(var, 1e-9)), 0.0)
+        out[both] = np.minimum(1, 2 * _normal_tail(z))
+    return out
 
 
-def _in_kind(c: str) -> float:
-    k = _kind(c)
-    return (0.4 / 5 if c in _VOWELS else 0.6 / 21) if k < 2 else 0.1 if k == 2 else 0.2
+def _serial_p(x: np.ndarray) -> np.ndarray:
+    """The least p-value of the lags' correlations, times their number. Mean as in permutations."""
+    m, n = x.shape
+    y = x - x.mean(1, keepdims=True)
+    spread = (y * y).sum(1)
+    out = np.ones(m)
+    for lag in range(1, min(LAGS, n - 2) + 1):
+        r = (y[:, lag:] * y[:, :-lag]).sum(1) / np.where(spread > 0, spread, 1)
+        z = np.abs(r + (n - lag) / (n * (n - 1.0))) * n / math.sqrt(n - lag)
+        out = np.minimum(out, LAGS * 2 * _normal_tail(z))
+    return np.where(spread > 0, np.minimum(out, 1), 0.0)
 
 
-def text_p(token: str, letters: str) -> float:
-    """A p-value under the null that the token is ordinary text."""
-    body = token.rstrip("=")
-    log = math.log(0.25) + len(body) * math.log(len(letters))
-    for a, b in zip(body, body[1:]):
-        log += math.log(_STAY if _kind(a) == _kind(b) else (1 - _STAY) / 3)
-    log += sum(math.log(_in_kind(c)) for c in body)
-    return math.exp(min(0.0, log))
+def randomness(bodies: list[bytes], letters: bytes) -> np.ndarray:
+    """For texts of one length, without padding, Fisher's p-values of the three tests under
+    uniform, independent characters."""
+    index = np.zeros(256, np.int64)
+    index[np.frombuffer(letters, np.uint8)] = np.arange(len(letters))
+    x = index[np.frombuffer(b"".join(bodies), np.uint8)].reshape(len(bodies), -1)
+    if x.shape[1] < 3:
+        return np.zeros(len(bodies))
+    t = -sum(np.log(np.maximum(p, 1e-300)) for p in (_chi_p(x, len(letters)), _runs_p(x, len(letters)), _serial_p(x)))  # half of a chi-squared value with 6 degrees of freedom
+    return np.exp(-t) * (1 + t + t * t / 2)
 
 
-def discovered(tokens: list[str]) -> list[bool]:
+#: A frozen model of ordinary tokens: kinds of character and how they follow each other.
+_STAY, _VOWELS = 0.85, b"aeiouAEIOU"
+_KIND, _IN_KIND = np.full(256, 3), np.full(256, 0.2)
+for _k, (_own, _p) in enumerate(((_LOWER, 0.6 / 21), (_UPPER, 0.6 / 21), (_DIGITS, 0.1))):
+    _KIND[list(_own)], _IN_KIND[list(_own)] = _k, _p
+_IN_KIND[list(_VOWELS)] = 0.4 / 5
+_LOG_IN_KIND, _LOG_STAY, _LOG_CHANGE = np.log(_IN_KIND), math.log(_STAY), math.log((1 - _STAY) / 3)
+
+
+def text_ps(bodies: list[bytes], sizes: np.ndarray) -> np.ndarray:
+    """p-values under the null that texts in alphabets of these sizes are ordinary text."""
+    n = np.array([len(b) for b in bodies])
+    a = np.frombuffer(b"".join(bodies), np.uint8)
+    starts = np.concatenate([[0], np.cumsum(n)[:-1]])
+    logs = _LOG_IN_KIND[a]
+    logs[1:] += np.where(_KIND[a[1:]] == _KIND[a[:-1]], _LOG_STAY, _LOG_CHANGE)
+    logs[starts] = _LOG_IN_KIND[a[starts]] + math.log(0.25)  # nothing stands before the first
+    return np.exp(np.minimum(0.0, np.add.reduceat(logs, starts) + n * np.log(sizes)))
+
+
+def discovered(tokens: list[bytes]) -> list[bool]:
     """Which of one text's candidates are declared random."""
     n = len(tokens)
     weight = np.array([len(t) for t in tokens], float)
     weight *= n / max(weight.sum(), 1)
-    q, passes = np.ones(n), [False] * n
-    for k, t in enumerate(tokens):
-        if found := encoding_of(t):
-            q[k] = min(1.0, text_p(t, found[1]) / weight[k])
-            passes[k] = found[0] != "decimal" and randomness(t, found[1]) >= RANDOM_LEVEL
+    found = [(k, t.rstrip(b"="), *e) for k, t in enumerate(tokens) if (e := encoding_of(t))]
+    if not found:
+        return [False] * n
+    q, passes = np.ones(n), np.zeros(n, bool)
+    at = np.array([k for k, *_ in found])
+    q[at] = np.minimum(1.0, text_ps([b for _, b, *_ in found], np.array([len(letters) for *_, letters in found])) / weight[at])
     order = np.argsort(q, kind="stable")
     ok = np.nonzero(q[order] <= DISCOVERY_RATE * np.arange(1, n + 1) / max(n, 1))[0]
-    bound = q[order[ok[-1]]] if len(ok) else -1
-    return [bool(p and x <= bound) for p, x in zip(passes, q)]
+    if not len(ok):
+        return [False] * n
+    bound = q[order[ok[-1]]]
+    alike: dict[tuple[bytes, int], list[tuple[int, bytes]]] = {}
+    for k, body, name, letters in found:
+        if name != "decimal" and q[k] <= bound:
+            alike.setdefault((letters, len(body)), []).append((k, body))
+    for (letters, _), own in alike.items():
+        passes[[k for k, _ in own]] = randomness([b for _, b in own], letters) >= RANDOM_LEVEL
+    return passes.tolist()
 
 
 def candidates(raw: bytes) -> list[tuple[int, int]]:
     """(start, end) of what is tested; parts of a run may overlap."""
     out: list[tuple[int, int]] = []
     for m in _CANDIDATE.finditer(raw):
-        if encoding_of(m[0].decode()):
+        if encoding_of(m[0]):
             out.append(m.span())
             continue
         for part in _PADDED.finditer(raw, *m.span()):
             if len(part[0]) < LEAST_CHARS:
                 continue
-            if encoding_of(part[0].decode()):
+            if encoding_of(part[0]):
                 out.append(part.span())
             else:
                 out += [x.span() for form in _PARTS for x in form.finditer(raw, *part.span()) if len(x[0]) >= LEAST_CHARS]
@@ -154,9 +241,16 @@ def spans_of(raw: bytes) -> list[tuple[int, int, str]]:
     if b"AKIA" in raw:
         out += [(m.start(), m.end(), "access") for m in _ACCESS.finditer(raw) if m.end() - m.start() >= 20]
     out += [(m.start(), m.end(), "hex") for m in _HEX.finditer(raw)]
-    found = [(s, e) for s, e in candidates(raw) if not any(x < e and s < y for x, y, _ in out)]
+    taken = _united([(s, e) for s, e, _ in out])
+    begins = [s for s, _ in taken]
+
+    def free(s: int, e: int) -> bool:
+        k = bisect.bisect_left(begins, e) - 1  # the last one that begins before e
+        return k < 0 or taken[k][1] <= s
+
+    found = [x for x in candidates(raw) if free(*x)]
     if found:
-        random = _united([x for x, yes in zip(found, discovered([raw[s:e].decode() for s, e in found])) if yes])
+        random = _united([x for x, yes in zip(found, discovered([raw[s:e] for s, e in found])) if yes])
         out += [(s, e, "random") for s, e in random]
     if not out:
         return out
@@ -218,7 +312,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_t
 
 def redacted_rows(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """The rows of docs, with all their columns, secrets in the text replaced; where a text
-    changes, length_col (if any) gets its new length. No shuffle."""
+    changes, length_col (if docs has it) gets its new length. No shuffle. Null texts stay
+    null, empty ones empty; texts are searched whole; repeated rows and null ids stay as they
+    are; an empty table stays empty; other columns, whatever their names, pass through."""
+    if length_col not in docs.columns:
+        length_col = None
 
     def run(batches):
         import pyarrow as pa

@@ -6,6 +6,7 @@ import itertools
 import random
 import re
 import textwrap
+import time
 
 import numpy as np
 import pytest
@@ -467,6 +468,90 @@ def test_random_parts_of_longer_runs():
         assert all(k != "random" for *_, k in secret_scan.spans_of(text.encode())), text
 
 
+def test_chi_squared_tables_by_enumeration():
+    tables = secret_scan.sum_squares((2, 3), 6, 40)
+    for cells in (2, 3):
+        for n in range(1, 7):
+            want = collections.Counter(sum(c * c for c in collections.Counter(x).values()) for x in itertools.product(range(cells), repeat=n))
+            for total, ways in want.items():
+                assert tables[cells][n, total] == pytest.approx(ways / cells**n)
+    for a, b in ((1, 4), (3, 3), (2, 5)):
+        runs = [1 + sum(x != y for x, y in zip(p, p[1:])) for p in itertools.product((0, 1), repeat=a + b) if sum(p) == a]
+        for r in set(runs):
+            want = min(1, 2 * min(sum(x >= r for x in runs), sum(x <= r for x in runs)) / len(runs))
+            assert secret_scan._runs_tails(a, b)[r] == pytest.approx(want)
+
+
+@pytest.mark.parametrize("n", [20, 24, 32, 40, 64, 90])
+def test_the_battery_holds_its_level(n):
+    rng = np.random.default_rng(n)
+    for name in ("hex", "base32", "alnum62", "base64"):
+        letters = dict(secret_scan.ENCODINGS)[name]
+        bodies = [bytes(x) for x in np.frombuffer(letters, np.uint8)[rng.integers(len(letters), size=(4000, n))]]
+        p = secret_scan.randomness(bodies, letters)
+        assert (p < secret_scan.RANDOM_LEVEL).mean() < 0.01 and 0.005 < (p < 0.05).mean() < 0.065  # p-values of counts are on the safe side
+        assert all(secret_scan.randomness([b], letters)[0] == pytest.approx(x) for b, x in zip(bodies[:20], p))
+
+
+def slow_random_spans(text):
+    """Candidates one by one, the rule by trying every bound."""
+    raw = text.encode()
+    base = [tuple(map(int, x.split(":")[1:])) for x in brute_spans(text).split(",") if x]
+    found = []
+    for s, e in secret_scan.candidates(raw):
+        if any(x < e and s < y for x, y in base):
+            continue
+        body, own = raw[s:e].rstrip(b"="), secret_scan.encoding_of(raw[s:e])
+        p, fits = 1.0, False
+        if own:
+            log = np.log(0.25)
+            for k, c in enumerate(body):
+                log += np.log(secret_scan._IN_KIND[c])
+                if k:
+                    log += np.log(0.85 if secret_scan._KIND[c] == secret_scan._KIND[body[k - 1]] else 0.05)
+            p = min(1, np.exp(min(0, log + len(body) * np.log(len(own[1])))))
+            fits = own[0] != "decimal" and secret_scan.randomness([body], own[1])[0] >= 0.005
+        found.append((s, e, p, fits))
+    whole, n = sum(e - s for s, e, *_ in found), len(found)
+    q = [min(1, p / ((e - s) * n / whole)) for s, e, p, _ in found]
+    bounds = [x for x in q if x <= 0.001 * sum(y <= x for y in q) / n]
+    return sorted({(s, e) for (s, e, _, fits), x in zip(found, q) if fits and x <= max(bounds, default=-1)})
+
+
+def test_planted_random_tokens_and_both_errors(spark):
+    rng = random.Random(12)
+    base62, words = (secret_scan._LOWER + secret_scan._UPPER + secret_scan._DIGITS).decode(), [*(w for w in WORDS if w.isascii()), "some-hyphenated-longer-word-of-parts", "CONSTANT_NAME_OF_MANY_PARTS", "2024-01-01_2024-02-02_2024-03-03", "https://example.org/a/long/path/to/some/file/name", "aB3dE5fG7hI9jK1lM3nO5pQ7"]
+    texts, planted = [], []
+    for k in range(300):
+        parts = rng.choices(words, k=rng.randrange(5, 60))
+        key = "".join(rng.choices(base62, k=rng.choice([28, 32, 40, 64])))
+        if k % 3 == 0:
+            parts.insert(rng.randrange(len(parts)), key)
+        texts.append(" ".join(parts))
+        planted.append(texts[-1].index(key) if k % 3 == 0 else None)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    missed = wrong = 0
+    for r in secret_scan.scan(docs).collect():
+        spans = [x.split(":") for x in r.spans.split(",") if x]
+        random_spans = [(int(s), int(e)) for kind, s, e in spans if kind == "random"]
+        assert random_spans == slow_random_spans(texts[r.doc_id])
+        at = planted[r.doc_id]
+        missed += at is not None and not any(s <= at < e for s, e in random_spans)
+        wrong += sum(at is None or not s <= at < e for s, e in random_spans)
+    assert missed <= 4 and wrong == 0
+
+
+def test_a_text_of_many_tokens_takes_linear_time():
+    rng = random.Random(3)
+    base62 = (secret_scan._LOWER + secret_scan._UPPER + secret_scan._DIGITS).decode()
+    digests = " ".join(hashlib.md5(str(k).encode()).hexdigest() for k in range(150_000))
+    keys = " ".join("".join(rng.choices(base62, k=40)) for _ in range(120_000))
+    began = time.process_time()
+    found = collections.Counter(k for *_, k in secret_scan.spans_of(f"{digests} {keys}".encode()))
+    assert time.process_time() - began < 25
+    assert found["hex"] == 150_000 and found["random"] > 0.98 * 120_000
+
+
 # 8
 
 
