@@ -3,28 +3,32 @@
 Documents with the same set of sources make one pattern. A pattern offers its words
 once at cost 0, again at cost 1 and a third time at cost 2 (convex repetition costs);
 arcs lead to its sources, whose arcs to the sink hold their targets. The cheapest
-largest flow says how many words of each pattern to take. Within a pattern all
-documents are taken a whole number of times, and a seeded order picks those taken
-once more: a document that is too long for what is left is skipped, and the order goes
-on behind it."""
+largest flow says how many words of each pattern to take. Patterns that share no source,
+not even through others, don't touch each other's flow: a pattern that has its source for
+itself is routed by a formula, and the others by connected components of sources, each
+in a task of its own, so neither sources nor patterns are limited.
+
+Within a pattern all documents are taken a whole number of times, and a seeded order picks
+those taken once more: a document that is too long for what is left is skipped, and the
+order goes on behind it. What is left where no document fits any more goes to further copies
+of those that do, in the same order, and in the end to one document more if that is nearer."""
 
 from __future__ import annotations
 
 from collections import deque
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import WORD_CLASS, read_table, stored
+from .common import WORD_CLASS, discard, read_table, small_side, stored
+from .near_dedup import components
 
 #: Times that a document may be taken, at costs 0, 1, 2.
 MOST_COPIES = 3
 WEIGHTS = (5, 2, 1)
-#: Sources and patterns that the driver holds at most; more raise an error.
-MOST_SOURCES = 20_000
-MOST_PATTERNS = 200_000
 SEED = "mix"
 #: Gaps up to this share of the target stay.
 SMALL_GAP = 0.001
@@ -137,8 +141,75 @@ def measured(docs: DataFrame, sources, id_col: str = "doc_id", text_col: str = "
     return docs.select(F.col(id_col).alias("id"), words_in(F.col(text_col)).alias("size"), pattern.alias("pattern"), F.md5(F.concat(seeded, F.lit(SEED))).alias("order_key"), F.monotonically_increasing_id().alias("row"), *carried)
 
 
-def _by_weight(names: list[str | None]) -> list[str | None]:
-    return sorted(names, key=lambda s: (s is None, s or ""))
+def numbered(df: DataFrame, *order) -> DataFrame:
+    """df with its row's place in an order from 0 on, as `place`. No task gets all rows: they
+    are dealt out by ranges, and a range's rows are counted before it."""
+    dealt = stored(df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranges")
+    upto, before = 0, []
+    for r in dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect():
+        before.append((r["part"], upto))
+        upto += r["n"]
+    if not before:
+        return dealt.drop("part").withColumn("place", F.lit(0).cast("long"))
+    starts = F.broadcast(df.sparkSession.createDataFrame(before, "part int, before long"))  # a row for each partition
+    own = F.row_number().over(Window.partitionBy("part").orderBy(*order))
+    return dealt.join(starts, "part").withColumn("place", own + F.col("before") - 1).drop("part", "before")
+
+
+def _capped(left: int, whole: int, most: int) -> Column:
+    """Whether a source's share of `left` is above `most` times its size."""
+    exact = lambda x: F.lit(x).cast("decimal(38,0)")
+    return F.col("weight") * exact(left) > most * F.col("size") * exact(whole)
+
+
+def with_targets(sources: DataFrame, total: int, most: int = MOST_COPIES) -> DataFrame:
+    """sources (size, weight) with `target`, as targets() gives it; each round is one
+    aggregate. Sums are whole numbers, so nothing depends on their order."""
+    size, weight = F.sum("size").cast("long"), F.sum("weight").cast("long")
+    first = sources.agg(size.alias("size"), weight.alias("weight")).first()
+    every, left, whole, rounds = first["size"] or 0, first["size"] or 0, first["weight"] or 0, -1
+    while whole:
+        over = _capped(left, whole, most)
+        r = sources.agg(F.count_if(over).alias("n"), F.sum(F.when(over, F.col("size"))).alias("size"), F.sum(F.when(~over, F.col("weight"))).alias("weight")).first()
+        if r["n"] == rounds:
+            break
+        rounds, left, whole = r["n"], every - most * int(r["size"] or 0), int(r["weight"] or 0)
+    share = F.when(_capped(left, whole, most), (most * F.col("size")).cast("double")).otherwise(F.lit(float(left)) * F.col("weight") / F.lit(float(whole))) if whole else (most * F.col("size")).cast("double")
+    scale = total / every if every > total else 1.0  # shared documents count once in what there is to share
+    return sources.withColumn("target", share * F.lit(scale))
+
+
+def _routes(patterns: DataFrame, sources: DataFrame, most: int = MOST_COPIES) -> DataFrame:
+    """pattern, words: what the flow takes of each pattern. sources: source, place, target."""
+    quota = F.rint("target").cast("long")
+    each = patterns.select("pattern", "size", F.explode("pattern").alias("s"))
+    arcs = stored(each.join(small_side(sources.select("source", "place", quota.alias("quota"))), F.col("s").eqNullSafe(F.col("source"))).select("pattern", "size", "place", "quota"), "mix-arcs")
+    shared = arcs.groupBy("pattern").agg(F.min("place").alias("a"), F.collect_list("place").alias("all")).where(F.size("all") > 1)
+    edges = stored(shared.select("a", F.explode("all").alias("b")).where("a <> b").distinct(), "mix-edges")
+    least = lambda: F.least(F.col("quota"), most * F.col("size")).alias("words")
+    if edges.isEmpty():
+        return arcs.select("pattern", least())
+    joint = components(edges)
+    joint = stored(joint.unionByName(joint.select(F.col("b").alias("a"), "b")).distinct(), "mix-components")
+    own = arcs.join(small_side(joint), F.col("place") == F.col("a"), "left")
+
+    def route(pdf):
+        import pandas as pd
+
+        place = {p: k for k, p in enumerate(sorted(set(pdf["place"])))}
+        quotas = [0] * len(place)
+        for p, q in zip(pdf["place"], pdf["quota"]):
+            quotas[place[p]] = int(q)
+        found: dict = {}
+        for key, size, p, pattern in zip(pdf["key"], pdf["size"], pdf["place"], pdf["pattern"]):
+            found.setdefault(key, [[], int(size), pattern])[0].append(place[p])
+        order = sorted(found.values(), key=lambda x: sorted(x[0]))
+        words = routed([(sorted(among), size) for among, size, _ in order], quotas, most)
+        return pd.DataFrame({"pattern": [x[2] for x in order], "words": words})
+
+    # A component's arcs go to one task: a row for each pattern and source, never a document.
+    several = own.where("b is not null").select("b", "place", "quota", "pattern", "size", F.to_json(F.struct("pattern")).alias("key"))
+    return several.groupBy("b").applyInPandas(route, "pattern array<string>, words long").unionByName(own.where("b is null").select("pattern", least()))
 
 
 def mixed(docs: DataFrame, sources="source", weights=WEIGHTS, id_col: str = "doc_id", text_col: str = "text", own: bool = False) -> DataFrame:
@@ -146,85 +217,87 @@ def mixed(docs: DataFrame, sources="source", weights=WEIGHTS, id_col: str = "doc
     the pattern), copies (0 to 3), taken (copies times size) and, with `own`, a struct of
     the input row's columns.
 
-    `weights` go to the sources by code point, null last, again and again. Null is a
+    `weights` (whole numbers) go to the sources by code point, null last, again and again. Null is a
     source of its own. Null and empty texts have size 0 and are never taken. Repeated
     rows are rows like others; rows with one id and size are next to each other in the
     seeded order. Without `own` other columns aren't read. An empty table gives an empty
     result. A source of size 0 has target 0. Reruns agree: the order is a hash of the id,
-    or of the text where the id is null."""
-    spark = docs.sparkSession
+    or of the text where the id is null. What is taken of a pattern differs from
+    what the flow says by SMALL_GAP of the target at most, or by half of its shortest document
+    that isn't taken MOST_COPIES times. Sources and patterns stay tables, whatever their number."""
     rows = stored(measured(docs, sources, id_col, text_col, own), "mix-sizes")
-    found = rows.groupBy("pattern").agg(F.sum("size").alias("size")).limit(MOST_PATTERNS + 1).collect()
-    names = _by_weight(list({s for r in found for s in r["pattern"]}))
-    if len(found) > MOST_PATTERNS or len(names) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources or {MOST_PATTERNS} patterns")
-    place = {s: k for k, s in enumerate(names)}
-    found = sorted(((sorted(place[s] for s in r["pattern"]), r["size"], r["pattern"]) for r in found), key=lambda x: x[0])
-    total = sum(size for _, size, _ in found)
-    sizes = [0] * len(names)
-    for own_sources, size, _ in found:
-        for k in own_sources:
-            sizes[k] += size
-    scaled = targets(sizes, [weights[k % len(weights)] for k in range(len(names))])
-    if sum(sizes) > total:  # shared documents count once in what there is to share
-        scaled = [t * total / sum(sizes) for t in scaled]
-    words = routed([(among, size) for among, size, _ in found], [round(t) for t in scaled])
-    plan = []
-    for (among, size, pattern), n in zip(found, words):
-        every = n // size if size else 0
-        plan.append((pattern, sizes[among[0]], round(scaled[among[0]], 6), int(every), int(n - every * size)))
-    stretches = _stretches(rows, {tuple(p[0]): (p[4], p[2]) for p in plan})
-    full = [(*p[:4], stretches.get(tuple(p[0]), [])) for p in plan]
-    kind = f"pattern array<string>, source_size long, target double, every int, stretches array<struct<start: {_PLACE}, end: {_PLACE}, gap: long>>"
-    planned = F.broadcast(spark.createDataFrame(full, kind))  # at most MOST_PATTERNS rows
+    patterns = stored(rows.groupBy("pattern").agg(F.sum("size").alias("size")), "mix-patterns")
+    total = patterns.agg(F.sum("size")).first()[0] or 0
+    sums = patterns.select("size", F.explode("pattern").alias("source")).groupBy("source").agg(F.sum("size").alias("size"))
+    placed = numbered(sums, F.col("source").isNull(), F.col("source"))
+    cycle = F.element_at(F.array(*(F.lit(int(w)) for w in weights)), (F.col("place") % len(weights) + 1).cast("int")).cast("long")
+    own_sources = stored(with_targets(stored(placed.withColumn("weight", cycle), "mix-sources"), total), "mix-targets")
+    words = _routes(patterns, own_sources)
+    firsts = own_sources.select(F.col("source").alias("first"), F.col("size").alias("source_size"), F.round("target", 6).alias("target"))
+    plan = patterns.join(words, "pattern").join(small_side(firsts), F.get("pattern", F.lit(0)).eqNullSafe(F.col("first"))).drop("first")
+    every = F.when(F.col("size") > 0, F.floor(F.col("words") / F.col("size"))).otherwise(F.lit(0)).cast("int")
+    plan = stored(plan.withColumn("every", every).withColumn("rest", F.col("words") - F.col("every") * F.col("size")), "mix-plan")
+    stretches = _stretches(rows, plan)
+    full = plan.join(stretches, "pattern", "left").select("pattern", "source_size", "target", "every", F.coalesce("stretches", F.array().cast(f"array<struct<start: {_PLACE}, stop: {_PLACE}, gap: bigint>>")).alias("stretches"))
+    planned = small_side(stored(full, "mix-full-plan"))
     here = F.struct("order_key", "size", "row")
-    inside = F.exists("stretches", lambda s: (F.col("size") <= s["gap"]) & (s["start"].isNull() | (here >= s["start"])) & (s["end"].isNull() | (here < s["end"])))
-    copies = F.when(F.col("size") == 0, 0).otherwise(F.least(F.lit(MOST_COPIES), F.col("every") + inside.cast("int")))
-    out = rows.join(planned, "pattern").withColumn("copies", copies)
+    inside = F.filter("stretches", lambda s: (F.col("size") <= s["gap"]) & (s["start"].isNull() | (here >= s["start"])) & (s["stop"].isNull() | (here < s["stop"])))
+    copies = F.when(F.col("size") == 0, 0).otherwise(F.least(F.lit(MOST_COPIES), F.col("every") + F.size(inside)))
+    last = _last(rows.select("pattern", "size", "order_key", "row").join(planned, "pattern").withColumn("copies", copies).withColumn("here", here), plan)
+    out = rows.join(planned, "pattern").withColumn("copies", copies).join(small_side(last), "pattern", "left").withColumn("copies", F.col("copies") + F.coalesce((here == F.col("last")).cast("int"), F.lit(0)))
     return out.select(F.col("id").alias(id_col), "size", "pattern", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"), *(["own"] if own else []))
 
 
 #: A place in the seeded order.
-_PLACE = "struct<order_key: string, size: long, row: long>"
+_PLACE = "struct<order_key: string, size: bigint, row: bigint>"
 
 
-def _stretches(rows: DataFrame, rests: dict[tuple, tuple[int, float]]) -> dict[tuple, list[tuple]]:
-    """For each pattern the stretches (start, end, gap) of the seeded order; in a stretch
-    the documents of up to `gap` words are taken. A stretch ends before the first document
+def _stretches(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """pattern, stretches: (start, stop, gap) of the seeded order; in a stretch the documents
+    of up to `gap` words are taken once more. A stretch stops before the first document
     that is too long for what is then left; the next one starts there with what is left as
     its gap. All documents of up to that gap before it have been taken, so this is the order
-    gone through once, and each round takes a document. It ends when none fits or the gap is
-    within SMALL_GAP of the target. A round is two aggregates over all open patterns."""
-    spark = rows.sparkSession
-    narrow = rows.select("pattern", "size", "order_key", "row", F.struct("order_key", "size", "row").alias("here"), F.substring("order_key", 1, _PART_DIGITS).alias("part")).where("size > 0")
-    open_ = {p: (None, rest) for p, (rest, _) in rests.items() if rest > 0}
-    out: dict[tuple, list[tuple]] = {}
-    while open_:
-        table = F.broadcast(spark.createDataFrame([(list(p), start, gap) for p, (start, gap) in open_.items()], f"pattern array<string>, start {_PLACE}, gap long"))
-        fits = narrow.join(table, "pattern").where((F.col("size") <= F.col("gap")) & (F.col("start").isNull() | (F.col("here") >= F.col("start"))))
+    gone through once. Where it ends with more than SMALL_GAP of the target left, it is gone
+    through again, MOST_COPIES times in all: documents that still fit have all been taken before, so
+    these are further copies. A round is two aggregates over all open patterns, whose state is a table."""
+    narrow = rows.select("pattern", "size", F.struct("order_key", "size", "row").alias("here"), F.substring("order_key", 1, _PART_DIGITS).alias("part")).where("size > 0")
+    none = F.lit(None).cast(_PLACE)
+    room = F.lit(MOST_COPIES) - F.col("every")
+    open_ = stored(plan.where("rest > 0 and size > 0").select("pattern", none.alias("start"), F.col("rest").alias("gap"), room.alias("room"), (F.col("target") * SMALL_GAP).alias("small")), "mix-open")
+    done: list[DataFrame] = []
+    while not open_.isEmpty():
+        fits = narrow.join(small_side(open_), "pattern").where((F.col("size") <= F.col("gap")) & (F.col("start").isNull() | (F.col("here") >= F.col("start"))))
         sums = fits.groupBy("pattern", "part").agg(F.sum("size").alias("sum"), F.max("gap").alias("gap"))
         upto = F.sum("sum").over(Window.partitionBy("pattern").orderBy("part").rowsBetween(Window.unboundedPreceding, 0))
         ends = sums.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("sum"))
         crossed = (F.col("before") <= F.col("gap")) & (F.col("upto") > F.col("gap"))
-        edges = ends.groupBy("pattern").agg(F.max("upto").alias("whole"), F.max(F.when(crossed, F.col("part"))).alias("edge"), F.max(F.when(crossed, F.col("before"))).alias("before")).collect()
-        cut = [(r["pattern"], r["edge"], r["before"]) for r in edges if r["edge"] is not None]
-        stops = {}
-        if cut:
-            near = fits.join(F.broadcast(spark.createDataFrame(cut, "pattern array<string>, edge string, before long")), "pattern").where(F.col("part") == F.col("edge"))
-            own = Window.partitionBy("pattern").orderBy("order_key", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
-            over = near.withColumn("end", F.sum("size").over(own) + F.col("before")).where(F.col("end") > F.col("gap"))
-            first = over.groupBy("pattern").agg(F.min("here").alias("here"), F.min(F.col("end") - F.col("size")).alias("taken")).collect()
-            stops = {tuple(r["pattern"]): (tuple(r["here"]), r["taken"]) for r in first}
-        still = {}
-        for r in edges:
-            p = tuple(r["pattern"])
-            start, gap = open_[p]
-            stop, taken = stops.get(p, (None, r["whole"]))
-            out.setdefault(p, []).append((start, stop, gap))
-            if stop is not None and gap - taken > SMALL_GAP * rests[p][1]:
-                still[p] = (stop, gap - taken)
-        open_ = still
-    return out
+        edges = stored(ends.groupBy("pattern").agg(F.max("upto").alias("all"), F.max(F.when(crossed, F.col("part"))).alias("edge"), F.max(F.when(crossed, F.col("before"))).alias("before")), "mix-edges")
+        near = fits.join(small_side(edges.where("edge is not null").select("pattern", "edge", "before")), "pattern").where(F.col("part") == F.col("edge"))
+        own = Window.partitionBy("pattern").orderBy("here").rowsBetween(Window.unboundedPreceding, 0)
+        over = near.withColumn("end", F.sum("size").over(own) + F.col("before")).where(F.col("end") > F.col("gap"))
+        first = over.groupBy("pattern").agg(F.min("here").alias("stop"), F.min(F.col("end") - F.col("size")).alias("upto"))
+        now = open_.join(edges.select("pattern", "all"), "pattern", "left").join(first, "pattern", "left")
+        taken = F.coalesce("upto", "all", F.lit(0))
+        now = stored(now.select("pattern", "start", "stop", "gap", "room", "small", (F.col("gap") - taken).alias("left"), F.col("all").isNotNull().alias("any")), "mix-round")
+        discard(edges, open_)
+        done.append(now)
+        again = F.when(F.col("stop").isNull(), F.col("room") - 1).otherwise(F.col("room"))
+        open_ = stored(now.where("left > small and left > 0").select("pattern", F.col("stop").alias("start"), F.col("left").alias("gap"), again.alias("room"), "small").where("room > 0"), "mix-open")
+    if not done:
+        return plan.select("pattern", F.array().cast(f"array<struct<start: {_PLACE}, stop: {_PLACE}, gap: bigint>>").alias("stretches")).where("false")
+    every = reduce(DataFrame.unionByName, [d.where("any").select("pattern", F.struct("start", "stop", "gap").alias("s")) for d in done])
+    return every.groupBy("pattern").agg(F.collect_list("s").alias("stretches"))
+
+
+def _last(taken: DataFrame, plan: DataFrame) -> DataFrame:
+    """pattern, last: where more than SMALL_GAP of what is to be taken is missing, the shortest
+    document that can be taken once more, if with it less would be too much than is missing now."""
+    sums = taken.groupBy("pattern").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"))
+    gaps = sums.join(plan.select("pattern", "words", "target"), "pattern").withColumn("gap", F.col("words") - F.col("taken")).where(F.col("gap") > SMALL_GAP * F.col("target"))
+    gaps = small_side(stored(gaps.select("pattern", "gap"), "mix-gaps"))
+    more = taken.where((F.col("copies") < MOST_COPIES) & (F.col("size") > 0)).join(gaps, "pattern").where(F.col("size") < 2 * F.col("gap"))
+    least = F.min_by("here", F.struct("size", "here"))
+    return stored(more.groupBy("pattern").agg(least.alias("last")), "mix-last")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
