@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import read_table, stored
+from .common import discard, read_table, small_side, stored
 
 OPEN, SHUT, CLOSE = "<turn ", ">", "</turn>\n"
 _ESCAPES = (("\\", "\\0"), ("<", "\\1"), (">", "\\2"))
@@ -35,25 +35,35 @@ def unescaped(text: Column) -> Column:
 
 
 def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
-    """messages: tree (string), id, parent (null or unknown: a root), score, role, text, ids
-    unique in a tree. Returns tree, branch (1 is the best), depth, role, text: of each
+    """messages: tree (string), id, parent (null or unknown: a root), score, role, text.
+    Returns tree, branch (1 is the best), depth, role, text: of each
     tree the messages from the root to the leaf for its `branches` best leaves by summed
-    score, then depth, then id. Messages on a circle of parents have no root and are
-    left out."""
-    nodes = stored(messages.select("tree", "id", "parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("score")), "messages")
+    score, then depth, then id. Messages without a tree are in one of their own, whose name
+    is null. Of rows with the same tree and id the least counts, by parent (null first), score, role and
+    text. A row with a null id is left out: nothing can name it. A null score is 0. Messages on a circle of parents, or
+    below one, have no root and are left out. An empty table gives an empty result; other
+    columns aren't read."""
+    key = F.when(F.col("tree").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col("tree")))
+    given = messages.where("id is not null").select(key.alias("tree"), "id", "parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("score"), "role", "text")
+    repeats = stored(given.groupBy("tree", "id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("tree", "id"), "repeats")
+    if not repeats.isEmpty():
+        again = small_side(repeats)
+        one = given.join(again, ["tree", "id"], "left_semi").groupBy("tree", "id").agg(F.min(F.struct("parent", "score", "role", "text")).alias("m")).select("tree", "id", "m.*")
+        given = given.join(again, ["tree", "id"], "left_anti").unionByName(one)
+    nodes = stored(given.select("tree", "id", "parent", "score"), "messages")
     known = nodes.select("tree", F.col("id").alias("parent"))
     linked = nodes.join(known.withColumn("has", F.lit(True)), ["tree", "parent"], "left")
     up = F.when(F.col("has"), F.col("parent"))
-    reach = stored(linked.select("tree", "id", up.alias("up"), F.lit(0).alias("depth"), F.col("score").alias("sum")), "reach")
-    reach = stored(reach.withColumn("depth", F.when(F.col("up").isNull(), 0).otherwise(1)), "reach")
-    jumps: list[DataFrame] = []
-    limit = max(1, nodes.count()).bit_length() + 1  # enough for any depth
-    while len(jumps) < limit and not reach.where("up is not null").isEmpty():
+    reach = stored(linked.select("tree", "id", up.alias("up"), F.when(up.isNull(), 0).otherwise(1).alias("depth"), F.col("score").alias("sum")), "reach")
+    steps, jumps, left = [reach], [], None
+    while (now := reach.where("up is not null").count()) and now != left:  # each round brings the nearest to their root, so where it brings none there are circles
+        left = now
         jumps.append(reach.select("tree", "id", "up").where("up is not null"))
         beyond = reach.select("tree", F.col("id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("sum").alias("sum2"))
         joined = reach.where("up is not null").join(beyond, ["tree", "up"], "left")  # what has its root is done
         joined = reach.where("up is null").unionByName(joined.select("tree", "id", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), (F.col("sum") + F.coalesce("sum2", F.lit(0.0))).alias("sum")))
         reach = stored(joined, "reach")
+        steps.append(reach)
     rooted = reach.where("up is null")
     parents = linked.where("has").select("tree", F.col("parent").alias("id")).distinct()
     leaves = rooted.join(parents, ["tree", "id"], "left_anti")
@@ -61,26 +71,32 @@ def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     on = stored(best.where(F.col("branch") <= branches).select("tree", "branch", "id"), "on-path")
     for jump in reversed(jumps):
         above = on.join(jump, ["tree", "id"]).select("tree", "branch", F.col("up").alias("id"))
-        on = stored(on.unionByName(above).distinct(), "on-path")
-    said = messages.select("tree", "id", "role", "text").join(rooted.select("tree", "id", "depth"), ["tree", "id"])
-    return on.join(said, ["tree", "id"]).select("tree", "branch", "depth", "role", "text")
+        before, on = on, stored(on.unionByName(above).distinct(), "on-path")
+        discard(before)
+    discard(nodes, *steps[:-1])
+    said = given.select("tree", "id", "role", "text").join(rooted.select("tree", "id", "depth"), ["tree", "id"])
+    name = F.when(F.col("tree") != "", F.expr("substring(tree, 2)")).alias("tree")
+    return on.join(said, ["tree", "id"]).select(name, "branch", "depth", "role", "text")
 
 
 def formatted(turns: DataFrame) -> DataFrame:
     """turns: tree, branch, depth, role, text. One row a path: tree, branch, formatted, mask:
-    (start, end) in code points of what LEARNT_ROLE says. Null roles and texts are empty."""
+    (start, end) in code points of what LEARNT_ROLE says. Null roles and texts are empty. Turns
+    of one depth are ordered by role and text; repeated rows are turns like others. No turns
+    give no rows; a conversation is one string, however long; other columns aren't read."""
     role, text = escaped(F.coalesce("role", F.lit(""))), escaped(F.coalesce("text", F.lit("")))
-    piece = turns.select("tree", "branch", "depth", (F.coalesce("role", F.lit("")) == LEARNT_ROLE).alias("learnt"), F.concat(F.lit(OPEN), role, F.lit(SHUT)).alias("head"), text.alias("body"))
-    size = F.length("head") + F.length("body") + F.lit(len(CLOSE))
-    before = Window.partitionBy("tree", "branch").orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)
-    placed = piece.withColumn("start", F.coalesce(F.sum(size).over(before), F.lit(0)) + F.length("head"))
-    one = F.struct("depth", F.concat("head", "body", F.lit(CLOSE)).alias("piece"), F.when(F.col("learnt"), F.struct("start", (F.col("start") + F.length("body")).alias("end"))).alias("span"))
+    given = turns.select("tree", "branch", "depth", (F.coalesce("role", F.lit("")) == LEARNT_ROLE).alias("learnt"), F.concat(F.lit(OPEN), role, F.lit(SHUT)).alias("head"), text.alias("body"))
+    pieces = given.withColumn("piece", F.concat("head", "body", F.lit(CLOSE)))
+    before = Window.partitionBy("tree", "branch").orderBy("depth", "piece").rowsBetween(Window.unboundedPreceding, -1)
+    placed = pieces.withColumn("start", F.coalesce(F.sum(F.length("piece")).over(before), F.lit(0)) + F.length("head"))
+    one = F.struct("depth", "piece", F.when(F.col("learnt"), F.struct("start", (F.col("start") + F.length("body")).alias("end"))).alias("span"))
     grouped = placed.groupBy("tree", "branch").agg(F.sort_array(F.collect_list(one)).alias("turns"))
     return grouped.select("tree", "branch", F.array_join(F.col("turns.piece"), "").alias("formatted"), F.array_compact(F.col("turns.span")).alias("mask"))
 
 
 def read_back(conversations: DataFrame) -> DataFrame:
-    """From formatted and mask alone: turns (role, text) and loss_text, the texts under the mask."""
+    """From formatted and mask alone: turns (role, text) and loss_text, the texts under the mask.
+    Rows come back as they are; null in either gives null; an empty table gives an empty result."""
     pieces = F.split("formatted", "</turn>\n")
     turns = F.transform(F.slice(pieces, 1, F.size(pieces) - 1), lambda p: F.struct(unescaped(F.substring(F.substring_index(p, SHUT, 1), len(OPEN) + 1, 1 << 30)).alias("role"), unescaped(F.substring(p, F.length(F.substring_index(p, SHUT, 1)) + 2, F.length(p))).alias("text")))
     loss = F.transform("mask", lambda m: unescaped(F.substring(F.col("formatted"), (m["start"] + 1).cast("int"), (m["end"] - m["start"]).cast("int"))))

@@ -62,14 +62,18 @@ def discard(*tables: DataFrame) -> None:
 
 
 def _delete(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    """Delete a folder on whatever file system it is, also after the session has been stopped."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(jvm.org.apache.spark.deploy.SparkHadoopUtil.get().conf()).delete(p, True)
 
 
 def _clean() -> None:
-    for spark, path in _made:
-        if spark.sparkContext._jsc is not None and os.path.isdir(path):
-            _delete(spark, path)
+    while _made:
+        try:
+            _delete(*_made.pop())
+        except Exception:  # the JVM has gone first
+            return
 
 
 #: Rows of a few numbers that are broadcast at most (some 40 MB); more are shuffled.
@@ -89,9 +93,15 @@ def hash_share(share: float) -> int:
     return max(low, low + int(min(share, 1.0) * (1 << 64)) - 1)
 
 
-def lower_ascii(column):
-    """Lower-case A-Z and nothing else."""
-    return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like `names` that df doesn't have."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def text_bytes(batch, name: str = "text") -> Iterator[bytes]:

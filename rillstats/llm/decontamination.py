@@ -12,7 +12,8 @@ of documents that pass it are joined to the benchmark's by hash, so false passes
 fall out. Matches of one document and item with the same shift make one alignment.
 It counts as a leak if plain windows cover enough of the item, or plain and template
 windows do and each of the item's slot values is always replaced by the same value in
-the document."""
+the document. Different names must have different replacements too (two persons don't become
+one); different numbers may not: 3 pens and 2 cups may become 5 pens and 5 cups."""
 
 from __future__ import annotations
 
@@ -22,10 +23,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, lean, mixed, read_table, stored, text_bytes, windows
+from .common import WordHashes, lean, mixed, read_table, small_side, stored, text_bytes, windows
 
 WIDTH = 8
-#: Tokens of an item; shorter items are not searched for.
+#: Tokens of an item that is searched for inside documents; a shorter one names no passage and
+#: is found where it is a whole document.
 LEAST_TOKENS = 3
 #: Other tokens that a template window needs; less only if the item has less.
 LEAST_PLAIN = 5
@@ -48,7 +50,7 @@ _PLACEHOLDER = {_NUM: np.uint64(0x1111111111111111), _UNIT: np.uint64(0x22222222
 class Tokens(dict):
     """Raw tokens to places in arrays of their plain hashes and kinds; up to `most` at a time."""
 
-    def __init__(self, most: int = 1 << 20):
+    def __init__(self, most: int = 1 << 17):
         self.most, self.hash, self.kind, self.words = most, np.zeros(most, np.uint64), np.zeros(most, np.uint8), WordHashes(0)
 
     def __missing__(self, raw: bytes) -> int:
@@ -70,17 +72,18 @@ class Tokens(dict):
     def forms(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hashes of the plain and the template form, and where placeholders are."""
         plain, kind, starts = self.read(text)
-        return plain, *_template(plain, kind, ~starts)
+        return plain, *_template(plain, kind, ~starts)[:2]
 
-    def all_forms(self, text: bytes) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    def all_forms(self, text: bytes) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]:
         """Hashes of the plain form; of each template form the hashes, where placeholders are,
-        and which of them windows must have: in the second form those that open sentences."""
+        which of them windows must have (in the second form those that open sentences), and
+        the values of slots: plain hashes whose last bit says whether it is a name."""
         plain, kind, starts = self.read(text)
-        template, slot = _template(plain, kind, ~starts)
-        out = [(template, slot, slot)]
+        template, slot, value = _template(plain, kind, ~starts)
+        out = [(template, slot, slot, value)]
         if ((kind & _NAME > 0) & starts).any():
-            more, open_slot = _template(plain, kind, np.ones(len(plain), bool))
-            out.append((more, open_slot, open_slot & ~slot))
+            more, open_slot, value = _template(plain, kind, np.ones(len(plain), bool))
+            out.append((more, open_slot, open_slot & ~slot, value))
         return plain, out
 
     def read(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -100,15 +103,16 @@ class Tokens(dict):
         return plain, kind, starts
 
 
-def _template(plain, kind, names) -> tuple[np.ndarray, np.ndarray]:
-    """The template form with capitalised words as names where `names` says so, and its slots."""
+def _template(plain, kind, names) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The template form with capitalised words as names where `names` says so, its slots and their values."""
     after_number = np.concatenate([[False], (kind[:-1] & _NUM) > 0])[: len(plain)]
-    template, slot = plain.copy(), np.zeros(len(plain), bool)
+    template, slot, value = plain.copy(), np.zeros(len(plain), bool), plain & ~np.uint64(1)
     for bit, where in ((_NAME, names), (_UNIT, after_number), (_NUM, True)):
         mine = ((kind & bit) > 0) & where
         template[mine] = _PLACEHOLDER[bit]
         slot |= mine
-    return template, slot
+        value[mine] = (value[mine] & ~np.uint64(1)) | np.uint64(bit == _NAME)
+    return template, slot, value
 
 
 def _before(x) -> np.ndarray:
@@ -170,22 +174,22 @@ def _template_windows(template, slot, must, widths: list[int], whole: list[int])
 
 
 def _hashed(plain, forms, widths: list[int], whole: list[int] | None = None):
-    """(positions, lengths, hashes, slots) of the plain windows, then of each template form's.
+    """(positions, lengths, hashes, slots, their values) of the plain windows, then of each template form's.
     `whole` has the lengths of items that are one window; None if this is an item."""
     found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64))]
     for width in widths:
         n = len(plain) - width + 1
         if n > 0:
             found.append((np.arange(n), np.full(n, width), mixed(windows(plain, width) + np.uint64(width))))
-    yield *(np.concatenate(x) for x in zip(*found)), None
-    for template, slot, must in forms:
+    yield *(np.concatenate(x) for x in zip(*found)), None, None
+    for template, slot, must, value in forms:
         if must.any():
             own = whole
             if whole is None:
                 own = [len(plain)] if len(plain) < WIDTH or (~slot).sum() < LEAST_PLAIN else []
-            yield *_template_windows(template, slot, must, widths, own), slot
+            yield *_template_windows(template, slot, must, widths, own), slot, value
         else:
-            yield *found[0], slot
+            yield *found[0], slot, value
 
 
 #: form is 0 for plain windows, 1 for those of the first template form and 2 for those of the second.
@@ -212,10 +216,10 @@ def _rows(id_type: str, find):
 
 
 def _listed(parts, plain, keep):
-    for form, (at, lengths, h, slot) in enumerate(parts):
+    for form, (at, lengths, h, slot, value) in enumerate(parts):
         good = keep(h)
         for p, width, x in zip(at[good].tolist(), lengths[good].tolist(), h[good].view(np.int64).tolist()):
-            yield p, x, width, len(plain), form, plain[p : p + width][slot[p : p + width]].view(np.int64).tolist() if form else []
+            yield p, x, width, len(plain), form, value[p : p + width][slot[p : p + width]].view(np.int64).tolist() if form else []
 
 
 def benchmark_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -228,7 +232,9 @@ def benchmark_windows(items: DataFrame, id_col: str = "item_id", text_col: str =
             tokens.append(Tokens())
         plain, forms = tokens[0].all_forms(text)
         width = min(WIDTH, len(plain))
-        if width >= LEAST_TOKENS:
+        if width < LEAST_TOKENS:
+            forms = []
+        if width:
             yield from _listed(_hashed(plain, forms, [width]), plain, lambda h: np.ones(len(h), bool))
 
     kind = kept.schema["id"].dataType.simpleString()
@@ -282,12 +288,13 @@ def matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col:
         if not tokens:
             tokens.append(Tokens())
         plain, forms = tokens[0].all_forms(text)
-        yield from _listed(_hashed(plain, forms, widths, whole), plain, passes)
+        own = [w for w in widths if w >= LEAST_TOKENS or w == len(plain)]
+        yield from _listed(_hashed(plain, forms, own, whole), plain, passes)
 
     kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = kept.schema["id"].dataType.simpleString()
     mine = kept.mapInArrow(lean(_rows(kind, find)), f"id {kind}, {_ROW}").select("id", F.col("pos").alias("at"), "h", "width", F.col("form").alias("own_form"), F.col("slots").alias("own"))
-    joined = mine.join(bench, ["h", "width"]).where(F.size("own") == F.size("slots"))
+    joined = mine.join(small_side(bench), ["h", "width"]).where(F.size("own") == F.size("slots"))
     pairs = F.arrays_zip(F.col("slots").alias("a"), F.col("own").alias("b"))
     form = F.greatest("form", "own_form")
 
@@ -303,7 +310,8 @@ def matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def _consistent(pairs: str) -> Column:
-    return F.size(F.array_distinct(F.col(f"{pairs}.a"))) == F.size(pairs)
+    names = F.filter(pairs, lambda p: p["a"].bitwiseAND(F.lit(1)) == 1)
+    return (F.size(F.array_distinct(F.col(f"{pairs}.a"))) == F.size(pairs)) & (F.size(F.array_distinct(F.transform(names, lambda p: p["b"]))) == F.size(names))
 
 
 def _covered(most: int) -> Column:
@@ -327,14 +335,15 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     smallest), covered (tokens of that item), n_items, n_slots, shift.
 
     Rows with the same id count as one document. Null texts and empty texts match
-    nothing; neither do items of fewer than LEAST_TOKENS tokens. Rows with a null id
+    nothing; items of fewer than LEAST_TOKENS tokens match documents that hold nothing else. Rows with a null id
     have no name to be reported by and are left out. Other columns aren't read, so
     clashing names don't matter. An empty table of documents or items gives an empty
-    result. Of items with one text the smallest id is reported."""
+    result. Of items with one text the smallest id is reported; ids of items may be of any type that has an order."""
     bench = stored(benchmark_windows(items, item_col, item_text_col), "benchmark-windows")
     hits = matches(docs.where(F.col(id_col).isNotNull()), bench, id_col, text_col).where(leaked())
-    best = F.max_by(F.struct("item_id", "covered", "n_slots", "shift"), F.struct("covered", -F.col("item_id"), -F.col("shift")))
-    return hits.groupBy(id_col).agg(F.count_distinct("item_id").alias("n_items"), best.alias("best")).select(id_col, "best.item_id", "best.covered", "n_items", "best.n_slots", "best.shift")
+    best = F.min(F.struct((-F.col("covered")).alias("covered"), "item_id", "shift", "n_slots"))
+    found = hits.groupBy(id_col).agg(F.count_distinct("item_id").alias("n_items"), best.alias("best"))
+    return found.select(id_col, "best.item_id", (-F.col("best.covered")).alias("covered"), "n_items", "best.n_slots", "best.shift")
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

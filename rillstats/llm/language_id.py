@@ -166,13 +166,23 @@ def learnt(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_c
     def count(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            own: dict[int, list[bytes]] = {}
-            for k, raw in zip(batch.column("k").to_pylist(), text_bytes(batch)):
-                own.setdefault(k, []).append(prepared(raw))
+        own: dict[int, list[bytes]] = {}
+
+        def flush():
             for k, texts in own.items():
                 order, edge, n = edges_of(*counted(texts))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(edge), k), pa.int32()), pa.array(order, pa.int32()), pa.array(edge, pa.int64()), pa.array(n, pa.int64())], ["k", "order", "edge", "n"])
+            own.clear()
+
+        size = 0
+        for batch in batches:
+            for k, raw in zip(batch.column("k").to_pylist(), text_bytes(batch)):
+                own.setdefault(k, []).append(prepared(raw))
+                size += len(raw)
+                if size >= CHUNK:
+                    yield from flush()
+                    size = 0
+        yield from flush()
 
     sums = stored(few.mapInArrow(lean(count), "k int, order int, edge long, n long").groupBy("k", "order", "edge").agg(F.sum("n").alias("n")), "language-edges")
     most = max(256, min(edges, ALL_EDGES // len(langs)))

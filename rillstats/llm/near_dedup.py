@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WordHashes, discard, lean, mixed, read_table, small_side, stored, text_bytes, windows
+from .common import WordHashes, discard, fresh, lean, mixed, read_table, small_side, stored, text_bytes, windows
 
 PERMUTATIONS = 95
 ROWS = 5
@@ -314,20 +314,22 @@ def _result(signed: DataFrame, heads: DataFrame, component: DataFrame | None, id
 def deduplicated(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that stay: of each component the document
     with the smallest id. Of rows with the same id and text one stays; an id whose texts
-    differ stays if one of its texts does. Rows with a null id stay."""
+    differ stays if one of its texts does. Rows with a null id stay, and so do null and empty
+    texts. Texts are read whole; other columns may have any names; an empty table stays empty."""
     found = linked(docs, width, id_col=id_col, text_col=text_col).where(F.col(id_col).isNotNull())
-    ids = stored(found.groupBy(F.col(id_col).alias("_id")).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows")), "kept-ids")
-    gone = ids.where("not kept").select("_id")
-    stay = docs.join(small_side(gone), F.col(id_col) == F.col("_id"), "left_anti")
-    again = ids.where("kept and rows > 1").select("_id")
+    named, place = fresh(docs, "kept_id", "place")
+    ids = stored(found.groupBy(F.col(id_col).alias(named)).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows")), "kept-ids")
+    same = F.col(id_col) == F.col(named)
+    stay = docs.join(small_side(ids.where("not kept").select(named)), same, "left_anti")
+    again = ids.where("kept and rows > 1").select(named)
     if again.isEmpty():
         return stay
     again = small_side(again)
-    repeated = stay.join(again, F.col(id_col) == F.col("_id"), "left_semi")
-    others = [c for c in docs.columns if c not in (id_col, text_col)]
-    place = F.row_number().over(Window.partitionBy(id_col, text_col).orderBy(*others or [id_col]))
-    one = repeated.withColumn("_place", place).where("_place = 1").drop("_place")
-    return stay.join(again, F.col(id_col) == F.col("_id"), "left_anti").unionByName(one)
+    repeated = stay.join(again, same, "left_semi")
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)]
+    first = F.row_number().over(Window.partitionBy(id_col, text_col).orderBy(*others or [F.col(id_col)]))
+    one = repeated.withColumn(place, first).where(F.col(place) == 1).drop(place)
+    return stay.join(again, same, "left_anti").unionByName(one)
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, small_side
+from .common import hash_share, read_table, small_side
 from .quality_rules import let, ratio, statistics, words_of
 
 #: Labelled rows that are learnt from, about.
@@ -133,8 +133,7 @@ def learnt(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     hash of the id. Several labels of one id count by their majority."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg((F.avg(label_col) >= 0.5).cast("double").alias("y"))
     n = known.count()
-    part = F.pmod(F.xxhash64(F.col("_id").cast("string"), F.lit("quality sample")), F.lit(1_000_000))
-    few = known.where(part < int(min(1, sample_rows / max(n, 1)) * 1_000_000))
+    few = known.where(F.xxhash64(F.col("_id").cast("string"), F.lit("quality sample")) <= hash_share(sample_rows / max(n, 1)))
     own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(small_side(few), "_id")
     rows = features(own, "_id", "text", ("y",)).toPandas().sort_values(["_id", *FEATURES])
     return fitted(rows[list(FEATURES)].to_numpy(float), rows["y"].to_numpy(float))

@@ -47,18 +47,18 @@ class Counter:
             self.known.clear()
         start = size = 0
         for k, part in enumerate(new):
-            size += len(part)
+            size += len(part) if part.isascii() else len(part.encode())
             if size >= CALL_BYTES or k == len(new) - 1:
                 some = new[start : k + 1]
                 self.known.update(zip(some, map(len, self.library.encode(some, num_threads=1))))
                 start, size = k + 1, 0
 
-    def count(self, texts: list[str]) -> list[int]:
-        """Texts are taken in groups of about the same number of bytes."""
+    def count(self, texts: list[bytes]) -> list[int]:
+        """Texts in UTF-8 are taken in groups of about the same number of bytes."""
         out, group, size = [], [], 0
-        for k, text in enumerate(texts):
-            group.append(self.parts(text))
-            size += len(text)
+        for k, raw in enumerate(texts):
+            group.append(self.parts(raw.decode("utf-8", "replace")))
+            size += len(raw)
             if size >= 4 * CALL_BYTES or k == len(texts) - 1:
                 need = set().union(*group)
                 new = [x for x in need if x not in self.known]
@@ -92,7 +92,7 @@ def count_tokens(docs: DataFrame, model: str, limit: int = 4096, id_col: str = "
         c = counter(model)
         for batch in batches:
             raw = list(text_bytes(batch))
-            n = pa.array(c.count([x.decode("utf-8", "replace") for x in raw]), pa.int64())
+            n = pa.array(c.count(raw), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(map(len, raw), pa.int64()), n], ["id", "n_bytes", "n_tokens"])
 
     out = kept.mapInArrow(run, f"id {kept.schema['id'].dataType.simpleString()}, n_bytes long, n_tokens long")

@@ -128,6 +128,19 @@ def test_other_parameters_are_found_and_inconsistent_ones_are_not(spark):
     assert [(r.doc_id, r.item_id) for r in got] == [(1, 9)]
 
 
+def test_different_names_stay_different(spark):
+    item = "Every morning Alice buys 3 red apples and then Robert sells 2 of them to Alice near the old stone bridge"
+    new = "Every morning {} buys {} red apples and then {} sells {} of them to {} near the old stone bridge"
+    texts = [new.format("Maria", 7, "Peter", 9, "Maria"), new.format("Maria", 7, "Maria", 9, "Maria"), new.format("Maria", 7, "Peter", 7, "Maria"), new.format("Maria", 7, "Peter", 9, "Clara")]
+    assert leaks(spark, item, texts) == {0, 2}
+
+
+def test_short_items_and_names_of_any_type(spark):
+    items = spark.createDataFrame([("b", "Yes indeed"), ("a", "No"), ("c", "x y z one two three")], "item_id string, text string")
+    docs = spark.createDataFrame([(1, "Yes indeed!"), (2, "He said yes indeed to all"), (3, "no"), (4, "No, no."), (5, "x y z one two three and more"), (None, "no")], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, items).collect()} == {(1, "b"), (3, "a"), (5, "c")}
+
+
 def leaks(spark, item, texts):
     items = spark.createDataFrame([(9, item)], "item_id long, text string")
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -360,7 +373,7 @@ def test_counts_are_the_librarys(spark):
     pool = ["a", "b", " ", "  ", "▁", "the", "\n", "\t", "é", "漢", "<s>", "</s>", "<unk>", "ing", ".", "\x00", "😀"]
     texts = ["".join(rng.choices(pool, k=rng.randrange(14))) for _ in range(3000)] + [t or "" for t in edge_texts()]
     want = [len(x) for x in c.library.encode(texts)]
-    assert c.count(texts) == want
+    assert c.count([t.encode() for t in texts]) == want
     docs = spark.createDataFrame(list(enumerate(texts[-60:])), "doc_id long, text string")
     got = {r.doc_id: (r.n_tokens, r.n_bytes, r.over_limit) for r in token_counts.count_tokens(docs, "piece_bpe_32k.model").collect()}
     assert got == {k: (n, len(t.encode()), n > 4096) for k, (t, n) in enumerate(zip(texts[-60:], want[-60:]))}
@@ -370,7 +383,7 @@ def test_memory_of_parts_is_bounded(monkeypatch):
     c = token_counts.Counter("piece_bpe_32k.model")
     monkeypatch.setattr(token_counts, "REMEMBERED", 50)
     texts = [prose(k, 30) + f" u{k} v{k}" for k in range(60)]
-    assert c.count(texts) == [len(x) for x in c.library.encode(texts)]
+    assert c.count([t.encode() for t in texts]) == [len(x) for x in c.library.encode(texts)]
 
 
 # 6
@@ -617,6 +630,21 @@ def test_branches(spark):
     assert got == {("t", 1): ["q", "a", "d"], ("t", 2): ["q", "b", "c"], ("v", 1): [None]}
 
 
+def test_trees_with_nulls_repeats_and_circles(spark):
+    kind = "tree string, id long, parent long, score double, role string, text string, branch string, depth string"
+    rows = [(None, 1, None, None, "user", "a"), (None, 2, 1, 1.0, "assistant", "b"), ("", 1, None, 1.0, "user", "c"), ("r", 1, None, 1.0, "user", "d"), ("r", 1, None, 1.0, "user", "d"), ("r", 1, None, 1.0, "user", "z"), ("r", 2, 1, 1.0, "assistant", "e"), ("r", None, 1, 9.0, "assistant", "x")]
+    rows += [("c", k, k % 40 + 1, 1.0, "user", "circle") for k in range(1, 41)] + [("c", 99, 7, 1.0, "user", "below a circle"), ("c", 100, None, 1.0, "user", "f")]
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], kind)
+    got = collections.defaultdict(list)
+    for r in sorted(chat_format.paths(df, 5).collect(), key=lambda r: (r.tree or "", r.branch, r.depth)):
+        got[r.tree, r.branch].append(r.text)
+    assert got == {(None, 1): ["a", "b"], ("", 1): ["c"], ("r", 1): ["d", "e"], ("c", 1): ["f"]}
+    assert chat_format.paths(df.where("false")).collect() == []
+    turns = spark.createDataFrame([("t", 1, 0, "assistant", x) for x in ("b", "a", "b", "")], "tree string, branch int, depth int, role string, text string")
+    r = chat_format.read_back(chat_format.formatted(turns)).first()
+    assert sorted(t.text for t in r.turns) == ["", "a", "b", "b"] and r.loss_text == "".join(t.text for t in r.turns)
+
+
 def test_texts_read_back(spark):
     rng = random.Random(4)
     texts = ["".join(rng.choices(["\\", "<", ">", "turn ", "</turn>\n", "0", "1", "2", "é", "\n", "😀"], k=rng.randrange(12))) for _ in range(60)]
