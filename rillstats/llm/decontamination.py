@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, lean, mixed, read_table, small_side, stored, text_bytes, windows
+from .common import lean, mixed, read_table, small_side, stored, text_bytes, windows
 
 WIDTH = 8
 #: Tokens of an item that is searched for inside documents; a shorter one names no passage and
@@ -50,22 +50,32 @@ _PLACEHOLDER = {_NUM: np.uint64(0x1111111111111111), _UNIT: np.uint64(0x22222222
 class Tokens(dict):
     """Raw tokens to places in arrays of their plain hashes and kinds; up to `most` at a time."""
 
-    def __init__(self, most: int = 1 << 17):
-        self.most, self.hash, self.kind, self.words = most, np.zeros(most, np.uint64), np.zeros(most, np.uint8), WordHashes(0)
+    def __init__(self, most: int = 1 << 18):
+        import xxhash
+
+        self.most, self.hash, self.kind, self.digest = most, np.zeros(most, np.uint64), np.zeros(most, np.uint8), xxhash.xxh3_64_intdigest
 
     def __missing__(self, raw: bytes) -> int:
         at = len(self)
-        core = raw.strip(_EDGE)
-        kind = _ENDS * (raw.rstrip(b"\"')]")[-1:] in (b".", b"!", b"?", b":"))
-        if not core:
-            kind |= _EMPTY
-        elif _NUMBER.match(core):
-            kind |= _NUM
+        if raw.isalpha():  # ASCII letters only
+            core, kind = raw.lower(), _NAME * raw[:1].isupper()
+            kind |= _UNIT * (core in UNITS)
         else:
-            low = core.lower()
-            kind |= _UNIT * (low in UNITS) | _NAME * (core[:1].isupper() or core.decode("utf-8", "replace")[0].isupper())
-            core = core.decode("utf-8", "replace").lower().encode("utf-8", "replace")
-        self.hash[at], self.kind[at] = self.words.__missing__(core), kind
+            core = raw.strip(_EDGE)
+            kind = _ENDS * (raw.rstrip(b"\"')]")[-1:] in (b".", b"!", b"?", b":"))
+            if not core:
+                kind |= _EMPTY
+            elif _NUMBER.match(core):
+                kind |= _NUM
+            elif core.isascii():
+                kind |= _NAME * core[:1].isupper()
+                core = core.lower()
+                kind |= _UNIT * (core in UNITS)
+            else:
+                word = core.decode("utf-8", "replace")
+                kind |= _UNIT * (core.lower() in UNITS) | _NAME * word[0].isupper()
+                core = word.lower().encode("utf-8", "replace")
+        self.hash[at], self.kind[at] = self.digest(core), kind
         self[raw] = at
         return at
 
@@ -218,6 +228,8 @@ def _rows(id_type: str, find):
 def _listed(parts, plain, keep):
     for form, (at, lengths, h, slot, value) in enumerate(parts):
         good = keep(h)
+        if not len(good):
+            continue
         for p, width, x in zip(at[good].tolist(), lengths[good].tolist(), h[good].view(np.int64).tolist()):
             yield p, x, width, len(plain), form, value[p : p + width][slot[p : p + width]].view(np.int64).tolist() if form else []
 
@@ -235,14 +247,21 @@ def benchmark_windows(items: DataFrame, id_col: str = "item_id", text_col: str =
         if width < LEAST_TOKENS:
             forms = []
         if width:
-            yield from _listed(_hashed(plain, forms, [width]), plain, lambda h: np.ones(len(h), bool))
+            yield from _listed(_hashed(plain, forms, [width]), plain, lambda h: np.arange(len(h)))
 
     kind = kept.schema["id"].dataType.simpleString()
     return kept.mapInArrow(lean(_rows(kind, find)), f"id {kind}, {_ROW}").withColumnRenamed("id", "item_id")
 
 
-def _bits(h: np.ndarray, mask: int) -> tuple[np.ndarray, np.ndarray]:
-    return h & np.uint64(mask), (h >> np.uint64(32)) & np.uint64(mask)
+def marked(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Places in h of the hashes that the bitmap may hold. Both of a hash's bits are set; the
+    second is looked at where the first is."""
+    mask, at = np.uint64(8 * len(bitmap) - 1), None
+    for shift in (0, 32):
+        bit = ((h if at is None else h[at]) >> np.uint64(shift)) & mask
+        yes = np.nonzero((bitmap[(bit >> np.uint64(3)).view(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1)[0]
+        at = yes if at is None else at[yes]
+    return at
 
 
 def bitmap(bench: DataFrame) -> tuple[np.ndarray, list[int], list[int]]:
@@ -252,16 +271,12 @@ def bitmap(bench: DataFrame) -> tuple[np.ndarray, list[int], list[int]]:
     size = 1 << 18
     while size < min(MOST_BITS, 16 * sum(r["n"] for r in found)):
         size *= 2
-    both = F.array(F.col("h").bitwiseAND(F.lit(size - 1)), F.shiftrightunsigned("h", 32).bitwiseAND(F.lit(size - 1)))
+    both = F.array(F.col("h").bitwiseAND(F.lit(size - 1)) + 1, F.shiftrightunsigned("h", 32).bitwiseAND(F.lit(size - 1)) + 1)
     parts = bench.select(F.explode(both).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map")).collect()
-    out = np.zeros(size // 8 + 4096, np.uint8)
-    for r in parts:
-        # bucket b holds values 32768 (b - 1) + 1 .. 32768 b for b > 0; bit_position counts from 0 in a bucket
+    out = np.zeros(max(size // 8, 4096), np.uint8)
+    for r in parts:  # bucket b > 0 has values 32768 (b - 1) + 1 .. 32768 b, so value v + 1 is bit v of the whole
         own = np.frombuffer(bytes(r["map"]), np.uint8)
-        out[(r["bucket"] - 1) * 4096 : (r["bucket"] - 1) * 4096 + len(own)] |= own if r["bucket"] > 0 else 0
-        if r["bucket"] == 0:
-            zero = bool(own.any())
-            out[-1] |= zero
+        out[(r["bucket"] - 1) * 4096 : (r["bucket"] - 1) * 4096 + len(own)] |= own
     return out, sorted({r["width"] for r in found if r["plain"]}), sorted({r["width"] for r in found if r["whole"] and not r["plain"]})
 
 
@@ -269,27 +284,15 @@ def matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col:
     """Alignments: id, item_id, shift, covered (by the plain windows and, as far as slots are
     replaced consistently, by template windows), n_tokens, n_slots (of those), consistent."""
     found, widths, whole = bitmap(bench)
-    mask = 8 * (len(found) - 4096) - 1
     shared = docs.sparkSession.sparkContext.broadcast(found)
     tokens: list = []
 
-    def passes(h):
-        m = shared.value
-        out = None
-        for bit in _bits(h, mask):
-            # value v > 0 is bit (v - 1) of the map; value 0 is marked in the last byte
-            v = bit.astype(np.int64) - 1
-            yes = (m[np.maximum(v, 0) >> 3] >> (np.maximum(v, 0) & 7).astype(np.uint8)) & 1
-            yes = np.where(v < 0, m[-1] > 0, yes > 0)
-            out = yes if out is None else out & yes
-        return out
-
     def find(text):
         if not tokens:
             tokens.append(Tokens())
         plain, forms = tokens[0].all_forms(text)
         own = [w for w in widths if w >= LEAST_TOKENS or w == len(plain)]
-        yield from _listed(_hashed(plain, forms, own, whole), plain, passes)
+        yield from _listed(_hashed(plain, forms, own, whole), plain, lambda h: marked(shared.value, h))
 
     kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = kept.schema["id"].dataType.simpleString()
