@@ -13,12 +13,12 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.hashing import splitmix64_int, with_splitmix64, wrapped_add, wrapped_times
+from ..plans.run import join_by
 from ..plans.stat import Events, Row, Stat
 
 PROBABILITIES = (0.5, 0.75, 0.9, 0.95, 0.99, 0.999)
@@ -63,9 +63,14 @@ class Keyed(Stat):
         """by and the number of events that the sketch has taken in."""
         return self.live(events)[0].groupBy(*by).agg(F.count(F.lit(1)).alias("total_seen"))
 
-    def _hashed(self, events: Events, by: list[str]) -> DataFrame:
+    def _keys(self, events: Events, by: list[str]) -> DataFrame:
+        """by and the different keys as _v: a repeated key changes nothing, so it is dropped
+        before anything is made of it."""
         df, r = self.live(events)
-        return with_splitmix64(df.select(*by, r.value.cast("long").alias("_v")), F.col("_v"), "_h")
+        return df.select(*by, r.value.cast("long").alias("_v")).distinct()
+
+    def _hashed(self, events: Events, by: list[str]) -> DataFrame:
+        return with_splitmix64(self._keys(events, by), F.col("_v"), "_h")
 
 
 def _bits_of(size: int) -> int:
@@ -80,7 +85,7 @@ def _bits_of(size: int) -> int:
 class HyperLogLog(Keyed):
     """Distinct keys by 2^precision registers. With few keys empty registers are counted."""
 
-    modality = "discrete"
+    modality, single = "discrete", True
     index, cell = ("idx",), "rho"
 
     def __init__(self, precision: int = 14):
@@ -111,7 +116,7 @@ class HyperLogLog(Keyed):
 class LinearCounting(Keyed):
     """Distinct keys by a bit map; +Infinity once it is full."""
 
-    modality = "discrete"
+    modality, single = "discrete", True
     index, cell = ("word",), "bits"
 
     def __init__(self, bits: int = 4096):
@@ -156,8 +161,7 @@ class BloomFilter(Keyed):
         return two.withColumn("_at", F.array(*at)).drop("_h1", "_h2")
 
     def parts(self, events, by):
-        df, r = self.live(events)
-        at = self.positions(df.select(*by, r.value.alias("_v")), F.col("_v")).select(*by, F.explode_outer("_at").alias("_p"))
+        at = self.positions(self._keys(events, by), F.col("_v")).select(*by, F.explode_outer("_at").alias("_p"))
         return at.select(*by, F.shiftright("_p", 6).alias("word"), F.expr("shiftleft(1L, int(_p & 63))").alias("bits"))
 
     def joined(self, c):
@@ -201,7 +205,9 @@ class CountMinSketch(Keyed):
         r = self.rows(events.row)
         whole = F.rint(r.w).cast("long")
         df, r = self.live(events, whole > 0)
-        at = self.columns(df.select(*by, r.value.alias("_v"), whole.alias("count")), F.col("_v"))
+        # A key's weights are summed up before it is made into a cell for each row.
+        sums = df.select(*by, r.value.alias("_v"), whole.alias("_n")).groupBy(*by, "_v").agg(F.sum("_n").alias("count"))
+        at = self.columns(sums, F.col("_v"))
         return at.select(*by, F.explode_outer("_at").alias("_p"), "count").select(*by, "_p.row", "_p.col", "count")
 
     def estimate(self, cells: DataFrame, probes: DataFrame, value: str) -> DataFrame:
@@ -228,10 +234,8 @@ class MinHash(Keyed):
         self.salts = [splitmix64_int(seed + i) for i in range(hashes)]
 
     def parts(self, events, by):
-        df, r = self.live(events)
         salts = F.array(*(F.struct(F.lit(i).alias("slot"), F.lit(s).alias("salt")) for i, s in enumerate(self.salts)))
-        keys = df.select(*by, r.value.alias("_v")).distinct()  # a repeated key changes nothing
-        each = keys.select(*by, "_v", F.explode(salts).alias("_s"))
+        each = self._keys(events, by).select(*by, "_v", F.explode(salts).alias("_s"))
         return with_splitmix64(each, F.col("_v").bitwiseXOR(F.col("_s.salt")), "signature").select(*by, F.col("_s.slot").alias("slot"), "signature")
 
     def joined(self, c):
@@ -255,7 +259,7 @@ def quantile_of(bins: DataFrame, by: list[str], order: str, value: Column, proba
     w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     whole = bins.groupBy(*by).agg(F.sum(weight).alias("_total"))
     summed = bins.withColumn("_cum", F.sum(weight).over(w))
-    summed = summed.join(whole, list(by)) if by else summed.crossJoin(F.broadcast(whole))  # one row
+    summed = join_by(summed, whole, by)
     each = [F.min_by(value, F.when(F.col("_cum") >= F.lit(p) * F.col("_total"), F.col(order))).alias(f"q{k}") for k, p in enumerate(probabilities)]
     got = summed.groupBy(*by).agg(F.first("_total").alias("total_weights"), *each)
     return got.select(*by, "total_weights", F.posexplode(F.array(*(F.coalesce(F.col(f"q{k}"), F.lit(0.0)) for k in range(len(probabilities))))).alias("_k", "quantile")).select(
@@ -265,7 +269,10 @@ def quantile_of(bins: DataFrame, by: list[str], order: str, value: Column, proba
 
 class DDSketch(Keyed):
     """Quantiles with a bounded relative error by logarithmic bins, mirrored below 0. Values
-    near 0 and NaN fall in a bin of their own."""
+    near 0 and NaN fall in a bin of their own, and infinite ones in the outermost bin of their
+    sign, INFINITE, whose value is infinite."""
+
+    INFINITE = 2**31 - 1
 
     index = ("sign", "idx")
 
@@ -279,12 +286,14 @@ class DDSketch(Keyed):
     def parts(self, events, by):
         df, r = self.live(events)
         v, size = r.value, F.abs(r.value)
-        idx = F.when((size > 0) & ~F.isnan(v), F.ceil(F.log(F.when(size > 0, size)) / F.lit(math.log(self.gamma)))).otherwise(F.lit(0))
+        finite = (size > 0) & ~F.isnan(v) & (size < math.inf)
+        idx = F.when(finite, F.ceil(F.log(F.when(finite, size)) / F.lit(math.log(self.gamma)))).when(size == math.inf, F.lit(self.INFINITE)).otherwise(F.lit(0))
         sign = F.when(F.isnan(v), F.lit(0)).otherwise(F.signum(v).cast("int"))
         return df.select(*by, sign.cast("int").alias("sign"), idx.cast("int").alias("idx"), r.w.alias("value"))
 
     def value_of(self) -> Column:
-        return F.col("sign") * F.lit(2.0) * F.pow(F.lit(self.gamma), F.col("idx").cast("double")) / F.lit(1 + self.gamma)
+        finite = F.col("sign") * F.lit(2.0) * F.pow(F.lit(self.gamma), F.col("idx").cast("double")) / F.lit(1 + self.gamma)
+        return F.when(F.col("idx") == self.INFINITE, F.col("sign") * F.lit(math.inf)).otherwise(finite)
 
     def read(self, cells: DataFrame, by: list[str] = (), probabilities=None) -> DataFrame:
         placed = cells.withColumn("_order", F.col("sign").cast("long") * F.lit(1 << 32) + F.col("sign") * F.col("idx"))
@@ -293,7 +302,8 @@ class DDSketch(Keyed):
     def histogram(self, cells: DataFrame, by: list[str] = ()) -> DataFrame:
         """Bounds and weight of each bin."""
         g, k = F.lit(self.gamma), F.col("idx").cast("double")
-        inner, outer = F.pow(g, k - 1), F.pow(g, k)
+        infinite = F.col("idx") == self.INFINITE
+        inner, outer = F.when(infinite, F.lit(math.inf)).otherwise(F.pow(g, k - 1)), F.when(infinite, F.lit(math.inf)).otherwise(F.pow(g, k))
         lower = F.when(F.col("sign") > 0, inner).when(F.col("sign") < 0, -outer).otherwise(F.lit(0.0))
         upper = F.when(F.col("sign") > 0, outer).when(F.col("sign") < 0, -inner).otherwise(F.lit(0.0))
         return cells.select(*by, lower.alias("lower_bound"), upper.alias("upper_bound"), F.col("value").alias("weight"))
@@ -332,7 +342,8 @@ class LinearHistogram(Keyed):
 
 class HdrHistogram(Keyed):
     """Buckets of whole multiples of a smallest value, with a fixed number of significant
-    digits. Negative values and NaN are errors."""
+    digits. Negative values and NaN are errors; what is above 2^63 - 1 multiples, infinity too, falls in the
+    last bucket."""
 
     def __init__(self, lowest: float = 0.001, digits: int = 3):
         super().__init__()
@@ -344,7 +355,8 @@ class HdrHistogram(Keyed):
         df, r = self.live(events)
         v = r.value
         checked = F.when((v >= 0) & ~F.isnan(v), v).otherwise(F.raise_error(F.lit("values must be numbers and not below 0")).cast("double"))
-        units = (checked * F.lit(1 / self.lowest)).cast("long")
+        multiple = checked * F.lit(1 / self.lowest)
+        units = F.when(multiple >= float(2**63), F.lit(LARGEST)).otherwise(F.when(multiple < float(2**63), multiple).cast("long"))
         based = df.select(*by, units.alias("_u"), r.w.alias("value"))
         # the bucket: how far the value must be shifted to have half_bits + 1 bits at most
         length = F.length(F.conv(F.greatest(F.col("_u"), F.lit(1)).cast("string"), 10, 2))
@@ -363,6 +375,7 @@ class HdrHistogram(Keyed):
         return cells.select(*by, lower.alias("lower_bound"), upper.alias("upper_bound"), F.col("value").alias("weight"))
 
 
-def random_key(seed: int, row_id: Column) -> Column:
-    """A number in (0, 1) that depends on the row alone."""
-    return (F.shiftrightunsigned(F.xxhash64(row_id, F.lit(seed)), 11).cast("double") + F.lit(0.5)) / F.lit(float(np.float64(2.0) ** 53))
+def with_random_key(df: DataFrame, seed: int, row_id: Column, name: str) -> DataFrame:
+    """df with a number in (0, 1) that depends on the row's id alone."""
+    hashed = with_splitmix64(df, row_id.cast("long").bitwiseXOR(F.lit(splitmix64_int(seed))), name)
+    return hashed.withColumn(name, (F.shiftrightunsigned(name, 11).cast("double") + F.lit(0.5)) / F.lit(float(1 << 53)))

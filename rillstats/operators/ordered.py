@@ -1,10 +1,20 @@
 """Statistics that depend on the order of arrival, or that no grouped aggregate can say.
 
-CounterRate and EwmaMean are window plans. EwmaVariance, FrugalQuantile and the faithful
+EwmaMean and EwmaVariance are linear in their state, so ranges of a key's events are summed up
+on their own and joined in order: no task gets a key as a whole. CounterRate is a window
+plan over each key. FrugalQuantile and the faithful
 SpaceSaving fold the events of a group in order in one Python function per group, so one
 group's events go to one task: by nature these don't spread out. TDigest and
 SpaceSaving's exact form, and the reservoir, do spread: they are reduced in every
-partition before the shuffle."""
+partition before the shuffle.
+
+Each has
+
+    state(events, by, as_of)            a table of states
+    merge([state, ...], by, as_of, order)   one of several, in order
+    read(state, by, as_of)              results
+    of(events, by, as_of)               results of events
+"""
 
 from __future__ import annotations
 
@@ -16,12 +26,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..plans.stat import Events, Stat
-from .keyed import PROBABILITIES, random_key
+from ..plans.run import STATE, as_time, join_by
+from ..plans.stat import Events, Stat, merged_fields
+from .keyed import PROBABILITIES, with_random_key
 
 
 class Ordered(Stat):
     kind = "ordered"
+    #: Whether events must have a sequence column.
+    needs_seq = True
 
     def _events(self, events: Events, by: list[str], **more: Column) -> DataFrame:
         r = self.rows(events.row)
@@ -33,21 +46,68 @@ class Ordered(Stat):
             raise ValueError(f"{type(self).__name__} needs a sequence column")
         return events.row.seq
 
+    def of(self, events: Events, by: list[str] = (), as_of: int | None = None) -> DataFrame:
+        if as_of is None and getattr(self, "timed", False):
+            as_of = events.df.agg(F.max(events.row.ts)).first()[0] or 0
+        return self.read(self.state(events, by, as_of), by, as_of)
+
 
 def _whole(by: list[str]):
     return list(by) if by else [F.lit("")]
 
 
-class CounterRate(Ordered):
+class Scalar(Ordered):
+    """State: a struct of a few numbers in the column `state`, one row a group. Without by
+    columns there is always a row."""
+
+    single = True
+
+    def fold(self, states: Column, as_of: Column | None) -> dict[str, Column]:
+        """The state of an array of states, in order."""
+        raise NotImplementedError
+
+    def fields(self, s: Column, as_of: Column | None) -> dict[str, Column]:
+        raise NotImplementedError
+
+    def nothing(self, as_of: Column | None) -> dict[str, Column]:
+        """The state of no events."""
+        raise NotImplementedError
+
+    def _states(self, df: DataFrame, by: list[str], as_of) -> DataFrame:
+        """A row where there is none and no by columns."""
+        if by:
+            return df
+        one = df.sparkSession.range(1).join(F.broadcast(df), F.lit(True), "left")
+        return one.select(F.coalesce(STATE, merged_fields(self.nothing(as_time(as_of)))).alias(STATE))
+
+    def merge(self, states: list[DataFrame], by: list[str] = (), as_of: int | Column | None = None, order: Column | None = None) -> DataFrame:
+        """A group has as many states as parts, so folding them in an array is bounded."""
+        by, every = list(by), None
+        for k, s in enumerate(states):
+            one = s.select(*by, F.struct(F.lit(k).alias("part"), (F.lit(0) if order is None else order).cast("long").alias("order")).alias("_at"), STATE)
+            every = one if every is None else every.unionByName(one)
+        lists = every.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_at", STATE))).alias("_s"))
+        got = lists.select(*by, F.transform("_s", lambda x: x[STATE]).alias("_s"))
+        time = as_time(as_of)
+        out = got.select(*by, F.when(F.size("_s") > 0, merged_fields(self.fold(F.col("_s"), time))).alias(STATE))
+        return self._states(out, by, as_of)
+
+    def read(self, state: DataFrame, by: list[str] = (), as_of: int | Column | None = None) -> DataFrame:
+        return state.select(*by, *(c.alias(n) for n, c in self.fields(F.col(STATE), as_time(as_of)).items()))
+
+
+class CounterRate(Scalar):
     """Rate of a counter that only grows. A smaller sample is a reset and counts as its own
     value (or as nothing); samples whose time is not after all earlier ones are dropped, and
-    so are NaN samples."""
+    so are NaN samples. Merged states add up; what lies between them isn't counted."""
+
+    timed = True
 
     def __init__(self, decrease_is_reset: bool = True):
         super().__init__()
         self.decrease_is_reset = decrease_is_reset
 
-    def read(self, events: Events, by: list[str] = (), as_of: int | None = None) -> DataFrame:
+    def state(self, events: Events, by: list[str] = (), as_of: int | Column | None = None) -> DataFrame:
         r, by = self.rows(events.row), list(by)
         df = self._events(events, by, _ts=r.ts, _seq=self._need_seq(events)).where(~F.isnan("_v"))
         if as_of is None:
@@ -62,89 +122,137 @@ class CounterRate(Ordered):
         delta = F.coalesce(F.greatest(grown * F.col("_w"), F.lit(0.0)), F.lit(0.0))
         each = kept.withColumn("_delta", delta).withColumn("_start", F.when(F.col("_delta") > 0, F.when(reset, F.col("_ts")).otherwise(F.col("_since"))))
         first = F.min_by("_start", F.when(F.col("_start").isNotNull(), F.col("_seq")))
-        got = each.groupBy(*by).agg(F.coalesce(F.sum("_delta"), F.lit(0.0)).alias("total_value"), F.coalesce(first, F.lit(as_of).cast("long")).alias("start_timestamp_nanos"))
-        seconds = (F.lit(as_of).cast("long") - F.col("start_timestamp_nanos")) / F.lit(1e9)
-        return got.withColumn("timestamp_nanos", F.lit(as_of).cast("long")).withColumn("rate", F.when(seconds > 0, F.col("total_value") / F.when(seconds > 0, seconds)).otherwise(F.lit(0.0)))
+        got = each.groupBy(*by).agg(F.coalesce(F.sum("_delta"), F.lit(0.0)).alias("total"), first.alias("start"))
+        return self._states(got.select(*by, F.struct("total", "start", as_time(as_of).alias("ts")).alias(STATE)), by, as_of)
+
+    def nothing(self, as_of):
+        return {"total": F.lit(0.0), "start": F.lit(None).cast("long"), "ts": F.coalesce(as_of, F.lit(0).cast("long")) if as_of is not None else F.lit(0).cast("long")}
+
+    def fold(self, states, as_of):
+        live = F.filter(states, lambda s: s["total"] != 0)
+        last = F.array_max(F.transform(states, lambda s: s["ts"]))
+        return {"total": F.aggregate(states, F.lit(0.0), lambda a, s: a + s["total"]), "start": F.array_min(F.transform(live, lambda s: s["start"])), "ts": last if as_of is None else as_of}
 
+    def fields(self, s, as_of):
+        now = s["ts"] if as_of is None else as_of
+        start = F.coalesce(s["start"], now)
+        seconds = (now - start) / F.lit(1e9)
+        return {"total_value": s["total"], "start_timestamp_nanos": start, "timestamp_nanos": now, "rate": F.when(seconds > 0, s["total"] / F.when(seconds > 0, seconds)).otherwise(F.lit(0.0))}
 
-class EwmaMean(Ordered):
-    """Exponentially weighted mean on a clock of weights, corrected for its start."""
+
+class _Ewma(Scalar):
+    """Exponentially weighted sums on a clock of weights. With shares a = 1 - exp(-alpha * w) and
+    what later weights leave of an event, the mean is the sum of shares times values; the
+    variance's recursion M <- (1 - a) (M + a d^2) gives the like sum of squares less the mean's square.
+    Both are linear in what came before, so sums of ranges of the order are joined by
+    old * exp(-alpha * later weights) + new."""
 
     def __init__(self, alpha: float):
         super().__init__()
         self.alpha = alpha
 
-    def state(self, events: Events, by: list[str] = ()) -> DataFrame:
-        """by, total_weights, biased (the mean before correction)."""
-        by = list(by)
-        df = self._events(events, by, _seq=self._need_seq(events))
-        later = Window.partitionBy(*_whole(by)).orderBy(F.desc("_seq")).rowsBetween(Window.unboundedPreceding, -1)
-        part = (F.lit(1.0) - F.exp(F.lit(-self.alpha) * F.col("_w"))) * F.col("_v") * F.exp(F.lit(-self.alpha) * F.coalesce(F.sum("_w").over(later), F.lit(0.0)))
-        return df.withColumn("_part", part).groupBy(*by).agg(F.coalesce(F.sum("_w"), F.lit(0.0)).alias("total_weights"), F.coalesce(F.sum("_part"), F.lit(0.0)).alias("biased"))
+    def _left(self, w: Column) -> Column:
+        return F.exp(F.lit(-self.alpha) * w)
 
     def _correction(self, w: Column) -> Column:
-        return F.lit(1.0) - F.exp(F.lit(-self.alpha) * w)
-
-    def read(self, events: Events, by: list[str] = ()) -> DataFrame:
-        c = self._correction(F.col("total_weights"))
-        return self.state(events, by).select(*by, "total_weights", F.when(c > 0, F.col("biased") / F.when(c > 0, c)).otherwise(F.lit(0.0)).alias("mean"))
-
-    def merge(self, results: list[DataFrame], by: list[str] = ()) -> DataFrame:
-        """The mean of results by their weights. This isn't the result of the joined events."""
-        every = results[0]
-        for r in results[1:]:
-            every = every.unionByName(r)
-        w = F.sum("total_weights")
-        return every.groupBy(*by).agg(w.alias("total_weights"), F.when(w != 0, F.sum(F.col("mean") * F.col("total_weights")) / w).otherwise(F.lit(0.0)).alias("mean"))
-
-
-class _Folded(Ordered):
-    """One Python fold over each group's events in order."""
-
-    schema = ""
+        return F.lit(1.0) - self._left(w)
 
-    def fold(self, value: np.ndarray, weight: np.ndarray) -> dict:
-        raise NotImplementedError
-
-    def read(self, events: Events, by: list[str] = ()) -> DataFrame:
-        by = list(by)
+    def _sums(self, events: Events, by: list[str], powers: dict[str, Column]) -> DataFrame:
+        """by, total_weights and the sums of powers, of columns of _events."""
         df = self._events(events, by, _seq=self._need_seq(events))
-        fold = self.fold
+        dealt = df.repartitionByRange(*by, "_seq").withColumn("_range", F.spark_partition_id())
+        later = Window.partitionBy(*by, "_range").orderBy(F.desc("_seq")).rowsBetween(Window.unboundedPreceding, -1)
+        share = self._correction(F.col("_w")) * self._left(F.coalesce(F.sum("_w").over(later), F.lit(0.0)))
+        own = dealt.withColumn("_share", share)
+        parts = own.groupBy(*by, "_range").agg(F.sum("_w").alias("w"), *(F.sum(F.col("_share") * c).alias(n) for n, c in powers.items()))
+        listed = parts.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_range", "w", *powers))).alias("_s"))
+        none = F.struct(F.lit(0.0).alias("w"), *(F.lit(0.0).alias(n) for n in powers))
+        joined = F.aggregate("_s", none, lambda a, s: F.struct((a["w"] + s["w"]).alias("w"), *((a[n] * self._left(s["w"]) + s[n]).alias(n) for n in powers)))
+        return listed.select(*by, joined.alias("_j")).select(*by, "_j.*")
 
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("_seq", kind="stable")
-            own = fold(pdf["_v"].to_numpy(), pdf["_w"].to_numpy(float))
-            return pd.DataFrame([{**{b: pdf[b].iloc[0] for b in by}, **own}])
-
-        keys = ", ".join(f"`{b}` {df.schema[b].dataType.simpleString()}" for b in by)
-        return df.groupBy(*_whole(by)).applyInPandas(run, ", ".join(x for x in (keys, self.schema) if x))
-
-
-class EwmaVariance(_Folded):
-    """Exponentially weighted mean and variance on a clock of weights, corrected for their start."""
-
-    schema = "total_weights double, mean double, variance double"
-
-    def __init__(self, alpha: float):
-        super().__init__()
-        self.alpha = alpha
+    def nothing(self, as_of):
+        return {n: F.lit(0.0) for n in self.names}
 
-    def fold(self, value, weight):
-        mean = m2 = 0.0
-        shares = -np.expm1(-self.alpha * weight)
-        for v, a in zip(value.tolist(), shares.tolist()):
-            d = v - mean
-            mean += a * d
-            m2 = (1 - a) * (m2 + a * d * d)
-        w = float(weight.sum())
-        c = -math.expm1(-self.alpha * w)
-        return {"total_weights": w, "mean": mean / c if c > 0 else 0.0, "variance": m2 / c if c > 0 else 0.0}
 
+class EwmaMean(_Ewma):
+    """Exponentially weighted mean on a clock of weights, corrected for its start. States merge
+    by what their weights come to on that clock, one after the other; that isn't the result of
+    the joined events."""
 
-class FrugalQuantile(_Folded):
-    """A quantile by one number that steps toward it."""
+    names = ("total_weights", "biased")
 
-    schema = "probability double, quantile double"
+    def state(self, events: Events, by: list[str] = (), as_of=None) -> DataFrame:
+        by = list(by)
+        sums = self._sums(events, by, {"biased": F.col("_v")})
+        return self._states(sums.select(*by, F.struct(F.col("w").alias("total_weights"), "biased").alias(STATE)), by, as_of)
+
+    def _mean(self, s: Column) -> Column:
+        c = self._correction(s["total_weights"])
+        return F.when(c != 0, s["biased"] / F.when(c != 0, c)).otherwise(F.lit(0.0))
+
+    def fold(self, states, as_of):
+        def add(a, s):
+            w1, w2 = self._correction(a["total_weights"]), self._correction(s["total_weights"])
+            mean = (a["mean"] * w1 + self._mean(s) * w2) / F.when(w1 + w2 != 0, w1 + w2)
+            return F.struct((a["total_weights"] + s["total_weights"]).alias("total_weights"), F.coalesce(mean, a["mean"]).alias("mean"))
+
+        none = F.struct(F.lit(0.0).alias("total_weights"), F.lit(0.0).alias("mean"))
+        got = F.aggregate(states, none, add)
+        return {"total_weights": got["total_weights"], "biased": got["mean"] * self._correction(got["total_weights"])}
+
+    def fields(self, s, as_of):
+        return {"total_weights": s["total_weights"], "mean": self._mean(s)}
+
+
+class EwmaVariance(_Ewma):
+    """Exponentially weighted mean and variance on a clock of weights, corrected for their start.
+    States merge like those of EwmaMean. Squares are of distances from `shift`, a number near
+    the data; without one the mean of all events is taken first."""
+
+    names = ("total_weights", "mean", "variance")
+
+    def __init__(self, alpha: float, shift: float | None = None):
+        super().__init__(alpha)
+        self.shift = shift
+
+    def state(self, events: Events, by: list[str] = (), as_of=None) -> DataFrame:
+        by, shift = list(by), self.shift
+        if shift is None:
+            shift = self._events(events, []).agg(F.avg("_v")).first()[0] or 0.0
+        u = F.col("_v") - F.lit(float(shift))
+        sums = self._sums(events, by, {"s1": u, "s2": u * u})
+        c = F.lit(float(shift))
+        left, correction = self._left(F.col("w")), self._correction(F.col("w"))
+        # The start is a value 0 whose share is what all weights leave.
+        mean = F.col("s1") - left * c
+        biased_m2 = F.greatest(F.col("s2") + left * c * c - mean * mean, F.lit(0.0))
+        ok = F.when(correction != 0, correction)
+        one = F.struct(F.col("w").alias("total_weights"), F.coalesce((mean + c) / ok, F.lit(0.0)).alias("mean"), F.coalesce(biased_m2 / ok, F.lit(0.0)).alias("variance"))
+        return self._states(sums.select(*by, one.alias(STATE)), by, as_of)
+
+    def fold(self, states, as_of):
+        def add(a, s):
+            w1, w2 = self._correction(a["total_weights"]), self._correction(s["total_weights"])
+            both, d = F.when(w1 + w2 != 0, w1 + w2), a["mean"] - s["mean"]
+            mean = (a["mean"] * w1 + s["mean"] * w2) / both
+            variance = (w1 * a["variance"] + w2 * s["variance"] + w1 * w2 * d * d / both) / both
+            live = (s["total_weights"] > 0) & both.isNotNull()
+            joined = F.struct((a["total_weights"] + s["total_weights"]).alias("total_weights"), mean.alias("mean"), variance.alias("variance"))
+            return F.when(live, joined).otherwise(a)
+
+        none = F.struct(*(F.lit(0.0).alias(n) for n in self.names))
+        got = F.aggregate(states, none, add)
+        return {n: got[n] for n in self.names}
+
+    def fields(self, s, as_of):
+        return {n: s[n] for n in self.names}
+
+
+class FrugalQuantile(Scalar):
+    """A quantile by one number that steps toward it. A merge is the mean of the number so far
+    and the next state's, one after the other."""
+
+    names = ("quantile",)
 
     def __init__(self, q: float, step: float = 0.01, initial: float = 0.0):
         super().__init__()
@@ -152,18 +260,50 @@ class FrugalQuantile(_Folded):
             raise ValueError("q must lie between 0 and 1")
         self.q, self.step, self.initial = q, step, initial
 
-    def fold(self, value, weight):
+    def walk(self, value: np.ndarray, weight: np.ndarray) -> float:
         at = self.initial
         for v in value[weight > 0].tolist():
             if v > at:
                 at += self.step * self.q
             elif v < at:
                 at -= self.step * (1 - self.q)
-        return {"probability": self.q, "quantile": at}
+        return at
+
+    def state(self, events: Events, by: list[str] = (), as_of=None) -> DataFrame:
+        by = list(by)
+        df = self._events(events, by, _seq=self._need_seq(events))
+        walk = self.walk
 
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("_seq", kind="stable")
+            return pd.DataFrame([{**{b: pdf[b].iloc[0] for b in by}, "quantile": walk(pdf["_v"].to_numpy(), pdf["_w"].to_numpy(float))}])
+
+        keys = "".join(f"`{b}` {df.schema[b].dataType.simpleString()}, " for b in by)
+        got = df.groupBy(*_whole(by)).applyInPandas(run, f"{keys}quantile double")
+        return self._states(got.select(*by, F.struct("quantile").alias(STATE)), by, as_of)
+
+    def nothing(self, as_of):
+        return {"quantile": F.lit(float(self.initial))}
+
+    def fold(self, states, as_of):
+        rest = F.slice(states, 2, F.greatest(F.size(states), F.lit(1)))
+        return {"quantile": F.aggregate(rest, F.get(states, F.lit(0))["quantile"], lambda a, s: (a + s["quantile"]) / 2)}
+
+    def fields(self, s, as_of):
+        return {"probability": F.lit(self.q), "quantile": s["quantile"]}
 
-class SpaceSaving(Ordered):
-    """Heavy hitters. read() counts exactly and keeps the `capacity` largest, which meets the
+
+class Listed(Ordered):
+    """State: rows that are the result as well."""
+
+    needs_seq = False
+
+    def read(self, state: DataFrame, by: list[str] = (), as_of=None) -> DataFrame:
+        return state
+
+
+class SpaceSaving(Listed):
+    """Heavy hitters. state() counts exactly and keeps the `capacity` largest, which meets the
     sketch's bounds with error 0; faithful() is the evicting sketch on each group in order."""
 
     modality = "discrete"
@@ -175,7 +315,7 @@ class SpaceSaving(Ordered):
     def _live(self, events: Events, by, **more) -> DataFrame:
         return self._events(events, by, **more).withColumn("_w", F.col("_w").cast("long")).where("_w >= 1")
 
-    def read(self, events: Events, by: list[str] = ()) -> DataFrame:
+    def state(self, events: Events, by: list[str] = (), as_of=None) -> DataFrame:
         by = list(by)
         sums = self._live(events, by).groupBy(*by, F.col("_v").alias("key")).agg(F.sum("_w").alias("count"))
         if not by:
@@ -183,7 +323,7 @@ class SpaceSaving(Ordered):
         place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("count"), "key"))
         return sums.withColumn("_n", place).where(F.col("_n") <= self.capacity).drop("_n").withColumn("error", F.lit(0).cast("long"))
 
-    def merge(self, results: list[DataFrame], by: list[str] = ()) -> DataFrame:
+    def merge(self, results: list[DataFrame], by: list[str] = (), as_of=None, order: Column | None = None) -> DataFrame:
         every = results[0]
         for r in results[1:]:
             every = every.unionByName(r)
@@ -214,26 +354,27 @@ class SpaceSaving(Ordered):
         return df.groupBy(*_whole(by)).applyInPandas(run, f"{keys}key long, count long, error long")
 
 
-class ReservoirHistogram(Ordered):
+class ReservoirHistogram(Listed):
     """A weighted sample without replacement: the `capacity` largest keys u^(1/w). u is a hash of
-    the row id, so the sample doesn't depend on partitions, and merging is the same top-k."""
+    the row's whole-numbered id, so the sample doesn't depend on partitions, and merging is the same top-k."""
 
     def __init__(self, capacity: int = 1024, seed: int = 0):
         super().__init__()
         self.capacity, self.seed = capacity, seed
 
-    def read(self, events: Events, by: list[str] = ()) -> DataFrame:
+    def state(self, events: Events, by: list[str] = (), as_of=None) -> DataFrame:
         by = list(by)
         df = self._events(events, by, _id=self._need_seq(events)).where((F.col("_w") > 0) & ~F.isnan("_v"))
-        keyed = df.select(*by, F.col("_v").alias("value"), F.pow(random_key(self.seed, F.col("_id")), F.lit(1.0) / F.col("_w")).alias("key"))
+        drawn = with_random_key(df, self.seed, F.col("_id"), "_u")
+        keyed = drawn.select(*by, F.col("_v").alias("value"), F.pow("_u", F.lit(1.0) / F.col("_w")).alias("key"))
         return self.merge([keyed], by)
 
-    def merge(self, samples: list[DataFrame], by: list[str] = ()) -> DataFrame:
+    def merge(self, samples: list[DataFrame], by: list[str] = (), as_of=None, order: Column | None = None) -> DataFrame:
         every = samples[0]
         for s in samples[1:]:
             every = every.unionByName(s)
         if not by:
-            return every.orderBy(F.desc("key"), "value").limit(self.capacity)
+            return every.select("value", "key").orderBy(F.desc("key"), "value").limit(self.capacity)
         place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("key"), "value"))
         return every.withColumn("_n", place).where(F.col("_n") <= self.capacity).drop("_n")
 
@@ -247,7 +388,7 @@ class ReservoirHistogram(Ordered):
         """Bins of equal width from the smallest to the largest value, those that hold something;
         one bin without width if all are equal."""
         ends = sample.groupBy(*by).agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
-        wide = sample.join(ends, list(by)) if by else sample.crossJoin(F.broadcast(ends))  # one row
+        wide = join_by(sample, ends, list(by))
         width = (F.col("_hi") - F.col("_lo")) / bins
         idx = F.when(width > 0, F.least(F.floor((F.col("value") - F.col("_lo")) / F.when(width > 0, width)), F.lit(bins - 1))).otherwise(F.lit(0))
         return wide.select(*by, idx.alias("_k"), "_lo", width.alias("_width")).groupBy(*by, "_k", "_lo", "_width").agg(F.count(F.lit(1)).cast("double").alias("weight")).select(
@@ -256,26 +397,17 @@ class ReservoirHistogram(Ordered):
 
 
 def compressed(mean: np.ndarray, weight: np.ndarray, compression: float) -> tuple[np.ndarray, np.ndarray]:
-    """Neighbouring centroids joined while they span at most one step of the arcsine scale."""
+    """Centroids in order, joined where their middles lie in one step of the arcsine scale: a
+    sort, running sums and a cut, so there are compression / 2 + 1 at most."""
+    if not len(mean):
+        return mean, weight
     order = np.argsort(mean, kind="stable")
     mean, weight = mean[order], weight[order]
-    whole, means, weights = weight.sum(), [], []
-    scale = lambda q: compression / (2 * math.pi) * math.asin(2 * min(max(q, 0.0), 1.0) - 1)
-    done = m = w = 0.0
-    low = scale(0.0)
-    for x, u in zip(mean.tolist(), weight.tolist()):
-        if w and scale((done + w + u) / whole) - low > 1:
-            means.append(m)
-            weights.append(w)
-            done += w
-            low, m, w = scale(done / whole), x, u
-        else:
-            w += u
-            m += (x - m) * u / w
-    if w:
-        means.append(m)
-        weights.append(w)
-    return np.array(means), np.array(weights)
+    middle = (np.cumsum(weight) - weight / 2) / weight.sum()
+    step = np.floor(compression / (2 * np.pi) * np.arcsin(np.clip(2 * middle - 1, -1, 1)))
+    first = np.concatenate([[0], np.nonzero(np.diff(step))[0] + 1])
+    weights = np.add.reduceat(weight, first)
+    return np.add.reduceat(mean * (weight / np.repeat(weights, np.diff(np.append(first, len(mean))))), first), weights
 
 
 def interpolated(mean: np.ndarray, weight: np.ndarray, p: float) -> float:
@@ -289,11 +421,13 @@ class TDigest(Ordered):
     """Quantiles from centroids that are small at the ends. Every partition makes a digest of
     its own for each group; digests of a group are joined."""
 
+    needs_seq = False
+
     def __init__(self, compression: float = 100.0, probabilities=PROBABILITIES):
         super().__init__()
         self.compression, self.probabilities = compression, tuple(probabilities)
 
-    def state(self, events: Events, by: list[str] = ()) -> DataFrame:
+    def state(self, events: Events, by: list[str] = (), as_of=None) -> DataFrame:
         """by, means, weights: one row a group."""
         by, c = list(by), self.compression
         df = self._events(events, by).where((F.col("_w") > 0) & ~F.isnan("_v"))
@@ -312,11 +446,12 @@ class TDigest(Ordered):
         keys = "".join(f"`{b}` {df.schema[b].dataType.simpleString()}, " for b in by)
         return self.merge([df.mapInPandas(part, f"{keys}means array<double>, weights array<double>")], by)
 
-    def merge(self, states: list[DataFrame], by: list[str] = ()) -> DataFrame:
+    def merge(self, states: list[DataFrame], by: list[str] = (), as_of=None, order: Column | None = None) -> DataFrame:
         """As many centroids come together as partitions or states have made for a group."""
         by, c, every = list(by), self.compression, states[0]
         for s in states[1:]:
             every = every.unionByName(s)
+        every = every.select(*by, "means", "weights")
 
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
             m, w = compressed(np.concatenate(pdf["means"].to_list()), np.concatenate(pdf["weights"].to_list()), c)
@@ -324,7 +459,7 @@ class TDigest(Ordered):
 
         return every.groupBy(*_whole(by)).applyInPandas(run, every.schema)
 
-    def read(self, state: DataFrame, by: list[str] = ()) -> DataFrame:
+    def read(self, state: DataFrame, by: list[str] = (), as_of=None) -> DataFrame:
         ps = self.probabilities
 
         @F.pandas_udf("array<double>")

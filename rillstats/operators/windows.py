@@ -3,7 +3,9 @@
 A window is cut into slices of equal length; an event belongs to the slice that its time
 lies in (cut toward zero). A reading at t takes slices that start in [t - duration, t].
 There are only as many places as slices, one for each slice number modulo their number, and
-a place holds the newest slice that has arrived; that is decided before the reading."""
+a place holds the newest slice that has arrived; that is decided before the reading. Any
+statistic or group has windows. States whose value ages are taken at their slice's end and
+aged at the reading; statistics whose merge depends on the order take slices by place."""
 
 from __future__ import annotations
 
@@ -14,14 +16,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans import run
+from ..plans.groups import StatGroup, Tables
 from ..plans.stat import Events, Stat
 
+SLICE = "slice_no"
+
+
+@dataclass(frozen=True)
+class WindowState:
+    """by and slice_no of all slices that have an event, and the slices' states, whose tables
+    have these columns too."""
+
+    slices: DataFrame
+    states: DataFrame | Tables
+
+    def only(self, live: DataFrame, by: list[str]) -> DataFrame | Tables:
+        keep = lambda t: run.join_by(t, live, [*by, SLICE], "left_semi")
+        return self.states.each(keep) if isinstance(self.states, Tables) else keep(self.states)
+
 
 @dataclass(frozen=True)
 class Windowed:
-    """A statistic over the last `duration`."""
+    """A statistic or group over the last `duration`."""
 
-    stat: Stat
+    stat: Stat | StatGroup
     duration: timedelta
     slices: int = 10
 
@@ -37,41 +55,42 @@ class Windowed:
     def length(self) -> int:
         return self.nanos // self.slices
 
+    @property
+    def _end(self) -> Column:
+        """A slice's end, as the time of its state."""
+        return (F.col(SLICE) + 1) * F.lit(self.length)
+
+    @property
+    def _place(self) -> Column:
+        return F.pmod(SLICE, F.lit(self.slices))
+
     def sliced(self, events: Events) -> Events:
         df = events.df.withColumn("_ts", events.row.ts)
-        return Events(df.withColumn("slice_no", F.expr(f"_ts div {self.length}L")).drop("_ts"), events.row)
-
-    def state(self, events: Events, by: list[str] = ()) -> DataFrame:
-        """by, slice_no and the state of each slice."""
-        keyed = self.sliced(events)
-        if self.stat.kind == "flat":
-            return run.states(keyed, {"result": self.stat}, [*by, "slice_no"], as_of=0 if getattr(self.stat, "timed", False) else None)
-        if self.stat.kind == "keyed":
-            return self.stat.cells(keyed, [*by, "slice_no"])
-        raise TypeError("statistics that depend on order have no windows")
-
-    def merge(self, states: list[DataFrame], by: list[str] = ()) -> DataFrame:
+        return Events(df.withColumn(SLICE, F.expr(f"_ts div {self.length}L")).drop("_ts"), events.row)
+
+    def state(self, events: Events, by: list[str] = ()) -> WindowState:
+        keyed, by = self.sliced(events), [*by, SLICE]
+        return WindowState(keyed.df.select(*by).distinct(), run.state_of(keyed, self.stat, by, self._end))
+
+    def merge(self, states: list[WindowState], by: list[str] = ()) -> WindowState:
         """Slice by slice."""
-        if self.stat.kind == "flat":
-            return run.merge(states, {"result": self.stat}, [*by, "slice_no"], as_of=0)
-        return self.stat.merge(states, [*by, "slice_no"])
-
-    def active(self, state: DataFrame, as_of: int, by: list[str] = ()) -> DataFrame:
-        """The state of the slices that a reading takes."""
-        place = F.pmod("slice_no", F.lit(self.slices))
-        numbers = state.select(*by, "slice_no").distinct().withColumn("_place", place)
-        newest = numbers.groupBy(*by, "_place").agg(F.max("slice_no").alias("slice_no")).drop("_place")
-        start = F.col("slice_no") * F.lit(self.length)
-        live = newest.where(start.between(F.lit(as_of - self.nanos), F.lit(as_of)))
-        return state.join(live, [*by, "slice_no"], "left_semi")
-
-    def read(self, state: DataFrame, as_of: int, by: list[str] = ()) -> DataFrame:
-        live = self.active(state, as_of, by)
-        if self.stat.kind == "flat":
-            joined = run.merge([live.drop("slice_no")], {"result": self.stat}, by, as_of=as_of)
-            return run.read(joined, {"result": self.stat}, by).select(*by, "result.*")
-        return self.stat.read(self.stat.merge([live.drop("slice_no")], by), by)
-
-
-def windowed(stat: Stat, duration: timedelta, slices: int = 10) -> Windowed:
+        slices = states[0].slices
+        for s in states[1:]:
+            slices = slices.unionByName(s.slices)
+        return WindowState(slices.distinct(), run.merge_of([s.states for s in states], self.stat, [*by, SLICE], self._end))
+
+    def active(self, state: WindowState, as_of: int, by: list[str] = ()) -> DataFrame:
+        """by and slice_no of the slices that a reading takes."""
+        numbers = state.slices.withColumn("_place", self._place)
+        newest = numbers.groupBy(*by, "_place").agg(F.max(SLICE).alias(SLICE)).drop("_place")
+        start = F.col(SLICE) * F.lit(self.length)
+        return newest.where(start.between(F.lit(as_of - self.nanos), F.lit(as_of)))
+
+    def read(self, state: WindowState, as_of: int, by: list[str] = ()) -> DataFrame:
+        live = state.only(self.active(state, as_of, by), by)
+        joined = run.merge_of([live], self.stat, list(by), as_of, order=self._place)
+        return run.read_of(joined, self.stat, list(by), as_of)
+
+
+def windowed(stat: Stat | StatGroup, duration: timedelta, slices: int = 10) -> Windowed:
     return Windowed(stat, duration, slices)

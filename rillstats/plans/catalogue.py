@@ -13,7 +13,7 @@ from ..operators.flat import per
 from ..operators.windows import windowed
 from ..sources.tables import read_table
 from . import run
-from .groups import ListStats, StatGroup, StatSchema, group, stat
+from .groups import ListStats, StatGroup, StatSchema, Vectorized, group, stat
 from .stat import discrete, nanos, paired, series, vector
 
 QUERIES: dict = {}
@@ -147,15 +147,38 @@ r AS (SELECT user_id, sum(delta) AS total, coalesce(arg_min(CASE WHEN delta > 0
 SELECT user_id, round(total, 5) AS total_value, start AS start_timestamp_nanos, t AS timestamp_nanos, CASE WHEN t > start THEN round(total / ((t - start) / 1e9::DOUBLE), 6) ELSE 0.0::DOUBLE END AS rate FROM r""",
 )
 def counter_rate(s, d):
-    return rounded(op.CounterRate().read(_values(s, d), ["user_id"]), 6, total_value=5)
+    return rounded(op.CounterRate().of(_values(s, d), ["user_id"]), 6, total_value=5)
 
 
 query(
     "ewma_mean",
     "SELECT event_type, count(*)::DOUBLE AS total_weights, round(sum((1 - exp(-0.05::DOUBLE)) * value * exp(-0.05::DOUBLE * later)) / (1 - exp(-0.05::DOUBLE * count(*))), 6) AS mean FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) - 1 AS later FROM events WHERE value IS NOT NULL) GROUP BY 1",
-)(lambda s, d: rounded(op.EwmaMean(0.05).read(_values(s, d), _TYPE)))
-query("ewma_variance")(lambda s, d: rounded(op.EwmaVariance(0.05).read(_values(s, d), _TYPE)))
-query("frugal_quantile")(lambda s, d: rounded(op.FrugalQuantile(0.9, step=1.0).read(_values(s, d), _TYPE)))
+)(lambda s, d: rounded(op.EwmaMean(0.05).of(_values(s, d), _TYPE)))
+query(
+    "ewma_variance",
+    """
+WITH e AS (
+  SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) - 1 AS later
+  FROM events WHERE value IS NOT NULL),
+s AS (
+  SELECT event_type, count(*)::DOUBLE AS w, sum((1 - exp(-0.05::DOUBLE)) * value * exp(-0.05::DOUBLE * later)) AS m,
+         sum((1 - exp(-0.05::DOUBLE)) * value * value * exp(-0.05::DOUBLE * later)) AS q
+  FROM e GROUP BY 1)
+SELECT event_type, w AS total_weights, round(m / (1 - exp(-0.05::DOUBLE * w)), 6) AS mean,
+       round((q - m * m) / (1 - exp(-0.05::DOUBLE * w)), 6) AS variance
+FROM s""",
+)(lambda s, d: rounded(op.EwmaVariance(0.05).of(_values(s, d), _TYPE)))
+_DOWN = repr(1.0 * (1 - 0.9))
+query(
+    "frugal_quantile",
+    f"""
+WITH l AS (
+  SELECT event_type, list_prepend(0.0::DOUBLE, list(value ORDER BY event_id)) AS vs
+  FROM events WHERE value IS NOT NULL GROUP BY 1)
+SELECT event_type, 0.9::DOUBLE AS probability,
+       round(list_reduce(vs, lambda a, v: CASE WHEN v > a THEN a + 0.9::DOUBLE WHEN v < a THEN a - {_DOWN}::DOUBLE ELSE a END), 6) AS quantile
+FROM l""",
+)(lambda s, d: rounded(op.FrugalQuantile(0.9, step=1.0).of(_values(s, d), _TYPE)))
 
 # Regression
 
@@ -206,18 +229,30 @@ query(
     "hdr_histogram",
     "SELECT first * 2 ** sh * 0.01 AS lower_bound, (first + 1) * 2 ** sh * 0.01 AS upper_bound, count(*)::DOUBLE AS weight FROM (SELECT sh, (u >> sh)::DOUBLE AS first FROM (SELECT u, greatest(length(bin(greatest(u, 1))) - 11, 0)::INT AS sh FROM (SELECT trunc(o_totalprice * (1 / 0.01::DOUBLE))::BIGINT AS u FROM orders))) GROUP BY 1, 2".replace("first * 2 ** sh * 0.01", "round(first * 2 ** sh * 0.01::DOUBLE, 4)").replace("(first + 1) * 2 ** sh * 0.01 AS", "round((first + 1) * 2 ** sh * 0.01::DOUBLE, 4) AS").replace("GROUP BY 1, 2", "GROUP BY first, sh"),
 )(lambda s, d: rounded((lambda q: q.read(q.cells(series(read_table(s, d, "orders"), "o_totalprice"))))(op.HdrHistogram(0.01, 3)), 4))
+
+
+@query("tdigest_bounds", "SELECT unnest([0.01, 0.1, 0.5, 0.9, 0.99])::DOUBLE AS probability, true AS within")
+def tdigest_bounds(s, d):
+    """Whether each quantile's share of smaller values is as near to its probability as the scale promises."""
+    prices = series(read_table(s, d, "orders"), "o_totalprice")
+    t = op.TDigest(probabilities=(0.01, 0.1, 0.5, 0.9, 0.99))
+    got = t.of(prices)
+    below = prices.df.crossJoin(F.broadcast(got)).groupBy("probability").agg(F.avg((prices.row.value <= F.col("quantile")).cast("double")).alias("share"))
+    p = F.col("probability")
+    return below.select(p, (F.abs(F.col("share") - p) <= 4 * F.sqrt(p * (1 - p)) / 100 + 0.005).alias("within"))
+
+
+query("tdigest_weights", "SELECT o_orderstatus, count(*)::DOUBLE AS weight FROM orders GROUP BY 1")(
+    lambda s, d: (lambda q: q.histogram(q.state(series(read_table(s, d, "orders"), "o_totalprice"), ["o_orderstatus"]), ["o_orderstatus"]).groupBy("o_orderstatus").agg(F.sum("weight").alias("weight")))(op.TDigest())
+)
 query("tdigest_quantiles")(lambda s, d: (lambda q: q.read(q.state(series(read_table(s, d, "orders"), "o_totalprice"))))(op.TDigest()))
 query("tdigest_histogram")(lambda s, d: (lambda q: q.histogram(q.state(series(read_table(s, d, "orders"), "o_totalprice"), ["o_orderstatus"]), ["o_orderstatus"]))(op.TDigest()))
 
 
 def _sample(s, d):
-    return op.ReservoirHistogram(512, seed=7).read(series(read_table(s, d, "orders"), "o_totalprice", seq="o_orderkey"))
+    return op.ReservoirHistogram(512, seed=7).of(series(read_table(s, d, "orders"), "o_totalprice", seq="o_orderkey"))
 
 
-query("reservoir_sample")(_sample)
-query("reservoir_quantile")(lambda s, d: op.ReservoirHistogram.quantile(_sample(s, d), 0.5))
-query("reservoir_histogram")(lambda s, d: op.ReservoirHistogram.histogram(_sample(s, d), 20))
-
 # Keys: hashes in SQL with 128-bit numbers
 
 _M = "18446744073709551615::UHUGEINT"
@@ -242,7 +277,42 @@ def _signed_sql(x: str) -> str:
 _KEYS = "(SELECT DISTINCT l_partkey AS k FROM lineitem)"
 _HASHED = _mix_sql(_KEYS, "k::UHUGEINT", "h")
 query("splitmix64_keys", f"SELECT k, {_signed_sql('h')} AS h FROM {_HASHED}")(lambda s, d: with_splitmix64(_li(s, d).select(F.col("l_partkey").alias("k")).distinct(), F.col("k"), "h"))
-query("hash64_strings")(lambda s, d: read_table(s, d, "documents").select("doc_id", hash64("text").alias("h")))
+
+def _words_sql() -> str:
+    """doc_id, the text's length in bytes and its 8-byte parts, little-endian, as numbers."""
+    pairs = " || ".join(f"substr(x, {k}, 2)" for k in range(15, 0, -2))
+    return f"""(
+  SELECT doc_id, n, list_transform(range(0, (n + 7) // 8), lambda k: rpad(substr(hx, 16 * k + 1, 16), 16, '0')) AS parts
+  FROM (SELECT doc_id, octet_length(encode(text)) AS n, hex(encode(text)) AS hx FROM documents WHERE text IS NOT NULL))""", pairs
+
+
+_PARTS, _PAIRS = _words_sql()
+_STEP = _mix_sql("(SELECT r.doc_id, r.k + 1 AS k, xor(r.h, p.word) AS x FROM r JOIN p ON p.doc_id = r.doc_id AND p.k = r.k)", "x", "h")
+query(
+    "hash64_strings",
+    f"""
+WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, n, unnest(parts) AS x, generate_subscripts(parts, 1) - 1 AS k FROM {_PARTS}),
+p AS MATERIALIZED (SELECT doc_id, k, ('0x' || {_PAIRS})::UBIGINT::UHUGEINT AS word FROM w),
+r(doc_id, k, h) AS (
+  SELECT doc_id, 0::BIGINT, octet_length(encode(text))::UHUGEINT FROM documents WHERE text IS NOT NULL
+  UNION ALL
+  SELECT doc_id, k, h FROM {_STEP})
+SELECT doc_id, {_signed_sql('h')} AS h FROM (SELECT doc_id, arg_max(h, k) AS h FROM r GROUP BY 1)
+UNION ALL SELECT doc_id, NULL FROM documents WHERE text IS NULL""",
+)(lambda s, d: read_table(s, d, "documents").select("doc_id", hash64("text").alias("h")))
+_SEED = splitmix64_int(7)
+_KEYED = _mix_sql(f"(SELECT o_totalprice AS value, xor(o_orderkey::UHUGEINT, {_u(_SEED)}) AS x FROM orders)", "x", "h")
+_DRAWN = f"(SELECT value, ((h >> 11)::DOUBLE + 0.5) / 9007199254740992 AS key FROM {_KEYED} ORDER BY 2 DESC, 1 LIMIT 512)"
+query("reservoir_sample", f"SELECT * FROM {_DRAWN}")(_sample)
+query("reservoir_quantile", f"SELECT round(quantile_cont(value, 0.5), 6) AS quantile FROM {_DRAWN}")(lambda s, d: rounded(op.ReservoirHistogram.quantile(_sample(s, d), 0.5)))
+query(
+    "reservoir_histogram",
+    f"""
+WITH s AS (SELECT value, min(value) OVER () AS lo, (max(value) OVER () - min(value) OVER ()) / 20 AS width FROM {_DRAWN}),
+k AS (SELECT lo, width, least(floor((value - lo) / width), 19) AS k FROM s)
+SELECT round(lo + k * width, 4) AS lower_bound, round(lo + (k + 1) * width, 4) AS upper_bound, count(*)::DOUBLE AS weight
+FROM k GROUP BY lo, width, k""",
+)(lambda s, d: rounded(op.ReservoirHistogram.histogram(_sample(s, d), 20), 4))
 query(
     "hyperloglog",
     f"WITH r AS (SELECT (h >> 52)::INT AS idx, max(least(CASE WHEN x = 0 THEN 64 ELSE 64 - length(bin(x::UBIGINT)) END, 52) + 1) AS rho FROM (SELECT h, (h << 12) & {_M} AS x FROM {_HASHED}) GROUP BY 1), e AS (SELECT (0.7213 / (1 + 1.079 / 4096::DOUBLE)) * 4096 * 4096 / (sum(2.0::DOUBLE ** -rho) + 4096 - count(*)) AS raw, 4096 - count(*) AS empty FROM r) SELECT round(CASE WHEN raw <= 2.5 * 4096 AND empty > 0 THEN 4096 * ln(4096 / empty::DOUBLE) ELSE raw END, 5) AS estimate, 12::INT AS precision FROM e",
@@ -285,8 +355,25 @@ _A, _R = "l_returnflag = 'A'", "l_returnflag = 'R'"
 query("minhash_jaccard", f"SELECT avg((a.signature = b.signature)::INT)::DOUBLE AS jaccard FROM {_min_sql(_A)} a JOIN {_min_sql(_R)} b USING (slot)")(
     lambda s, d: op.MinHash(16).jaccard(op.MinHash(16).cells(_half(s, d, "A")), op.MinHash(16).cells(_half(s, d, "R")))
 )
-query("heavy_hitters", "SELECT user_id AS key, count(*) AS count, 0::BIGINT AS error FROM events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")(lambda s, d: op.SpaceSaving(20).read(discrete(_ev(s, d), "user_id", seq="event_id")))
-query("space_saving_faithful")(lambda s, d: op.SpaceSaving(64).faithful(discrete(_ev(s, d), "user_id", seq="event_id"), _TYPE))
+query("heavy_hitters", "SELECT user_id AS key, count(*) AS count, 0::BIGINT AS error FROM events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")(lambda s, d: op.SpaceSaving(20).of(discrete(_ev(s, d), "user_id", seq="event_id")))
+query(
+    "space_saving_faithful",
+    """
+WITH RECURSIVE e AS MATERIALIZED (
+  SELECT event_type, user_id AS k, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS place FROM events),
+r(event_type, place, s) AS (
+  SELECT event_type, 0::BIGINT, []::STRUCT(k BIGINT, c BIGINT, e BIGINT)[] FROM events GROUP BY 1
+  UNION ALL
+  SELECT r.event_type, e.place,
+         CASE WHEN list_contains(list_transform(s, lambda x: x.k), e.k)
+              THEN list_transform(s, lambda x: {'k': x.k, 'c': x.c + (x.k = e.k)::BIGINT, 'e': x.e})
+              WHEN len(s) < 64 THEN list_append(s, {'k': e.k::BIGINT, 'c': 1::BIGINT, 'e': 0::BIGINT})
+              ELSE list_append(list_filter(s, lambda x, i: i <> list_position(list_transform(s, lambda y: y.c), list_min(list_transform(s, lambda y: y.c)))),
+                               {'k': e.k::BIGINT, 'c': list_min(list_transform(s, lambda y: y.c)) + 1, 'e': list_min(list_transform(s, lambda y: y.c))}) END
+  FROM r JOIN e ON e.event_type = r.event_type AND e.place = r.place + 1)
+SELECT event_type, x.k AS key, x.c AS count, x.e AS error
+FROM (SELECT event_type, unnest(arg_max(s, place)) AS x FROM r GROUP BY 1)""",
+)(lambda s, d: op.SpaceSaving(64).faithful(discrete(_ev(s, d), "user_id", seq="event_id"), _TYPE))
 
 # Adapters
 
@@ -350,7 +437,7 @@ query("time_as_y", f"SELECT event_type, round(regr_slope(t, value), 2) AS slope
     lambda s, d: rounded(run.aggregate(_since(s, d), op.OLS().with_time_as_y(), _TYPE).select("event_type", "slope"), 2)
 )
 query("as_series", "SELECT event_type, trunc(value)::BIGINT AS key, count(*) AS count, 0::BIGINT AS error FROM events WHERE value IS NOT NULL GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY count(*) DESC, trunc(value)::BIGINT) <= 5")(
-    lambda s, d: op.SpaceSaving(5).as_series().read(_values(s, d), _TYPE)
+    lambda s, d: op.SpaceSaving(5).as_series().of(_values(s, d), _TYPE)
 )
 for kind, events, base, by, sql in (
     ("series", _values, lambda: op.Mean(), _TYPE, "SELECT event_type, round(avg(value) * 100, 4) AS per_cent FROM events GROUP BY 1"),
@@ -428,9 +515,22 @@ def nested_schema(s, d):
     return rounded(got.select("event_type", F.col("requests.sum").alias("requests"), F.col("size.total.sum").alias("total"), F.col("size.spread.variance").alias("variance")), 5, variance=4)
 
 
-@query("list_stats", "SELECT event_type, unnest([0, 1])::INT AS pos, unnest(['Count', 'Max']) AS name FROM (SELECT DISTINCT event_type FROM events WHERE value IS NOT NULL)")
+@query(
+    "list_stats",
+    """
+SELECT event_type, 0::INT AS pos, 'Count' AS name, round(count(*), 6)::DOUBLE AS result FROM events WHERE value IS NOT NULL GROUP BY 1
+UNION ALL SELECT event_type, 1, 'Max', max(value) FROM events GROUP BY 1
+UNION ALL SELECT event_type, 2, 'SpaceSaving', sum(n)::DOUBLE FROM (
+  SELECT event_type, count(*) AS n FROM events WHERE value IS NOT NULL
+  GROUP BY event_type, trunc(value)::BIGINT QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY count(*) DESC, trunc(value)::BIGINT) <= 3)
+GROUP BY 1""",
+)
 def list_stats(s, d):
-    return ListStats(op.Count(), op.Max()).rows(_values(s, d), _TYPE).select("event_type", "pos", "name")
+    """The rows of a list, their JSON read again: a number each."""
+    got = ListStats(op.Count(), op.Max(), op.SpaceSaving(3).as_series()).rows(_values(s, d), _TYPE)
+    one, many = F.from_json("result", "sum double, max double"), F.from_json("result", "array<struct<count: bigint>>")
+    total = F.aggregate(many["count"], F.lit(0).cast("long"), lambda a, n: a + n).cast("double")
+    return got.select("event_type", "pos", "name", F.coalesce(one["sum"], one["max"], total).alias("result"))
 
 
 def _list(name, events, members, by, sql, pick):
@@ -446,7 +546,7 @@ _list("discrete_list_stats", _parts, lambda: (("a", op.Sum().as_discrete()), ("b
 def group_with_sketch(s, d):
     g = StatGroup(stat("n", op.Count().as_discrete()), group("keys", stat("distinct", op.LinearCounting())))
     got = g.aggregate(_parts(s, d))
-    return got.select(F.lit("x").alias("one"), F.col("n.sum").alias("n"), (F.lit(4096) - F.col("keys.distinct")[0]["unset_bits"]).alias("used"))
+    return got.select(F.lit("x").alias("one"), F.col("n.sum").alias("n"), (F.lit(4096) - F.col("keys.distinct.unset_bits")).alias("used"))
 
 
 # States
@@ -472,4 +572,174 @@ def merge_sketches(s, d):
     return q.merge([q.cells(series(c.where(F.col("c_custkey") % 2 == k), "c_acctbal")) for k in (0, 1)])
 
 
+# Groups and windows of all kinds
+
+_LEFT = f"exp(-{_ALPHA!r}::DOUBLE * (t - ts_n)::DOUBLE)"
+query("windowed_decaying_sum", f"SELECT event_type, round(sum(value * {_LEFT}), 5) AS sum, max(t)::BIGINT AS timestamp_nanos FROM {_live_sql('event_type')} GROUP BY 1")(
+    lambda s, d: rounded(_window(op.DecayingSum(_DAY), _values(s, d), _TYPE), 5)
+)
+query("windowed_decaying_mean", f"SELECT event_type, round(sum(value * {_LEFT}) / sum({_LEFT}), 6) AS mean FROM {_live_sql('event_type')} GROUP BY 1")(
+    lambda s, d: rounded(_window(op.DecayingMean(_DAY), _values(s, d), _TYPE).select("event_type", "mean"))
+)
+query(
+    "windowed_heavy_hitters",
+    f"""
+SELECT user_id AS key, count(*) AS count, 0::BIGINT AS error
+FROM (SELECT slice, user_id, count(*) OVER (PARTITION BY user_id) AS n FROM {_live_sql('')}) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""",
+)(lambda s, d: _window(op.SpaceSaving(1 << 20), discrete(_ev(s, d).where("value is not null"), "user_id", ts="ts_nanos"), []).orderBy(F.desc("count"), "key").limit(10))
+
+
+@query(
+    "windowed_group",
+    f"""
+SELECT event_type, round(sum(value), 5) AS total, count(*)::DOUBLE AS n, max(value) AS most, round(sum(value * {_LEFT}), 5) AS aged
+FROM {_live_sql('event_type')} GROUP BY 1""",
+)
+def windowed_group(s, d):
+    g = StatGroup(stat("total", op.Sum()), group("more", stat("n", op.Count()), stat("most", op.Max())), stat("aged", op.DecayingSum(_DAY)))
+    got = _window(g, _values(s, d), _TYPE)
+    return rounded(got.select("event_type", F.col("total.sum").alias("total"), F.col("more.n.sum").alias("n"), F.col("more.most.max").alias("most"), F.col("aged.sum").alias("aged")), 5)
+
+
+@query(
+    "vector_weighted",
+    f"""
+SELECT label, dim::INT - 1 AS dim, round(sum(v * dim), 5) AS sum
+FROM (SELECT label, unnest(e) AS v, generate_subscripts(e, 1) AS dim FROM {_DIM}) WHERE dim <= 4 GROUP BY 1, 2""",
+)
+def vector_weighted(s, d):
+    """A template that differs between dimensions."""
+    e = vector(read_table(s, d, "embeddings"), F.slice("embedding", 1, 4))
+    return rounded(run.per_dimension(e, lambda i: op.Sum().with_weight(i + 1), 4, ["label"]), 5)
+
+
+@query(
+    "vectorized_group",
+    f"""
+SELECT label, round(sum(e[1]), 5) AS a, round(max(e[2]), 5) AS b, count(*) FILTER (e[3] >= 0)::DOUBLE AS c
+FROM {_DIM} GROUP BY 1""",
+)
+def vectorized_group(s, d):
+    """Statistics of another kind for each dimension, one of them a sketch."""
+    e = vector(read_table(s, d, "embeddings"), F.slice("embedding", 1, 3))
+    got = Vectorized(3, lambda i: (op.Sum(), op.Max(), op.LinearHistogram(0, 1e9, 1).filter(lambda v: v >= 0))[i]).aggregate(e, ["label"])
+    return rounded(got.select("label", F.col("`0`.sum").alias("a"), F.col("`1`.max").alias("b"), F.aggregate(F.col("`2`.weight"), F.lit(0.0), lambda a, w: a + w).alias("c")), 5)
+
+
+def _halves(s, d, **more):
+    return [series(_ev(s, d).where(F.col("event_id") % 2 == k), "value", ts="ts_nanos", seq="event_id", **more) for k in (0, 1)]
+
+
+@query(
+    "group_states_with_sketch",
+    f"""
+SELECT event_type, round(sum(value), 5) AS total, count(*)::DOUBLE AS n, min(bins) AS bins, min(top) AS top
+FROM events JOIN (SELECT event_type, count(DISTINCT floor(value / 10)) AS bins FROM events WHERE value >= 0 AND value < 1000 GROUP BY 1) USING (event_type)
+JOIN (SELECT event_type, max(c) AS top FROM (SELECT event_type, trunc(value)::BIGINT AS k, count(*) AS c FROM events WHERE value IS NOT NULL GROUP BY 1, 2) GROUP BY 1) USING (event_type)
+WHERE value IS NOT NULL GROUP BY 1""",
+)
+def group_states_with_sketch(s, d):
+    """Stored states of a group with a flat, a keyed and an ordered member, merged and read."""
+    g = StatGroup(stat("total", op.Sum()), group("in", stat("n", op.Count()), stat("bins", op.LinearHistogram(0, 1000, 100).filter(lambda v: (v >= 0) & (v < 1000)))), stat("top", op.SpaceSaving(1 << 20).as_series()))
+    got = g.read(g.merge([g.states(e, _TYPE) for e in _halves(s, d)], _TYPE), _TYPE)
+    most = F.array_max(F.transform("top", lambda x: x["count"]))
+    return rounded(got.select("event_type", F.col("total.sum").alias("total"), F.col("in.n.sum").alias("n"), F.size("in.bins").cast("long").alias("bins"), most.alias("top")), 5)
+
+
+@query("group_adapters", "SELECT event_type, round(sum(value * 2), 5) AS total, count(*)::DOUBLE AS n, round(sum(value * 2) / count(*), 5) AS share FROM events WHERE value > 10 GROUP BY 1")
+def group_adapters(s, d):
+    """A filter, a transform and a result mapping of a whole group."""
+    g = StatGroup(stat("total", op.Sum()), stat("n", op.Count())).transform_value(lambda v: v * 2).filter(lambda v: v > 10)
+    got = g.map_result(lambda m: {"total": m["total"]["sum"], "n": m["n"]["sum"], "share": m["total"]["sum"] / m["n"]["sum"]}).aggregate(_values(s, d), _TYPE)
+    return rounded(got.where("n > 0"), 5)
+
+
+@query(
+    "group_with_ordered",
+    """
+SELECT event_type, round(sum((1 - exp(-0.05::DOUBLE)) * value * exp(-0.05::DOUBLE * later)) / (1 - exp(-0.05::DOUBLE * count(*))), 6) AS ewma, round(sum(value), 5) AS total
+FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) - 1 AS later FROM events WHERE value IS NOT NULL) GROUP BY 1""",
+)
+def group_with_ordered(s, d):
+    got = StatGroup(stat("ewma", op.EwmaMean(0.05)), stat("total", op.Sum())).aggregate(_values(s, d), _TYPE)
+    return rounded(got.select("event_type", F.col("ewma.mean").alias("ewma"), F.col("total.sum").alias("total")), 6, total=5)
+
+
+@query("paired_group", f"SELECT l_returnflag, round(sxy / sxx, 5) AS slope, round(sxy / n, 3) AS covariance {_REGR}")
+def paired_group(s, d):
+    g = StatGroup(stat("line", op.OLS()), stat("both", op.Covariance()))
+    return rounded(g.aggregate(_pairs(s, d), _FLAG).select("l_returnflag", F.col("line.slope").alias("slope"), F.col("both.covariance").alias("covariance")), 5, covariance=3)
+
+
+@query("vector_group", f"SELECT label, round(sum(e[1]), 5) AS a, round(avg(e[2]), 6) AS b FROM {_DIM} GROUP BY 1")
+def vector_group(s, d):
+    g = StatGroup(stat("a", op.Sum()), stat("b", op.Mean()))
+    g.members = {"a": g.members["a"].at_index(0), "b": g.members["b"].at_index(1)}
+    return rounded(g.aggregate(_vectors(s, d), ["label"]).select("label", F.col("a.sum").alias("a"), F.col("b.mean").alias("b")), 6, a=5)
+
+
+@query("list_merge", "SELECT event_type, count(value)::DOUBLE AS n, max(value) AS most FROM events GROUP BY 1")
+def list_merge(s, d):
+    g = ListStats(op.Count(), op.Max())
+    got = g.read(g.merge([g.states(e, _TYPE) for e in _halves(s, d)], _TYPE), _TYPE)
+    return got.select("event_type", F.col("Count.sum").alias("n"), F.col("Max.max").alias("most"))
+
+
+def _counter_sql(part: int) -> str:
+    return f"""
+SELECT user_id, sum(delta) AS total, arg_min(CASE WHEN delta > 0 THEN CASE WHEN v < before THEN ts ELSE since END END, CASE WHEN delta > 0 THEN event_id END) AS start
+FROM (SELECT *, coalesce(greatest(CASE WHEN v < before THEN v ELSE v - before END, 0), 0) AS delta
+      FROM (SELECT *, lag(v) OVER w AS before, lag(ts) OVER w AS since
+            FROM (SELECT *, max(ts) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS late
+                  FROM (SELECT user_id, event_id, {_NANOS} AS ts, value AS v FROM events WHERE value IS NOT NULL AND event_id % 2 = {part}))
+            WHERE late IS NULL OR ts > late WINDOW w AS (PARTITION BY user_id ORDER BY event_id)))
+GROUP BY 1"""
+
+
+@query(
+    "merge_counter_rate",
+    f"""
+SELECT user_id, round(sum(total), 5) AS total_value, coalesce(min(start) FILTER (total <> 0), (SELECT max({_NANOS}) FROM events WHERE value IS NOT NULL)) AS start_timestamp_nanos
+FROM ({_counter_sql(0)} UNION ALL {_counter_sql(1)}) GROUP BY 1""",
+)
+def merge_counter_rate(s, d):
+    c, last = op.CounterRate(), _ev(s, d).where("value is not null").agg(F.max("ts_nanos")).first()[0]
+    got = c.read(c.merge([c.state(e, ["user_id"], last) for e in _halves(s, d)], ["user_id"], last), ["user_id"], last)
+    return rounded(got.select("user_id", "total_value", "start_timestamp_nanos"), 5)
+
+
+def _ewma_sql(part: int) -> str:
+    share = "(1 - exp(-0.05::DOUBLE)) * exp(-0.05::DOUBLE * later)"
+    return f"""
+SELECT event_type, w, m / (1 - exp(-0.05::DOUBLE * w)) AS m, (q - m * m) / (1 - exp(-0.05::DOUBLE * w)) AS v, 1 - exp(-0.05::DOUBLE * w) AS c
+FROM (SELECT event_type, count(*)::DOUBLE AS w, sum({share} * value) AS m, sum({share} * value * value) AS q
+      FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) - 1 AS later
+            FROM events WHERE value IS NOT NULL AND event_id % 2 = {part}) GROUP BY 1)"""
+
+
+@query(
+    "merge_ewma_variance",
+    f"""
+SELECT event_type, a.w + b.w AS total_weights, round((a.c * a.m + b.c * b.m) / (a.c + b.c), 6) AS mean,
+       round((a.c * a.v + b.c * b.v + a.c * b.c * (a.m - b.m) ** 2 / (a.c + b.c)) / (a.c + b.c), 6) AS variance
+FROM ({_ewma_sql(0)}) a JOIN ({_ewma_sql(1)}) b USING (event_type)""",
+)
+def merge_ewma_variance(s, d):
+    v = op.EwmaVariance(0.05)
+    return rounded(v.read(v.merge([v.state(e, _TYPE) for e in _halves(s, d)], _TYPE), _TYPE))
+
+
+def _frugal_sql(part: int) -> str:
+    return f"""
+SELECT event_type, list_reduce(list_prepend(0.0::DOUBLE, list(value ORDER BY event_id)),
+  lambda a, v: CASE WHEN v > a THEN a + 0.9::DOUBLE WHEN v < a THEN a - {_DOWN}::DOUBLE ELSE a END) AS q
+FROM events WHERE value IS NOT NULL AND event_id % 2 = {part} GROUP BY 1"""
+
+
+@query("merge_frugal_quantile", f"SELECT event_type, 0.9::DOUBLE AS probability, round((a.q + b.q) / 2, 6) AS quantile FROM ({_frugal_sql(0)}) a JOIN ({_frugal_sql(1)}) b USING (event_type)")
+def merge_frugal_quantile(s, d):
+    f = op.FrugalQuantile(0.9, step=1.0)
+    return rounded(f.read(f.merge([f.state(e, _TYPE) for e in _halves(s, d)], _TYPE), _TYPE))
+
+
 assert splitmix64_int(0) == 4553024054441242788

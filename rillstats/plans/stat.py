@@ -97,6 +97,8 @@ class Stat:
     modality = "series"
     #: flat: scalar columns in one aggregate; keyed: a cell for each key and index; ordered: depends on arrival.
     kind = "flat"
+    #: Whether a result is one row a group, so that it is a struct in a group.
+    single = False
 
     def __init__(self) -> None:
         self.steps: tuple[Step, ...] = ()

@@ -20,9 +20,9 @@ def _windowed(events: Events, time: str, duration: str, slide: str | None, delay
     return Events(df, events.row)
 
 
-def stream_aggregate(events: Events, stats: dict[str, Stat], by: list[str], time: str, duration: str, slide: str | None = None, delay: str = "1 hour", shift: float = 0.0) -> DataFrame:
+def stream_aggregate(events: Events, stats: dict[str, Stat], by: list[str], time: str, duration: str, slide: str | None = None, delay: str = "1 hour", shift: float | None = None) -> DataFrame:
     """Results a window and key. A stream can't be read twice, so weighted moments take
-    their shift as a parameter: a number near the data."""
+    their shift as a parameter, a number near the data; without it they raise an error."""
     keyed = _windowed(events, time, duration, slide, delay)
     return run.aggregate(keyed, stats, [*by, "window"], shift=shift)
 

@@ -11,7 +11,7 @@ from rillstats import operators as op
 from rillstats.functions import hashing
 from rillstats.operators.windows import windowed
 from rillstats.plans import run
-from rillstats.plans.groups import ListStats, StatGroup, StatSchema, group, stat
+from rillstats.plans.groups import ListStats, StatGroup, StatSchema, Vectorized, group, stat
 from rillstats.plans.stat import discrete, paired, series, vector
 from rillstats.sources import load_state, save_state
 
@@ -106,7 +106,7 @@ def test_decay(spark):
 
 def test_rates(spark):
     assert one(spark, [(10, 1, 0)], op.Rate(), as_of=SECOND).rate == pytest.approx(10)
-    read = lambda rows, as_of, **more: op.CounterRate(**more).read(events(spark, rows), as_of=as_of).first()
+    read = lambda rows, as_of, **more: op.CounterRate(**more).of(events(spark, rows), as_of=as_of).first()
     basic = read([(100, 1, 0), (130, 1, SECOND), (160, 1, 2 * SECOND)], 2 * SECOND)
     assert (basic.total_value, basic.rate) == (60, 30)
     reset = read([(100, 1, 0), (10, 1, SECOND)], 2 * SECOND)
@@ -124,11 +124,70 @@ def test_ewma(spark):
         a = 1 - math.exp(-0.3 * w)
         mean, m2, total = (1 - a) * mean + a * v, (1 - a) * (m2 + a * (v - mean) ** 2), total + w
     c = 1 - math.exp(-0.3 * total)
-    assert op.EwmaMean(0.3).read(events(spark, rows)).first().mean == pytest.approx(mean / c)
-    got = op.EwmaVariance(0.3).read(events(spark, rows)).first()
+    assert op.EwmaMean(0.3).of(events(spark, rows)).first().mean == pytest.approx(mean / c)
+    got = op.EwmaVariance(0.3).of(events(spark, rows)).first()
     assert (got.mean, got.variance) == pytest.approx((mean / c, m2 / c))
-    parts = [spark.createDataFrame([(1.0, m)], "total_weights double, mean double") for m in (10.0, 20.0)]
-    assert op.EwmaMean(0.5).merge(parts).first().mean == pytest.approx(15)
+
+
+def slow_ewma(rows, alpha):
+    mean = m2 = total = 0.0
+    for v, w in rows:
+        a = 1 - math.exp(-alpha * w)
+        mean, m2, total = (1 - a) * mean + a * v, (1 - a) * (m2 + a * (v - mean) ** 2), total + w
+    c = 1 - math.exp(-alpha * total)
+    return total, mean / c if c else 0.0, m2 / c if c else 0.0
+
+
+def test_ewma_far_from_zero_and_over_many_ranges(spark):
+    rng = random.Random(4)
+    rows = [(1e9 + rng.random(), rng.random()) for _ in range(300)]
+    e = events(spark, rows)
+    want = slow_ewma(rows, 0.2)
+    got = op.EwmaVariance(0.2).of(e.with_rows(e.row)).first()
+    assert list(got) == pytest.approx(want, rel=1e-5)
+    wide = series(e.df.repartition(40), "value", weight="weight", seq="seq")
+    assert list(op.EwmaMean(0.2).of(wide).first()) == pytest.approx(want[:2], rel=1e-12)
+
+
+def test_merges_of_ordered_statistics(spark):
+    rng = random.Random(5)
+    parts = [[(rng.random() * 9, rng.random() * 2) for _ in range(30)] for _ in range(3)]
+    w = m = v = 0.0
+    mean_w = mean = 0.0
+    for rows in parts:
+        rw, rm, rv = slow_ewma(rows, 0.3)
+        w1, w2 = 1 - math.exp(-0.3 * w), 1 - math.exp(-0.3 * rw)
+        v = (w1 * v + w2 * rv + w1 * w2 * (m - rm) ** 2 / (w1 + w2)) / (w1 + w2)
+        m, w = (w1 * m + w2 * rm) / (w1 + w2), w + rw
+        w1 = 1 - math.exp(-0.3 * mean_w)
+        mean, mean_w = (w1 * mean + w2 * rm) / (w1 + w2), mean_w + rw
+    s = op.EwmaVariance(0.3)
+    assert list(s.read(s.merge([s.state(events(spark, p)) for p in parts])).first()) == pytest.approx((w, m, v))
+    s = op.EwmaMean(0.3)
+    assert list(s.read(s.merge([s.state(events(spark, p)) for p in parts])).first()) == pytest.approx((mean_w, mean))
+    c = op.CounterRate()
+    a, b, nothing = ([(100, 1, SECOND), (130, 1, 2 * SECOND)], [(7, 1, 5 * SECOND), (9, 1, 6 * SECOND)], [(5, 1, 0)])
+    got = c.read(c.merge([c.state(events(spark, x), as_of=9 * SECOND) for x in (nothing, b, a)], as_of=9 * SECOND), as_of=9 * SECOND).first()
+    assert (got.total_value, got.start_timestamp_nanos, got.rate) == (32, SECOND, 4)
+    f = op.FrugalQuantile(0.5, 1.0)
+    states = [f.state(events(spark, values(*([x] * n)))) for x, n in ((10, 4), (-10, 2), (10, 6))]
+    assert f.read(f.merge(states)).first().quantile == ((2 + -1) / 2 + 3) / 2
+
+
+def test_frugal_step_by_step(spark):
+    rng = random.Random(9)
+    rows = [(rng.gauss(50, 10), rng.choice([0, 1, 2, -1])) for _ in range(500)]
+    at = 20.0
+    for v, w in rows:
+        if w > 0:
+            at += 0.5 * 0.9 if v > at else -0.5 * (1 - 0.9) if v < at else 0
+    got = op.FrugalQuantile(0.9, 0.5, 20.0).of(events(spark, rows)).first()
+    assert (got.probability, got.quantile) == (0.9, pytest.approx(at))
+    none = events(spark, rows)
+    none = series(none.df.where("false"), "value", ts="ts", weight="weight", seq="seq")
+    assert op.FrugalQuantile(0.9, 0.5, 20.0).of(none).first().quantile == 20
+    assert list(op.EwmaVariance(0.5).of(none).first()) == [0, 0, 0] and list(op.EwmaMean(0.5).of(none).first()) == [0, 0]
+    assert op.CounterRate().of(none, as_of=SECOND).first().total_value == 0
 
 
 # Regression
@@ -222,10 +281,10 @@ def test_quantiles(spark):
     assert len(state.first().means) <= 600
     s = op.ReservoirHistogram(500, seed=7)
     r = series(spark.range(1, 10_001).select(F.col("id").cast("double").alias("v"), "id"), "v", seq="id")
-    sample = s.read(r)
+    sample = s.of(r)
     assert sample.count() == 500 and 4000 <= s.quantile(sample, 0.5).first()[0] <= 6000
     assert sum(b.weight for b in s.histogram(sample, 10).collect()) == 500
-    f = op.FrugalQuantile(0.5, step=2.0).read(r).first()
+    f = op.FrugalQuantile(0.5, step=2.0).of(r).first()
     assert f.quantile > 100
 
 
@@ -243,11 +302,40 @@ def test_histograms(spark):
         hdr.cells(events(spark, values(-1))).collect()
 
 
+def test_values_without_bound(spark):
+    d = op.DDSketch(0.01, (0.1, 0.5, 0.95))
+    cells = d.cells(events(spark, values(*range(1, 11), math.inf, math.inf, -math.inf, -math.inf, math.nan)))
+    assert {r.probability: r.quantile for r in d.read(cells).collect()} == {0.1: -math.inf, 0.5: pytest.approx(5, rel=0.21), 0.95: math.inf}
+    assert sum(r.weight for r in d.histogram(cells).collect()) == 15 and (math.inf, math.inf, 2.0) in [tuple(r) for r in d.histogram(cells).collect()]
+    h = op.HdrHistogram(1.0, 3)
+    got = sorted((r.lower_bound, r.weight) for r in h.read(h.cells(events(spark, values(5, 1e17, 1e300, math.inf)))).collect())
+    assert got[0] == (5, 1) and got[1][0] == pytest.approx(1e17, rel=1e-3) and got[2] == (pytest.approx(2.0**63, rel=1e-3), 2)
+
+
+def test_digests_of_many_values(spark):
+    t = op.TDigest(100, (0.5, 0.9))
+    wide = series(spark.range(50_000).select((F.col("id") * 7919 % 50_000).cast("double").alias("v")), "v")
+    assert len(t.state(wide).first().means) <= 600
+    small = series(spark.range(1, 101).select(F.col("id").cast("double").alias("v")), "v")
+    assert 47 <= t.of(small).where("probability = 0.5").first().quantile <= 53
+    mid = series(spark.range(1, 1001).select(F.col("id").cast("double").alias("v")), "v")
+    assert 880 <= t.of(mid).where("probability = 0.9").first().quantile <= 920
+
+
+def test_hyperloglog_of_few_keys_and_merged(spark):
+    h = op.HyperLogLog(14)
+    assert h.read(h.cells(discrete(spark.range(1000), "id"))).first().estimate == pytest.approx(1000, rel=0.05)
+    p = op.HyperLogLog(12)
+    a, b = (discrete(spark.range(k * 10_000, (k + 1) * 10_000), "id") for k in (0, 1))
+    whole = p.read(p.cells(discrete(spark.range(20_000), "id"))).first().estimate
+    assert p.read(p.merge([p.cells(a), p.cells(b)])).first().estimate == pytest.approx(whole, rel=0.02)
+
+
 def test_heavy_hitters(spark):
     e = discrete(spark.createDataFrame(list(enumerate([1, 1, 1, 2, 2, 3, 4])), "seq long, v long"), "v", seq="seq")
     s = op.SpaceSaving(3)
     assert {r.key: (r["count"], r.error) for r in s.faithful(e).collect()} == {1: (3, 0), 2: (2, 0), 4: (2, 1)}
-    assert [(r.key, r["count"]) for r in s.read(e).collect()] == [(1, 3), (2, 2), (3, 1)]
+    assert [(r.key, r["count"]) for r in s.of(e).collect()] == [(1, 3), (2, 2), (3, 1)]
 
 
 # Adapters
@@ -261,7 +349,7 @@ def test_the_last_adapter_runs_first(spark):
 
 def test_doubles_as_keys(spark):
     e = events(spark, [(x,) for x in (1.9, -1.9, math.nan, math.inf, -math.inf)])
-    got = sorted(r.key for r in op.SpaceSaving(9).as_series().read(e).collect())
+    got = sorted(r.key for r in op.SpaceSaving(9).as_series().of(e).collect())
     assert got == [-(2**63), -1, 0, 1, 2**63 - 1]
 
 
@@ -271,6 +359,24 @@ def test_wrong_adapters_raise():
             bad()
 
 
+def test_dimensions_that_differ(spark):
+    df = spark.createDataFrame([("a", [1.0, 1.0, 1.0]), ("a", [2.0, 3.0, 4.0]), ("b", [5.0, 6.0, 7.0])], "k string, v array<double>")
+    e = vector(df, "v")
+    got = {(r.k, r.dim): r["sum"] for r in run.per_dimension(e, lambda i: op.Sum().with_weight(i + 1), 3, ["k"]).collect()}
+    assert got == {("a", 0): 3, ("a", 1): 8, ("a", 2): 15, ("b", 0): 5, ("b", 1): 12, ("b", 2): 21}
+    got = {r.dim: r.slope if "slope" in r else r.mean for r in run.per_dimension(e, lambda i: op.Mean().filter(lambda v, i=i: v > i), 3).collect()}
+    assert got == {0: pytest.approx(8 / 3), 1: pytest.approx(4.5), 2: pytest.approx(5.5)}
+    bins = {(r.dim, r.lower_bound): r.weight for r in run.per_dimension(e, lambda i: op.LinearHistogram(0, 10, (1, 2, 10)[i]), 3).collect()}
+    assert bins == {(0, 0): 3, (1, 0): 2, (1, 5): 1, (2, 1): 1, (2, 4): 1, (2, 7): 1}
+    assert run.per_dimension(e, lambda i: op.LinearHistogram(0, 10, 2), 3, ["k"]).count() == 6
+    with pytest.raises(ValueError):
+        run.per_dimension(e, lambda i: op.Sum() if i else op.Mean(), 3)
+    mixed = Vectorized(3, lambda i: (op.Sum(), op.Max(), op.SpaceSaving(5).as_series())[i]).aggregate(e).first()
+    assert mixed["0"].sum == 8 and mixed["1"].max == 6 and sorted(x.key for x in mixed["2"]) == [1, 4, 7]
+    with pytest.raises(Exception, match="3 elements"):
+        Vectorized(3, lambda i: op.Sum()).aggregate(vector(spark.createDataFrame([([1.0],)], "v array<double>"), "v")).collect()
+
+
 def test_vectors_of_another_size_raise(spark):
     df = spark.createDataFrame([([1.0, 2.0],), ([1.0],)], "v array<double>")
     with pytest.raises(Exception, match="2 elements"):
@@ -321,6 +427,67 @@ def test_windows_of_sketches_and_merges(spark):
     assert w.read(w.merge(parts), 24 * SECOND).first() == whole and 30 < whole.estimate < 50
 
 
+HOUR = 3600 * SECOND
+
+
+def test_windows_of_values_that_age(spark):
+    now = 1_700_000_000 * SECOND
+    rows = [(8, 1, now - 5 * HOUR), (4, 2, now - HOUR), (2, 1, now)]
+    half = timedelta(hours=1)
+    e = events(spark, rows)
+    alpha = math.log(2) / HOUR
+    left = [w * math.exp(-alpha * (now - t)) for _, w, t in rows]
+    sums = sum(v * u for (v, *_), u in zip(rows, left))
+    read = lambda s: (lambda w: w.read(w.state(e), now).first())(windowed(s, timedelta(hours=10), 10))
+    assert read(op.DecayingSum(half))["sum"] == pytest.approx(sums)
+    assert read(op.DecayingMean(half)).mean == pytest.approx(sums / sum(left))
+    mean = sums / sum(left)
+    assert read(op.DecayingVariance(half)).variance == pytest.approx(sum(u * (v - mean) ** 2 for (v, *_), u in zip(rows, left)) / sum(left))
+    assert read(op.DecayingRate(half)).rate == pytest.approx(sums * alpha * 1e9)
+    r = read(op.Rate())
+    assert (r.total_value, r.start_timestamp_nanos) == (18, now - 5 * HOUR)
+    w = windowed(op.DecayingSum(half), timedelta(hours=10), 10)
+    parts = [w.state(events(spark, [x])) for x in rows]
+    assert w.read(w.merge(parts), now).first()["sum"] == pytest.approx(sums)
+
+
+def test_windows_of_ordered_statistics(spark):
+    rows = [(k % 7, 1, k * SECOND) for k in range(40)]
+    e = events(spark, rows)
+    by = lambda s, d=20, n=4: windowed(s, timedelta(seconds=d), n)
+    got = (lambda w: w.read(w.state(e), 39 * SECOND).first())(by(op.EwmaMean(0.3)))
+    slices = {k: [(v, w) for v, w, t in rows if t // (5 * SECOND) == k] for k in (4, 5, 6, 7)}
+    w = m = 0.0
+    for k in sorted(slices, key=lambda k: k % 4):
+        rw, rm, _ = slow_ewma(slices[k], 0.3)
+        w1, w2 = 1 - math.exp(-0.3 * w), 1 - math.exp(-0.3 * rw)
+        m, w = (w1 * m + w2 * rm) / (w1 + w2), w + rw
+    assert list(got) == pytest.approx((w, m))
+    live = [v for v, _, t in rows if t >= 20 * SECOND]
+    t = (lambda w: w.read(w.state(e), 39 * SECOND).collect())(by(op.TDigest(100, (0.5,))))
+    assert min(live) <= t[0].quantile <= max(live)
+    hits = (lambda w: w.read(w.state(e), 39 * SECOND).collect())(by(op.SpaceSaving(3).as_series()))
+    assert {r.key: r["count"] for r in hits} == {0: 3, 1: 3, 2: 3}
+    sample = (lambda w: w.read(w.state(e), 39 * SECOND).collect())(by(op.ReservoirHistogram(5)))
+    assert len(sample) == 5 and {r.value for r in sample} <= set(live)
+
+
+def test_windows_of_groups(spark):
+    rows = [(k, 1, k * SECOND) for k in range(40)]
+    g = StatGroup(stat("sum", op.Sum()), stat("rate", op.DecayingSum(timedelta(seconds=5))), stat("bins", op.LinearHistogram(0, 40, 4)), stat("hits", op.SpaceSaving(2).as_series().filter(lambda v: v < 30)))
+    w = windowed(g, timedelta(seconds=20), 4)
+    e = events(spark, rows)
+    r = w.read(w.state(e), 39 * SECOND).first()
+    assert r["sum"].sum == sum(range(20, 40)) and sorted((b.lower_bound, b.weight) for b in r.bins) == [(20, 10), (30, 10)]
+    assert [h.key for h in r.hits] == [20, 21]
+    assert r.rate.sum == pytest.approx(sum(v * 2.0 ** (-(39 - v) / 5) for v in range(20, 40)))
+    parts = [w.state(events(spark, [x for x in rows if x[0] % 2 == k])) for k in (0, 1)]
+    assert w.read(w.merge(parts), 39 * SECOND).first()["sum"] == r["sum"]
+    # an event that a member leaves out still makes its slice
+    f = windowed(op.LinearCounting(64).as_series().filter(lambda v: v < 5), timedelta(seconds=4), 4)
+    assert f.read(f.state(events(spark, [(1, 1, 0), (99, 1, 4 * SECOND)])), 4 * SECOND).collect() in ([], [(0.0, 64, 64)])
+
+
 # Groups
 
 
@@ -350,6 +517,42 @@ def test_groups(spark):
         StatGroup(stat("a", op.Sum()), stat("b", op.OLS()))
 
 
+def test_groups_of_all_kinds_have_states(spark):
+    g = StatGroup(
+        stat("sum", op.Sum()), stat("bins", op.LinearHistogram(0, 100, 2)), stat("keys", op.HyperLogLog(8).as_series()), stat("ewma", op.EwmaMean(0.1)), stat("top", op.SpaceSaving(2).as_series()),
+        group("in", stat("digest", op.TDigest(100, (0.5,))), stat("counter", op.CounterRate()), stat("sample", op.ReservoirHistogram(3)), stat("frugal", op.FrugalQuantile(0.5, 1.0))),
+    )
+    rows = [(float(k), 1, k * SECOND, k) for k in range(100)]
+    whole = g.aggregate(events(spark, rows), as_of=99 * SECOND).first()
+    halves = [g.states(events(spark, rows[:50]), as_of=99 * SECOND), g.states(events(spark, rows[50:]), as_of=99 * SECOND)]
+    got = g.read(g.merge(halves, as_of=99 * SECOND), as_of=99 * SECOND).first()
+    assert got["sum"] == whole["sum"] and sorted(got.bins) == sorted(whole.bins) and got["keys"] == whole["keys"] and [t["count"] for t in got.top] == [1, 1]
+    assert got["in"].digest[0].quantile == pytest.approx(whole["in"].digest[0].quantile, abs=5) and sorted(got["in"].sample) == sorted(whole["in"].sample)
+    assert (whole["in"].counter.total_value, got["in"].counter.total_value) == (99, 98) and whole["in"].frugal.quantile == pytest.approx(46, abs=10)
+    by = g.aggregate(series(table(spark, rows).withColumn("k", F.when(F.col("seq") % 3 > 0, F.col("seq") % 3)), "value", ts="ts", seq="seq"), ["k"], as_of=99 * SECOND).collect()
+    assert {r.k for r in by} == {None, 1, 2} and sum(r["sum"].sum for r in by) == whole["sum"].sum and all(len(r.bins) == 2 for r in by)
+    only = StatGroup(stat("bins", op.LinearHistogram(0, 100, 2)))
+    assert len(only.read(only.merge([only.states(events(spark, rows))])).first().bins) == 2
+
+
+def test_adapters_of_groups(spark):
+    g = StatGroup(stat("sum", op.Sum()), group("in", stat("n", op.Count()), stat("bins", op.LinearHistogram(0, 10, 1))))
+    r = g.filter(lambda v: v > 1).transform_value(lambda v: v * 2).aggregate(events(spark, values(0, 1, 2))).first()
+    assert (r["sum"].sum, r["in"].n.sum, r["in"].bins[0].weight) == (6, 2, 2)
+    p = spark.createDataFrame([(1.0, 10.0), (2.0, 20.0)], "x double, y double")
+    assert g.at_y().aggregate(paired(p, "x", "y")).first()["sum"].sum == 30
+    mapped = g.map_result(lambda m: {"twice": m["sum"]["sum"] * 2, **m}).aggregate(events(spark, values(4))).first()
+    assert mapped.twice == 8 and mapped["sum"].sum == 4
+    assert op.SpaceSaving(2).as_series().map_result(lambda m: {"key": m["key"] * 10}).kind == "ordered"
+    assert [r.ten for r in run.results(events(spark, values(3)), op.SpaceSaving(2).as_series().map_result(lambda m: {"ten": m["key"] * 10})).collect()] == [30]
+    two = ListStats(op.Sum(), op.Max())
+    with pytest.raises(ValueError):
+        two.merge([two.states(events(spark, values(1))), ListStats(op.Sum()).states(events(spark, values(1)))])
+    for own, e in ((ListStats(op.OLS(), op.Covariance()), paired(p, "x", "y")), (ListStats(op.Sum().at_index(0)), vector(p.select(F.array("x", "y").alias("v")), "v")), (ListStats(op.LinearCounting(64), op.HyperLogLog(4)), discrete(p.selectExpr("int(x) k"), "k"))):
+        s = own.states(e)
+        assert len(own.read(own.merge([s, s])).first()) == len(own.members)
+
+
 def test_a_part_without_a_member(spark):
     small, large = StatGroup(stat("a", op.Sum())), StatGroup(stat("a", op.Sum()), stat("b", op.Count()))
     parts = [small.states(events(spark, values(1))), large.states(events(spark, values(2, 3)))]

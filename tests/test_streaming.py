@@ -2,6 +2,7 @@
 
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from rillstats import operators as op
@@ -63,4 +64,13 @@ def test_folds_in_order(spark, tmp_path):
         if r.weight >= last.get(r.k, (0, 0))[0]:
             last[r.k] = (r.weight, r.mean)
     for r in op.EwmaMean(0.2).state(series(df, "v", weight="w", seq="seq"), ["k"]).collect():
-        assert math.isclose(last[r.k][0], r.total_weights) and math.isclose(last[r.k][1], r.biased)
+        assert math.isclose(last[r.k][0], r.state.total_weights) and math.isclose(last[r.k][1], r.state.biased)
+
+
+def test_a_stream_asks_for_a_shift(spark, tmp_path):
+    with pytest.raises(ValueError, match="shift"):
+        stream_aggregate(series(stream(spark, str(tmp_path / "d")), "v", weight="w"), {"variance": op.Variance()}, ["k"], "t", "1 hour")
+    far = spark.createDataFrame([("a", r[1], 1e9 + k, 1.0, k) for k, r in enumerate(rows(3))], SCHEMA)
+    far.write.parquet(str(tmp_path / "e"))
+    live = stream_aggregate(series(spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "e")), "v", weight="w"), {"variance": op.Variance()}, ["k"], "t", "1 day", shift=1e9)
+    assert math.isclose(drained(live, "far").first().variance.variance, 2 / 3)
