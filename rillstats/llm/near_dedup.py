@@ -24,15 +24,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WordHashes, discard, fresh, lean, mixed, read_table, small_side, stored, text_bytes, windows
+from .common import WordHashes, discard, fresh, hash_share, lean, mixed, read_table, small_side, stored, text_bytes, windows
 
 PERMUTATIONS = 95
 ROWS = 5
 BANDS = 2 * PERMUTATIONS // ROWS
 STAR_ROUNDS = 2
-#: Documents whose shingles are counted for the order, about, and the counters. Any order
-#: gives the same links; rare ones first gives few pairs.
-ORDER_DOCS, ORDER_BITS = 100_000, 18
+#: Documents whose shingles are counted for the order, about, and the counters: about two
+#: shingles of the counted ones share a counter. Any order gives the same links; rare ones first gives few pairs.
+ORDER_DOCS, ORDER_BITS = 20_000, 22
 #: Shingles before a shared one in which a pair looks for one that it shared before.
 LOOK_BACK = 16
 #: 64-bit words of a set's parity bits.
@@ -114,10 +114,13 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
 def confirmed(pairs: DataFrame, classes: DataFrame, given: DataFrame, width: int, numerator: int, denominator: int) -> DataFrame:
     """Of pairs (centre, node) those with denominator * |both sets| >= numerator * |either set|.
     A centre's members are dealt out in cells of about CELL, each with the centre's text,
-    so that no task gets all members of a large group."""
-    per = pairs.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / F.lit(CELL)).cast("int").alias("cells"))
-    members = pairs.join(per, "centre").select("centre", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int").alias("cell"), "node", F.lit(1).alias("part"))
-    centres = per.select("centre", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), F.col("centre").alias("node"), F.lit(0).alias("part"))
+    so that no task gets all members of a large group; only centres with more members than
+    a cell holds are joined to the pairs for it. Texts travel, not hashes: a shingle's hash takes 8 bytes
+    that don't compress, its word about 3 in a shuffle."""
+    sizes = stored(pairs.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / F.lit(CELL)).cast("int").alias("cells")), "centres")
+    large = small_side(sizes.where("cells > 1"))
+    members = pairs.join(large, "centre", "left").select("centre", F.pmod(F.xxhash64("node"), F.coalesce("cells", F.lit(1))).cast("int").alias("cell"), "node", F.lit(1).alias("part"))
+    centres = sizes.select("centre", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), F.col("centre").alias("node"), F.lit(0).alias("part"))
     dealt = stored(members.unionByName(centres).join(classes.select("node", F.col("head").alias("id")), "node"), "dealt")
     cells = given.join(small_side(dealt), "id").select("centre", "cell", "part", "node", "text").repartition("centre", "cell").sortWithinPartitions("centre", "cell", "part")
 
@@ -140,7 +143,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, given: DataFrame, width: int
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["centre", "node"])
 
     out = stored(cells.mapInArrow(lean(run), "centre long, node long").distinct(), "links")
-    discard(dealt)
+    discard(dealt, sizes)
     return out
 
 
@@ -179,21 +182,25 @@ def linked(docs: DataFrame, width: int = 5, numerator: int = 80, denominator: in
     whole = signed.where("id is not null and n > 0")
     # Copies are one node. Of a node's rows the one with the smallest id stands for it.
     classes = stored(whole.groupBy("node").agg(F.min("id").alias("head"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
-    buckets = classes.select("node", "n", F.explode("bands").alias("band"))
-    several = buckets.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("band")
-    members = stored(buckets.join(several, "band"), "members")
+    # A band's rows are counted where they come together, so there is one shuffle of them.
+    together = F.count(F.lit(1)).over(Window.partitionBy("band"))
+    members = stored(classes.select("node", "n", F.explode("bands").alias("band")).withColumn("c", together).where("c > 1").drop("c"), "members")
     heads, texts = classes.select("node", "head"), given.where("id is not null")
     tested = component = None
+    made = [members]
     for turn in range(STAR_ROUNDS + 1):
         open_ = _open(members, component)
-        pairs = _star(open_, turn, numerator, denominator) if turn < STAR_ROUNDS else _left_over(open_, heads, texts, width, numerator, denominator)
+        pairs = _star(open_, turn, numerator, denominator) if turn < STAR_ROUNDS else _left_over(open_, heads, texts, width, numerator, denominator, made)
         if tested is not None:
             pairs = pairs.join(tested, ["centre", "node"], "left_anti")
         pairs = stored(pairs, "pairs")
+        made.append(pairs)
         if not pairs.isEmpty():
             near = confirmed(pairs, heads, texts, width, numerator, denominator)
             tested = pairs if tested is None else tested.unionByName(pairs)
-            component = _merged(component, near)
+            before, component = component, _merged(component, near)
+            discard(near, *([] if before is None else [before]))
+    discard(*made)
     return _result(signed, heads, component, id_col)
 
 
@@ -237,8 +244,8 @@ def _star(open_: DataFrame, turn: int, numerator: int, denominator: int) -> Data
     return votes.groupBy("node").agg(F.max_by("centre", F.struct("votes", "centre")).alias("centre")).select("centre", "node")
 
 
-def _left_over(open_: DataFrame, heads: DataFrame, given: DataFrame, width: int, numerator: int, denominator: int) -> DataFrame:
-    """All pairs of open documents in different components that can be alike enough."""
+def _left_over(open_: DataFrame, heads: DataFrame, given: DataFrame, width: int, numerator: int, denominator: int, tables: list[DataFrame]) -> DataFrame:
+    """All pairs of open documents in different components that can be alike enough. tables gets what is stored for it."""
     nodes = open_.groupBy("node").agg(F.first("n").alias("n"), F.first("component").alias("component"))
     nodes = stored(nodes.join(heads.withColumnRenamed("head", "id"), "node"), "open")
     texts = given.join(small_side(nodes), "id")
@@ -275,28 +282,30 @@ def _left_over(open_: DataFrame, heads: DataFrame, given: DataFrame, width: int,
     enough = (numerator + denominator) * behind >= numerator * (F.col("n") + F.col("cn"))
     # Both have the same order, so at its first shared shingle a pair has shared none before: there it is always made, and at few others.
     first = ~F.arrays_overlap("earlier", "cearlier")
+    tables += [nodes, made, rows]
     pairs = rows.join(other, "token").where((F.col("node") > F.col("centre")) & (F.col("component") != F.col("cc")) & _may(numerator, denominator) & enough & close & first)
     return pairs.select("centre", "node").distinct()
 
 
 def _order(texts: DataFrame, n: int, width: int) -> np.ndarray:
-    """How often shingles occur, in 2^ORDER_BITS counters by their first bits, in about ORDER_DOCS documents."""
-    part = F.pmod(F.xxhash64("node", F.lit("order")), F.lit(1_000_000))
+    """How often shingles occur in about ORDER_DOCS documents, in 2^ORDER_BITS counters by their
+    first bits: 0 if at most once, else in steps of a quarter of a power of two, a byte each (4 MB)."""
 
     def count(batches):
         import pyarrow as pa
 
-        words, sums = WordHashes(), np.zeros(1 << ORDER_BITS, np.int64)
+        words, sums = WordHashes(), np.zeros(1 << ORDER_BITS, np.int32)
         for batch in batches:
             for raw in text_bytes(batch):
                 np.add.at(sums, (shingles(raw, words, width) >> np.uint64(64 - ORDER_BITS)).astype(np.int64), 1)
         at = np.nonzero(sums)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(sums[at], pa.int64())], ["place", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(sums[at], pa.int32())], ["place", "n"])
 
-    few = texts.where(part < int(min(1, ORDER_DOCS / n) * 1_000_000)).select("node", "text")
-    rows = few.mapInArrow(lean(count), "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(1 << ORDER_BITS, np.int64)
-    out[rows["place"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+    few = texts.where(F.xxhash64("node", F.lit("order")) <= hash_share(ORDER_DOCS / n)).select("node", "text")
+    sums = few.mapInArrow(lean(count), "place int, n int").groupBy("place").agg(F.sum("n").alias("n")).where("n > 1")
+    rows = sums.select("place", F.least(F.lit(255), F.round(4 * F.log2("n"))).cast("short").alias("n")).toPandas()
+    out = np.zeros(1 << ORDER_BITS, np.uint8)
+    out[rows["place"].to_numpy(np.int64)] = rows["n"].to_numpy(np.uint8)
     return out
 
 

@@ -228,6 +228,24 @@ def test_min_max_estimates_similarity():
     assert abs((a == b).mean() - 0.8) < 0.12
 
 
+def test_recall_at_the_threshold(spark):
+    """Pairs whose similarity is 0.80 to 0.85, each alone in its component, of sets from 5 shingles on."""
+    rng, texts, want = random.Random(8), {}, 0
+    while want < 400:
+        n = rng.choice([8, 12, 20, 40, 80, 200, 500])
+        words = [f"v{want}x{k}" for k in range(n + 3)]
+        other = list(words)
+        cut = round(n * rng.uniform(0.15, 0.2))
+        other = other[cut // 2 :] + [f"z{want}y{k}" for k in range(cut - cut // 2)] if rng.random() < 0.5 else other[: len(other) - cut]
+        a, b = ({tuple(x[k : k + 4]) for k in range(len(x) - 3)} for x in (words, other))
+        if 80 * len(a | b) <= 100 * len(a & b) <= 85 * len(a | b):
+            texts[2 * want], texts[2 * want + 1] = " ".join(words), " ".join(other)
+            want += 1
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = near_dedup.linked(docs, 4).collect()
+    assert sum(r.component_id == r.doc_id - r.doc_id % 2 for r in got) == 800
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101)], "a long, b long")
     got = {r.a: r.b for r in near_dedup.components(edges).collect()}
