@@ -9,11 +9,18 @@ import zipfile
 from pyspark.sql import SparkSession
 
 _done: set[str] = set()
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of an Arrow batch where the session has Spark's default of 10,000: a document is some
+#: kilobytes, and a batch is held by the JVM and by a Python worker.
+BATCH_ROWS = 1_000
 
 
 def ship(spark: SparkSession) -> None:
-    """Add this package to the session's Python files, once for each application."""
+    """Add this package to the session's Python files, once for each application, and see
+    to it that Arrow batches of documents are small."""
     context = spark.sparkContext
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     if context.applicationId in _done:
         return
     here = os.path.dirname(os.path.abspath(__file__))
