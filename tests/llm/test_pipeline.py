@@ -51,3 +51,29 @@ def test_rows_with_a_null_id_are_mixed_as_planned(spark):
     for r in planned:
         want[r.doc_id, r.size] += r.copies
     assert got == +want and any(i is None for i, _ in got)
+
+
+def test_stages_on_odd_tables(spark, data):
+    """Nulls in any column, repeated and tied rows, columns whose names clash, an empty table."""
+    words = "the quick brown fox jumps over the lazy dog and runs away from it over the hills to the sea where it sleeps in the sun"
+    names = ["_id", "size", "copies", "_place", "place", "kept_id", "leaked_id", "own", "row", "h", "pattern", "node", "id", "kept", "text2"]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    more = tuple("x" for _ in names)
+    rows = [(1, words, "en", "a", 9, *more)] * 2 + [(2, words, "en", "a", 9, *more), (2, words + " more", None, None, None, *more), (3, "Der Hund und die Katze schlafen im Garten hinter dem Haus", "de", "b", 5, *more)]
+    rows += [(None, words, "en", "a", 9, *more), (None, words, "en", "a", 9, *more), (4, None, None, None, None, *(None for _ in names)), (5, "", "en", "a", 0, *more), (6, "key = 0123456789abcdef0123456789abcdef and the words around it", "en", "b", 5, *more)]
+    docs = spark.createDataFrame(rows, kind)
+    left = {}
+    for name, stage in corpus_pipeline.STAGES:
+        for given in (docs, docs.where("false"), docs.select("doc_id", "text", "lang", "source")):
+            out = stage(spark, given, data)
+            assert out.columns == given.columns + ["copy"] * (name == "mixing")
+            got = out.collect()
+            if given is docs:
+                left[name] = collections.Counter(r.doc_id for r in got)
+            elif "size" in given.columns:
+                assert got == []
+    every = collections.Counter(r[0] for r in rows)
+    assert left["language_id"] == every - collections.Counter([4, 5])
+    assert left["near_dedup"] == collections.Counter([1, 3, None, None, 4, 5, 6])
+    assert left["decontamination"] == left["secret_scan"] == every
+    assert not {4, 5} & set(left["mixing"])
