@@ -73,6 +73,8 @@ def each(odd):
     yield "op5", token_counts.count_tokens(odd, "piece_bpe_32k.model"), 5
     yield "op6", language_id.identify(odd, language_id.learnt(odd)), 5
     yield "op7", secret_scan.scan(odd), 5
+    messages = odd.select(F.col("source").alias("tree"), F.col("doc_id").alias("id"), F.lit(None).cast("long").alias("parent"), F.lit(None).cast("double").alias("score"), F.col("lang").alias("role"), "text", "p", "c")
+    yield "op8", chat_format.read_back(chat_format.formatted(chat_format.paths(messages, 9))), 3
     yield "op9", quality_classifier.scored(odd, quality_classifier.learnt(odd, odd.selectExpr("doc_id", "int(doc_id % 2) quality"))), 5
     yield "op10", license_scan.labelled(odd), 5
 
@@ -685,6 +687,41 @@ def test_quality_held_out(spark, data):
     assert sum(r.predicted == r.quality for r in got) >= 0.95 * len(got) and all(0 <= r.score <= 1 for r in got)
 
 
+def slow_features(text):
+    text = text or ""
+    words, lines = re.findall(r"[^\x20\x09-\x0D]+", text), [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    n, chars = len(words), sum(map(len, words))
+    threes = [tuple(words[k : k + 3]) for k in range(n - 2)]
+    count, covered = collections.Counter(threes), set()
+    for k, t in enumerate(threes):
+        covered |= {k, k + 1, k + 2} if count[t] > 1 else set()
+    share = lambda a, b: a / b if b else 0.0
+    symbols, stops = len(re.findall(r"[#*$%&|<>]", text)), sum(w.lower() in quality_rules.STOP_WORDS for w in words)
+    return [
+        share(chars, n), share(symbols, n), share(text.count("!"), n), share(stops, n), share(len(lines) - len(set(lines)), len(lines)), share(len(covered), n), share(len(set(words)), n),
+        share(len(re.findall("[A-Z]", text)), chars), share(len(re.findall("[0-9]", text)), chars), share(text.count("|"), n), share(len(re.findall("[.?,;:]", text)), n), np.log1p(n),
+    ]
+
+
+def test_scores_by_brute_force(spark, data):
+    """Every statistic and every rule by plain Python, from the same labels."""
+    docs, labels = read_table(spark, data, "documents"), read_table(spark, data, "labels").where(~quality_classifier.held_out())
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    y = {r.doc_id: r.quality for r in labels.collect()}
+    ids = sorted(set(y) & set(texts))
+    x = np.array([slow_features(texts[i]) for i in ids])
+    model = quality_classifier.learnt(docs, labels)
+    frame = quality_classifier.features(docs).toPandas().set_index("_id").loc[ids]
+    assert np.allclose(frame[list(quality_classifier.FEATURES)].to_numpy(float), x)
+    edge = {10**6 + k: t for k, t in enumerate(edge_texts()) if t is None or "İ" not in t}
+    more = spark.createDataFrame(list(edge.items()), "doc_id long, text string").unionByName(docs.select("doc_id", "text"))
+    for r in quality_classifier.scored(more, model).collect():
+        f = slow_features(edge.get(r.doc_id, texts.get(r.doc_id)))
+        z = model["intercept"] + sum(w for rule, w in zip(model["rules"], model["weights"]) if all((f[k] > bound) == above for k, above, bound in rule))
+        assert r.score == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9), r.doc_id
+        assert r.predicted == (r.score >= 0.5)
+
+
 def test_rules_are_sparse_and_compile(spark):
     rng = np.random.default_rng(3)
     x = rng.random((2000, len(quality_classifier.FEATURES)))
