@@ -1,8 +1,8 @@
 """Statistics that depend on the order of arrival, or that no grouped aggregate can say.
 
-EwmaMean and EwmaVariance are linear in their state, so ranges of a key's events are summed up
-on their own and joined in order: no task gets a key as a whole. CounterRate is a window
-plan over each key. FrugalQuantile and the faithful
+A key's events are cut into ranges of the sequence, so no task gets a key as a whole: EwmaMean
+and EwmaVariance are linear in their state, and ranges' sums are joined in order; CounterRate
+gives each range the last sample that counts before it. FrugalQuantile and the faithful
 SpaceSaving fold the events of a group in order in one Python function per group, so one
 group's events go to one task: by nature these don't spread out. TDigest and
 SpaceSaving's exact form, and the reservoir, do spread: they are reduced in every
@@ -52,6 +52,21 @@ class Ordered(Stat):
         return self.read(self.state(events, by, as_of), by, as_of)
 
 
+#: Events of a range of the sequence, about, where its numbers are spread evenly.
+RANGE_EVENTS = 1_000_000
+
+
+def ranged(df: DataFrame) -> DataFrame:
+    """df with _range: which of some equal stretches of all sequence numbers a row's _seq lies
+    in. Stretches are fixed by the least, the largest and the number of rows."""
+    r = df.agg(F.min("_seq").cast("double").alias("lo"), F.max("_seq").cast("double").alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    ranges = math.ceil(r["n"] / RANGE_EVENTS)
+    if ranges < 2 or r["hi"] <= r["lo"]:
+        return df.withColumn("_range", F.lit(0))
+    at = F.floor((F.col("_seq").cast("double") - F.lit(r["lo"])) / F.lit(r["hi"] - r["lo"]) * F.lit(ranges))
+    return df.withColumn("_range", F.least(F.coalesce(at, F.lit(0)), F.lit(ranges - 1)).cast("int"))
+
+
 def _whole(by: list[str]):
     return list(by) if by else [F.lit("")]
 
@@ -112,7 +127,15 @@ class CounterRate(Scalar):
         df = self._events(events, by, _ts=r.ts, _seq=self._need_seq(events)).where(~F.isnan("_v"))
         if as_of is None:
             as_of = events.df.agg(F.max(r.ts)).first()[0] or 0
-        order = Window.partitionBy(*_whole(by)).orderBy("_seq")
+        cut = ranged(df)
+        # A range's newest sample, and before each range the newest of those before: that is the
+        # last one that counts. It stands first in the range and adds nothing itself.
+        newest = cut.groupBy(*by, "_range").agg(F.max(F.struct("_ts", (-F.col("_seq")).alias("o"), "_v")).alias("_p"))
+        earlier = Window.partitionBy(*_whole(by)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+        carried = F.max(F.struct(F.col("_p._ts"), (-F.col("_range")).alias("o"), F.col("_p._v"))).over(earlier)
+        leads = newest.withColumn("_c", carried).where("_c is not null").select(*by, F.col("_c._v"), F.lit(0.0).alias("_w"), F.col("_c._ts"), F.lit(None).cast(cut.schema["_seq"].dataType).alias("_seq"), "_range")
+        df = cut.unionByName(leads)
+        order = Window.partitionBy(*by, "_range").orderBy(F.asc_nulls_first("_seq"))
         late = F.max("_ts").over(order.rowsBetween(Window.unboundedPreceding, -1))
         kept = df.withColumn("_late", late).where(F.col("_late").isNull() | (F.col("_ts") > F.col("_late")))
         before, since = F.lag("_v").over(order), F.lag("_ts").over(order)
@@ -160,7 +183,7 @@ class _Ewma(Scalar):
     def _sums(self, events: Events, by: list[str], powers: dict[str, Column]) -> DataFrame:
         """by, total_weights and the sums of powers, of columns of _events."""
         df = self._events(events, by, _seq=self._need_seq(events))
-        dealt = df.repartitionByRange(*by, "_seq").withColumn("_range", F.spark_partition_id())
+        dealt = ranged(df)
         later = Window.partitionBy(*by, "_range").orderBy(F.desc("_seq")).rowsBetween(Window.unboundedPreceding, -1)
         share = self._correction(F.col("_w")) * self._left(F.coalesce(F.sum("_w").over(later), F.lit(0.0)))
         own = dealt.withColumn("_share", share)

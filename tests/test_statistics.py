@@ -149,6 +149,30 @@ def test_ewma_far_from_zero_and_over_many_ranges(spark):
     assert list(op.EwmaMean(0.2).of(wide).first()) == pytest.approx(want[:2], rel=1e-12)
 
 
+@pytest.mark.parametrize("size", [7, 40, 10**6])
+def test_ranges_give_what_a_whole_key_gives(spark, monkeypatch, size):
+    monkeypatch.setattr("rillstats.operators.ordered.RANGE_EVENTS", size)
+    rng = random.Random(size)
+    rows, now = [], 0
+    for _ in range(200):
+        now += rng.choice([1, 1, 2, -3, 0]) * SECOND
+        rows.append((rng.choice([1, 5, 9, 20, math.nan]), rng.choice([1, 2, 0.5]), now))
+    last, total, start = None, 0.0, None
+    for v, w, t in rows:
+        if math.isnan(v) or (last and t <= last[1]):
+            continue
+        if last:
+            delta = max((v if v < last[0] else v - last[0]) * w, 0)
+            if delta > 0 and start is None:
+                start = t if v < last[0] else last[1]
+            total += delta
+        last = (v, t)
+    got = op.CounterRate().of(events(spark, rows), as_of=10**12).first()
+    assert (got.total_value, got.start_timestamp_nanos) == (pytest.approx(total), start)
+    plain = [(v, w) for v, w, _ in rows if not math.isnan(v)]
+    assert list(op.EwmaVariance(0.2).of(events(spark, plain)).first()) == pytest.approx(slow_ewma(plain, 0.2))
+
+
 def test_merges_of_ordered_statistics(spark):
     rng = random.Random(5)
     parts = [[(rng.random() * 9, rng.random() * 2) for _ in range(30)] for _ in range(3)]
