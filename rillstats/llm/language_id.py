@@ -192,11 +192,10 @@ def learnt(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_c
         if left[r["k"]] < 0:
             least[r["k"]] = max(least[r["k"]], r["n"] + 1)
     bounds = F.broadcast(spark.createDataFrame(list(least.items()), "k int, least long"))
-    rows = sums.join(bounds, "k").where("order = 0 or n >= least").select("k", "order", "edge", "n").toPandas()
+    rows = sums.join(bounds, "k").where("order = 0 or n >= least").select("k", "order", "edge", "n").toArrow()
     discard(sums)
-    columns = {k: tuple(g[c].to_numpy(np.int64) for c in ("order", "edge", "n")) for k, g in rows.groupby("k")}
-    empty = (np.empty(0, np.int64),) * 3
-    return trees({lang: columns.get(k, empty) for k, lang in enumerate(langs)})
+    own, order, edge, n = (rows[c].to_numpy().astype(np.int64) for c in ("k", "order", "edge", "n"))
+    return trees({lang: (order[own == k], edge[own == k], n[own == k]) for k, lang in enumerate(langs)})
 
 
 def code_lengths(model: dict, texts: list[bytes]) -> np.ndarray:

@@ -303,9 +303,9 @@ def _order(texts: DataFrame, n: int, width: int) -> np.ndarray:
 
     few = texts.where(F.xxhash64("node", F.lit("order")) <= hash_share(ORDER_DOCS / n)).select("node", "text")
     sums = few.mapInArrow(lean(count), "place int, n int").groupBy("place").agg(F.sum("n").alias("n")).where("n > 1")
-    rows = sums.select("place", F.least(F.lit(255), F.round(4 * F.log2("n"))).cast("short").alias("n")).toPandas()
+    rows = sums.select("place", F.least(F.lit(255), F.round(4 * F.log2("n"))).cast("short").alias("n")).toArrow()  # 2^ORDER_BITS rows of 6 bytes at most
     out = np.zeros(1 << ORDER_BITS, np.uint8)
-    out[rows["place"].to_numpy(np.int64)] = rows["n"].to_numpy(np.uint8)
+    out[rows["place"].to_numpy()] = rows["n"].to_numpy()
     return out
 
 
