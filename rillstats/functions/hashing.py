@@ -6,6 +6,8 @@ that is used more than once in a projection of its own, so each is evaluated onc
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -100,9 +102,18 @@ def hash64_bytes(values: list[bytes]) -> np.ndarray:
     return out
 
 
-@F.pandas_udf(T.LongType())
-def hash64(values: pd.Series) -> pd.Series:
-    """The hash of a string (its UTF-8) or binary column; null stays null."""
-    known = values.notna()
-    raw = [v.encode() if isinstance(v, str) else bytes(v) for v in values[known]]
-    return pd.Series(hash64_bytes(raw), index=values.index[known], dtype="Int64").reindex(values.index)
+def hash_by(hasher: Callable[[list[bytes]], np.ndarray | list[int]]):
+    """A function of string (their UTF-8) or binary columns by a hash of one's own, which gets a
+    batch's byte strings and gives signed 64-bit integers; null stays null."""
+
+    @F.pandas_udf(T.LongType())
+    def hashed(values: pd.Series) -> pd.Series:
+        known = values.notna()
+        raw = [v.encode() if isinstance(v, str) else bytes(v) for v in values[known]]
+        return pd.Series(np.asarray(hasher(raw), np.int64), index=values.index[known], dtype="Int64").reindex(values.index)
+
+    return hashed
+
+
+#: The hash of a string or binary column by hash64_bytes.
+hash64 = hash_by(hash64_bytes)

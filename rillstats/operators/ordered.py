@@ -327,7 +327,7 @@ class Listed(Ordered):
 
 class SpaceSaving(Listed):
     """Heavy hitters. state() counts exactly and keeps the `capacity` largest, which meets the
-    sketch's bounds with error 0; faithful() is the evicting sketch on each group in order."""
+    sketch's bounds with error 0; faithful() gives the evicting sketch."""
 
     modality = "discrete"
 
@@ -354,27 +354,68 @@ class SpaceSaving(Listed):
         place = F.row_number().over(Window.partitionBy(*_whole(list(by))).orderBy(F.desc("count"), "key"))
         return sums.withColumn("_n", place).where(F.col("_n") <= self.capacity).drop("_n")
 
-    def faithful(self, events: Events, by: list[str] = ()) -> DataFrame:
-        by, capacity = list(by), self.capacity
-        df = self._live(events, by, _seq=self._need_seq(events))
+    def faithful(self) -> EvictingSpaceSaving:
+        """The sketch itself, with the same steps."""
+        out = EvictingSpaceSaving(self.capacity)
+        out.steps, out.modality, out.mapping = self.steps, self.modality, self.mapping
+        return out
 
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("_seq", kind="stable")
-            held: dict[int, list[int]] = {}
-            for key, w in zip(pdf["_v"].tolist(), pdf["_w"].tolist()):
-                if key in held:
-                    held[key][0] += w
-                elif len(held) < capacity:
-                    held[key] = [w, 0]
+
+class EvictingSpaceSaving(SpaceSaving):
+    """Heavy hitters by the evicting sketch on each group in order. A key that isn't held takes
+    the first of the least-counted places, whose count becomes its error. Merging takes in the
+    places of one state after the other in the same way. By nature a group is one task."""
+
+    needs_seq = True
+
+    def _admitted(self, keys, counts, errors) -> pd.DataFrame:
+        held, at = 0, {}
+        key, count, error = np.zeros(self.capacity, np.int64), np.zeros(self.capacity, np.int64), np.zeros(self.capacity, np.int64)
+        for k, c, e in zip(keys, counts, errors):
+            place = at.get(k)
+            if place is None:
+                if held < self.capacity:
+                    place, held = held, held + 1
                 else:
-                    gone = min(held, key=lambda k: held[k][0])
-                    least = held.pop(gone)[0]
-                    held[key] = [least + w, least]
-            rows = [(*(pdf[b].iloc[0] for b in by), k, c, e) for k, (c, e) in sorted(held.items(), key=lambda x: (-x[1][0], x[0]))]
-            return pd.DataFrame(rows, columns=[*by, "key", "count", "error"])
+                    place = int(count.argmin())
+                    least = int(count[place])
+                    del at[int(key[place])]
+                    error[place] = least
+                    count[place] = least
+                at[k], key[place] = place, k
+            count[place] += c
+            error[place] += e
+        return pd.DataFrame({"key": key[:held], "count": count[:held], "error": error[:held], "place": np.arange(held)})
+
+    def _folded(self, df: DataFrame, by: list[str], order: list[str], columns: tuple[str, ...]) -> DataFrame:
+        admitted = self._admitted
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(order, kind="stable")
+            out = admitted(*(pdf[c].tolist() for c in columns))
+            for j, b in enumerate(by):
+                out.insert(j, b, pdf[b].iloc[0])
+            return out
 
         keys = "".join(f"`{b}` {df.schema[b].dataType.simpleString()}, " for b in by)
-        return df.groupBy(*_whole(by)).applyInPandas(run, f"{keys}key long, count long, error long")
+        return df.groupBy(*_whole(by)).applyInPandas(run, f"{keys}key long, count long, error long, place long")
+
+    def state(self, events: Events, by: list[str] = (), as_of=None) -> DataFrame:
+        """by, key, count, error, place."""
+        by = list(by)
+        df = self._live(events, by, _seq=self._need_seq(events)).withColumn("_e", F.lit(0).cast("long"))
+        return self._folded(df, by, ["_seq"], ("_v", "_w", "_e"))
+
+    def merge(self, results: list[DataFrame], by: list[str] = (), as_of=None, order: Column | None = None) -> DataFrame:
+        """As many rows of a group come together as parts have places."""
+        every = None
+        for k, s in enumerate(results):
+            one = s.select(*by, "key", "count", "error", "place", F.lit(k).alias("_part"), (F.lit(0) if order is None else order).cast("long").alias("_order"))
+            every = one if every is None else every.unionByName(one)
+        return self._folded(every, list(by), ["_part", "_order", "place"], ("key", "count", "error"))
+
+    def read(self, state: DataFrame, by: list[str] = (), as_of=None) -> DataFrame:
+        return state.drop("place")
 
 
 class ReservoirHistogram(Listed):

@@ -368,12 +368,13 @@ r(event_type, place, s) AS (
          CASE WHEN list_contains(list_transform(s, lambda x: x.k), e.k)
               THEN list_transform(s, lambda x: {'k': x.k, 'c': x.c + (x.k = e.k)::BIGINT, 'e': x.e})
               WHEN len(s) < 64 THEN list_append(s, {'k': e.k::BIGINT, 'c': 1::BIGINT, 'e': 0::BIGINT})
-              ELSE list_append(list_filter(s, lambda x, i: i <> list_position(list_transform(s, lambda y: y.c), list_min(list_transform(s, lambda y: y.c)))),
-                               {'k': e.k::BIGINT, 'c': list_min(list_transform(s, lambda y: y.c)) + 1, 'e': list_min(list_transform(s, lambda y: y.c))}) END
+              ELSE list_transform(s, lambda x, i: CASE
+                WHEN i <> list_position(list_transform(s, lambda y: y.c), list_min(list_transform(s, lambda y: y.c))) THEN x
+                ELSE {'k': e.k::BIGINT, 'c': x.c + 1, 'e': x.c} END) END
   FROM r JOIN e ON e.event_type = r.event_type AND e.place = r.place + 1)
 SELECT event_type, x.k AS key, x.c AS count, x.e AS error
 FROM (SELECT event_type, unnest(arg_max(s, place)) AS x FROM r GROUP BY 1)""",
-)(lambda s, d: op.SpaceSaving(64).faithful(discrete(_ev(s, d), "user_id", seq="event_id"), _TYPE))
+)(lambda s, d: op.EvictingSpaceSaving(64).of(discrete(_ev(s, d), "user_id", seq="event_id"), _TYPE))
 
 # Adapters
 

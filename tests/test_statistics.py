@@ -13,7 +13,7 @@ from rillstats.operators.windows import windowed
 from rillstats.plans import run
 from rillstats.plans.groups import ListStats, StatGroup, StatSchema, Vectorized, group, stat
 from rillstats.plans.stat import discrete, paired, series, vector
-from rillstats.sources import load_state, save_state
+from rillstats.sources import load_group, load_state, save_group, save_state
 
 SECOND = 1_000_000_000
 
@@ -358,7 +358,11 @@ def test_hyperloglog_of_few_keys_and_merged(spark):
 def test_heavy_hitters(spark):
     e = discrete(spark.createDataFrame(list(enumerate([1, 1, 1, 2, 2, 3, 4])), "seq long, v long"), "v", seq="seq")
     s = op.SpaceSaving(3)
-    assert {r.key: (r["count"], r.error) for r in s.faithful(e).collect()} == {1: (3, 0), 2: (2, 0), 4: (2, 1)}
+    assert {r.key: (r["count"], r.error) for r in s.faithful().of(e).collect()} == {1: (3, 0), 2: (2, 0), 4: (2, 1)}
+    f = op.EvictingSpaceSaving(2)
+    parts = [f.state(discrete(spark.createDataFrame(list(enumerate(x)), "seq long, v long"), "v", seq="seq")) for x in ([1, 1, 2], [3, 3, 3, 1])]
+    assert {r.key: (r["count"], r.error) for r in f.read(f.merge(parts)).collect()} == {1: (3, 0), 3: (4, 1)}
+    assert f.faithful().capacity == 2
     assert [(r.key, r["count"]) for r in s.of(e).collect()] == [(1, 3), (2, 2), (3, 1)]
 
 
@@ -559,6 +563,23 @@ def test_groups_of_all_kinds_have_states(spark):
     assert len(only.read(only.merge([only.states(events(spark, rows))])).first().bins) == 2
 
 
+def test_stored_states_of_groups(spark, tmp_path):
+    g = StatGroup(stat("sum", op.Sum()), group("in", stat("bins", op.LinearHistogram(0, 10, 2)), stat("ewma", op.EwmaMean(0.1))))
+    state = g.states(events(spark, values(1, 2, 7)))
+    save_group(state, g, str(tmp_path / "g"))
+    assert g.read(load_group(spark, g, str(tmp_path / "g"))).first() == g.read(state).first()
+    with pytest.raises(ValueError):
+        load_group(spark, StatGroup(stat("sum", op.Sum()), group("in", stat("bins", op.LinearHistogram(0, 10, 5)), stat("ewma", op.EwmaMean(0.1)))), str(tmp_path / "g"))
+
+
+def test_own_hashes(spark):
+    import zlib
+
+    df = spark.createDataFrame([("a",), ("bc",), (None,)], "t string")
+    own = hashing.hash_by(lambda xs: [zlib.crc32(x) for x in xs])
+    assert [r.h for r in df.select(own("t").alias("h")).collect()] == [zlib.crc32(b"a"), zlib.crc32(b"bc"), None]
+
+
 def test_adapters_of_groups(spark):
     g = StatGroup(stat("sum", op.Sum()), group("in", stat("n", op.Count()), stat("bins", op.LinearHistogram(0, 10, 1))))
     r = g.filter(lambda v: v > 1).transform_value(lambda v: v * 2).aggregate(events(spark, values(0, 1, 2))).first()
