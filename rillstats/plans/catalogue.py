@@ -71,38 +71,79 @@ _FLAG, _TYPE = ["l_returnflag"], ["event_type"]
 query("sum_weighted", "SELECT l_returnflag, round(sum(l_extendedprice * l_quantity), 2) AS sum FROM lineitem GROUP BY 1")(
     lambda s, d: rounded(run.aggregate(_prices(s, d), op.Sum(), _FLAG), 2)
 )
-query("count_events", "SELECT event_type, count(*)::DOUBLE AS sum FROM events WHERE value IS NOT NULL GROUP BY 1")(lambda s, d: run.aggregate(_values(s, d), op.Count(), _TYPE))
-query("total_weights", "SELECT l_returnflag, sum(l_quantity)::DOUBLE AS sum FROM lineitem GROUP BY 1")(lambda s, d: run.aggregate(_prices(s, d), op.TotalWeights(), _FLAG))
-query("mean_weighted", "SELECT l_returnflag, sum(l_quantity)::DOUBLE AS total_weights, round(sum(l_extendedprice * l_quantity) / sum(l_quantity), 5) AS mean FROM lineitem GROUP BY 1")(
+query("count_events", "SELECT event_type, count(*)::DOUBLE AS sum FROM events WHERE value IS NOT NULL GROUP BY 1")(
+    lambda s, d: run.aggregate(_values(s, d), op.Count(), _TYPE)
+)
+query("total_weights", "SELECT l_returnflag, sum(l_quantity)::DOUBLE AS sum FROM lineitem GROUP BY 1")(
+    lambda s, d: run.aggregate(_prices(s, d), op.TotalWeights(), _FLAG)
+)
+query("mean_weighted", """
+SELECT l_returnflag, sum(l_quantity)::DOUBLE AS total_weights, round(sum(l_extendedprice * l_quantity) /
+sum(l_quantity), 5) AS mean FROM lineitem
+GROUP BY 1""")(
     lambda s, d: rounded(run.aggregate(_prices(s, d), op.Mean(), _FLAG), 5)
 )
-query("mean_unit", "SELECT event_type, count(value)::DOUBLE AS total_weights, round(avg(value), 6) AS mean FROM events GROUP BY 1")(lambda s, d: rounded(run.aggregate(_values(s, d), op.Mean(), _TYPE)))
+query("mean_unit", """
+SELECT event_type, count(value)::DOUBLE AS total_weights, round(avg(value), 6) AS mean
+FROM events GROUP BY 1""")(lambda s, d: rounded(run.aggregate(_values(s, d), op.Mean(), _TYPE)))
 query(
     "variance_unit",
-    "SELECT event_type, count(value)::DOUBLE AS total_weights, round(avg(value), 5) AS mean, round(var_pop(value), 4) AS variance, round(stddev_pop(value), 5) AS std_dev, round(var_samp(value), 4) AS sample_variance, round(stddev_samp(value), 5) AS sample_std_dev FROM events GROUP BY 1",
+    """
+SELECT event_type, count(value)::DOUBLE AS total_weights, round(avg(value), 5) AS mean, round(var_pop(value), 4)
+AS variance, round(stddev_pop(value), 5) AS std_dev, round(var_samp(value), 4) AS sample_variance,
+round(stddev_samp(value), 5) AS sample_std_dev
+FROM events GROUP BY 1""",
 )(lambda s, d: rounded(run.aggregate(_values(s, d), op.Variance(), _TYPE).drop("sst"), 5, variance=4, sample_variance=4))
-_WEIGHTED = "(SELECT l_returnflag, l_extendedprice AS v, l_quantity AS w, sum(l_extendedprice * l_quantity) OVER g / sum(l_quantity) OVER g AS m FROM lineitem WINDOW g AS (PARTITION BY l_returnflag))"
+_WEIGHTED = """
+(SELECT l_returnflag, l_extendedprice AS v, l_quantity AS w, sum(l_extendedprice * l_quantity) OVER g /
+sum(l_quantity) OVER g AS m FROM lineitem
+WINDOW g AS (PARTITION BY l_returnflag))"""
 query(
     "variance_weighted",
-    f"SELECT l_returnflag, sum(w)::DOUBLE AS total_weights, round(max(m), 4) AS mean, round(sum(w * (v - m) ** 2) / sum(w), 1) AS variance, round(sqrt(sum(w * (v - m) ** 2) / sum(w)), 4) AS std_dev FROM {_WEIGHTED} GROUP BY 1",
+    f"""
+SELECT l_returnflag, sum(w)::DOUBLE AS total_weights, round(max(m), 4) AS mean, round(sum(w * (v - m) ** 2) /
+sum(w), 1) AS variance, round(sqrt(sum(w * (v - m) ** 2) / sum(w)), 4) AS std_dev
+FROM {_WEIGHTED} GROUP BY 1""",
 )(lambda s, d: rounded(run.aggregate(_prices(s, d), op.Variance(), _FLAG).select("l_returnflag", "total_weights", "mean", "variance", "std_dev"), 4, variance=1))
 query(
     "moments_unit",
-    "SELECT event_type, n AS total_weights, round(m, 5) AS mean, round(m2 / n, 4) AS variance, round(m3 / n / (m2 / n) ** 1.5, 6) AS skewness, round(m4 / n / (m2 / n) ** 2 - 3, 6) AS kurtosis FROM (SELECT event_type, count(*)::DOUBLE AS n, max(m) AS m, sum((value - m) ** 2) AS m2, sum((value - m) ** 3) AS m3, sum((value - m) ** 4) AS m4 FROM (SELECT event_type, value, avg(value) OVER (PARTITION BY event_type) AS m FROM events WHERE value IS NOT NULL) GROUP BY 1)",
+    """
+SELECT event_type, n AS total_weights, round(m, 5) AS mean, round(m2 / n, 4) AS variance, round(m3 / n / (m2 /
+n) ** 1.5, 6) AS skewness, round(m4 / n / (m2 / n) ** 2 - 3, 6) AS kurtosis
+FROM (SELECT event_type, count(*)::DOUBLE AS n, max(m) AS m, sum((value - m) ** 2) AS m2, sum((value - m) ** 3)
+AS m3, sum((value - m) ** 4) AS m4
+FROM (SELECT event_type, value, avg(value) OVER (PARTITION BY event_type) AS m
+FROM events WHERE value IS NOT NULL)
+GROUP BY 1)""",
 )(lambda s, d: rounded(run.aggregate(_values(s, d), op.Moments(), _TYPE).select("event_type", "total_weights", "mean", "variance", "skewness", "kurtosis"), 6, mean=5, variance=4))
 query(
     "moments_weighted",
-    f"SELECT l_returnflag, round(max(m), 4) AS mean, round((sum(w * (v - m) ** 3) / sum(w)) / (sum(w * (v - m) ** 2) / sum(w)) ** 1.5, 6) AS skewness, round((sum(w * (v - m) ** 4) / sum(w)) / (sum(w * (v - m) ** 2) / sum(w)) ** 2 - 3, 6) AS kurtosis FROM {_WEIGHTED} GROUP BY 1",
+    f"""
+SELECT l_returnflag, round(max(m), 4) AS mean, round((sum(w * (v - m) ** 3) / sum(w)) / (sum(w * (v - m) ** 2) /
+sum(w)) ** 1.5, 6) AS skewness, round((sum(w * (v - m) ** 4) / sum(w)) / (sum(w * (v - m) ** 2) / sum(w)) ** 2 -
+3, 6) AS kurtosis FROM {_WEIGHTED}
+GROUP BY 1""",
 )(lambda s, d: rounded(run.aggregate(_prices(s, d), op.Moments(), _FLAG).select("l_returnflag", "mean", "skewness", "kurtosis"), 6, mean=4))
-query("min_value", "SELECT event_type, min(value) AS min FROM events GROUP BY 1")(lambda s, d: run.aggregate(_values(s, d), op.Min(), _TYPE))
-query("max_value", "SELECT event_type, max(value) AS max FROM events GROUP BY 1")(lambda s, d: run.aggregate(_values(s, d), op.Max(), _TYPE))
-query("range_values", "SELECT event_type, min(value) AS min, max(value) AS max FROM events GROUP BY 1")(lambda s, d: run.aggregate(_values(s, d), op.Range(), _TYPE))
-query("fixed_point_sum", "SELECT l_returnflag, sum(trunc(l_extendedprice * 1e6)::HUGEINT)::DOUBLE / 1e6 AS sum FROM lineitem GROUP BY 1")(
+query("min_value", "SELECT event_type, min(value) AS min FROM events GROUP BY 1")(
+    lambda s, d: run.aggregate(_values(s, d), op.Min(), _TYPE)
+)
+query("max_value", "SELECT event_type, max(value) AS max FROM events GROUP BY 1")(
+    lambda s, d: run.aggregate(_values(s, d), op.Max(), _TYPE)
+)
+query("range_values", "SELECT event_type, min(value) AS min, max(value) AS max FROM events GROUP BY 1")(
+    lambda s, d: run.aggregate(_values(s, d), op.Range(), _TYPE)
+)
+query("fixed_point_sum", """
+SELECT l_returnflag, sum(trunc(l_extendedprice * 1e6)::HUGEINT)::DOUBLE / 1e6 AS sum
+FROM lineitem GROUP BY 1""")(
     lambda s, d: run.aggregate(_prices(s, d, None), op.FixedPointSum(6), _FLAG)
 )
 
 
-@query("rollup_summary", "SELECT l_returnflag, l_linestatus, count(*)::DOUBLE AS n, round(sum(l_extendedprice * l_quantity), 1) AS total, round(avg(l_extendedprice), 5) AS mean FROM lineitem GROUP BY ROLLUP (1, 2)")
+@query("rollup_summary", """
+SELECT l_returnflag, l_linestatus, count(*)::DOUBLE AS n, round(sum(l_extendedprice * l_quantity), 1) AS total,
+round(avg(l_extendedprice), 5) AS mean
+FROM lineitem GROUP BY ROLLUP (1, 2)""")
 def rollup_summary(s, d):
     e = _prices(s, d)
     r, plain = e.row, type(e.row)(value=e.row.value)
@@ -115,25 +156,52 @@ def rollup_summary(s, d):
 
 _DAY = timedelta(days=1)
 _ALPHA = op.DecayingSum(_DAY).alpha
-_DECAYED = f"(SELECT event_type, value, exp(-{_ALPHA!r}::DOUBLE * (max({_NANOS}) OVER () - {_NANOS})::DOUBLE) AS u, max({_NANOS}) OVER () AS t, {_NANOS} AS ts FROM events WHERE value IS NOT NULL)"
-query("decaying_sum", f"SELECT event_type, round(sum(value * u), 5) AS sum, max(t)::BIGINT AS timestamp_nanos FROM {_DECAYED} GROUP BY 1")(lambda s, d: rounded(run.aggregate(_values(s, d), op.DecayingSum(_DAY), _TYPE), 5))
-query("decaying_mean", f"SELECT event_type, round(sum(value * u) / sum(u), 6) AS mean, round(sum(u), 6) AS total_weights, max(t)::BIGINT AS timestamp_nanos FROM {_DECAYED} GROUP BY 1")(
+_DECAYED = f"""
+(SELECT event_type, value, exp(-{_ALPHA!r}::DOUBLE * (max({_NANOS}) OVER () - {_NANOS})::DOUBLE) AS u,
+max({_NANOS}) OVER () AS t, {_NANOS} AS ts
+FROM events WHERE value IS NOT NULL)"""
+query("decaying_sum", f"""
+SELECT event_type, round(sum(value * u), 5) AS sum, max(t)::BIGINT AS timestamp_nanos
+FROM {_DECAYED} GROUP BY 1""")(lambda s, d: rounded(run.aggregate(_values(s, d), op.DecayingSum(_DAY), _TYPE), 5))
+query("decaying_mean", f"""
+SELECT event_type, round(sum(value * u) / sum(u), 6) AS mean, round(sum(u), 6) AS total_weights, max(t)::BIGINT
+AS timestamp_nanos FROM {_DECAYED}
+GROUP BY 1""")(
     lambda s, d: rounded(run.aggregate(_values(s, d), op.DecayingMean(_DAY), _TYPE))
 )
 query(
     "decaying_variance",
-    f"SELECT event_type, round(max(m), 5) AS mean, round(sum(u * (value - m) ** 2) / sum(u), 4) AS variance, round(sqrt(sum(u * (value - m) ** 2) / sum(u)), 5) AS std_dev, round(sum(u), 5) AS total_weights, max(t)::BIGINT AS timestamp_nanos FROM (SELECT *, sum(value * u) OVER g / sum(u) OVER g AS m FROM {_DECAYED} WINDOW g AS (PARTITION BY event_type)) GROUP BY 1",
+    f"""
+SELECT event_type, round(max(m), 5) AS mean, round(sum(u * (value - m) ** 2) / sum(u), 4) AS variance,
+round(sqrt(sum(u * (value - m) ** 2) / sum(u)), 5) AS std_dev, round(sum(u), 5) AS total_weights, max(t)::BIGINT
+AS timestamp_nanos FROM (SELECT *, sum(value * u) OVER g / sum(u) OVER g AS m
+FROM {_DECAYED} WINDOW g AS (PARTITION BY event_type))
+GROUP BY 1""",
 )(lambda s, d: rounded(run.aggregate(_values(s, d), op.DecayingVariance(_DAY), _TYPE), 5, variance=4))
-query("decaying_rate", f"SELECT event_type, round(sum(value * u) * {_ALPHA * 1e9!r}::DOUBLE, 6) AS rate, max(t)::BIGINT AS timestamp_nanos FROM {_DECAYED} GROUP BY 1")(
+query("decaying_rate", f"""
+SELECT event_type, round(sum(value * u) * {_ALPHA * 1e9!r}::DOUBLE, 6) AS rate, max(t)::BIGINT AS
+timestamp_nanos FROM {_DECAYED}
+GROUP BY 1""")(
     lambda s, d: rounded(run.aggregate(_values(s, d), op.DecayingRate(_DAY), _TYPE))
 )
 query(
     "rate_total",
-    f"SELECT event_type, start AS start_timestamp_nanos, round(total, 5) AS total_value, t AS timestamp_nanos, CASE WHEN t > start THEN round(total / ((t - start) / 1e9::DOUBLE), 6) ELSE 0.0::DOUBLE END AS rate FROM (SELECT event_type, arg_min(ts, event_id) AS start, sum(value) AS total, max(t) AS t FROM (SELECT event_type, event_id, value, {_NANOS} AS ts, max({_NANOS}) OVER () AS t FROM events WHERE value IS NOT NULL) GROUP BY 1)",
+    f"""
+SELECT event_type, start AS start_timestamp_nanos, round(total, 5) AS total_value, t AS timestamp_nanos, CASE
+WHEN t > start THEN round(total / ((t - start) / 1e9::DOUBLE), 6) ELSE 0.0::DOUBLE END AS rate
+FROM (SELECT event_type, arg_min(ts, event_id) AS start, sum(value) AS total, max(t) AS t
+FROM (SELECT event_type, event_id, value, {_NANOS} AS ts, max({_NANOS}) OVER () AS t
+FROM events WHERE value IS NOT NULL)
+GROUP BY 1)""",
 )(lambda s, d: rounded(run.aggregate(_values(s, d), op.Rate(), _TYPE), 6, total_value=5))
 query(
     "rate_per_hour",
-    f"SELECT event_type, round(total / ((t - start) / 1e9::DOUBLE) * 3600, 4) AS per_hour FROM (SELECT event_type, arg_min(ts, event_id) AS start, sum(value) AS total, max(t) AS t FROM (SELECT event_type, event_id, value, {_NANOS} AS ts, max({_NANOS}) OVER () AS t FROM events WHERE value IS NOT NULL) GROUP BY 1)",
+    f"""
+SELECT event_type, round(total / ((t - start) / 1e9::DOUBLE) * 3600, 4) AS per_hour
+FROM (SELECT event_type, arg_min(ts, event_id) AS start, sum(value) AS total, max(t) AS t
+FROM (SELECT event_type, event_id, value, {_NANOS} AS ts, max({_NANOS}) OVER () AS t
+FROM events WHERE value IS NOT NULL)
+GROUP BY 1)""",
 )(lambda s, d: rounded(run.aggregate(_values(s, d), op.Rate(), _TYPE).select("event_type", per(F.col("rate"), timedelta(hours=1)).alias("per_hour")), 4))
 
 
@@ -152,7 +220,13 @@ def counter_rate(s, d):
 
 query(
     "ewma_mean",
-    "SELECT event_type, count(*)::DOUBLE AS total_weights, round(sum((1 - exp(-0.05::DOUBLE)) * value * exp(-0.05::DOUBLE * later)) / (1 - exp(-0.05::DOUBLE * count(*))), 6) AS mean FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) - 1 AS later FROM events WHERE value IS NOT NULL) GROUP BY 1",
+    """
+SELECT event_type, count(*)::DOUBLE AS total_weights, round(sum((1 - exp(-0.05::DOUBLE)) * value *
+exp(-0.05::DOUBLE * later)) / (1 - exp(-0.05::DOUBLE * count(*))), 6) AS mean
+FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type
+ORDER BY event_id DESC) - 1 AS later
+FROM events WHERE value IS NOT NULL)
+GROUP BY 1""",
 )(lambda s, d: rounded(op.EwmaMean(0.05).of(_values(s, d), _TYPE)))
 query(
     "ewma_variance",
@@ -182,30 +256,52 @@ FROM l""",
 
 # Regression
 
-_REGR = "FROM (SELECT l_returnflag, count(*)::DOUBLE AS n, avg(l_quantity) AS mx, avg(l_extendedprice) AS my, regr_sxx(l_extendedprice, l_quantity) AS sxx, regr_sxy(l_extendedprice, l_quantity) AS sxy, regr_syy(l_extendedprice, l_quantity) AS syy FROM lineitem GROUP BY 1)"
+_REGR = """
+FROM (SELECT l_returnflag, count(*)::DOUBLE AS n, avg(l_quantity) AS mx, avg(l_extendedprice) AS my,
+regr_sxx(l_extendedprice, l_quantity) AS sxx, regr_sxy(l_extendedprice, l_quantity) AS sxy,
+regr_syy(l_extendedprice, l_quantity) AS syy
+FROM lineitem GROUP BY 1)"""
 query(
     "ols",
-    f"SELECT l_returnflag, n AS total_weights, round(sxy / sxx, 5) AS slope, round(my - sxy / sxx * mx, 3) AS intercept, round(sqrt((syy - sxy * sxy / sxx) / n), 3) AS rmse, round(sxy * sxy / sxx / syy, 6) AS r_squared, round(sxy / sqrt(sxx * syy), 6) AS correlation {_REGR}",
+    f"""
+SELECT l_returnflag, n AS total_weights, round(sxy / sxx, 5) AS slope, round(my - sxy / sxx * mx, 3) AS
+intercept, round(sqrt((syy - sxy * sxy / sxx) / n), 3) AS rmse, round(sxy * sxy / sxx / syy, 6) AS r_squared,
+round(sxy / sqrt(sxx * syy), 6) AS correlation {_REGR}""",
 )(lambda s, d: rounded(run.aggregate(_pairs(s, d), op.OLS(), _FLAG).select("l_returnflag", "total_weights", "slope", "intercept", "rmse", "r_squared", "correlation"), 6, slope=5, intercept=3, rmse=3))
 query(
     "ols_weighted",
-    "SELECT l_returnflag, sum(w)::DOUBLE AS total_weights, round(sum(w * (x - mx) * (y - my)) / sum(w * (x - mx) ** 2), 4) AS slope FROM (SELECT l_returnflag, l_quantity AS x, l_extendedprice AS y, l_linenumber::DOUBLE AS w, sum(l_quantity * l_linenumber) OVER g / sum(l_linenumber) OVER g AS mx, sum(l_extendedprice * l_linenumber) OVER g / sum(l_linenumber) OVER g AS my FROM lineitem WINDOW g AS (PARTITION BY l_returnflag)) GROUP BY 1",
+    """
+SELECT l_returnflag, sum(w)::DOUBLE AS total_weights, round(sum(w * (x - mx) * (y - my)) / sum(w * (x - mx) **
+2), 4) AS slope FROM (SELECT l_returnflag, l_quantity AS x, l_extendedprice AS y, l_linenumber::DOUBLE AS w,
+sum(l_quantity * l_linenumber) OVER g / sum(l_linenumber) OVER g AS mx, sum(l_extendedprice * l_linenumber) OVER
+g / sum(l_linenumber) OVER g AS my
+FROM lineitem WINDOW g AS (PARTITION BY l_returnflag))
+GROUP BY 1""",
 )(lambda s, d: rounded(run.aggregate(_pairs(s, d, F.col("l_linenumber").cast("double")), op.OLS(), _FLAG).select("l_returnflag", "total_weights", "slope"), 4))
 query(
     "covariance",
-    f"SELECT l_returnflag, n AS total_weights, round(mx, 6) AS mean_x, round(my, 4) AS mean_y, round(sxy / n, 3) AS covariance, round(sxy / sqrt(sxx * syy), 6) AS correlation, round(sxx / n, 5) AS var_x, round(syy / n, 1) AS var_y {_REGR}",
+    f"""
+SELECT l_returnflag, n AS total_weights, round(mx, 6) AS mean_x, round(my, 4) AS mean_y, round(sxy / n, 3) AS
+covariance, round(sxy / sqrt(sxx * syy), 6) AS correlation, round(sxx / n, 5) AS var_x, round(syy / n, 1) AS
+var_y {_REGR}""",
 )(lambda s, d: rounded(run.aggregate(_pairs(s, d), op.Covariance(), _FLAG).drop("sxy", "sxx", "syy"), 6, mean_y=4, covariance=3, var_x=5, var_y=1))
-query("ridge", f"SELECT l_returnflag, round(sxy / (sxx + 2.5 * n), 5) AS slope, round(my - sxy / (sxx + 2.5 * n) * mx, 3) AS intercept {_REGR}")(
+query("ridge", f"""
+SELECT l_returnflag, round(sxy / (sxx + 2.5 * n), 5) AS slope, round(my - sxy / (sxx + 2.5 * n) * mx, 3) AS
+intercept {_REGR}""")(
     lambda s, d: rounded(run.aggregate(_pairs(s, d), op.Ridge(2.5), _FLAG).select("l_returnflag", "slope", "intercept"), 5, intercept=3)
 )
-query("lasso", f"SELECT l_returnflag, round(sign(sxy) * greatest(abs(sxy) - 50000.0 * n, 0) / sxx, 5) + 0.0 AS slope {_REGR}")(
+query("lasso", f"""
+SELECT l_returnflag, round(sign(sxy) * greatest(abs(sxy) - 50000.0 * n, 0) / sxx, 5) + 0.0 AS slope {_REGR}""")(
     lambda s, d: rounded(run.aggregate(_pairs(s, d), op.Lasso(50000.0), _FLAG).select("l_returnflag", "slope"), 5)
 )
 
 # Quantiles and histograms
 
 _GAMMA = op.DDSketch().gamma
-_DD = f"(SELECT sign(c_acctbal)::INT AS sign, CASE WHEN c_acctbal <> 0 THEN ceil(ln(abs(c_acctbal)) / ln({_GAMMA!r}::DOUBLE)) ELSE 0 END::INT AS idx, count(*)::DOUBLE AS value FROM customer GROUP BY 1, 2)"
+_DD = f"""
+(SELECT sign(c_acctbal)::INT AS sign, CASE WHEN c_acctbal <> 0 THEN ceil(ln(abs(c_acctbal)) /
+ln({_GAMMA!r}::DOUBLE)) ELSE 0 END::INT AS idx, count(*)::DOUBLE AS value
+FROM customer GROUP BY 1, 2)"""
 
 
 def _balances(s, d):
@@ -215,19 +311,37 @@ def _balances(s, d):
 query("ddsketch_cells", f"SELECT * FROM {_DD}")(lambda s, d: op.DDSketch().cells(_balances(s, d)))
 query(
     "ddsketch_quantiles",
-    f"WITH b AS (SELECT sign * 2 * {_GAMMA!r}::DOUBLE ** idx / (1 + {_GAMMA!r}::DOUBLE) AS v, sum(value) OVER (ORDER BY sign, sign * idx) AS cum, sum(value) OVER () AS total FROM {_DD}) SELECT p::DOUBLE AS probability, round(min(v), 5) AS quantile, max(total) AS total_weights FROM b, (SELECT unnest([0.5, 0.75, 0.9, 0.95, 0.99, 0.999]) AS p) WHERE cum >= p::DOUBLE * total GROUP BY 1",
+    f"""
+WITH b AS (SELECT sign * 2 * {_GAMMA!r}::DOUBLE ** idx / (1 + {_GAMMA!r}::DOUBLE) AS v, sum(value) OVER (ORDER
+BY sign, sign * idx) AS cum, sum(value) OVER () AS total
+FROM {_DD}) SELECT p::DOUBLE AS probability, round(min(v), 5) AS quantile, max(total) AS total_weights
+FROM b, (SELECT unnest([0.5, 0.75, 0.9, 0.95, 0.99, 0.999]) AS p)
+WHERE cum >= p::DOUBLE * total GROUP BY 1""",
 )(lambda s, d: rounded((lambda q: q.read(q.cells(_balances(s, d))))(op.DDSketch()), 5, probability=6))
 query(
     "sketch_to_histogram",
-    f"SELECT round(CASE WHEN sign > 0 THEN {_GAMMA!r}::DOUBLE ** (idx - 1) WHEN sign < 0 THEN -({_GAMMA!r}::DOUBLE ** idx) ELSE 0 END, 5) AS lower_bound, round(CASE WHEN sign > 0 THEN {_GAMMA!r}::DOUBLE ** idx WHEN sign < 0 THEN -({_GAMMA!r}::DOUBLE ** (idx - 1)) ELSE 0 END, 5) AS upper_bound, value AS weight FROM {_DD}",
+    f"""
+SELECT round(CASE WHEN sign > 0 THEN {_GAMMA!r}::DOUBLE ** (idx - 1) WHEN sign < 0 THEN -({_GAMMA!r}::DOUBLE **
+idx) ELSE 0 END, 5) AS lower_bound, round(CASE WHEN sign > 0 THEN {_GAMMA!r}::DOUBLE ** idx WHEN sign < 0 THEN
+-({_GAMMA!r}::DOUBLE ** (idx - 1)) ELSE 0 END, 5) AS upper_bound, value AS weight
+FROM {_DD}""",
 )(lambda s, d: rounded((lambda q: q.histogram(q.cells(_balances(s, d))))(op.DDSketch()), 5))
 query(
     "linear_histogram",
-    "SELECT CASE WHEN k < 0 THEN '-inf'::DOUBLE ELSE -500 + k * 250.0 END::DOUBLE AS lower_bound, CASE WHEN k >= 40 THEN 'inf'::DOUBLE ELSE -500 + (k + 1) * 250.0 END::DOUBLE AS upper_bound, count(*)::DOUBLE AS weight FROM (SELECT CASE WHEN c_acctbal < -500 THEN -1 WHEN c_acctbal >= 9500 THEN 40 ELSE floor((c_acctbal + 500) / 250) END AS k FROM customer) GROUP BY k",
+    """
+SELECT CASE WHEN k < 0 THEN '-inf'::DOUBLE ELSE -500 + k * 250.0 END::DOUBLE AS lower_bound, CASE WHEN k >= 40
+THEN 'inf'::DOUBLE ELSE -500 + (k + 1) * 250.0 END::DOUBLE AS upper_bound, count(*)::DOUBLE AS weight
+FROM (SELECT CASE WHEN c_acctbal < -500 THEN -1 WHEN c_acctbal >= 9500 THEN 40 ELSE floor((c_acctbal + 500) /
+250) END AS k FROM customer) GROUP BY k""",
 )(lambda s, d: (lambda q: q.read(q.cells(_balances(s, d))))(op.LinearHistogram(-500, 9500, 40)))
 query(
     "hdr_histogram",
-    "SELECT first * 2 ** sh * 0.01 AS lower_bound, (first + 1) * 2 ** sh * 0.01 AS upper_bound, count(*)::DOUBLE AS weight FROM (SELECT sh, (u >> sh)::DOUBLE AS first FROM (SELECT u, greatest(length(bin(greatest(u, 1))) - 11, 0)::INT AS sh FROM (SELECT trunc(o_totalprice * (1 / 0.01::DOUBLE))::BIGINT AS u FROM orders))) GROUP BY 1, 2".replace("first * 2 ** sh * 0.01", "round(first * 2 ** sh * 0.01::DOUBLE, 4)").replace("(first + 1) * 2 ** sh * 0.01 AS", "round((first + 1) * 2 ** sh * 0.01::DOUBLE, 4) AS").replace("GROUP BY 1, 2", "GROUP BY first, sh"),
+    """
+SELECT first * 2 ** sh * 0.01 AS lower_bound, (first + 1) * 2 ** sh * 0.01 AS upper_bound, count(*)::DOUBLE AS
+weight FROM (SELECT sh, (u >> sh)::DOUBLE AS first
+FROM (SELECT u, greatest(length(bin(greatest(u, 1))) - 11, 0)::INT AS sh
+FROM (SELECT trunc(o_totalprice * (1 / 0.01::DOUBLE))::BIGINT AS u
+FROM orders))) GROUP BY 1, 2""".replace("first * 2 ** sh * 0.01", "round(first * 2 ** sh * 0.01::DOUBLE, 4)").replace("(first + 1) * 2 ** sh * 0.01 AS", "round((first + 1) * 2 ** sh * 0.01::DOUBLE, 4) AS").replace("GROUP BY 1, 2", "GROUP BY first, sh"),
 )(lambda s, d: rounded((lambda q: q.read(q.cells(series(read_table(s, d, "orders"), "o_totalprice"))))(op.HdrHistogram(0.01, 3)), 4))
 
 
@@ -246,7 +360,9 @@ query("tdigest_weights", "SELECT o_orderstatus, count(*)::DOUBLE AS weight FROM
     lambda s, d: (lambda q: q.histogram(q.state(series(read_table(s, d, "orders"), "o_totalprice"), ["o_orderstatus"]), ["o_orderstatus"]).groupBy("o_orderstatus").agg(F.sum("weight").alias("weight")))(op.TDigest())
 )
 query("tdigest_quantiles")(lambda s, d: (lambda q: q.read(q.state(series(read_table(s, d, "orders"), "o_totalprice"))))(op.TDigest()))
-query("tdigest_histogram")(lambda s, d: (lambda q: q.histogram(q.state(series(read_table(s, d, "orders"), "o_totalprice"), ["o_orderstatus"]), ["o_orderstatus"]))(op.TDigest()))
+query("tdigest_histogram")(
+    lambda s, d: (lambda q: q.histogram(q.state(series(read_table(s, d, "orders"), "o_totalprice"), ["o_orderstatus"]), ["o_orderstatus"]))(op.TDigest())
+)
 
 
 def _sample(s, d):
@@ -276,7 +392,9 @@ def _signed_sql(x: str) -> str:
 
 _KEYS = "(SELECT DISTINCT l_partkey AS k FROM lineitem)"
 _HASHED = _mix_sql(_KEYS, "k::UHUGEINT", "h")
-query("splitmix64_keys", f"SELECT k, {_signed_sql('h')} AS h FROM {_HASHED}")(lambda s, d: with_splitmix64(_li(s, d).select(F.col("l_partkey").alias("k")).distinct(), F.col("k"), "h"))
+query("splitmix64_keys", f"SELECT k, {_signed_sql('h')} AS h FROM {_HASHED}")(
+    lambda s, d: with_splitmix64(_li(s, d).select(F.col("l_partkey").alias("k")).distinct(), F.col("k"), "h")
+)
 
 def _words_sql() -> str:
     """doc_id, the text's length in bytes and its 8-byte parts, little-endian, as numbers."""
@@ -302,9 +420,13 @@ UNION ALL SELECT doc_id, NULL FROM documents WHERE text IS NULL""",
 )(lambda s, d: read_table(s, d, "documents").select("doc_id", hash64("text").alias("h")))
 _SEED = splitmix64_int(7)
 _KEYED = _mix_sql(f"(SELECT o_totalprice AS value, xor(o_orderkey::UHUGEINT, {_u(_SEED)}) AS x FROM orders)", "x", "h")
-_DRAWN = f"(SELECT value, ((h >> 11)::DOUBLE + 0.5) / 9007199254740992 AS key FROM {_KEYED} ORDER BY 2 DESC, 1 LIMIT 512)"
+_DRAWN = f"""
+(SELECT value, ((h >> 11)::DOUBLE + 0.5) / 9007199254740992 AS key
+FROM {_KEYED} ORDER BY 2 DESC, 1 LIMIT 512)"""
 query("reservoir_sample", f"SELECT * FROM {_DRAWN}")(_sample)
-query("reservoir_quantile", f"SELECT round(quantile_cont(value, 0.5), 6) AS quantile FROM {_DRAWN}")(lambda s, d: rounded(op.ReservoirHistogram.quantile(_sample(s, d), 0.5)))
+query("reservoir_quantile", f"SELECT round(quantile_cont(value, 0.5), 6) AS quantile FROM {_DRAWN}")(
+    lambda s, d: rounded(op.ReservoirHistogram.quantile(_sample(s, d), 0.5))
+)
 query(
     "reservoir_histogram",
     f"""
@@ -315,33 +437,68 @@ FROM k GROUP BY lo, width, k""",
 )(lambda s, d: rounded(op.ReservoirHistogram.histogram(_sample(s, d), 20), 4))
 query(
     "hyperloglog",
-    f"WITH r AS (SELECT (h >> 52)::INT AS idx, max(least(CASE WHEN x = 0 THEN 64 ELSE 64 - length(bin(x::UBIGINT)) END, 52) + 1) AS rho FROM (SELECT h, (h << 12) & {_M} AS x FROM {_HASHED}) GROUP BY 1), e AS (SELECT (0.7213 / (1 + 1.079 / 4096::DOUBLE)) * 4096 * 4096 / (sum(2.0::DOUBLE ** -rho) + 4096 - count(*)) AS raw, 4096 - count(*) AS empty FROM r) SELECT round(CASE WHEN raw <= 2.5 * 4096 AND empty > 0 THEN 4096 * ln(4096 / empty::DOUBLE) ELSE raw END, 5) AS estimate, 12::INT AS precision FROM e",
+    f"""
+WITH r AS (SELECT (h >> 52)::INT AS idx, max(least(CASE WHEN x = 0 THEN 64 ELSE 64 - length(bin(x::UBIGINT))
+END, 52) + 1) AS rho FROM (SELECT h, (h << 12) & {_M} AS x
+FROM {_HASHED}) GROUP BY 1), e AS (SELECT (0.7213 / (1 + 1.079 / 4096::DOUBLE)) * 4096 * 4096 / (sum(2.0::DOUBLE
+** -rho) + 4096 - count(*)) AS raw, 4096 - count(*) AS empty
+FROM r) SELECT round(CASE WHEN raw <= 2.5 * 4096 AND empty > 0 THEN 4096 * ln(4096 / empty::DOUBLE) ELSE raw
+END, 5) AS estimate, 12::INT AS precision
+FROM e""",
 )(lambda s, d: rounded((lambda q: q.read(q.cells(_parts(s, d))))(op.HyperLogLog(12)), 5))
 query(
     "linear_counting",
-    f"SELECT round(-65536::DOUBLE * ln((65536 - count(DISTINCT (h & 65535::UHUGEINT))) / 65536::DOUBLE), 5) AS estimate, 65536::INT AS bits, 65536 - count(DISTINCT (h & 65535::UHUGEINT)) AS unset_bits FROM {_HASHED}",
+    f"""
+SELECT round(-65536::DOUBLE * ln((65536 - count(DISTINCT (h & 65535::UHUGEINT))) / 65536::DOUBLE), 5) AS
+estimate, 65536::INT AS bits, 65536 - count(DISTINCT (h & 65535::UHUGEINT)) AS unset_bits
+FROM {_HASHED}""",
 )(lambda s, d: rounded((lambda q: q.read(q.cells(_parts(s, d))))(op.LinearCounting(65536)), 5))
-_BLOOM = f"(SELECT DISTINCT ((h + i::UHUGEINT * g) & 65535::UHUGEINT)::BIGINT AS p FROM {_mix_sql(_HASHED, 'h', 'g')}, (SELECT unnest(range(7)) AS i))"
-query("bloom_words", f"SELECT p >> 6 AS word, {_signed_sql('bit_or(1::UHUGEINT << (p & 63)::UHUGEINT)')} AS bits FROM {_BLOOM} GROUP BY 1")(lambda s, d: op.BloomFilter().cells(_parts(s, d)))
+_BLOOM = f"""
+(SELECT DISTINCT ((h + i::UHUGEINT * g) & 65535::UHUGEINT)::BIGINT AS p
+FROM {_mix_sql(_HASHED, 'h', 'g')}, (SELECT unnest(range(7)) AS i))"""
+query("bloom_words", f"""
+SELECT p >> 6 AS word, {_signed_sql('bit_or(1::UHUGEINT << (p & 63)::UHUGEINT)')} AS bits
+FROM {_BLOOM} GROUP BY 1""")(lambda s, d: op.BloomFilter().cells(_parts(s, d)))
 _PROBES = "(SELECT c_custkey AS k FROM customer)"
 query(
     "bloom_contains",
-    f"SELECT k, bool_and(p IS NOT NULL) AS contained FROM (SELECT k, ((h + i::UHUGEINT * g) & 65535::UHUGEINT)::BIGINT AS q FROM {_mix_sql(_mix_sql(_PROBES, 'k::UHUGEINT', 'h'), 'h', 'g')}, (SELECT unnest(range(7)) AS i)) LEFT JOIN {_BLOOM} ON p = q GROUP BY 1",
+    f"""
+SELECT k, bool_and(p IS NOT NULL) AS contained
+FROM (SELECT k, ((h + i::UHUGEINT * g) & 65535::UHUGEINT)::BIGINT AS q
+FROM {_mix_sql(_mix_sql(_PROBES, 'k::UHUGEINT', 'h'), 'h', 'g')}, (SELECT unnest(range(7)) AS i))
+LEFT JOIN {_BLOOM} ON p = q GROUP BY 1""",
 )(lambda s, d: op.BloomFilter().contains(op.BloomFilter().cells(_parts(s, d)), read_table(s, d, "customer").select(F.col("c_custkey").alias("k")), "k"))
 _SALTS = ", ".join(f"({i}, {_u(x)})" for i, x in enumerate(op.CountMinSketch().salts))
-_CMS_KEYS = f"(SELECT *, xor(k::UHUGEINT, salt) AS x FROM (SELECT l_partkey AS k, round_even(l_quantity, 0)::BIGINT AS w FROM lineitem) l, (VALUES {_SALTS}) s(row, salt))"
-_CMS = f"(SELECT row::INT AS row, (h & 1023::UHUGEINT)::INT AS col, sum(w)::BIGINT AS count FROM {_mix_sql(_CMS_KEYS, 'x', 'h')} WHERE w > 0 GROUP BY 1, 2)"
+_CMS_KEYS = f"""
+(SELECT *, xor(k::UHUGEINT, salt) AS x
+FROM (SELECT l_partkey AS k, round_even(l_quantity, 0)::BIGINT AS w
+FROM lineitem) l, (VALUES {_SALTS}) s(row, salt))"""
+_CMS = f"""
+(SELECT row::INT AS row, (h & 1023::UHUGEINT)::INT AS col, sum(w)::BIGINT AS count
+FROM {_mix_sql(_CMS_KEYS, 'x', 'h')}
+WHERE w > 0 GROUP BY 1, 2)"""
 query("cms_cells", f"SELECT * FROM {_CMS}")(lambda s, d: op.CountMinSketch().cells(_parts(s, d, weight="l_quantity")))
 _CMS_PROBES = f"(SELECT *, xor(k::UHUGEINT, salt) AS x FROM {_PROBES} l, (VALUES {_SALTS}) s(row, salt))"
-query("cms_estimate", f"SELECT k, min(coalesce(c.count, 0)) AS estimate FROM (SELECT k, row::INT AS row, (h & 1023::UHUGEINT)::INT AS col FROM {_mix_sql(_CMS_PROBES, 'x', 'h')}) p LEFT JOIN {_CMS} c USING (row, col) GROUP BY 1")(
+query("cms_estimate", f"""
+SELECT k, min(coalesce(c.count, 0)) AS estimate
+FROM (SELECT k, row::INT AS row, (h & 1023::UHUGEINT)::INT AS col
+FROM {_mix_sql(_CMS_PROBES, 'x', 'h')}) p
+LEFT JOIN {_CMS} c USING (row, col)
+GROUP BY 1""")(
     lambda s, d: op.CountMinSketch().estimate(op.CountMinSketch().cells(_parts(s, d, weight="l_quantity")), read_table(s, d, "customer").select(F.col("c_custkey").alias("k")), "k")
 )
 _SLOTS = ", ".join(f"({i}, {_u(x)})" for i, x in enumerate(op.MinHash(16).salts))
 
 
 def _min_sql(where: str) -> str:
-    keys = f"(SELECT *, xor(k::UHUGEINT, salt) AS x FROM (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE {where}) l, (VALUES {_SLOTS}) s(slot, salt))"
-    return f"(SELECT slot::INT AS slot, min({_signed_sql('h')}) AS signature FROM {_mix_sql(keys, 'x', 'h')} GROUP BY 1)"
+    keys = f"""
+(SELECT *, xor(k::UHUGEINT, salt) AS x
+FROM (SELECT DISTINCT l_partkey AS k
+FROM lineitem WHERE {where}) l, (VALUES {_SLOTS}) s(slot, salt))"""
+    return f"""
+(SELECT slot::INT AS slot, min({_signed_sql('h')}) AS signature
+FROM {_mix_sql(keys, 'x', 'h')}
+GROUP BY 1)"""
 
 
 query("minhash_signature", f"SELECT * FROM {_min_sql('true')}")(lambda s, d: op.MinHash(16).cells(_parts(s, d)))
@@ -352,10 +509,14 @@ def _half(s, d, flag):
 
 
 _A, _R = "l_returnflag = 'A'", "l_returnflag = 'R'"
-query("minhash_jaccard", f"SELECT avg((a.signature = b.signature)::INT)::DOUBLE AS jaccard FROM {_min_sql(_A)} a JOIN {_min_sql(_R)} b USING (slot)")(
+query("minhash_jaccard", f"""
+SELECT avg((a.signature = b.signature)::INT)::DOUBLE AS jaccard
+FROM {_min_sql(_A)} a JOIN {_min_sql(_R)} b USING (slot)""")(
     lambda s, d: op.MinHash(16).jaccard(op.MinHash(16).cells(_half(s, d, "A")), op.MinHash(16).cells(_half(s, d, "R")))
 )
-query("heavy_hitters", "SELECT user_id AS key, count(*) AS count, 0::BIGINT AS error FROM events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")(lambda s, d: op.SpaceSaving(20).of(discrete(_ev(s, d), "user_id", seq="event_id")))
+query("heavy_hitters", """
+SELECT user_id AS key, count(*) AS count, 0::BIGINT AS error
+FROM events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20""")(lambda s, d: op.SpaceSaving(20).of(discrete(_ev(s, d), "user_id", seq="event_id")))
 query(
     "space_saving_faithful",
     """
@@ -380,24 +541,42 @@ FROM (SELECT event_type, unnest(arg_max(s, place)) AS x FROM r GROUP BY 1)""",
 
 _DIM = "(SELECT label, embedding::DOUBLE[] AS e FROM embeddings)"
 for name, sql, make in (
-    ("filter_series", "SELECT event_type, round(sum(value), 5) AS sum FROM events WHERE value > 10 GROUP BY 1", lambda s, d: run.aggregate(_values(s, d), op.Sum().filter(lambda v: v > 10), _TYPE)),
-    ("transform_value", "SELECT event_type, round(sum(value * 2 + 1), 5) AS sum FROM events GROUP BY 1", lambda s, d: run.aggregate(_values(s, d), op.Sum().transform_value(lambda v: v * 2 + 1), _TYPE)),
-    ("with_value", "SELECT event_type, sum(3.0)::DOUBLE AS sum FROM events WHERE value IS NOT NULL GROUP BY 1", lambda s, d: run.aggregate(_values(s, d), op.Sum().with_value(3.0), _TYPE)),
-    ("filter_of_transformed", "SELECT event_type, round(sum(value * 2), 5) AS sum FROM events WHERE value * 2 > 30 GROUP BY 1", lambda s, d: run.aggregate(_values(s, d), op.Sum().filter(lambda v: v > 30).transform_value(lambda v: v * 2), _TYPE)),
-    ("with_weight", "SELECT l_returnflag, round(2 * sum(l_extendedprice), 3) AS sum FROM lineitem GROUP BY 1", lambda s, d: run.aggregate(_prices(s, d), op.Sum().with_weight(2.0), _FLAG)),
-    ("as_discrete", "SELECT l_returnflag, sum(l_partkey)::DOUBLE AS sum FROM lineitem GROUP BY 1", lambda s, d: run.aggregate(_parts(s, d), op.Sum().as_discrete(), _FLAG)),
-    ("transform_discrete", "SELECT l_returnflag, sum(l_partkey * 2)::DOUBLE AS sum FROM lineitem GROUP BY 1", lambda s, d: run.aggregate(_parts(s, d), op.Sum().as_discrete().transform_value(lambda v: v * 2), _FLAG)),
-    ("with_value_discrete", "SELECT l_returnflag, count(*) * 5.0::DOUBLE AS sum FROM lineitem GROUP BY 1", lambda s, d: run.aggregate(_parts(s, d), op.Sum().as_discrete().with_value(5), _FLAG)),
-    ("filter_discrete", "SELECT l_returnflag, sum(l_partkey)::DOUBLE AS sum FROM lineitem WHERE l_partkey % 2 = 0 GROUP BY 1", lambda s, d: run.aggregate(_parts(s, d), op.Sum().as_discrete().filter(lambda v: v % 2 == 0), _FLAG)),
-    ("with_weight_discrete", "SELECT l_returnflag, sum(l_partkey) * 0.5::DOUBLE AS sum FROM lineitem GROUP BY 1", lambda s, d: run.aggregate(_parts(s, d), op.Sum().as_discrete().with_weight(0.5), _FLAG)),
-    ("at_x", "SELECT l_returnflag, sum(l_quantity)::DOUBLE AS sum FROM lineitem GROUP BY 1", lambda s, d: run.aggregate(_pairs(s, d), op.Sum().at_x(), _FLAG)),
-    ("at_y", "SELECT l_returnflag, round(sum(l_extendedprice), 3) AS sum FROM lineitem GROUP BY 1", lambda s, d: run.aggregate(_pairs(s, d), op.Sum().at_y(), _FLAG)),
-    ("fold_paired", "SELECT l_returnflag, round(sum(l_quantity * l_extendedprice), 2) AS sum FROM lineitem GROUP BY 1", lambda s, d: run.aggregate(_pairs(s, d), op.Sum().fold_paired(lambda x, y: x * y), _FLAG)),
-    ("at_index", f"SELECT label, round(sum(e[4]), 5) AS sum FROM {_DIM} GROUP BY 1", lambda s, d: run.aggregate(_vectors(s, d), op.Sum().at_index(3), ["label"])),
-    ("fold_vector", f"SELECT label, round(sum(list_sum(list_transform(e, lambda x: x * x))), 4) AS sum FROM {_DIM} GROUP BY 1", lambda s, d: run.aggregate(_vectors(s, d), op.Sum().fold_vector(lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)), ["label"])),
-    ("filter_vector", f"SELECT label, round(sum(e[1]), 5) AS sum FROM {_DIM} WHERE e[1] > 0 GROUP BY 1", lambda s, d: run.aggregate(_vectors(s, d), op.Sum().at_index(0).filter(lambda v: F.element_at(v, 1) > 0), ["label"])),
-    ("transform_vector", f"SELECT label, round(sum(e[1] * 3), 5) AS sum FROM {_DIM} GROUP BY 1", lambda s, d: run.aggregate(_vectors(s, d), op.Sum().at_index(0).transform_vector(lambda v: F.transform(v, lambda x: x * 3)), ["label"])),
-    ("with_weight_vector", f"SELECT label, round(sum(e[1]) * 0.5, 5) AS sum FROM {_DIM} GROUP BY 1", lambda s, d: run.aggregate(_vectors(s, d), op.Sum().at_index(0).with_weight(0.5), ["label"])),
+    ("filter_series", "SELECT event_type, round(sum(value), 5) AS sum FROM events WHERE value > 10 GROUP BY 1",
+        lambda s, d: run.aggregate(_values(s, d), op.Sum().filter(lambda v: v > 10), _TYPE)),
+    ("transform_value", "SELECT event_type, round(sum(value * 2 + 1), 5) AS sum FROM events GROUP BY 1",
+        lambda s, d: run.aggregate(_values(s, d), op.Sum().transform_value(lambda v: v * 2 + 1), _TYPE)),
+    ("with_value", "SELECT event_type, sum(3.0)::DOUBLE AS sum FROM events WHERE value IS NOT NULL GROUP BY 1",
+        lambda s, d: run.aggregate(_values(s, d), op.Sum().with_value(3.0), _TYPE)),
+    ("filter_of_transformed", "SELECT event_type, round(sum(value * 2), 5) AS sum FROM events WHERE value * 2 > 30 GROUP BY 1",
+        lambda s, d: run.aggregate(_values(s, d), op.Sum().filter(lambda v: v > 30).transform_value(lambda v: v * 2), _TYPE)),
+    ("with_weight", "SELECT l_returnflag, round(2 * sum(l_extendedprice), 3) AS sum FROM lineitem GROUP BY 1",
+        lambda s, d: run.aggregate(_prices(s, d), op.Sum().with_weight(2.0), _FLAG)),
+    ("as_discrete", "SELECT l_returnflag, sum(l_partkey)::DOUBLE AS sum FROM lineitem GROUP BY 1",
+        lambda s, d: run.aggregate(_parts(s, d), op.Sum().as_discrete(), _FLAG)),
+    ("transform_discrete", "SELECT l_returnflag, sum(l_partkey * 2)::DOUBLE AS sum FROM lineitem GROUP BY 1",
+        lambda s, d: run.aggregate(_parts(s, d), op.Sum().as_discrete().transform_value(lambda v: v * 2), _FLAG)),
+    ("with_value_discrete", "SELECT l_returnflag, count(*) * 5.0::DOUBLE AS sum FROM lineitem GROUP BY 1",
+        lambda s, d: run.aggregate(_parts(s, d), op.Sum().as_discrete().with_value(5), _FLAG)),
+    ("filter_discrete", "SELECT l_returnflag, sum(l_partkey)::DOUBLE AS sum FROM lineitem WHERE l_partkey % 2 = 0 GROUP BY 1",
+        lambda s, d: run.aggregate(_parts(s, d), op.Sum().as_discrete().filter(lambda v: v % 2 == 0), _FLAG)),
+    ("with_weight_discrete", "SELECT l_returnflag, sum(l_partkey) * 0.5::DOUBLE AS sum FROM lineitem GROUP BY 1",
+        lambda s, d: run.aggregate(_parts(s, d), op.Sum().as_discrete().with_weight(0.5), _FLAG)),
+    ("at_x", "SELECT l_returnflag, sum(l_quantity)::DOUBLE AS sum FROM lineitem GROUP BY 1",
+        lambda s, d: run.aggregate(_pairs(s, d), op.Sum().at_x(), _FLAG)),
+    ("at_y", "SELECT l_returnflag, round(sum(l_extendedprice), 3) AS sum FROM lineitem GROUP BY 1",
+        lambda s, d: run.aggregate(_pairs(s, d), op.Sum().at_y(), _FLAG)),
+    ("fold_paired", "SELECT l_returnflag, round(sum(l_quantity * l_extendedprice), 2) AS sum FROM lineitem GROUP BY 1",
+        lambda s, d: run.aggregate(_pairs(s, d), op.Sum().fold_paired(lambda x, y: x * y), _FLAG)),
+    ("at_index", f"SELECT label, round(sum(e[4]), 5) AS sum FROM {_DIM} GROUP BY 1",
+        lambda s, d: run.aggregate(_vectors(s, d), op.Sum().at_index(3), ["label"])),
+    ("fold_vector", f"SELECT label, round(sum(list_sum(list_transform(e, lambda x: x * x))), 4) AS sum FROM {_DIM} GROUP BY 1",
+        lambda s, d: run.aggregate(_vectors(s, d), op.Sum().fold_vector(lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)), ["label"])),
+    ("filter_vector", f"SELECT label, round(sum(e[1]), 5) AS sum FROM {_DIM} WHERE e[1] > 0 GROUP BY 1",
+        lambda s, d: run.aggregate(_vectors(s, d), op.Sum().at_index(0).filter(lambda v: F.element_at(v, 1) > 0), ["label"])),
+    ("transform_vector", f"SELECT label, round(sum(e[1] * 3), 5) AS sum FROM {_DIM} GROUP BY 1",
+        lambda s, d: run.aggregate(_vectors(s, d), op.Sum().at_index(0).transform_vector(lambda v: F.transform(v, lambda x: x * 3)), ["label"])),
+    ("with_weight_vector", f"SELECT label, round(sum(e[1]) * 0.5, 5) AS sum FROM {_DIM} GROUP BY 1",
+        lambda s, d: run.aggregate(_vectors(s, d), op.Sum().at_index(0).with_weight(0.5), ["label"])),
 ):
     query(name, sql)(lambda s, d, make=make, digits={"with_weight": 3, "at_y": 3, "fold_paired": 2, "fold_vector": 4}.get(name, 5): rounded(make(s, d), digits))
 
@@ -411,18 +590,35 @@ def _cov(df: DataFrame) -> DataFrame:
 
 
 for name, sql, make in (
-    ("filter_paired", f"SELECT l_returnflag, {_COV} FROM (SELECT l_returnflag, l_quantity AS x, l_extendedprice AS y FROM lineitem) WHERE x > 10 AND y > 1000 GROUP BY 1", lambda s, d: run.aggregate(_pairs(s, d), op.Covariance().filter(lambda x, y: (x > 10) & (y > 1000)), _FLAG)),
-    ("transform_pair", f"SELECT l_returnflag, {_COV} FROM (SELECT l_returnflag, l_quantity + 1 AS x, l_extendedprice / 100 AS y FROM lineitem) GROUP BY 1", lambda s, d: run.aggregate(_pairs(s, d), op.Covariance().transform_pair(lambda x, y: (x + 1, y / 100)), _FLAG)),
-    ("transform_x", f"SELECT l_returnflag, {_COV} FROM (SELECT l_returnflag, l_quantity * 2 AS x, l_extendedprice AS y FROM lineitem) GROUP BY 1", lambda s, d: run.aggregate(_pairs(s, d), op.Covariance().transform_x(lambda x: x * 2), _FLAG)),
-    ("transform_y", f"SELECT l_returnflag, {_COV} FROM (SELECT l_returnflag, l_quantity AS x, l_extendedprice / 10 AS y FROM lineitem) GROUP BY 1", lambda s, d: run.aggregate(_pairs(s, d), op.Covariance().transform_y(lambda y: y / 10), _FLAG)),
-    ("with_weight_paired", f"SELECT l_returnflag, {_COV} FROM (SELECT l_returnflag, l_quantity AS x, l_extendedprice AS y FROM lineitem) GROUP BY 1", lambda s, d: run.aggregate(_pairs(s, d), op.Covariance().with_weight(2.0), _FLAG)),
-    ("at_indices", f"SELECT label, {_COV} FROM (SELECT label, e[1] AS x, e[2] AS y FROM {_DIM}) GROUP BY 1", lambda s, d: run.aggregate(_vectors(s, d), op.Covariance().at_indices(0, 1), ["label"])),
-    ("fixed_x", f"SELECT event_type, {_COV} FROM (SELECT event_type, 2.0::DOUBLE AS x, value AS y FROM events) GROUP BY 1", lambda s, d: run.aggregate(_values(s, d), op.Covariance().with_fixed_x(2.0), _TYPE)),
-    ("fixed_y", f"SELECT event_type, {_COV} FROM (SELECT event_type, value AS x, 2.0::DOUBLE AS y FROM events) GROUP BY 1", lambda s, d: run.aggregate(_values(s, d), op.Covariance().with_fixed_y(2.0), _TYPE)),
+    ("filter_paired", f"""
+SELECT l_returnflag, {_COV} FROM (SELECT l_returnflag, l_quantity AS x, l_extendedprice AS y
+FROM lineitem) WHERE x > 10 AND y > 1000
+GROUP BY 1""", lambda s, d: run.aggregate(_pairs(s, d), op.Covariance().filter(lambda x, y: (x > 10) & (y > 1000)), _FLAG)),
+    ("transform_pair", f"""
+SELECT l_returnflag, {_COV} FROM (SELECT l_returnflag, l_quantity + 1 AS x, l_extendedprice / 100 AS y
+FROM lineitem) GROUP BY 1""",
+    lambda s, d: run.aggregate(_pairs(s, d), op.Covariance().transform_pair(lambda x, y: (x + 1, y / 100)), _FLAG)),
+    ("transform_x", f"""
+SELECT l_returnflag, {_COV} FROM (SELECT l_returnflag, l_quantity * 2 AS x, l_extendedprice AS y
+FROM lineitem) GROUP BY 1""", lambda s, d: run.aggregate(_pairs(s, d), op.Covariance().transform_x(lambda x: x * 2), _FLAG)),
+    ("transform_y", f"""
+SELECT l_returnflag, {_COV} FROM (SELECT l_returnflag, l_quantity AS x, l_extendedprice / 10 AS y
+FROM lineitem) GROUP BY 1""", lambda s, d: run.aggregate(_pairs(s, d), op.Covariance().transform_y(lambda y: y / 10), _FLAG)),
+    ("with_weight_paired", f"""
+SELECT l_returnflag, {_COV} FROM (SELECT l_returnflag, l_quantity AS x, l_extendedprice AS y
+FROM lineitem) GROUP BY 1""", lambda s, d: run.aggregate(_pairs(s, d), op.Covariance().with_weight(2.0), _FLAG)),
+    ("at_indices", f"SELECT label, {_COV} FROM (SELECT label, e[1] AS x, e[2] AS y FROM {_DIM}) GROUP BY 1",
+        lambda s, d: run.aggregate(_vectors(s, d), op.Covariance().at_indices(0, 1), ["label"])),
+    ("fixed_x", f"SELECT event_type, {_COV} FROM (SELECT event_type, 2.0::DOUBLE AS x, value AS y FROM events) GROUP BY 1",
+        lambda s, d: run.aggregate(_values(s, d), op.Covariance().with_fixed_x(2.0), _TYPE)),
+    ("fixed_y", f"SELECT event_type, {_COV} FROM (SELECT event_type, value AS x, 2.0::DOUBLE AS y FROM events) GROUP BY 1",
+        lambda s, d: run.aggregate(_values(s, d), op.Covariance().with_fixed_y(2.0), _TYPE)),
 ):
     query(name, sql)(lambda s, d, make=make: _cov(make(s, d)))
 
-_T0 = "(SELECT event_type, value, (epoch_us(ts) - min(epoch_us(ts)) OVER ()) / 1e6::DOUBLE AS t FROM events WHERE value IS NOT NULL)"
+_T0 = """
+(SELECT event_type, value, (epoch_us(ts) - min(epoch_us(ts)) OVER ()) / 1e6::DOUBLE AS t
+FROM events WHERE value IS NOT NULL)"""
 
 
 def _since(s, d):
@@ -437,7 +633,11 @@ query("time_as_x", f"SELECT event_type, round(regr_slope(value, t) * 1e6, 4) AS
 query("time_as_y", f"SELECT event_type, round(regr_slope(t, value), 2) AS slope FROM {_T0} GROUP BY 1")(
     lambda s, d: rounded(run.aggregate(_since(s, d), op.OLS().with_time_as_y(), _TYPE).select("event_type", "slope"), 2)
 )
-query("as_series", "SELECT event_type, trunc(value)::BIGINT AS key, count(*) AS count, 0::BIGINT AS error FROM events WHERE value IS NOT NULL GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY count(*) DESC, trunc(value)::BIGINT) <= 5")(
+query("as_series", """
+SELECT event_type, trunc(value)::BIGINT AS key, count(*) AS count, 0::BIGINT AS error
+FROM events WHERE value IS NOT NULL
+GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY event_type
+ORDER BY count(*) DESC, trunc(value)::BIGINT) <= 5""")(
     lambda s, d: op.SpaceSaving(5).as_series().of(_values(s, d), _TYPE)
 )
 for kind, events, base, by, sql in (
@@ -451,7 +651,10 @@ for kind, events, base, by, sql in (
     )
 
 
-@query("vector_means", f"SELECT label, dim::INT - 1 AS dim, count(*)::DOUBLE AS total_weights, round(avg(v), 6) AS mean FROM (SELECT label, unnest(e) AS v, generate_subscripts(e, 1) AS dim FROM {_DIM}) GROUP BY 1, 2")
+@query("vector_means", f"""
+SELECT label, dim::INT - 1 AS dim, count(*)::DOUBLE AS total_weights, round(avg(v), 6) AS mean
+FROM (SELECT label, unnest(e) AS v, generate_subscripts(e, 1) AS dim
+FROM {_DIM}) GROUP BY 1, 2""")
 def vector_means(s, d):
     e = _vectors(s, d)
     size = e.df.select(F.max(F.size("embedding"))).first()[0]
@@ -461,13 +664,18 @@ def vector_means(s, d):
 # Windows
 
 _SLICE = 3_600_000_000_000
-_LAST = f"(SELECT *, ts_n // {_SLICE} AS slice, max(ts_n) OVER () AS t FROM (SELECT *, {_NANOS} AS ts_n FROM events WHERE value IS NOT NULL))"
+_LAST = f"""
+(SELECT *, ts_n // {_SLICE} AS slice, max(ts_n) OVER () AS t
+FROM (SELECT *, {_NANOS} AS ts_n
+FROM events WHERE value IS NOT NULL))"""
 
 
 def _live_sql(by: str) -> str:
     """Events in the slices that a reading at the newest time takes."""
     over = f"PARTITION BY {by}" if by else ""
-    return f"(SELECT * FROM (SELECT *, max(slice) OVER ({over + ', ' if over else 'PARTITION BY '}slice % 24) AS newest_here FROM {_LAST}) WHERE slice = newest_here AND slice * {_SLICE} BETWEEN t - 24 * {_SLICE} AND t)"
+    return f"""
+(SELECT * FROM (SELECT *, max(slice) OVER ({over + ', ' if over else 'PARTITION BY '}slice % 24) AS newest_here
+FROM {_LAST}) WHERE slice = newest_here AND slice * {_SLICE} BETWEEN t - 24 * {_SLICE} AND t)"""
 
 
 def _window(declaration, events, by):
@@ -476,26 +684,38 @@ def _window(declaration, events, by):
     return w.read(w.state(events, by), last, by)
 
 
-query("windowed_sum", f"SELECT event_type, round(sum(value), 5) AS sum FROM {_live_sql('event_type')} GROUP BY 1")(lambda s, d: rounded(_window(op.Sum(), _values(s, d), _TYPE), 5))
-query("windowed_mean", f"SELECT event_type, count(*)::DOUBLE AS total_weights, round(avg(value), 6) AS mean FROM {_live_sql('event_type')} GROUP BY 1")(lambda s, d: rounded(_window(op.Mean(), _values(s, d), _TYPE)))
+query("windowed_sum", f"SELECT event_type, round(sum(value), 5) AS sum FROM {_live_sql('event_type')} GROUP BY 1")(
+    lambda s, d: rounded(_window(op.Sum(), _values(s, d), _TYPE), 5)
+)
+query("windowed_mean", f"""
+SELECT event_type, count(*)::DOUBLE AS total_weights, round(avg(value), 6) AS mean
+FROM {_live_sql('event_type')} GROUP BY 1""")(lambda s, d: rounded(_window(op.Mean(), _values(s, d), _TYPE)))
 query("windowed_variance", f"SELECT event_type, round(var_pop(value), 4) AS variance FROM {_live_sql('event_type')} GROUP BY 1")(
     lambda s, d: rounded(_window(op.Variance(), _values(s, d), _TYPE).select("event_type", "variance"), 4)
 )
-query("windowed_paired", f"SELECT event_type, round(covar_pop(value, user_id), 3) AS covariance FROM {_live_sql('event_type')} GROUP BY 1")(
+query("windowed_paired", f"""
+SELECT event_type, round(covar_pop(value, user_id), 3) AS covariance
+FROM {_live_sql('event_type')} GROUP BY 1""")(
     lambda s, d: rounded(_window(op.Covariance(), paired(_ev(s, d), "user_id", "value", ts="ts_nanos"), _TYPE).select("event_type", "covariance"), 3)
 )
 query("windowed_vector", f"SELECT event_type, round(sum(value * 2), 4) AS sum FROM {_live_sql('event_type')} GROUP BY 1")(
     lambda s, d: rounded(_window(op.Sum().at_index(1), vector(_ev(s, d).where("value is not null"), F.array(F.lit(0.0), F.col("value") * 2), ts="ts_nanos"), _TYPE), 4)
 )
 _WINDOW_KEYS = _mix_sql(f"(SELECT DISTINCT user_id AS k FROM {_live_sql('')})", "k::UHUGEINT", "h")
-query("windowed_cardinality", f"SELECT round(-4096::DOUBLE * ln((4096 - count(DISTINCT (h & 4095::UHUGEINT))) / 4096::DOUBLE), 5) AS estimate, 4096::INT AS bits, 4096 - count(DISTINCT (h & 4095::UHUGEINT)) AS unset_bits FROM {_WINDOW_KEYS}")(
+query("windowed_cardinality", f"""
+SELECT round(-4096::DOUBLE * ln((4096 - count(DISTINCT (h & 4095::UHUGEINT))) / 4096::DOUBLE), 5) AS estimate,
+4096::INT AS bits, 4096 - count(DISTINCT (h & 4095::UHUGEINT)) AS unset_bits
+FROM {_WINDOW_KEYS}""")(
     lambda s, d: rounded(_window(op.LinearCounting(), discrete(_ev(s, d).where("value is not null"), "user_id", ts="ts_nanos"), []), 5)
 )
 
 # Groups
 
 
-@query("stat_group", "SELECT event_type, round(sum(value), 5) AS total, count(*)::DOUBLE AS n, round(avg(value), 6) AS mean, max(value) AS most FROM events WHERE value IS NOT NULL GROUP BY 1")
+@query("stat_group", """
+SELECT event_type, round(sum(value), 5) AS total, count(*)::DOUBLE AS n, round(avg(value), 6) AS mean,
+max(value) AS most FROM events WHERE value IS NOT NULL
+GROUP BY 1""")
 def stat_group(s, d):
     g = StatGroup(stat("total", op.Sum()), stat("n", op.Count()), stat("mean", op.Mean()), stat("range", op.Range()))
     got = g.aggregate(_values(s, d), _TYPE)
@@ -510,7 +730,10 @@ class Traffic(StatSchema):
         spread = op.Variance()
 
 
-@query("nested_schema", "SELECT event_type, count(*)::DOUBLE AS requests, round(sum(value), 5) AS total, round(var_pop(value), 4) AS variance FROM events WHERE value IS NOT NULL GROUP BY 1")
+@query("nested_schema", """
+SELECT event_type, count(*)::DOUBLE AS requests, round(sum(value), 5) AS total, round(var_pop(value), 4) AS
+variance FROM events WHERE value IS NOT NULL
+GROUP BY 1""")
 def nested_schema(s, d):
     got = Traffic.group().aggregate(_values(s, d), _TYPE)
     return rounded(got.select("event_type", F.col("requests.sum").alias("requests"), F.col("size.total.sum").alias("total"), F.col("size.spread.variance").alias("variance")), 5, variance=4)
@@ -535,15 +758,22 @@ def list_stats(s, d):
 
 
 def _list(name, events, members, by, sql, pick):
-    query(name, sql)(lambda s, d: rounded(ListStats(*members()).aggregate(events(s, d), by).select(*by, *(F.col(c).alias(n) for n, c in pick.items())), 3))
+    query(name, sql)(
+        lambda s, d: rounded(ListStats(*members()).aggregate(events(s, d), by).select(*by, *(F.col(c).alias(n) for n, c in pick.items())), 3)
+    )
 
 
-_list("paired_list_stats", _pairs, lambda: (op.OLS(), op.Covariance()), _FLAG, "SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 3) AS slope, round(covar_pop(l_extendedprice, l_quantity), 3) AS covariance FROM lineitem GROUP BY 1", {"slope": "OLS.slope", "covariance": "Covariance.covariance"})
+_list("paired_list_stats", _pairs, lambda: (op.OLS(), op.Covariance()), _FLAG, """
+SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 3) AS slope,
+round(covar_pop(l_extendedprice, l_quantity), 3) AS covariance
+FROM lineitem GROUP BY 1""", {"slope": "OLS.slope", "covariance": "Covariance.covariance"})
 _list("vector_list_stats", _vectors, lambda: (("a", op.Sum().at_index(0)), ("b", op.Max().at_index(1))), ["label"], f"SELECT label, round(sum(e[1]), 3) AS a, round(max(e[2]), 3) AS b FROM {_DIM} GROUP BY 1", {"a": "a.sum", "b": "b.max"})
 _list("discrete_list_stats", _parts, lambda: (("a", op.Sum().as_discrete()), ("b", op.Max().as_discrete())), _FLAG, "SELECT l_returnflag, sum(l_partkey)::DOUBLE AS a, max(l_partkey)::DOUBLE AS b FROM lineitem GROUP BY 1", {"a": "a.sum", "b": "b.max"})
 
 
-@query("group_with_sketch", f"SELECT 'x' AS one, count(*)::DOUBLE AS n, (SELECT count(DISTINCT (h & 4095::UHUGEINT)) FROM {_HASHED}) AS used FROM lineitem")
+@query("group_with_sketch", f"""
+SELECT 'x' AS one, count(*)::DOUBLE AS n, (SELECT count(DISTINCT (h & 4095::UHUGEINT))
+FROM {_HASHED}) AS used FROM lineitem""")
 def group_with_sketch(s, d):
     g = StatGroup(stat("n", op.Count().as_discrete()), group("keys", stat("distinct", op.LinearCounting())))
     got = g.aggregate(_parts(s, d))
@@ -553,7 +783,13 @@ def group_with_sketch(s, d):
 # States
 
 
-@query("merge_states", "SELECT l_returnflag, sum(l_quantity)::DOUBLE AS total_weights, round(max(m), 4) AS mean, round(sum(w * (v - m) ** 2) / sum(w), 1) AS variance FROM (SELECT l_returnflag, l_quantity, v, w, m FROM (SELECT l_returnflag, l_quantity, l_extendedprice AS v, l_quantity AS w, sum(l_extendedprice * l_quantity) OVER g / sum(l_quantity) OVER g AS m FROM lineitem WINDOW g AS (PARTITION BY l_returnflag))) GROUP BY 1")
+@query("merge_states", """
+SELECT l_returnflag, sum(l_quantity)::DOUBLE AS total_weights, round(max(m), 4) AS mean, round(sum(w * (v - m)
+** 2) / sum(w), 1) AS variance FROM (SELECT l_returnflag, l_quantity, v, w, m
+FROM (SELECT l_returnflag, l_quantity, l_extendedprice AS v, l_quantity AS w, sum(l_extendedprice * l_quantity)
+OVER g / sum(l_quantity) OVER g AS m
+FROM lineitem WINDOW g AS (PARTITION BY l_returnflag)))
+GROUP BY 1""")
 def merge_states(s, d):
     stats = {"result": op.Variance()}
     halves = [run.states(series(_li(s, d).where(F.col("l_orderkey") % 2 == k), "l_extendedprice", weight="l_quantity"), stats, _FLAG) for k in (0, 1)]
@@ -576,10 +812,14 @@ def merge_sketches(s, d):
 # Groups and windows of all kinds
 
 _LEFT = f"exp(-{_ALPHA!r}::DOUBLE * (t - ts_n)::DOUBLE)"
-query("windowed_decaying_sum", f"SELECT event_type, round(sum(value * {_LEFT}), 5) AS sum, max(t)::BIGINT AS timestamp_nanos FROM {_live_sql('event_type')} GROUP BY 1")(
+query("windowed_decaying_sum", f"""
+SELECT event_type, round(sum(value * {_LEFT}), 5) AS sum, max(t)::BIGINT AS timestamp_nanos
+FROM {_live_sql('event_type')} GROUP BY 1""")(
     lambda s, d: rounded(_window(op.DecayingSum(_DAY), _values(s, d), _TYPE), 5)
 )
-query("windowed_decaying_mean", f"SELECT event_type, round(sum(value * {_LEFT}) / sum({_LEFT}), 6) AS mean FROM {_live_sql('event_type')} GROUP BY 1")(
+query("windowed_decaying_mean", f"""
+SELECT event_type, round(sum(value * {_LEFT}) / sum({_LEFT}), 6) AS mean
+FROM {_live_sql('event_type')} GROUP BY 1""")(
     lambda s, d: rounded(_window(op.DecayingMean(_DAY), _values(s, d), _TYPE).select("event_type", "mean"))
 )
 query(
@@ -647,7 +887,10 @@ def group_states_with_sketch(s, d):
     return rounded(got.select("event_type", F.col("total.sum").alias("total"), F.col("in.n.sum").alias("n"), F.size("in.bins").cast("long").alias("bins"), most.alias("top")), 5)
 
 
-@query("group_adapters", "SELECT event_type, round(sum(value * 2), 5) AS total, count(*)::DOUBLE AS n, round(sum(value * 2) / count(*), 5) AS share FROM events WHERE value > 10 GROUP BY 1")
+@query("group_adapters", """
+SELECT event_type, round(sum(value * 2), 5) AS total, count(*)::DOUBLE AS n, round(sum(value * 2) / count(*), 5)
+AS share FROM events WHERE value > 10
+GROUP BY 1""")
 def group_adapters(s, d):
     """A filter, a transform and a result mapping of a whole group."""
     g = StatGroup(stat("total", op.Sum()), stat("n", op.Count())).transform_value(lambda v: v * 2).filter(lambda v: v > 10)
@@ -737,7 +980,9 @@ SELECT event_type, list_reduce(list_prepend(0.0::DOUBLE, list(value ORDER BY eve
 FROM events WHERE value IS NOT NULL AND event_id % 2 = {part} GROUP BY 1"""
 
 
-@query("merge_frugal_quantile", f"SELECT event_type, 0.9::DOUBLE AS probability, round((a.q + b.q) / 2, 6) AS quantile FROM ({_frugal_sql(0)}) a JOIN ({_frugal_sql(1)}) b USING (event_type)")
+@query("merge_frugal_quantile", f"""
+SELECT event_type, 0.9::DOUBLE AS probability, round((a.q + b.q) / 2, 6) AS quantile
+FROM ({_frugal_sql(0)}) a JOIN ({_frugal_sql(1)}) b USING (event_type)""")
 def merge_frugal_quantile(s, d):
     f = op.FrugalQuantile(0.9, step=1.0)
     return rounded(f.read(f.merge([f.state(e, _TYPE) for e in _halves(s, d)], _TYPE), _TYPE))
