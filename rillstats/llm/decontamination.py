@@ -17,6 +17,7 @@ one); different numbers may not: 3 pens and 2 cups may become 5 pens and 5 cups.
 
 from __future__ import annotations
 
+import functools
 import re
 
 import numpy as np
@@ -43,74 +44,139 @@ UNITS = frozenset(
 )
 _NUMBER = re.compile(rb"[+-]?[$\x80-\xff]*[0-9][0-9.,:/]*%?$")
 _EDGE = b"!\"#$&'()*,-./:;<=>?@[\\]^_`{|}~"
-_NUM, _UNIT, _NAME, _ENDS, _EMPTY = 1, 2, 4, 8, 16
+_NUM, _UNIT, _NAME = 1, 2, 4
 _PLACEHOLDER = {_NUM: np.uint64(0x1111111111111111), _UNIT: np.uint64(0x2222222222222222), _NAME: np.uint64(0x3333333333333333)}
 
 
-class Tokens(dict):
-    """Raw tokens to places in arrays of their plain hashes and kinds; up to `most` at a time."""
-
-    def __init__(self, most: int = 1 << 18):
-        import xxhash
-
-        self.most, self.hash, self.kind, self.digest = most, np.zeros(most, np.uint64), np.zeros(most, np.uint8), xxhash.xxh3_64_intdigest
-
-    def __missing__(self, raw: bytes) -> int:
-        at = len(self)
-        if raw.isalpha():  # ASCII letters only
-            core, kind = raw.lower(), _NAME * raw[:1].isupper()
-            kind |= _UNIT * (core in UNITS)
-        else:
-            core = raw.strip(_EDGE)
-            kind = _ENDS * (raw.rstrip(b"\"')]")[-1:] in (b".", b"!", b"?", b":"))
-            if not core:
-                kind |= _EMPTY
-            elif _NUMBER.match(core):
-                kind |= _NUM
-            elif core.isascii():
-                kind |= _NAME * core[:1].isupper()
-                core = core.lower()
-                kind |= _UNIT * (core in UNITS)
-            else:
-                word = core.decode("utf-8", "replace")
-                kind |= _UNIT * (core.lower() in UNITS) | _NAME * word[0].isupper()
-                core = word.lower().encode("utf-8", "replace")
-        self.hash[at], self.kind[at] = self.digest(core), kind
-        self[raw] = at
-        return at
-
-    def forms(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hashes of the plain and the template form, and where placeholders are."""
-        plain, kind, starts = self.read(text)
-        return plain, *_template(plain, kind, ~starts)[:2]
-
-    def all_forms(self, text: bytes) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]:
-        """Hashes of the plain form; of each template form the hashes, where placeholders are,
-        which of them windows must have (in the second form those that open sentences), and
-        the values of slots: plain hashes whose last bit says whether it is a name."""
-        plain, kind, starts = self.read(text)
-        template, slot, value = _template(plain, kind, ~starts)
-        out = [(template, slot, slot, value)]
-        if ((kind & _NAME > 0) & starts).any():
-            more, open_slot, value = _template(plain, kind, np.ones(len(plain), bool))
-            out.append((more, open_slot, open_slot & ~slot, value))
-        return plain, out
-
-    def read(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Plain hashes and kinds of the tokens, and which of them open a sentence."""
-        raw = text.split()
-        if len(self) + len(raw) > self.most:
-            self.clear()
-            if len(raw) > self.most:
-                self.__init__(2 * len(raw))
-        at = np.fromiter(map(self.__getitem__, raw), np.int64, len(raw))
-        plain, kind = self.hash[at], self.kind[at]
-        if (kind & _EMPTY).any():
-            keep = np.nonzero((kind & _EMPTY) == 0)[0]
-            ends = np.maximum.reduceat(kind & _ENDS, keep) if len(keep) else kind[:0]  # an empty token's full stop goes to the one before
-            plain, kind = plain[keep], (kind[keep] & ~np.uint8(_ENDS)) | ends
-        starts = np.concatenate([[True], (kind[:-1] & _ENDS) > 0])[: len(plain)]
-        return plain, kind, starts
+#: Classes of bytes: white space, punctuation at a token's edges, what may follow a sentence's end, sentence ends, digits.
+_SPACE, _PUNCT, _CLOSE, _END, _DIGIT = 1, 2, 4, 8, 16
+_CLASS = np.zeros(256, np.uint8)
+for _bit, _own in ((_SPACE, b" \t\n\x0b\x0c\r"), (_PUNCT, _EDGE), (_CLOSE, b"\"')]"), (_END, b".!?:"), (_DIGIT, b"0123456789")):
+    _CLASS[list(_own)] |= _bit
+_WORD, _GAP = re.compile(rb"[^\x20\x09-\x0D]+"), re.compile(rb"[\x20\x09-\x0D]")
+#: Powers of an odd number modulo 2^64; a place in a token is taken modulo their number.
+_POWERS = np.cumprod(np.full(1 << 12, 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
+#: Bytes read at a time, up to the next white space.
+BLOCK = 1 << 16
+
+
+def _lowered(raw: bytes) -> bytes:
+    """The text in lower case, byte for byte; a word whose lower case has another length stays as it is."""
+    if raw.isascii():
+        return raw.lower()
+    low = raw.decode("utf-8", "replace").lower().encode("utf-8", "replace")
+    if len(low) == len(raw) and (_CLASS[np.frombuffer(low, np.uint8)] == _CLASS[np.frombuffer(raw, np.uint8)]).all():
+        return low
+
+    def one(m):
+        word = m[0].decode("utf-8", "replace").lower().encode("utf-8", "replace")
+        return word if len(word) == len(m[0]) else m[0]
+
+    return _WORD.sub(one, raw)
+
+
+def _block(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a stretch of text: plain hashes and kinds of the tokens that hold more than
+    punctuation, which of all tokens they are, and which of all tokens end a sentence."""
+    low = _lowered(raw)
+    a, b = np.frombuffer(raw, np.uint8), np.frombuffer(low, np.uint8)
+    cls = _CLASS[a]
+    inside = (cls & _SPACE) == 0
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    token = np.cumsum(begins, dtype=np.int32) - 1
+    ends = np.zeros(int(token[-1]) + 1 if len(token) else 0, np.uint8)
+    tail = np.nonzero(inside & ((cls & _CLOSE) == 0))[0]
+    if len(tail):
+        last = tail[_changes(token[tail])[1:]]
+        last = last[(cls[last] & _END) > 0]
+        ends[token[last]] = 1
+    solid = np.nonzero((cls & (_SPACE | _PUNCT)) == 0)[0]
+    if not len(solid):
+        return np.empty(0, np.uint64), np.empty(0, np.uint8), np.empty(0, np.int64), ends
+    change = _changes(token[solid])
+    first, last = solid[change[:-1]], solid[change[1:]]
+    own = token[first]
+    from_ = np.zeros(len(ends), np.int32)
+    from_[own] = first
+    rel = np.arange(len(a), dtype=np.int32)
+    rel -= from_[token]
+    rel &= len(_POWERS) - 1
+    terms = np.zeros(len(a) + 1, np.uint64)
+    np.multiply(_POWERS[rel], b, out=terms[:-1])
+    edges = np.empty(2 * len(first), np.int64)
+    edges[::2], edges[1::2] = first, last + 1
+    plain = mixed(np.add.reduceat(terms, edges)[::2] + (last - first).astype(np.uint64))
+    begin = a[first]
+    upper = begin != b[first]
+    for k in np.nonzero(~upper & (begin >= 0xC0))[0].tolist():  # the first character of more than a byte
+        at, size = int(first[k]), 2 + int(begin[k] >= 0xE0) + int(begin[k] >= 0xF0)
+        upper[k] = raw[at : at + size] != low[at : at + size]
+    kind = upper * np.uint8(_NAME)
+    digits = np.nonzero(cls & _DIGIT)[0]
+    if len(digits):
+        place = np.full(len(ends), -1)
+        place[own] = np.arange(len(own))
+        for k in set(place[token[digits]].tolist()):
+            if _NUMBER.match(raw[first[k] : last[k] + 1]):
+                kind[k] = _NUM
+    return plain, kind, own.astype(np.int64), ends
+
+
+def _changes(x: np.ndarray) -> np.ndarray:
+    """Where a run of equal values begins; behind the last one too."""
+    out = np.ones(len(x) + 1, bool)
+    np.not_equal(x[1:], x[:-1], out=out[1:-1])
+    return out
+
+
+@functools.cache
+def _unit_hashes() -> frozenset[int]:
+    return frozenset(_block(b" ".join(sorted(UNITS)))[0].tolist())
+
+
+def read(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Plain hashes and kinds of the tokens, and which of them open a sentence. Each byte goes
+    through some array operations, a block at a time; only tokens with digits are looked
+    at one by one."""
+    parts, at, count = [], 0, 0
+    while at < len(text):
+        space = _GAP.search(text, at + BLOCK)
+        end = space.end() if space else len(text)
+        plain, kind, own, ends = _block(text[at:end])
+        parts.append((plain, kind, own + count, ends))
+        at, count = end, count + len(ends)
+    if not parts:
+        return np.empty(0, np.uint64), np.empty(0, np.uint8), np.empty(0, bool)
+    plain, kind, own, ends = parts[0] if len(parts) == 1 else (np.concatenate(x) for x in zip(*parts))
+    if not len(plain):
+        return plain, kind, np.empty(0, bool)
+    for k in (np.nonzero(kind[:-1] == _NUM)[0] + 1).tolist():  # a unit stands right behind a number
+        if kind[k] != _NUM and int(plain[k]) in _unit_hashes():
+            kind[k] |= _UNIT
+    closed = np.maximum.reduceat(ends, own)  # the full stop of a token without more goes to the one before
+    starts = np.ones(len(plain), bool)
+    starts[1:] = closed[:-1] > 0
+    return plain, kind, starts
+
+
+def forms(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the plain and the template form, and where placeholders are."""
+    plain, kind, starts = read(text)
+    return plain, *_template(plain, kind, ~starts)[:2]
+
+
+def all_forms(text: bytes) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]:
+    """Hashes of the plain form; of each template form the hashes, where placeholders are,
+    which of them windows must have (in the second form those that open sentences), and
+    the values of slots: plain hashes whose last bit says whether it is a name."""
+    plain, kind, starts = read(text)
+    template, slot, value = _template(plain, kind, ~starts)
+    out = [(template, slot, slot, value)]
+    if ((kind & _NAME > 0) & starts).any():
+        more, open_slot, value = _template(plain, kind, np.ones(len(plain), bool))
+        out.append((more, open_slot, open_slot & ~slot, value))
+    return plain, out
 
 
 def _template(plain, kind, names) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -237,17 +303,14 @@ def _listed(parts, plain, keep):
 def benchmark_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """item_id, pos, h, width, n_tokens, slots. Of items with the same text the smallest id stands for all."""
     kept = items.groupBy(F.col(text_col).alias("text")).agg(F.min(id_col).alias("id"))
-    tokens: list = []
 
     def find(text):
-        if not tokens:
-            tokens.append(Tokens())
-        plain, forms = tokens[0].all_forms(text)
+        plain, found = all_forms(text)
         width = min(WIDTH, len(plain))
         if width < LEAST_TOKENS:
-            forms = []
+            found = []
         if width:
-            yield from _listed(_hashed(plain, forms, [width]), plain, lambda h: np.arange(len(h)))
+            yield from _listed(_hashed(plain, found, [width]), plain, lambda h: np.arange(len(h)))
 
     kind = kept.schema["id"].dataType.simpleString()
     return kept.mapInArrow(lean(_rows(kind, find)), f"id {kind}, {_ROW}").withColumnRenamed("id", "item_id")
@@ -285,14 +348,11 @@ def matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col:
     replaced consistently, by template windows), n_tokens, n_slots (of those), consistent."""
     found, widths, whole = bitmap(bench)
     shared = docs.sparkSession.sparkContext.broadcast(found)
-    tokens: list = []
 
     def find(text):
-        if not tokens:
-            tokens.append(Tokens())
-        plain, forms = tokens[0].all_forms(text)
+        plain, found_forms = all_forms(text)
         own = [w for w in widths if w >= LEAST_TOKENS or w == len(plain)]
-        yield from _listed(_hashed(plain, forms, own, whole), plain, lambda h: marked(shared.value, h))
+        yield from _listed(_hashed(plain, found_forms, own, whole), plain, lambda h: marked(shared.value, h))
 
     kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = kept.schema["id"].dataType.simpleString()

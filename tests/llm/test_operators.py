@@ -94,12 +94,53 @@ def test_empty_tables(odd):
 
 
 def test_templates():
-    t = decontamination.Tokens()
-    plain, template, slot = t.forms(b"Then Alice has 3 apples and Bob has 12 km left.")
-    other = t.forms(b"Then Carol has 44 apples and Dave has 7 miles left.")
+    plain, template, slot = decontamination.forms(b"Then Alice has 3 apples and Bob has 12 km left.")
+    other = decontamination.forms(b"Then Carol has 44 apples and Dave has 7 miles left.")
     assert slot.sum() == 5 and (template == other[1]).all() and not (plain == other[0]).all()
 
 
+def slow_tokens(raw):
+    """(core, kind, opens a sentence) of one token after the other."""
+    out, opens = [], True
+    for t in raw.split():
+        core, end = t.strip(decontamination._EDGE), t.rstrip(b"\"')]")[-1:] in (b".", b"!", b"?", b":")
+        if not core:
+            opens = opens or (bool(out) and end)
+            continue
+        word = core.decode("utf-8", "replace")
+        low = word.lower().encode("utf-8", "replace")
+        low = low if len(low) == len(core) else core
+        if decontamination._NUMBER.match(core):
+            kind = decontamination._NUM
+        else:
+            kind = decontamination._NAME * (word[0] != low.decode("utf-8", "replace")[0])
+            kind |= decontamination._UNIT * (bool(out) and out[-1][1] == decontamination._NUM and low in decontamination.UNITS)
+        out.append((low, kind, opens))
+        opens = end
+    return out
+
+
+def test_tokens_one_by_one(data, monkeypatch):
+    import pyarrow.parquet
+
+    rng = random.Random(5)
+    pool = ["Alice", "bob", "3", "12.5", "km", "KM", "-7", "$5", "5%", "été", "Été", "ÉTÉ", "straße", "İstanbul", "漢字", "...", "\"Yes!\"", "(no)", "a.", "b:", "]", "€9", "x2", "'", "ΣΑΣ", "Ǆ", "don't", "end.)", "1/2", "😀", "10:30"]
+    texts = ["".join(rng.choice(pool) + rng.choice([" ", "\n", "  ", "\t"]) for _ in range(rng.randrange(40))).encode() for _ in range(300)]
+    texts += [b"", b" ", b"...", b"\xff\xfe bad \xc3 bytes", b"x" * 9000 + b" y"] + [(t or "").encode() for t in pyarrow.parquet.read_table(f"{data}/documents.parquet")["text"].to_pylist()[:60]]
+    hashes = {}
+    for block in (1 << 16, 20):
+        monkeypatch.setattr(decontamination, "BLOCK", block)
+        for t in texts:
+            plain, kind, starts = decontamination.read(t)
+            want = slow_tokens(t)
+            if b"bad" not in t:
+                assert (kind.tolist(), starts.tolist()) == ([k for _, k, _ in want], [s for *_, s in want]), t
+            assert len(plain) == len(want)
+            for h, (core, *_) in zip(plain.tolist(), want):
+                assert hashes.setdefault(core, h) == h
+    assert len(set(hashes.values())) == len(hashes)
+
+
 def test_leaks_by_brute_force(spark, data):
     docs, items = read_table(spark, data, "documents").collect(), read_table(spark, data, "benchmark").collect()
     clean = lambda t: [w for w in (re.sub(r"[^\w]", "", x) for x in t.lower().split()) if w]
