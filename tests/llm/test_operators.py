@@ -527,6 +527,14 @@ def test_languages_held_out(spark, data):
     assert sum(r.lang_pred == r.lang for r in got) >= 0.97 * len(got) and all(0 <= r.score <= 1 for r in got)
 
 
+def test_words_with_digits_say_nothing():
+    assert language_id.prepared(b'Key = "4a13bc3f" 12,5 x2 and  a-b\n7') == b"key = 0 0 0 and  a-b\n0"
+    assert language_id.prepared("É1 é 日本".encode()) == "0 é 日本".encode()
+    began = time.process_time()
+    language_id.prepared(b"x" * 3_000_000 + b" " + b"1y" * 1_000_000)
+    assert time.process_time() - began < 2
+
+
 def test_undetermined(spark):
     docs = spark.createDataFrame([(1, "the end of the day", "en"), (2, "123 ...", "en"), (3, None, "en"), (4, "", None), (5, "der Tag und die Nacht", "de")], "doc_id long, text string, lang string")
     m = language_id.learnt(docs)
