@@ -119,18 +119,23 @@ def lean(run):
     system: workers outlive their tasks and wait beside the executor's heap."""
 
     def task(batches):
-        import ctypes
-
-        import pyarrow as pa
-
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-            trim(0)
+        trim()
 
     return task
 
 
+def trim() -> None:
+    """Give this process's free memory back to the system."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if give := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        give(0)
+
+
 class WordHashes(dict):
     """64-bit hashes of words, remembered for up to `most` words at a time."""
 

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, hash_share, lean, read_table, stored, text_bytes
+from .common import discard, hash_share, lean, read_table, stored, text_bytes, trim
 
 #: Labelled texts per language, about, that the statistics are learnt from.
 SAMPLE_DOCS = 4_000
@@ -199,7 +199,10 @@ def learnt(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_c
     rows = sums.join(bounds, "k").where("order = 0 or n >= least").select("k", "order", "edge", "n").toArrow()
     discard(sums)
     own, order, edge, n = (rows[c].to_numpy().astype(np.int64) for c in ("k", "order", "edge", "n"))
-    return trees({lang: (order[own == k], edge[own == k], n[own == k]) for k, lang in enumerate(langs)})
+    model = trees({lang: (order[own == k], edge[own == k], n[own == k]) for k, lang in enumerate(langs)})
+    del rows, own, order, edge, n
+    trim()
+    return model
 
 
 def code_lengths(model: dict, texts: list[bytes]) -> np.ndarray:

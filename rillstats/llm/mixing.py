@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import WORD_CLASS, discard, read_table, small_side, stored
+from .common import BROADCAST_ROWS, WORD_CLASS, read_table, small_side, stored
 from .near_dedup import components
 
 #: Times that a document may be taken, at costs 0, 1, 2.
@@ -263,26 +263,26 @@ def _stretches(rows: DataFrame, plan: DataFrame) -> DataFrame:
     narrow = rows.select("pattern", "size", F.struct("order_key", "size", "row").alias("here"), F.substring("order_key", 1, _PART_DIGITS).alias("part")).where("size > 0")
     none = F.lit(None).cast(_PLACE)
     room = F.lit(MOST_COPIES) - F.col("every")
-    open_ = stored(plan.where("rest > 0 and size > 0").select("pattern", none.alias("start"), F.col("rest").alias("gap"), room.alias("room"), (F.col("target") * SMALL_GAP).alias("small")), "mix-open")
+    open_ = plan.where("rest > 0 and size > 0").select("pattern", none.alias("start"), F.col("rest").alias("gap"), room.alias("room"), (F.col("target") * SMALL_GAP).alias("small"))
     done: list[DataFrame] = []
-    while not open_.isEmpty():
-        fits = narrow.join(small_side(open_), "pattern").where((F.col("size") <= F.col("gap")) & (F.col("start").isNull() | (F.col("here") >= F.col("start"))))
+    while n := open_.count():
+        few = F.broadcast if n <= BROADCAST_ROWS else lambda df: df  # no more rows than open patterns
+        fits = narrow.join(few(open_), "pattern").where((F.col("size") <= F.col("gap")) & (F.col("start").isNull() | (F.col("here") >= F.col("start"))))
         sums = fits.groupBy("pattern", "part").agg(F.sum("size").alias("sum"), F.max("gap").alias("gap"))
         upto = F.sum("sum").over(Window.partitionBy("pattern").orderBy("part").rowsBetween(Window.unboundedPreceding, 0))
         ends = sums.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("sum"))
         crossed = (F.col("before") <= F.col("gap")) & (F.col("upto") > F.col("gap"))
-        edges = stored(ends.groupBy("pattern").agg(F.max("upto").alias("all"), F.max(F.when(crossed, F.col("part"))).alias("edge"), F.max(F.when(crossed, F.col("before"))).alias("before")), "mix-edges")
-        near = fits.join(small_side(edges.where("edge is not null").select("pattern", "edge", "before")), "pattern").where(F.col("part") == F.col("edge"))
+        edges = ends.groupBy("pattern").agg(F.max("upto").alias("all"), F.max(F.when(crossed, F.col("part"))).alias("edge"), F.max(F.when(crossed, F.col("before"))).alias("before"))
+        near = fits.join(few(edges.where("edge is not null").select("pattern", F.col("edge").alias("part"), "before")), ["pattern", "part"])
         own = Window.partitionBy("pattern").orderBy("here").rowsBetween(Window.unboundedPreceding, 0)
         over = near.withColumn("end", F.sum("size").over(own) + F.col("before")).where(F.col("end") > F.col("gap"))
         first = over.groupBy("pattern").agg(F.min("here").alias("stop"), F.min(F.col("end") - F.col("size")).alias("upto"))
         now = open_.join(edges.select("pattern", "all"), "pattern", "left").join(first, "pattern", "left")
         taken = F.coalesce("upto", "all", F.lit(0))
         now = stored(now.select("pattern", "start", "stop", "gap", "room", "small", (F.col("gap") - taken).alias("left"), F.col("all").isNotNull().alias("any")), "mix-round")
-        discard(edges, open_)
         done.append(now)
         again = F.when(F.col("stop").isNull(), F.col("room") - 1).otherwise(F.col("room"))
-        open_ = stored(now.where("left > small and left > 0").select("pattern", F.col("stop").alias("start"), F.col("left").alias("gap"), again.alias("room"), "small").where("room > 0"), "mix-open")
+        open_ = now.where("left > small and left > 0").select("pattern", F.col("stop").alias("start"), F.col("left").alias("gap"), again.alias("room"), "small").where("room > 0")
     if not done:
         return plan.select("pattern", F.array().cast(f"array<struct<start: {_PLACE}, stop: {_PLACE}, gap: bigint>>").alias("stretches")).where("false")
     every = reduce(DataFrame.unionByName, [d.where("any").select("pattern", F.struct("start", "stop", "gap").alias("s")) for d in done])

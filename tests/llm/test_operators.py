@@ -385,7 +385,8 @@ def test_overlapping_sources_against_one_flow(spark, seed):
 def test_many_sources_are_a_table(spark, monkeypatch):
     sizes = {f"s{k:03}": 1 + k % 7 for k in range(300)} | {None: 3}
     docs = spark.createDataFrame([(k, "w " * n, s) for k, (s, n) in enumerate(sizes.items())], "doc_id long, text string, source string").repartition(5)
-    monkeypatch.setattr("rillstats.llm.common.BROADCAST_ROWS", 10)  # nothing is broadcast
+    for module in ("common", "mixing"):
+        monkeypatch.setattr(f"rillstats.llm.{module}.BROADCAST_ROWS", 10)  # nothing is broadcast
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     want = mixing.targets([sizes[s] for s in names], [(5, 2, 1)[k % 3] for k in range(len(names))])
     got = {r.pattern[0]: r for r in mixing.mixed(docs).collect()}
