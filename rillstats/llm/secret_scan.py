@@ -8,9 +8,9 @@ be random in that encoding: chi-squared uniformity over the alphabet (exact up t
 EXACT_CHARS characters), runs about the alphabet's middle (exact as well), and serial
 correlation at lags 1 to LAGS; Fisher's method joins their p-values, and a candidate must
 not be rejected at level RANDOM_LEVEL. Against the
-null that it is ordinary text, the ratio of its probability under a frozen model of
-text to that under uniform characters is a p-value (by Markov's inequality) that
-shrinks with length. The Benjamini-Hochberg rule with weights in proportion to
+null that it is ordinary text, the ratio of its probability under a model of
+text (which character follows which, counted in all documents) to that under uniform
+characters is a p-value (by Markov's inequality) that shrinks with length. The Benjamini-Hochberg rule with weights in proportion to
 length holds a document's false discoveries at DISCOVERY_RATE. Candidates of one encoding
 and length are tested together, so a text of many tokens takes linear time."""
 
@@ -159,27 +159,59 @@ def randomness(bodies: list[bytes], letters: bytes) -> np.ndarray:
     return np.exp(-t) * (1 + t + t * t / 2)
 
 
-#: A frozen model of ordinary tokens: kinds of character and how they follow each other.
-_STAY, _VOWELS = 0.85, b"aeiouAEIOU"
-_KIND, _IN_KIND = np.full(256, 3), np.full(256, 0.2)
-for _k, (_own, _p) in enumerate(((_LOWER, 0.6 / 21), (_UPPER, 0.6 / 21), (_DIGITS, 0.1))):
-    _KIND[list(_own)], _IN_KIND[list(_own)] = _k, _p
-_IN_KIND[list(_VOWELS)] = 0.4 / 5
-_LOG_IN_KIND, _LOG_STAY, _LOG_CHANGE = np.log(_IN_KIND), math.log(_STAY), math.log((1 - _STAY) / 3)
+#: The model of ordinary text: characters that candidates are made of, and one place for all others.
+_SYMBOLS = _UPPER + _LOWER + _DIGITS + b"+/_-"
+_OTHER = len(_SYMBOLS)
+_INDEX = np.full(256, _OTHER, np.int64)
+_INDEX[list(_SYMBOLS)] = np.arange(_OTHER)
 
 
-def text_ps(bodies: list[bytes], sizes: np.ndarray) -> np.ndarray:
+def pair_counts(raw: bytes) -> np.ndarray:
+    """How often each symbol (or other character) is followed by each, at the text's start by another."""
+    x = _INDEX[np.frombuffer(b" " + raw, np.uint8)]
+    return np.bincount(x[:-1] * (_OTHER + 1) + x[1:], minlength=(_OTHER + 1) ** 2)
+
+
+def text_model(counts: np.ndarray) -> np.ndarray:
+    """Logarithms of the chance of each symbol behind each, one added to each count."""
+    n = counts.reshape(_OTHER + 1, _OTHER + 1)[:, :_OTHER] + 1.0
+    return np.log(n / n.sum(1, keepdims=True))
+
+
+def learnt(docs: DataFrame, text_col: str = "text") -> np.ndarray:
+    """The model of ordinary text from all documents, read whole; each task sends one row for each pair
+    that it has met."""
+
+    def count(batches):
+        import pyarrow as pa
+
+        sums = np.zeros((_OTHER + 1) ** 2, np.int64)
+        for batch in batches:
+            for raw in text_bytes(batch):
+                for at in range(0, len(raw), 1 << 20):
+                    sums += pair_counts(raw[max(at - 1, 0) : at + (1 << 20)])
+        at = np.nonzero(sums)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(sums[at], pa.int64())], ["pair", "n"])
+
+    given = docs.select(F.col(text_col).alias("text"))
+    rows = given.mapInArrow(lean(count), "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()  # 67^2 rows at most
+    counts = np.zeros((_OTHER + 1) ** 2)
+    for r in rows:
+        counts[r["pair"]] = r["n"]
+    return text_model(counts)
+
+
+def text_ps(bodies: list[bytes], sizes: np.ndarray, model: np.ndarray) -> np.ndarray:
     """p-values under the null that texts in alphabets of these sizes are ordinary text."""
     n = np.array([len(b) for b in bodies])
-    a = np.frombuffer(b"".join(bodies), np.uint8)
+    x = _INDEX[np.frombuffer(b"".join(bodies), np.uint8)]
     starts = np.concatenate([[0], np.cumsum(n)[:-1]])
-    logs = _LOG_IN_KIND[a]
-    logs[1:] += np.where(_KIND[a[1:]] == _KIND[a[:-1]], _LOG_STAY, _LOG_CHANGE)
-    logs[starts] = _LOG_IN_KIND[a[starts]] + math.log(0.25)  # nothing stands before the first
-    return np.exp(np.minimum(0.0, np.add.reduceat(logs, starts) + n * np.log(sizes)))
+    before = np.concatenate([[_OTHER], x[:-1]])
+    before[starts] = _OTHER
+    return np.exp(np.minimum(0.0, np.add.reduceat(model[before, x], starts) + n * np.log(sizes)))
 
 
-def discovered(tokens: list[bytes]) -> list[bool]:
+def discovered(tokens: list[bytes], model: np.ndarray) -> list[bool]:
     """Which of one text's candidates are declared random."""
     n = len(tokens)
     weight = np.array([len(t) for t in tokens], float)
@@ -189,7 +221,7 @@ def discovered(tokens: list[bytes]) -> list[bool]:
         return [False] * n
     q, passes = np.ones(n), np.zeros(n, bool)
     at = np.array([k for k, *_ in found])
-    q[at] = np.minimum(1.0, text_ps([b for _, b, *_ in found], np.array([len(letters) for *_, letters in found])) / weight[at])
+    q[at] = np.minimum(1.0, text_ps([b for _, b, *_ in found], np.array([len(letters) for *_, letters in found]), model) / weight[at])
     order = np.argsort(q, kind="stable")
     ok = np.nonzero(q[order] <= DISCOVERY_RATE * np.arange(1, n + 1) / max(n, 1))[0]
     if not len(ok):
@@ -232,7 +264,7 @@ def _united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def spans_of(raw: bytes) -> list[tuple[int, int, str]]:
+def spans_of(raw: bytes, model: np.ndarray) -> list[tuple[int, int, str]]:
     """(start, end, kind) in code points by start, then kind."""
     out: list[tuple[int, int, str]] = []
     low = raw.lower()
@@ -250,7 +282,7 @@ def spans_of(raw: bytes) -> list[tuple[int, int, str]]:
 
     found = [x for x in candidates(raw) if free(*x)]
     if found:
-        random = _united([x for x, yes in zip(found, discovered([raw[s:e] for s, e in found])) if yes])
+        random = _united([x for x, yes in zip(found, discovered([raw[s:e] for s, e in found], model)) if yes])
         out += [(s, e, "random") for s, e in random]
     if not out:
         return out
@@ -277,15 +309,17 @@ def redacted(text: str, spans) -> str:
     return "".join([*out, text[at:]])
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, model: np.ndarray | None = None) -> DataFrame:
     """One row per input row: id, n_assign, n_access, n_hex, n_random, base_sha256,
     spans and, if with_text, redacted (the text with secrets replaced; null if it is null).
 
-    No shuffle; only id and text are read. Null and empty texts have no spans, and
+    model is that of ordinary text; without one it is learnt from docs first. No shuffle but
+    for its counts; only id and text are read. Null and empty texts have no spans, and
     base_sha256 is then the digest of nothing. Repeated rows and null ids come back as
     they are; an empty table gives an empty result; long texts are searched whole.
     Spans of different kinds may overlap; within a kind they don't."""
     kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    model = learnt(docs, text_col) if model is None else model
 
     names = ["id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "redacted"][: 7 + with_text]
 
@@ -296,7 +330,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_t
             raws = batch.column("text").cast(pa.binary()).to_pylist()
             cols: list[list] = [[] for _ in range(6 + with_text)]
             for raw in raws:
-                spans = spans_of(raw or b"")
+                spans = spans_of(raw or b"", model)
                 for col, kind in zip(cols, KINDS):
                     col.append(sum(x[2] == kind for x in spans))
                 cols[4].append(hashlib.sha256(joined(x for x in spans if x[2] != "random").encode()).hexdigest())
@@ -310,13 +344,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_t
     return out.withColumnRenamed("id", id_col)
 
 
-def redacted_rows(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
+def redacted_rows(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", model: np.ndarray | None = None) -> DataFrame:
     """The rows of docs, with all their columns, secrets in the text replaced; where a text
-    changes, length_col (if docs has it) gets its new length. No shuffle. Null texts stay
+    changes, length_col (if docs has it) gets its new length. model as in scan(). Null texts stay
     null, empty ones empty; texts are searched whole; repeated rows and null ids stay as they
     are; an empty table stays empty; other columns, whatever their names, pass through."""
     if length_col not in docs.columns:
         length_col = None
+    model = learnt(docs, text_col) if model is None else model
 
     def run(batches):
         import pyarrow as pa
@@ -327,7 +362,7 @@ def redacted_rows(docs: DataFrame, text_col: str = "text", length_col: str | Non
             texts, changed = [], {}
             for k, raw in enumerate(raws):
                 text = None if raw is None else raw.decode("utf-8", "replace")
-                if spans := spans_of(raw or b""):
+                if spans := spans_of(raw or b"", model):
                     text = redacted(text, spans)
                     changed[k] = len(text)
                 texts.append(text)

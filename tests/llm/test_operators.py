@@ -570,13 +570,28 @@ def test_base_spans(spark, data):
     assert found > 5
 
 
+def ordinary():
+    """A model of ordinary text: prose, and tokens as they stand in code and addresses."""
+    more = "some-hyphenated-longer-word CONSTANT_NAME_OF_PARTS 2024-01-01 https://example.org/a/path/to/file_name +1 555-9331 4284896609045836 camelCaseNames Section12 my_folder/of_documents v2 MAX_NUMBER=100 internationalization"
+    words = [w for w in WORDS if w.isascii()]
+    text = " ".join(random.Random(3).choices([*words, *(w.capitalize() for w in words)], k=6000) + more.split() * 60)
+    return secret_scan.text_model(secret_scan.pair_counts(text.encode()).astype(float))
+
+
+ORDINARY = ordinary()
+
+
+def spans_of(raw):
+    return secret_scan.spans_of(raw, ORDINARY)
+
+
 def test_random_tokens_and_ordinary_ones():
     rng = random.Random(2)
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
-    hits = sum(any(k == "random" for *_, k in secret_scan.spans_of(("key " + "".join(rng.choices(letters, k=40)) + " end").encode())) for _ in range(100))
+    hits = sum(any(k == "random" for *_, k in spans_of(("key " + "".join(rng.choices(letters, k=40)) + " end").encode())) for _ in range(100))
     assert hits >= 85
     for text in ("internationalization2internationalization", "2024-01-01_2024-02-02_2024-03-03", "aaaaaaaaaaaaaaaaaaaaaaaaa1", "section12section13section14section15", "00000000000000000000000000001"):
-        assert all(k != "random" for *_, k in secret_scan.spans_of(text.encode())), text
+        assert all(k != "random" for *_, k in spans_of(text.encode())), text
 
 
 def test_random_parts_of_longer_runs():
@@ -589,7 +604,7 @@ def test_random_parts_of_longer_runs():
             key = "".join(rng.choices(letters, k=n))
             text = make(key)
             at = text.index(key)
-            found += any(k == "random" and s <= at and e >= at + n for s, e, k in secret_scan.spans_of(text.encode()))
+            found += any(k == "random" and s <= at and e >= at + n for s, e, k in spans_of(text.encode()))
         return found
 
     assert hits(lambda k: f"AWS_SECRET_ACCESS_KEY={k} end") >= 85
@@ -598,7 +613,7 @@ def test_random_parts_of_longer_runs():
     assert hits(lambda k: f"/srv/my_data/{k}", base64[:62]) >= 85
     assert hits(lambda k: f"key {k} end", base64[:52]) >= 85
     for text in ("internationalizationinternationalization", "MAX_NUMBER_OF_CONNECTIONS=DEFAULT_NUMBER_OF_CONNECTIONS", "/usr/share/my_long_folder_name/of_documents", "a===================", "1=====================", "=" * 40):
-        assert all(k != "random" for *_, k in secret_scan.spans_of(text.encode())), text
+        assert all(k != "random" for *_, k in spans_of(text.encode())), text
 
 
 def test_chi_squared_tables_by_enumeration():
@@ -626,7 +641,7 @@ def test_the_battery_holds_its_level(n):
         assert all(secret_scan.randomness([b], letters)[0] == pytest.approx(x) for b, x in zip(bodies[:20], p))
 
 
-def slow_random_spans(text):
+def slow_random_spans(text, model):
     """Candidates one by one, the rule by trying every bound."""
     raw = text.encode()
     base = [tuple(map(int, x.split(":")[1:])) for x in brute_spans(text).split(",") if x]
@@ -637,11 +652,7 @@ def slow_random_spans(text):
         body, own = raw[s:e].rstrip(b"="), secret_scan.encoding_of(raw[s:e])
         p, fits = 1.0, False
         if own:
-            log = np.log(0.25)
-            for k, c in enumerate(body):
-                log += np.log(secret_scan._IN_KIND[c])
-                if k:
-                    log += np.log(0.85 if secret_scan._KIND[c] == secret_scan._KIND[body[k - 1]] else 0.05)
+            log = sum(model[secret_scan._SYMBOLS.index(body[k - 1]) if k else secret_scan._OTHER, secret_scan._SYMBOLS.index(c)] for k, c in enumerate(body))
             p = min(1, np.exp(min(0, log + len(body) * np.log(len(own[1])))))
             fits = own[0] != "decimal" and secret_scan.randomness([body], own[1])[0] >= 0.005
         found.append((s, e, p, fits))
@@ -663,11 +674,20 @@ def test_planted_random_tokens_and_both_errors(spark):
         texts.append(" ".join(parts))
         planted.append(texts[-1].index(key) if k % 3 == 0 else None)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counts = collections.Counter()
+    for t in texts:
+        x = [secret_scan._SYMBOLS.find(c) for c in b" " + t.encode()]
+        counts.update(zip(x, x[1:]))
+    model = secret_scan.learnt(docs)
+    for (a, b), n in list(counts.items())[:500]:
+        if b >= 0:
+            whole = sum(m + 1 for (x, y), m in counts.items() if x == a and y >= 0) + sum((a, y) not in counts for y in range(secret_scan._OTHER))
+            assert model[a, b] == pytest.approx(np.log((n + 1) / whole))
     missed = wrong = 0
     for r in secret_scan.scan(docs).collect():
         spans = [x.split(":") for x in r.spans.split(",") if x]
         random_spans = [(int(s), int(e)) for kind, s, e in spans if kind == "random"]
-        assert random_spans == slow_random_spans(texts[r.doc_id])
+        assert random_spans == slow_random_spans(texts[r.doc_id], model)
         at = planted[r.doc_id]
         missed += at is not None and not any(s <= at < e for s, e in random_spans)
         wrong += sum(at is None or not s <= at < e for s, e in random_spans)
@@ -680,7 +700,7 @@ def test_a_text_of_many_tokens_takes_linear_time():
     digests = " ".join(hashlib.md5(str(k).encode()).hexdigest() for k in range(150_000))
     keys = " ".join("".join(rng.choices(base62, k=40)) for _ in range(120_000))
     began = time.process_time()
-    found = collections.Counter(k for *_, k in secret_scan.spans_of(f"{digests} {keys}".encode()))
+    found = collections.Counter(k for *_, k in spans_of(f"{digests} {keys}".encode()))
     assert time.process_time() - began < 25
     assert found["hex"] == 150_000 and found["random"] > 0.98 * 120_000
 
