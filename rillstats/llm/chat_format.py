@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import discard, read_table, small_side, stored
+from .common import discard, read_table, rows_of, seen_in, small_side, stored
 
 OPEN, SHUT, CLOSE = "<turn ", ">", "</turn>\n"
 _ESCAPES = (("\\", "\\0"), ("<", "\\1"), (">", "\\2"))
@@ -46,7 +46,7 @@ def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     key = F.when(F.col("tree").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col("tree")))
     given = messages.where("id is not null").select(key.alias("tree"), "id", "parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("score"), "role", "text")
     repeats = stored(given.groupBy("tree", "id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("tree", "id"), "repeats")
-    if not repeats.isEmpty():
+    if rows_of(repeats):
         again = small_side(repeats)
         one = given.join(again, ["tree", "id"], "left_semi").groupBy("tree", "id").agg(F.min(F.struct("parent", "score", "role", "text")).alias("m")).select("tree", "id", "m.*")
         given = given.join(again, ["tree", "id"], "left_anti").unionByName(one)
@@ -54,15 +54,15 @@ def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     known = nodes.select("tree", F.col("id").alias("parent"))
     linked = nodes.join(known.withColumn("has", F.lit(True)), ["tree", "parent"], "left")
     up = F.when(F.col("has"), F.col("parent"))
-    reach = stored(linked.select("tree", "id", up.alias("up"), F.when(up.isNull(), 0).otherwise(1).alias("depth"), F.col("score").alias("sum")), "reach")
+    reach = stored(linked.select("tree", "id", up.alias("up"), F.when(up.isNull(), 0).otherwise(1).alias("depth"), F.col("score").alias("sum")), "reach", open=F.count_if(F.col("up").isNotNull()))
     steps, jumps, left = [reach], [], None
-    while (now := reach.where("up is not null").count()) and now != left:  # each round brings the nearest to their root, so where it brings none there are circles
+    while (now := seen_in(reach, "open")) and now != left:  # each round brings the nearest to their root, so where it brings none there are circles
         left = now
         jumps.append(reach.select("tree", "id", "up").where("up is not null"))
         beyond = reach.select("tree", F.col("id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("sum").alias("sum2"))
         joined = reach.where("up is not null").join(beyond, ["tree", "up"], "left")  # what has its root is done
         joined = reach.where("up is null").unionByName(joined.select("tree", "id", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), (F.col("sum") + F.coalesce("sum2", F.lit(0.0))).alias("sum")))
-        reach = stored(joined, "reach")
+        reach = stored(joined, "reach", open=F.count_if(F.col("up").isNotNull()))
         steps.append(reach)
     rooted = reach.where("up is null")
     parents = linked.where("has").select("tree", F.col("parent").alias("id")).distinct()

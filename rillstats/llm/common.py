@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: The six ASCII white-space characters between words.
@@ -38,20 +38,32 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, **sums: Column) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back. This cuts the
-    lineage, so that a lost executor costs no recomputation of what lies before."""
+    lineage, so that a lost executor costs no recomputation of what lies before. Rows are
+    counted as they are written, and so are further aggregates: rows_of() and seen_in() have them."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path, seen = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}", Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n"), *(c.alias(k) for k, c in sums.items())).write.parquet(path)
     if not _made:
         atexit.register(_clean)
     _made.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
-    out._stored_path = path
+    out._stored_path, out._seen = path, seen.get
     return out
 
 
+def seen_in(df: DataFrame, name: str):
+    """An aggregate that stored() took."""
+    return df._seen[name]
+
+
+def rows_of(df: DataFrame) -> int:
+    """Rows of a table that stored() gave, without a job; of any other one by counting."""
+    found = getattr(df, "_seen", None)
+    return df.count() if found is None else found["n"]
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that stored() wrote and that no later plan reads."""
     for df in tables:
@@ -80,10 +92,10 @@ def _clean() -> None:
 BROADCAST_ROWS = 1_000_000
 
 
-def small_side(df: DataFrame) -> DataFrame:
+def small_side(df: DataFrame, of: DataFrame | None = None) -> DataFrame:
     """A stored table of a few narrow columns, marked for broadcast if it is counted to be
-    small; otherwise left to a shuffled join."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    small; otherwise left to a shuffled join. `of` is a stored table that has as many rows or more."""
+    return F.broadcast(df) if rows_of(df if of is None else of) <= BROADCAST_ROWS else df
 
 
 def hash_share(share: float) -> int:

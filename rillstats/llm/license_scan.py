@@ -209,7 +209,7 @@ def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", te
     rows = stored(marked(docs, found, order, id_col, text_col), "license-blocks")
     pairs = matched(rows.where("blocks is not null and size(blocks) > 0"), found)
     hits = stored(pairs.groupBy("id", "h").agg(F.collect_set("label").alias("more"), F.max("share").alias("share")), "license-matches")
-    own = small_side(hits.select(F.col("id").alias("_id"), F.col("h").alias("_h"), "more", "share"))
+    own = small_side(hits.select(F.col("id").alias("_id"), F.col("h").alias("_h"), "more", "share"), hits)
     joined = rows.join(own, F.col("h").eqNullSafe(F.col("_h")) & F.col("id").eqNullSafe(F.col("_id")), "left")
     starts = F.flatten("places")
     base = F.array_compact(F.array(*(F.when(F.size(F.get("places", F.lit(k))) > 0, F.lit(label)) for k, (_, label) in enumerate(PHRASES))))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import BROADCAST_ROWS, WORD_CLASS, read_table, small_side, stored
+from .common import BROADCAST_ROWS, WORD_CLASS, read_table, rows_of, seen_in, small_side, stored
 from .near_dedup import components
 
 #: Times that a document may be taken, at costs 0, 1, 2.
@@ -183,11 +183,11 @@ def _routes(patterns: DataFrame, sources: DataFrame, most: int = MOST_COPIES) ->
     """pattern, words: what the flow takes of each pattern. sources: source, place, target."""
     quota = F.rint("target").cast("long")
     each = patterns.select("pattern", "size", F.explode("pattern").alias("s"))
-    arcs = stored(each.join(small_side(sources.select("source", "place", quota.alias("quota"))), F.col("s").eqNullSafe(F.col("source"))).select("pattern", "size", "place", "quota"), "mix-arcs")
+    arcs = stored(each.join(small_side(sources.select("source", "place", quota.alias("quota")), sources), F.col("s").eqNullSafe(F.col("source"))).select("pattern", "size", "place", "quota"), "mix-arcs")
     shared = arcs.groupBy("pattern").agg(F.min("place").alias("a"), F.collect_list("place").alias("all")).where(F.size("all") > 1)
     edges = stored(shared.select("a", F.explode("all").alias("b")).where("a <> b").distinct(), "mix-edges")
     least = lambda: F.least(F.col("quota"), most * F.col("size")).alias("words")
-    if edges.isEmpty():
+    if not rows_of(edges):
         return arcs.select("pattern", least())
     joint = components(edges)
     joint = stored(joint.unionByName(joint.select(F.col("b").alias("a"), "b")).distinct(), "mix-components")
@@ -234,7 +234,7 @@ def mixed(docs: DataFrame, sources="source", weights=WEIGHTS, id_col: str = "doc
     own_sources = stored(with_targets(stored(placed.withColumn("weight", cycle), "mix-sources"), total), "mix-targets")
     words = _routes(patterns, own_sources)
     firsts = own_sources.select(F.col("source").alias("first"), F.col("size").alias("source_size"), F.round("target", 6).alias("target"))
-    plan = patterns.join(words, "pattern").join(small_side(firsts), F.get("pattern", F.lit(0)).eqNullSafe(F.col("first"))).drop("first")
+    plan = patterns.join(words, "pattern").join(small_side(firsts, own_sources), F.get("pattern", F.lit(0)).eqNullSafe(F.col("first"))).drop("first")
     every = F.when(F.col("size") > 0, F.floor(F.col("words") / F.col("size"))).otherwise(F.lit(0)).cast("int")
     plan = stored(plan.withColumn("every", every).withColumn("rest", F.col("words") - F.col("every") * F.col("size")), "mix-plan")
     stretches = _stretches(rows, plan)
@@ -262,30 +262,31 @@ def _stretches(rows: DataFrame, plan: DataFrame) -> DataFrame:
     these are further copies. A round is two aggregates over all open patterns, whose state is a table."""
     narrow = rows.select("pattern", "size", F.struct("order_key", "size", "row").alias("here"), F.substring("order_key", 1, _PART_DIGITS).alias("part")).where("size > 0")
     none = F.lit(None).cast(_PLACE)
-    room = F.lit(MOST_COPIES) - F.col("every")
-    open_ = plan.where("rest > 0 and size > 0").select("pattern", none.alias("start"), F.col("rest").alias("gap"), room.alias("room"), (F.col("target") * SMALL_GAP).alias("small"))
+    held = F.struct("start", "gap", (F.lit(MOST_COPIES) - F.col("every")).alias("room"), (F.col("target") * SMALL_GAP).alias("small"))
+    open_ = plan.where("rest > 0 and size > 0").withColumns({"start": none, "gap": F.col("rest")}).select("pattern", held.alias("held"))
     done: list[DataFrame] = []
-    while n := open_.count():
-        few = F.broadcast if n <= BROADCAST_ROWS else lambda df: df  # no more rows than open patterns
-        fits = narrow.join(few(open_), "pattern").where((F.col("size") <= F.col("gap")) & (F.col("start").isNull() | (F.col("here") >= F.col("start"))))
-        sums = fits.groupBy("pattern", "part").agg(F.sum("size").alias("sum"), F.max("gap").alias("gap"))
+    fits = (F.col("size") <= F.col("held.gap")) & (F.col("held.start").isNull() | (F.col("here") >= F.col("held.start")))
+    few = lambda df: df if rows_of(plan) > BROADCAST_ROWS else F.broadcast(df)  # noqa: E731  all have a row for each pattern at most
+    gap = F.col("held.gap")
+    while not done or seen_in(done[-1], "open"):
+        taking = F.coalesce(F.when(fits, F.col("size")), F.lit(0))
+        sums = narrow.join(few(open_), "pattern").groupBy("pattern", "part").agg(F.sum(taking).alias("sum"), F.first("held").alias("held"))
         upto = F.sum("sum").over(Window.partitionBy("pattern").orderBy("part").rowsBetween(Window.unboundedPreceding, 0))
         ends = sums.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("sum"))
-        crossed = (F.col("before") <= F.col("gap")) & (F.col("upto") > F.col("gap"))
-        edges = ends.groupBy("pattern").agg(F.max("upto").alias("all"), F.max(F.when(crossed, F.col("part"))).alias("edge"), F.max(F.when(crossed, F.col("before"))).alias("before"))
-        near = fits.join(few(edges.where("edge is not null").select("pattern", F.col("edge").alias("part"), "before")), ["pattern", "part"])
+        crossed = (F.col("before") <= gap) & (F.col("upto") > gap)
+        edges = ends.groupBy("pattern").agg(F.max("upto").alias("all"), F.max(F.when(crossed, F.col("part"))).alias("edge"), F.max(F.when(crossed, F.col("before"))).alias("before"), F.first("held").alias("held"))
+        near = narrow.join(few(edges.where("edge is not null").select("pattern", F.col("edge").alias("part"), "before", "held")), ["pattern", "part"]).where(fits)
         own = Window.partitionBy("pattern").orderBy("here").rowsBetween(Window.unboundedPreceding, 0)
-        over = near.withColumn("end", F.sum("size").over(own) + F.col("before")).where(F.col("end") > F.col("gap"))
-        first = over.groupBy("pattern").agg(F.min("here").alias("stop"), F.min(F.col("end") - F.col("size")).alias("upto"))
-        now = open_.join(edges.select("pattern", "all"), "pattern", "left").join(first, "pattern", "left")
-        taken = F.coalesce("upto", "all", F.lit(0))
-        now = stored(now.select("pattern", "start", "stop", "gap", "room", "small", (F.col("gap") - taken).alias("left"), F.col("all").isNotNull().alias("any")), "mix-round")
+        over = near.withColumn("end", F.sum("size").over(own) + F.col("before")).where(F.col("end") > gap)
+        stops = over.groupBy("pattern").agg(F.min("here").alias("stop"), F.min(F.col("end") - F.col("size")).alias("taken"), F.first("held").alias("held"))
+        ran = edges.where("edge is null").select("pattern", none.alias("stop"), F.col("all").alias("taken"), "held")
+        room = F.when(F.col("stop").isNull(), F.col("held.room") - 1).otherwise(F.col("held.room"))
+        each = stops.unionByName(ran).select("pattern", "stop", "held", (gap - F.col("taken")).alias("left"), "taken", room.alias("room"))
+        still = F.expr("left > held.small and left > 0 and room > 0")
+        now = stored(each, "mix-round", open=F.count_if(still))
         done.append(now)
-        again = F.when(F.col("stop").isNull(), F.col("room") - 1).otherwise(F.col("room"))
-        open_ = now.where("left > small and left > 0").select("pattern", F.col("stop").alias("start"), F.col("left").alias("gap"), again.alias("room"), "small").where("room > 0")
-    if not done:
-        return plan.select("pattern", F.array().cast(f"array<struct<start: {_PLACE}, stop: {_PLACE}, gap: bigint>>").alias("stretches")).where("false")
-    every = reduce(DataFrame.unionByName, [d.where("any").select("pattern", F.struct("start", "stop", "gap").alias("s")) for d in done])
+        open_ = now.where(still).select("pattern", F.struct(F.col("stop").alias("start"), F.col("left").alias("gap"), "room", F.col("held.small").alias("small")).alias("held"))
+    every = reduce(DataFrame.unionByName, [d.where("taken > 0").select("pattern", F.struct("held.start", "stop", "held.gap").alias("s")) for d in done])
     return every.groupBy("pattern").agg(F.collect_list("s").alias("stretches"))
 
 
@@ -294,7 +295,10 @@ def _last(taken: DataFrame, plan: DataFrame) -> DataFrame:
     document that can be taken once more, if with it less would be too much than is missing now."""
     sums = taken.groupBy("pattern").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"))
     gaps = sums.join(plan.select("pattern", "words", "target"), "pattern").withColumn("gap", F.col("words") - F.col("taken")).where(F.col("gap") > SMALL_GAP * F.col("target"))
-    gaps = small_side(stored(gaps.select("pattern", "gap"), "mix-gaps"))
+    gaps = stored(gaps.select("pattern", "gap"), "mix-gaps")
+    if not rows_of(gaps):
+        return gaps.select("pattern", F.lit(None).cast(_PLACE).alias("last"))
+    gaps = small_side(gaps)
     more = taken.where((F.col("copies") < MOST_COPIES) & (F.col("size") > 0)).join(gaps, "pattern").where(F.col("size") < 2 * F.col("gap"))
     least = F.min_by("here", F.struct("size", "here"))
     return stored(more.groupBy("pattern").agg(least.alias("last")), "mix-last")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WordHashes, discard, fresh, hash_share, lean, mixed, read_table, small_side, stored, text_bytes, windows
+from .common import WordHashes, discard, fresh, hash_share, lean, mixed, read_table, rows_of, seen_in, small_side, stored, text_bytes, windows
 
 PERMUTATIONS = 95
 ROWS = 5
@@ -118,7 +118,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, given: DataFrame, width: int
     a cell holds are joined to the pairs for it. Texts travel, not hashes: a shingle's hash takes 8 bytes
     that don't compress, its word about 3 in a shuffle."""
     sizes = stored(pairs.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / F.lit(CELL)).cast("int").alias("cells")), "centres")
-    large = small_side(sizes.where("cells > 1"))
+    large = small_side(sizes.where("cells > 1"), sizes)
     members = pairs.join(large, "centre", "left").select("centre", F.pmod(F.xxhash64("node"), F.coalesce("cells", F.lit(1))).cast("int").alias("cell"), "node", F.lit(1).alias("part"))
     centres = sizes.select("centre", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), F.col("centre").alias("node"), F.lit(0).alias("part"))
     dealt = stored(members.unionByName(centres).join(classes.select("node", F.col("head").alias("id")), "node"), "dealt")
@@ -158,10 +158,10 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         top = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(top, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        new = stored(small.where("a <> b").distinct(), "edges")
+        new = stored(small.where("a <> b").distinct(), "edges", hashes=F.sum(F.xxhash64("a", "b").cast("decimal(20, 0)")))
         discard(now)
         now, before = new, state
-        state = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20, 0)"))).first())
+        state = rows_of(now), seen_in(now, "hashes")
         if state == before:
             return now
 
@@ -195,7 +195,7 @@ def linked(docs: DataFrame, width: int = 5, numerator: int = 80, denominator: in
             pairs = pairs.join(tested, ["centre", "node"], "left_anti")
         pairs = stored(pairs, "pairs")
         made.append(pairs)
-        if not pairs.isEmpty():
+        if rows_of(pairs):
             near = confirmed(pairs, heads, texts, width, numerator, denominator)
             tested = pairs if tested is None else tested.unionByName(pairs)
             before, component = component, _merged(component, near)
@@ -249,7 +249,7 @@ def _left_over(open_: DataFrame, heads: DataFrame, given: DataFrame, width: int,
     nodes = open_.groupBy("node").agg(F.first("n").alias("n"), F.first("component").alias("component"))
     nodes = stored(nodes.join(heads.withColumnRenamed("head", "id"), "node"), "open")
     texts = given.join(small_side(nodes), "id")
-    order = texts.sparkSession.sparkContext.broadcast(_order(texts, max(1, nodes.count()), width))
+    order = texts.sparkSession.sparkContext.broadcast(_order(texts, max(1, rows_of(nodes)), width))
 
     def prefixes(batches):
         import pyarrow as pa
