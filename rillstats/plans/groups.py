@@ -153,6 +153,12 @@ class StatGroup:
             as_of = events.df.agg(F.max(events.row.ts)).first()[0] or 0
         return self.read(self.states(events, by, as_of, shift), by, as_of)
 
+    def rows(self, events: Events, by: list[str] = (), as_of: int | None = None) -> DataFrame:
+        """by, pos, name, result: the JSON form, since results differ in their fields."""
+        got = self.aggregate(events, by, as_of)
+        each = F.array(*(F.struct(F.lit(k).alias("pos"), F.lit(n).alias("name"), F.to_json(run.named(n)).alias("result")) for k, n in enumerate(self.members)))
+        return got.select(*by, F.explode(each).alias("r")).select(*by, "r.*")
+
     def _nested(self, df: DataFrame, by, names: dict[tuple[str, ...], str]) -> DataFrame:
         def build(g: StatGroup, at: tuple[str, ...]) -> dict[str, Column]:
             out = {}
@@ -170,7 +176,7 @@ class StatGroup:
 
 
 class ListStats(StatGroup):
-    """Statistics in order, named by themselves unless names are given. Results also as rows."""
+    """Statistics in order, named by themselves unless names are given."""
 
     def __init__(self, *stats: Stat | tuple[str, Stat]):
         super().__init__(*(s if isinstance(s, tuple) else (type(s).__name__, s) for s in stats))
@@ -183,12 +189,6 @@ class ListStats(StatGroup):
                 raise ValueError("the lists differ in their members")
         return super().merge(parts, by, as_of, order)
 
-    def rows(self, events: Events, by: list[str] = (), as_of: int | None = None) -> DataFrame:
-        """by, pos, name, result (as JSON: results differ in their fields)."""
-        got = self.aggregate(events, by, as_of)
-        each = F.array(*(F.struct(F.lit(k).alias("pos"), F.lit(n).alias("name"), F.to_json(run.named(n)).alias("result")) for k, n in enumerate(self.members)))
-        return got.select(*by, F.explode(each).alias("r")).select(*by, "r.*")
-
 
 class Vectorized(StatGroup):
     """The statistic template(i) of each element i of vectors of one size, which may differ in

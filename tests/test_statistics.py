@@ -1,5 +1,6 @@
 """Known values, merges against a single pass, independence of partitions, adapters."""
 
+import json
 import math
 import random
 from datetime import timedelta
@@ -539,6 +540,8 @@ def test_groups(spark):
     assert r["sum"].sum == 14 and r.more["count"].sum == 3 and sorted(b.weight for b in r.more.bins) == [1, 2]
     rows = ListStats(op.Sum(), op.Max()).rows(events(spark, values(1, 2))).collect()
     assert [(x.pos, x.name, x.result) for x in rows] == [(0, "Sum", '{"sum":3.0}'), (1, "Max", '{"max":2.0}')]
+    rows = nested.rows(events(spark, values(1, 6, 7))).collect()
+    assert [(x.pos, x.name) for x in rows] == [(0, "sum"), (1, "more")] and json.loads(rows[1].result)["count"] == {"sum": 3.0}
     with pytest.raises(ValueError):
         StatGroup(stat("a", op.Sum()), stat("a", op.Count()))
     with pytest.raises(ValueError):
