@@ -171,6 +171,98 @@ def test_other_parameters_are_found_and_inconsistent_ones_are_not(spark):
     assert [(r.doc_id, r.item_id) for r in got] == [(1, 9)]
 
 
+def slow_windows(tokens, widths, whole):
+    """(form, place, width, key, slot values) of all windows; whole is None for an item."""
+    D, n, out = decontamination, len(tokens), []
+    for width in widths:
+        out += [(0, p, width, ("plain", *(t[0] for t in tokens[p : p + width])), ()) for p in range(n - width + 1)]
+    if whole is None and n < D.LEAST_TOKENS:
+        return out
+    inner = [bool(k & (D._UNIT | D._NUM)) or bool(k & D._NAME) and not opens for _, k, opens in tokens]
+    for form in (1, 2) if any(k & D._NAME and opens for _, k, opens in tokens) else (1,):
+        slot = inner if form == 1 else [bool(k) for _, k, _ in tokens]
+        must = slot if form == 1 else [a and not b for a, b in zip(slot, inner)]
+        seq = [("NUM" if k & D._NUM else "UNIT" if k & D._UNIT else "NAME") if x else c for (c, k, _), x in zip(tokens, slot)]
+        value = [(c, bool(k & D._NAME) and not k & (D._NUM | D._UNIT)) for c, k, _ in tokens]
+        if not any(must):
+            continue
+        full = whole if whole is not None else [n] if n < D.WIDTH or slot.count(False) < D.LEAST_PLAIN else []
+        found = set()
+        for width in {*widths, *full}:
+            for p in range(n - width + 1):
+                others = slot[p : p + width].count(False)
+                if others >= D.LEAST_PLAIN and width == D.WIDTH or width in full and others and (others < D.LEAST_PLAIN or width < D.WIDTH):
+                    found.add((p, width))
+                if width == D.WIDTH and others < D.LEAST_PLAIN:
+                    right = [j for j in range(p, n) if not slot[j]]
+                    left = [j for j in range(p + width) if not slot[j]]
+                    if len(right) >= D.LEAST_PLAIN:
+                        found.add((p, right[D.LEAST_PLAIN - 1] + 1 - p))
+                    if len(left) >= D.LEAST_PLAIN:
+                        found.add((left[-D.LEAST_PLAIN], p + width - left[-D.LEAST_PLAIN]))
+        for p, width in found:
+            if any(must[p : p + width]):
+                at = [j for j in range(p, p + width) if slot[j]]
+                out.append((form, p, width, ("template", *seq[p : p + width]), tuple(value[j] for j in at)))
+    return out
+
+
+def slow_leaks(docs, items):
+    D = decontamination
+    benches = {i: (slow_tokens(t.encode()), None) for i, t in items.items()}
+    benches = {i: (len(t), slow_windows(t, [min(D.WIDTH, len(t))], None)) for i, (t, _) in benches.items() if t}
+    widths = {w for _, ws in benches.values() for f, _, w, *_ in ws if f == 0}
+    whole = {w for n, ws in benches.values() for f, _, w, *_ in ws if f and w == n}
+    out = set()
+    for d, text in docs.items():
+        tokens = slow_tokens(text.encode())
+        mine = collections.defaultdict(list)
+        for form, p, w, key, values in slow_windows(tokens, [w for w in widths if w >= D.LEAST_TOKENS or w == len(tokens)], whole):
+            mine[key].append((form, p, values))
+        for i, (n, ws) in benches.items():
+            aligned = collections.defaultdict(list)
+            for form, p, w, key, values in ws:
+                for own, at, got in mine.get(key, ()):
+                    aligned[at - p].append((max(form, own), p, w, list(zip(values, got))))
+            for rows in aligned.values():
+                covered = 0
+                for most in (2, 1, 0):
+                    pairs = {x for f, *_, x4 in rows if 0 < f <= most for x in x4}
+                    names = {x for x in pairs if x[0][1]}
+                    if len({a for a, _ in pairs}) == len(pairs) and len({b for _, b in names}) == len(names):
+                        covered = len({j for f, p, w, _ in rows if f <= most for j in range(p, p + w)})
+                        break
+                if covered >= min(D.ENOUGH_TOKENS, np.ceil(D.ENOUGH_SHARE * n - 1e-9)):
+                    out.add(d)
+    return out
+
+
+def test_template_matches_by_brute_force(spark):
+    rng = random.Random(21)
+    names, plain = ["Alice", "Bob", "Carol", "Dora"], "buys sells apples pens near the old bridge and then of red market for every day it".split()
+
+    def sentence(n):
+        words = [rng.choice([*plain] * 3 + names * 4 + [str(rng.randrange(9)) for _ in range(6)] + ["km", "miles"]) for _ in range(n)]
+        return " ".join(words)
+
+    def changed(text):
+        other = dict(zip(names, rng.sample(names, 4)))
+        digits = {str(k): str(rng.randrange(9)) for k in range(9)}
+        words = [other.get(w.rstrip("."), w.rstrip(".")) if w.rstrip(".") in other else digits.get(w, w) for w in text.split()]
+        for _ in range(rng.choice([0, 0, 0, 1, 2])):
+            words[rng.randrange(len(words))] = rng.choice([*names, "3", "garden"])
+        return " ".join(words)
+
+    items = {k: ". ".join(sentence(rng.randrange(1, 14)) for _ in range(rng.randrange(1, 4))) for k in range(40)}
+    docs = {}
+    for k in range(300):
+        base = rng.choice(list(items.values()))
+        docs[k] = " ".join([sentence(rng.randrange(6)), changed(base) if k % 3 else sentence(20), sentence(rng.randrange(6))])
+    got = {r.doc_id for r in decontamination.contaminated(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()}
+    want = slow_leaks(docs, items)
+    assert got == want and 60 < len(want) < 280
+
+
 def test_different_names_stay_different(spark):
     item = "Every morning Alice buys 3 red apples and then Robert sells 2 of them to Alice near the old stone bridge"
     new = "Every morning {} buys {} red apples and then {} sells {} of them to {} near the old stone bridge"
