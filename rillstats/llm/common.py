@@ -4,8 +4,11 @@ tables written to the folder that driver and executors share."""
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
+import queue
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -38,18 +41,50 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Seconds to wait for what a write has counted. It comes over Spark's listener bus, which may
+#: drop events under load; then the table that was written is counted.
+WAIT_SECONDS = 60
+_waiting: queue.Queue | None = None
+
+
+def _wait() -> None:
+    tasks = _waiting
+    while True:
+        f, box = tasks.get()
+        got = None
+        with contextlib.suppress(Exception):
+            got = f()
+        box.put(got)
+
+
+def _in_time(f):
+    """f() in a thread of its own, or None after WAIT_SECONDS."""
+    global _waiting
+    if _waiting is None:
+        _waiting = queue.Queue()
+        threading.Thread(target=_wait, daemon=True).start()
+    box: queue.Queue = queue.Queue()
+    _waiting.put((f, box))
+    try:
+        return box.get(timeout=WAIT_SECONDS)
+    except queue.Empty:
+        _waiting = None  # that thread is lost
+        return None
+
+
 def stored(df: DataFrame, label: str, **sums: Column) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back. This cuts the
     lineage, so that a lost executor costs no recomputation of what lies before. Rows are
     counted as they are written, and so are further aggregates: rows_of() and seen_in() have them."""
     spark = df.sparkSession
     path, seen = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}", Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("n"), *(c.alias(k) for k, c in sums.items())).write.parquet(path)
+    counts = [F.count(F.lit(1)).alias("n"), *(c.alias(k) for k, c in sums.items())]
+    df.observe(seen, *counts).write.parquet(path)
     if not _made:
         atexit.register(_clean)
     _made.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
-    out._stored_path, out._seen = path, seen.get
+    out._stored_path, out._seen = path, _in_time(lambda: seen.get) or out.agg(*counts).first().asDict()
     return out
 
 

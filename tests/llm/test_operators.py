@@ -608,6 +608,19 @@ def test_trees_stay_within_their_size(spark):
     assert len(language_id.learnt(docs.selectExpr("doc_id", "text", "concat('x', doc_id) lang"))["langs"]) == 30
 
 
+def test_rows_are_counted_where_the_listener_says_nothing(spark, monkeypatch):
+    from rillstats.llm import common
+
+    df = spark.range(7).withColumn("odd", F.col("id") % 2 == 1)
+    out = common.stored(df, "seen", odd=F.count_if("odd"))
+    assert (common.rows_of(out), common.seen_in(out, "odd")) == (7, 3) and common.rows_of(df) == 7
+    monkeypatch.setattr(common, "WAIT_SECONDS", 0.2)
+    monkeypatch.setattr(common.Observation, "get", property(lambda self: time.sleep(3)))
+    out = common.stored(df, "seen", odd=F.count_if("odd"))
+    assert (common.rows_of(out), common.seen_in(out, "odd")) == (7, 3) and common._waiting is None
+    common.discard(out)
+
+
 def test_a_share_of_any_size_has_a_bound():
     from rillstats.llm.common import hash_share
 
