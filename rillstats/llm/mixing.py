@@ -306,3 +306,28 @@ def _last(taken: DataFrame, plan: DataFrame) -> DataFrame:
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """source, source_size, target: what the mix is held to, which SQL can say."""
+    rows = mixed(read_table(spark, sf_dir, "documents"))
+    return rows.select(F.get("pattern", F.lit(0)).alias("source"), "source_size", "target").distinct()
+
+
+TARGETS_SQL = r"""
+WITH RECURSIVE n AS (
+  SELECT source, len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n FROM documents),
+s AS MATERIALIZED (
+  SELECT source, sum(n)::HUGEINT AS size, ([5, 2, 1])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::HUGEINT AS w
+  FROM n GROUP BY source),
+r(k, l, whole) AS (
+  SELECT 0, (SELECT sum(size) FROM s)::HUGEINT, (SELECT sum(w) FROM s)::HUGEINT
+  UNION ALL
+  SELECT k + 1, (sum(size) - 3 * coalesce(sum(size) FILTER (l * w > 3 * size * whole), 0))::HUGEINT,
+         coalesce(sum(w) FILTER (NOT l * w > 3 * size * whole), 0)::HUGEINT
+  FROM r, s WHERE k < 60 AND whole > 0 GROUP BY k, l, whole),
+z AS (SELECT * FROM r ORDER BY k DESC LIMIT 1)
+SELECT source, size::BIGINT AS source_size,
+       round(CASE WHEN whole = 0 OR l * w > 3 * size * whole THEN (3 * size)::DOUBLE ELSE l::DOUBLE * w::DOUBLE / whole::DOUBLE END, 6) AS target
+FROM s, z
+"""

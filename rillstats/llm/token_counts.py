@@ -101,3 +101,13 @@ def count_tokens(docs: DataFrame, model: str, limit: int = 4096, id_col: str = "
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"), "piece_bpe_32k.model")
+
+
+def token_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, and whether there are tokens: what SQL can say of the counts."""
+    return op5_token_counts(spark, sf_dir).select("doc_id", "n_bytes", (F.col("n_tokens") > 0).alias("any"))
+
+
+BYTES_SQL = r"""
+SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT AS n_bytes, coalesce(text, '') <> '' AS any FROM documents
+"""
