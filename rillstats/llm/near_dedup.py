@@ -11,7 +11,7 @@ A pair of similarity 0.8 shares none of the bands with probability (1 - 0.8^5)^3
 Equal sets are first folded into one class, so copies make no pairs. In each bucket
 documents are then compared with one centre, and links are joined to components. Only
 documents of a bucket that are in different components are compared further: with
-another centre, and then exactly: their shingles are put in one order, rare ones first,
+other centres, and then exactly: their shingles are put in one order, rare ones first,
 and two sets that are alike enough must share one among the first of each (prefix
 filter), with enough left behind it (positional filter), and the parities of their hashes
 by cells must not differ in more bits than the sets may differ in hashes (parity filter).
@@ -29,7 +29,9 @@ from .common import WordHashes, discard, fresh, hash_share, lean, mixed, read_ta
 PERMUTATIONS = 95
 ROWS = 5
 BANDS = 2 * PERMUTATIONS // ROWS
-STAR_ROUNDS = 2
+#: Rounds in which documents meet a centre before the exact rest. Each joins most of what the one before left
+#: apart, so that the rest has few pairs that only say the same again.
+STAR_ROUNDS = 4
 #: Documents whose shingles are counted for the order, about, and the counters: about two
 #: shingles of the counted ones share a counter. Any order gives the same links; rare ones first gives few pairs.
 ORDER_DOCS, ORDER_BITS = 20_000, 22
