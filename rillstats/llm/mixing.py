@@ -179,6 +179,15 @@ def with_targets(sources: DataFrame, total: int, most: int = MOST_COPIES) -> Dat
     return sources.withColumn("target", share * F.lit(scale))
 
 
+def _sources(patterns: DataFrame, weights) -> DataFrame:
+    """source, size, weight, place, target of all sources of patterns (pattern, size)."""
+    total = patterns.agg(F.sum("size")).first()[0] or 0
+    sums = patterns.select("size", F.explode("pattern").alias("source")).groupBy("source").agg(F.sum("size").alias("size"))
+    placed = numbered(sums, F.col("source").isNull(), F.col("source"))
+    cycle = F.element_at(F.array(*(F.lit(int(w)) for w in weights)), (F.col("place") % len(weights) + 1).cast("int")).cast("long")
+    return stored(with_targets(stored(placed.withColumn("weight", cycle), "mix-sources"), total), "mix-targets")
+
+
 def _routes(patterns: DataFrame, sources: DataFrame, most: int = MOST_COPIES) -> DataFrame:
     """pattern, words: what the flow takes of each pattern. sources: source, place, target."""
     quota = F.rint("target").cast("long")
@@ -227,11 +236,7 @@ def mixed(docs: DataFrame, sources="source", weights=WEIGHTS, id_col: str = "doc
     that isn't taken MOST_COPIES times. Sources and patterns stay tables, whatever their number."""
     rows = stored(measured(docs, sources, id_col, text_col, own), "mix-sizes")
     patterns = stored(rows.groupBy("pattern").agg(F.sum("size").alias("size")), "mix-patterns")
-    total = patterns.agg(F.sum("size")).first()[0] or 0
-    sums = patterns.select("size", F.explode("pattern").alias("source")).groupBy("source").agg(F.sum("size").alias("size"))
-    placed = numbered(sums, F.col("source").isNull(), F.col("source"))
-    cycle = F.element_at(F.array(*(F.lit(int(w)) for w in weights)), (F.col("place") % len(weights) + 1).cast("int")).cast("long")
-    own_sources = stored(with_targets(stored(placed.withColumn("weight", cycle), "mix-sources"), total), "mix-targets")
+    own_sources = _sources(patterns, weights)
     words = _routes(patterns, own_sources)
     firsts = own_sources.select(F.col("source").alias("first"), F.col("size").alias("source_size"), F.round("target", 6).alias("target"))
     plan = patterns.join(words, "pattern").join(small_side(firsts, own_sources), F.get("pattern", F.lit(0)).eqNullSafe(F.col("first"))).drop("first")
@@ -310,8 +315,9 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """source, source_size, target: what the mix is held to, which SQL can say."""
-    rows = mixed(read_table(spark, sf_dir, "documents"))
-    return rows.select(F.get("pattern", F.lit(0)).alias("source"), "source_size", "target").distinct()
+    rows = measured(read_table(spark, sf_dir, "documents"), "source")
+    patterns = stored(rows.groupBy("pattern").agg(F.sum("size").alias("size")), "mix-patterns")
+    return _sources(patterns, WEIGHTS).select("source", F.col("size").alias("source_size"), F.round("target", 6).alias("target"))
 
 
 TARGETS_SQL = r"""
