@@ -184,9 +184,10 @@ def linked(docs: DataFrame, width: int = 5, numerator: int = 80, denominator: in
     whole = signed.where("id is not null and n > 0")
     # Copies are one node. Of a node's rows the one with the smallest id stands for it.
     classes = stored(whole.groupBy("node").agg(F.min("id").alias("head"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
-    # A band's rows are counted where they come together, so there is one shuffle of them.
-    together = F.count(F.lit(1)).over(Window.partitionBy("band"))
-    members = stored(classes.select("node", "n", F.explode("bands").alias("band")).withColumn("c", together).where("c > 1").drop("c"), "members")
+    # Bands are counted before the shuffle and joined, not windowed: a join of a band that many share is split up.
+    buckets = classes.select("node", "n", F.explode("bands").alias("band"))
+    several = buckets.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("band")
+    members = stored(buckets.join(several, "band"), "members")
     heads, texts = classes.select("node", "head"), given.where("id is not null")
     tested = component = None
     made = [members]
