@@ -41,6 +41,9 @@ LOOK_BACK = 16
 PARITY_WORDS = 8
 #: Members that one task compares with a centre at a time.
 CELL = 256
+#: Links that one task joins to components at most (16 bytes each); more are joined in rounds of shuffles. On small
+#: tables such rounds follow so fast that the driver has hundreds of threads for them at a time.
+TASK_LINKS = 500_000
 #: Shingles hashed at a time.
 _BLOCK = 4096
 
@@ -119,9 +122,12 @@ def confirmed(pairs: DataFrame, classes: DataFrame, given: DataFrame, width: int
     so that no task gets all members of a large group; only centres with more members than
     a cell holds are joined to the pairs for it. Texts travel, not hashes: a shingle's hash takes 8 bytes
     that don't compress, its word about 3 in a shuffle."""
-    sizes = stored(pairs.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / F.lit(CELL)).cast("int").alias("cells")), "centres")
-    large = small_side(sizes.where("cells > 1"), sizes)
-    members = pairs.join(large, "centre", "left").select("centre", F.pmod(F.xxhash64("node"), F.coalesce("cells", F.lit(1))).cast("int").alias("cell"), "node", F.lit(1).alias("part"))
+    sizes = stored(pairs.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / F.lit(CELL)).cast("int").alias("cells")), "centres", most=F.max("cells"))
+    cell = F.lit(0)
+    if (seen_in(sizes, "most") or 0) > 1:
+        pairs = pairs.join(small_side(sizes.where("cells > 1"), sizes), "centre", "left")
+        cell = F.pmod(F.xxhash64("node"), F.coalesce("cells", F.lit(1))).cast("int")
+    members = pairs.select("centre", cell.alias("cell"), "node", F.lit(1).alias("part"))
     centres = sizes.select("centre", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), F.col("centre").alias("node"), F.lit(0).alias("part"))
     dealt = stored(members.unionByName(centres).join(classes.select("node", F.col("head").alias("id")), "node"), "dealt")
     cells = given.join(small_side(dealt), "id").select("centre", "cell", "part", "node", "text").repartition("centre", "cell").sortWithinPartitions("centre", "cell", "part")
@@ -168,6 +174,38 @@ def components(edges: DataFrame) -> DataFrame:
             return now
 
 
+def least_reached(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What components() gives, of edges in arrays: in each round the larger of two linked
+    roots is hung below the least that it is linked with, until none are linked."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    least, x, y = np.arange(len(nodes)), at[: len(a)], at[len(a) :]
+    while True:
+        x, y = least[x], least[y]
+        apart = x != y
+        if not apart.any():
+            break
+        x, y = x[apart], y[apart]
+        np.minimum.at(least, np.maximum(x, y), np.minimum(x, y))
+        while (further := least[least] != least).any():
+            least[further] = least[least[further]]
+    below = np.nonzero(least != np.arange(len(nodes)))[0]
+    return nodes[below], nodes[least[below]]
+
+
+def components_in_task(edges: DataFrame) -> DataFrame:
+    """What components() gives, of TASK_LINKS edges at most: one task reads them all."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        none = np.empty(0, np.int64)
+        read = [(none, none), *((batch.column("a").to_numpy(zero_copy_only=False), batch.column("b").to_numpy(zero_copy_only=False)) for batch in batches)]
+        a, b = least_reached(*(np.concatenate(x) for x in zip(*read)))
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return stored(edges.coalesce(1).mapInArrow(lean(run), "a long, b long"), "components")
+
+
 def linked(docs: DataFrame, width: int = 5, numerator: int = 80, denominator: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_shingles, component_id, kept.
 
@@ -192,8 +230,8 @@ def linked(docs: DataFrame, width: int = 5, numerator: int = 80, denominator: in
     tested = component = None
     made = [members]
     for turn in range(STAR_ROUNDS + 1):
-        open_ = _open(members, component)
-        pairs = _star(open_, turn, numerator, denominator) if turn < STAR_ROUNDS else _left_over(open_, heads, texts, width, numerator, denominator, made)
+        now = _placed(members, component)
+        pairs = _star(now, turn, numerator, denominator) if turn < STAR_ROUNDS else _left_over(_open(now), heads, texts, width, numerator, denominator, made)
         if tested is not None:
             pairs = pairs.join(tested, ["centre", "node"], "left_anti")
         pairs = stored(pairs, "pairs")
@@ -207,24 +245,30 @@ def linked(docs: DataFrame, width: int = 5, numerator: int = 80, denominator: in
     return _result(signed, heads, component, id_col)
 
 
-def _open(members: DataFrame, component: DataFrame | None) -> DataFrame:
-    """Members with their components, of buckets that hold more than one component."""
+def _placed(members: DataFrame, component: DataFrame | None) -> DataFrame:
+    """Members with their components."""
     if component is None:
         return members.withColumn("component", F.col("node"))
-    now = members.join(component.select(F.col("a").alias("node"), F.col("b").alias("component")), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return members.join(component.select(F.col("a").alias("node"), F.col("b").alias("component")), "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def _open(now: DataFrame) -> DataFrame:
+    """Members of buckets that hold more than one component."""
     more = now.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
     return now.join(more, "band")
 
 
 def _merged(component: DataFrame | None, links: DataFrame) -> DataFrame:
-    """Components after further links. Only links between components are gone through."""
+    """Components after further links. Only links between components are gone through, or all in one task."""
     edges = links.select(F.col("centre").alias("a"), F.col("node").alias("b"))
+    if rows_of(links) + (rows_of(component) if component is not None else 0) <= TASK_LINKS:
+        return components_in_task(edges if component is None else edges.unionByName(component))
     if component is None:
         return components(edges)
     for side in ("a", "b"):
         roots = component.select(F.col("a").alias(side), F.col("b").alias("root"))
         edges = edges.join(roots, side, "left").withColumn(side, F.coalesce("root", side)).select("a", "b")
-    more = components(edges)
+    more = components_in_task(edges) if rows_of(links) <= TASK_LINKS else components(edges)
     moved = component.join(more.select(F.col("a").alias("b"), F.col("b").alias("root")), "b", "left").select("a", F.coalesce("root", "b").alias("b"))
     return stored(moved.unionByName(more), "components")
 
@@ -237,12 +281,12 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("centre", "node").alias("centre"), F.greatest("centre", "node").alias("node"))
 
 
-def _star(open_: DataFrame, turn: int, numerator: int, denominator: int) -> DataFrame:
-    """Members of a bucket with the bucket's centre, which differs between turns. A
-    document is compared with its most frequent centre; other centres wait."""
+def _star(now: DataFrame, turn: int, numerator: int, denominator: int) -> DataFrame:
+    """Members of a bucket that holds more than one component with the bucket's centre, which
+    differs between turns. A document is compared with its most frequent centre; other centres wait."""
     order = F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), F.col("node").alias("centre"), F.col("n").alias("cn"), F.col("component").alias("cc"))
-    centres = open_.groupBy("band").agg(F.min(order).alias("c")).select("band", "c.centre", "c.cn", "c.cc")
-    pairs = open_.join(centres, "band").where((F.col("component") != F.col("cc")) & _may(numerator, denominator))
+    centres = now.groupBy("band").agg(F.min(order).alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band", "c.centre", "c.cn", "c.cc")
+    pairs = now.join(centres, "band").where((F.col("component") != F.col("cc")) & _may(numerator, denominator))
     votes = pairs.groupBy("node", "centre").agg(F.count(F.lit(1)).alias("votes"))
     return votes.groupBy("node").agg(F.max_by("centre", F.struct("votes", "centre")).alias("centre")).select("centre", "node")
 

@@ -387,6 +387,35 @@ def test_components_of_a_long_chain(spark):
     assert got == {**{k: 0 for k in range(1, 61)}, 101: 100}
 
 
+def test_components_in_one_task(spark, monkeypatch):
+    """Like those by shuffles, of any edges; and the links of a table, either way."""
+    rng = random.Random(5)
+    for nodes, n in ((1, 1), (40, 30), (300, 290), (300, 900)):
+        edges = [(rng.randrange(nodes) - nodes // 2, rng.randrange(nodes) - nodes // 2) for _ in range(n)]
+        a, b = (np.array(x, np.int64) for x in zip(*edges))
+        got = dict(zip(*(x.tolist() for x in near_dedup.least_reached(a, b))))
+        table = spark.createDataFrame(edges, "a long, b long").repartition(3)
+        assert got == {r.a: r.b for r in near_dedup.components(table).collect()}
+        assert got == {r.a: r.b for r in near_dedup.components_in_task(table).collect()}
+    a = np.random.default_rng(2).permutation(20_001)
+    assert set(near_dedup.least_reached(a[:-1], a[1:])[1].tolist()) == {0}
+    assert near_dedup.components_in_task(spark.createDataFrame([], "a long, b long")).count() == 0
+    texts = chained_copies()
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    for links in (0, 60):  # none, and only those of later rounds
+        monkeypatch.setattr(near_dedup, "TASK_LINKS", links)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.linked(docs, 4).collect()}
+        assert got == brute_links(texts, 4)
+
+
+def test_dedup_of_a_small_table_takes_few_jobs(spark, data):
+    """Each broadcast and each shuffle has a thread of the driver's for a minute."""
+    jobs = spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs
+    docs, before = read_table(spark, data, "documents"), jobs()
+    near_dedup.deduplicated(docs).count()
+    assert jobs() - before < 125
+
+
 def test_repeated_ids_in_dedup(spark):
     docs = spark.createDataFrame([(1, prose(1, 50), None, None, 1), (1, prose(1, 50), None, None, 1), (2, prose(1, 50), None, None, 1), (3, prose(9, 50), None, None, 1), (None, "x", None, None, 1)], DOCUMENT)
     assert sorted(r.doc_id or -1 for r in near_dedup.deduplicated(docs).collect()) == [-1, 1, 3]
